@@ -1,6 +1,458 @@
-def queries():
-    return {}
+"""The registered queries: each applies an operator to whole tables; the SQL says the same for DuckDB."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..config import Settings
+from ..functions import literals as L
+from ..functions import terms as T
+from ..functions.terms import XSD
+from ..operators import checks as C
+from ..operators import matching as M
+from ..operators import shacl as K
+from ..operators import statistics as S
+from ..sources import statements as ST
+from . import replay as R
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+EX = ST.EX
+_FIRST = 100  # messages of the population that the interval queries learn from
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _events(spark: SparkSession, d: str, user: bool = False) -> DataFrame:
+    return ST.numbered(_table(spark, d, "events"), F.concat(F.lit("u-"), F.col("user_id")) if user else None)
+
+
+def _add(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+# the same streams and graphs in DuckDB
+EV = "ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'g-' || event_type AS graph_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq FROM events)"
+EU = "ev AS (SELECT *, 'u-' || user_id AS graph_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)"
+_KINDS = [("obs", T.TYPE, "'iri'", f"'{EX}Observation'", None), ("obs", EX + "madeBy", "'iri'", f"'{EX}user/' || user_id", None), ("obs", EX + "hasTimestamp", "'literal'", "strftime(ts, '%Y-%m-%dT%H:%M:%S')", "dateTime"), ("obs", EX + "hasResult", "'iri'", f"'{EX}res/' || event_id", None),
+          ("res", T.TYPE, "'iri'", f"'{EX}PropertyValue'", None), ("res", EX + "isValueOfProperty", "'iri'", f"'{EX}prop/' || event_type", None), ("res", EX + "hasValue", "'literal'", "CAST(value AS VARCHAR)", "double"), ("res", EX + "isMeasuredIn", "'literal'", "CAST(k AS VARCHAR)", "integer")]
+TR = "tr AS (" + " UNION ALL ".join(f"SELECT graph_id, seq, CAST({i} AS INTEGER) AS stmt_ix, '{EX}{s}/' || event_id AS s, '{p}' AS p, {k} AS o_kind, {v} AS o_value, {f"'{XSD}{d}'" if d else 'CAST(NULL AS VARCHAR)'} AS o_dtype, CAST(NULL AS VARCHAR) AS o_lang FROM ev" for i, (s, p, k, v, d) in enumerate(_KINDS)) + ")"
+AN = f"an AS (SELECT tr.*, coalesce(c.cls, '{T.RDFS_RESOURCE}') AS anchor, CASE WHEN o_kind = 'literal' THEN o_dtype END AS dtype_eff FROM tr LEFT JOIN (SELECT graph_id, seq, s, arg_min(o_value, stmt_ix) AS cls FROM tr WHERE p = '{T.TYPE}' AND o_kind = 'iri' GROUP BY ALL) c USING (graph_id, seq, s))"
+_L = f"'{EX}line/' || l_orderkey || '/' || l_linenumber"
+_O = f"'{EX}order/' || o_orderkey"
+OG = f"""tr AS (
+SELECT 'o-' || o_orderkey AS graph_id, 0 AS stmt_ix, {_O} AS s, '{T.TYPE}' AS p, 'iri' AS o_kind, '{EX}Order' AS o_value, CAST(NULL AS VARCHAR) AS o_dtype, 1::BIGINT AS seq FROM orders
+UNION ALL SELECT 'o-' || o_orderkey, 1, {_O}, '{EX}status', 'literal', o_orderstatus, '{XSD}string', 1 FROM orders
+UNION ALL SELECT 'o-' || o_orderkey, 2, {_O}, '{EX}total', 'literal', 'x', '{XSD}double', 1 FROM orders
+UNION ALL SELECT 'o-' || l_orderkey, l_linenumber * 3, {_L}, '{T.TYPE}', 'iri', '{EX}Line', NULL, 1 FROM lineitem
+UNION ALL SELECT 'o-' || l_orderkey, l_linenumber * 3 + 1, {_L}, '{EX}quantity', 'literal', 'x', '{XSD}double', 1 FROM lineitem
+UNION ALL SELECT 'o-' || l_orderkey, l_linenumber * 3 + 2, {_L}, '{EX}flag', 'literal', l_returnflag, '{XSD}string', 1 FROM lineitem)"""
+
+
+# --- sources, parsing and literals
+@_add("triplify_events", f"WITH {EV}, {TR} SELECT graph_id, seq, stmt_ix, s, p, o_kind, o_dtype, CASE WHEN p = '{EX}hasValue' THEN round(CAST(o_value AS DOUBLE), 6) END AS num, CASE WHEN p <> '{EX}hasValue' THEN o_value END AS o_text FROM tr")
+def _(spark, d):
+    t = ST.triplified(_events(spark, d))
+    value = F.col("p") == EX + "hasValue"
+    return t.select("graph_id", "seq", "stmt_ix", "s", "p", "o_kind", "o_dtype", F.when(value, F.round(F.col("o_value").try_cast("double"), 6)).alias("num"), F.when(~value, F.col("o_value")).alias("o_text"))
+
+
+@_add("parse_ntriples", f"WITH {EV}, {TR} SELECT graph_id, seq, p, count(*) AS n, max(CASE WHEN p = '{EX}hasValue' THEN NULL ELSE o_value END) AS o_value, max(o_kind) AS o_kind, max(o_dtype) AS o_dtype, max(s) AS s FROM tr GROUP BY graph_id, seq, p")
+def _(spark, d):
+    back = ST.parsed(ST.rendered(ST.triplified(_events(spark, d))))
+    return back.groupBy("graph_id", "seq", "p").agg(F.count("*").alias("n"), F.max(F.when(F.col("p") != EX + "hasValue", F.col("o_value"))).alias("o_value"), F.max("o_kind").alias("o_kind"), F.max("o_dtype").alias("o_dtype"), F.max("s").alias("s"))
+
+
+@_add("json_messages", "SELECT conv_id || '' AS graph_id, CAST(turn AS BIGINT) AS seq, text AS data FROM conversations WHERE text IS NOT NULL")
+def _(spark, d):
+    raw = _table(spark, d, "conversations").select(F.col("turn").cast("long").alias("seq"), F.to_json(F.struct(F.col("conv_id").cast("string").alias("label"), F.col("text").alias("data"))).alias("value"))
+    return ST.labelled_messages(raw).select("graph_id", "seq", "data")
+
+
+@_add("binding_template", f"SELECT 's-' || s_suppkey AS graph_id, 1::BIGINT AS seq, '<{EX}supplier/' || s_suppkey || '> <{EX}name> \"' || s_name || '\" .' || chr(10) || '<{EX}supplier/' || s_suppkey || '> <{EX}nation> ?unknown .' AS data FROM supplier")
+def _(spark, d):
+    rows = _table(spark, d, "supplier").select(F.concat(F.lit("s-"), F.col("s_suppkey")).alias("graph_id"), F.lit(1).cast("long").alias("seq"), F.create_map(F.lit("s"), F.concat(F.lit(f"<{EX}supplier/"), F.col("s_suppkey"), F.lit(">")), F.lit("name"), F.concat(F.lit('"'), F.col("s_name"), F.lit('"'))).alias("binding"))
+    return ST.instantiated(rows, ["?s ex:name ?name .", "", "?s ex:nation ?unknown ."], {"ex": EX})
+
+
+_LITS = f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS v, CAST(NULL AS VARCHAR) AS dt, CAST(NULL AS VARCHAR) AS lang FROM orders UNION ALL SELECT 'e' || event_id, CAST(event_id AS VARCHAR), NULL, NULL FROM events UNION ALL SELECT 'f' || event_id, CAST(event_id AS VARCHAR) || '.50', NULL, NULL FROM events
+UNION ALL SELECT 'x' || event_id, CAST(event_id AS VARCHAR) || 'e3', NULL, NULL FROM events UNION ALL SELECT 'd' || doc_id, CAST(n_chars AS VARCHAR), NULL, lang FROM documents UNION ALL SELECT 't' || event_id, event_type, '{XSD}token', NULL FROM events"""
+
+
+@_add("datatype_inference", f"WITH l AS ({_LITS}) SELECT id, CASE WHEN lang IS NOT NULL THEN '{XSD}string' WHEN dt IS NOT NULL THEN dt WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN '{XSD}integer' WHEN regexp_full_match(v, '[+-]?[0-9]+([.][0-9]*)?(e[+-]?[0-9]+)?') THEN '{XSD}float' ELSE '{XSD}string' END AS dtype FROM l")
+def _(spark, d):
+    e, no = _table(spark, d, "events"), F.lit(None).cast("string")
+    key = lambda c, name: F.concat(F.lit(c), F.col(name))
+    part = lambda df, i, v, dt=no, lang=no: df.select(i.alias("id"), v.cast("string").alias("v"), dt.alias("dt"), lang.alias("lang"))
+    rows = part(_table(spark, d, "orders"), F.col("o_orderkey").cast("string"), F.col("o_orderpriority")).unionByName(part(e, key("e", "event_id"), F.col("event_id"))).unionByName(part(e, key("f", "event_id"), F.concat("event_id", F.lit(".50"))))
+    rows = rows.unionByName(part(e, key("x", "event_id"), F.concat("event_id", F.lit("e3")))).unionByName(part(_table(spark, d, "documents"), key("d", "doc_id"), F.col("n_chars"), lang=F.col("lang"))).unionByName(part(e, key("t", "event_id"), F.col("event_type"), F.lit(XSD + "token")))
+    return rows.select("id", L.inferred(F.col("v"), F.col("dt"), F.col("lang")).alias("dtype"))
+
+
+@_add("cast_datetime", "SELECT l_orderkey, l_linenumber, epoch(CAST(l_shipdate AS TIMESTAMP)) AS date_s, epoch(make_timestamp(year(l_shipdate), 1, 1, 1, 0, 0)) AS year_s, epoch(make_timestamp(year(l_shipdate), month(l_shipdate), 1, 1, 0, 0)) AS month_s FROM lineitem")
+def _(spark, d):
+    t = _table(spark, d, "lineitem")
+    as_ = lambda form, dt: L.epoch_seconds(F.date_format("l_shipdate", form), F.lit(XSD + dt))
+    return t.select("l_orderkey", "l_linenumber", as_("yyyy-MM-dd", "date").alias("date_s"), as_("yyyy", "gYear").alias("year_s"), as_("yyyy-MM", "gYearMonth").alias("month_s"))
+
+
+@_add("cast_datefrag", "SELECT o_orderkey, CAST(datediff('day', DATE '1970-01-01', make_date(1970, month(o_orderdate), 1)) AS INTEGER) AS month_d, CASE WHEN NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29) THEN CAST(datediff('day', DATE '1970-01-01', try_cast('1970-' || month(o_orderdate) || '-' || day(o_orderdate) AS DATE)) AS INTEGER) END AS month_day_d, CAST(day(o_orderdate) AS INTEGER) AS day_d, CAST(NULL AS INTEGER) AS standard_form FROM orders")
+def _(spark, d):
+    f = lambda v, dt: L.fragment_days(v, F.lit(XSD + dt))
+    m, day = F.month("o_orderdate").cast("string"), F.dayofmonth("o_orderdate").cast("string")
+    return _table(spark, d, "orders").select("o_orderkey", f(m, "gMonth").alias("month_d"), f(F.concat(m, F.lit("-"), day), "gMonthDay").alias("month_day_d"), f(day, "gDay").alias("day_d"), f(F.concat(F.lit("--"), m), "gMonth").alias("standard_form"))
+
+
+@_add("date_reverse", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp, strftime(ts, '%Y') AS g_year, strftime(ts, '%Y-%m') AS g_year_month, strftime(DATE '1970-01-01' + CAST(event_id % 365 AS INTEGER), '%m-%d') AS month_day FROM events")
+def _(spark, d):
+    s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return _table(spark, d, "events").select("event_id", L.date_text(s, "dateTime").alias("stamp"), L.date_text(s, "gYear").alias("g_year"), L.date_text(s, "gYearMonth").alias("g_year_month"), L.fragment_text((F.col("event_id") % 365).cast("int"), "gMonthDay").alias("month_day"))
+
+
+@_add("iso_duration", "SELECT event_id, 'P' || (event_id * 977) // 86400 || 'DT' || (event_id * 977) % 86400 // 3600 || 'H' || (event_id * 977) % 3600 // 60 || 'M' || (event_id * 977) % 60 || 'S' AS duration FROM events")
+def _(spark, d):
+    return _table(spark, d, "events").select("event_id", L.duration_text(F.col("event_id") * 977).alias("duration"))
+
+
+@_add("sigfig_round", "SELECT event_id, CAST(printf('%.2e', CAST(event_id * 7 + 1 AS DOUBLE)) AS DOUBLE) AS three FROM events")
+def _(spark, d):
+    return _table(spark, d, "events").select("event_id", L.significant((F.col("event_id") * 7 + 1).cast("double"), 3).alias("three"))
+
+
+@_add("type_family_dim", "SELECT event_type, count(*) AS n, CASE WHEN event_type IN ('click', 'view') THEN 'C' ELSE 'D' END AS kind FROM events GROUP BY event_type")
+def _(spark, d):
+    dtype = F.when(F.col("event_type").isin("click", "view"), XSD + "double").otherwise(XSD + "string")
+    typed = _table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("dtype", dtype)
+    return typed.join(T.type_dim(spark), "dtype").select("event_type", "n", F.col("dist_kind").alias("kind"))
+
+
+# --- matching
+@_add("anchor_inference", f"WITH {EV}, {TR}, {AN} SELECT graph_id, seq, stmt_ix, anchor FROM an")
+def _(spark, d):
+    return M.anchored(ST.triplified(_events(spark, d))).select("graph_id", "seq", "stmt_ix", "anchor")
+
+
+_OP = f"op AS (SELECT graph_id, graph_id || ':' || stmt_ix AS ap_id, anchor, p AS relation, o_kind AS st_kind, dtype_eff AS st_dtype FROM an WHERE stmt_ix < 6)"
+_OC = "mc AS (SELECT s.*, s.stated + coalesce(k.known, 0) AS ar_count FROM (SELECT graph_id, seq, anchor, p AS relation, count(*) AS stated FROM an GROUP BY ALL) s LEFT JOIN (SELECT graph_id, anchor, relation, count(*) AS known FROM op GROUP BY ALL) k USING (graph_id, anchor, relation))"
+_MM = """mm AS (SELECT a.graph_id, a.stmt_ix, c.ar_count, count(*) FILTER (WHERE ap_id IS NOT NULL AND (c.ar_count = 2 OR (a.o_kind = op.st_kind AND (a.o_kind = 'iri' OR a.dtype_eff = op.st_dtype)))) AS matches,
+min(ap_id) FILTER (WHERE c.ar_count = 2 OR (a.o_kind = op.st_kind AND (a.o_kind = 'iri' OR a.dtype_eff = op.st_dtype))) AS one
+FROM an a JOIN mc c ON a.graph_id = c.graph_id AND a.anchor = c.anchor AND a.p = c.relation LEFT JOIN op ON op.graph_id = a.graph_id AND op.anchor = a.anchor AND op.relation = a.p GROUP BY ALL)"""
+_MATCH = f"WITH {OG}, {AN}, {_OP}, {_OC}, {_MM}, mo AS (SELECT graph_id, CAST(stmt_ix AS INTEGER) AS stmt_ix, ar_count, CASE WHEN matches = 1 THEN one END AS ap_id, CASE WHEN ar_count = 1 THEN 'novel' WHEN matches > 1 THEN 'conflict' WHEN matches = 1 THEN 'pair' ELSE 'remainder' END AS outcome FROM mm)"
+
+
+def _order_matches(spark, d):
+    """Each order's graph against the patterns of its head and first line."""
+    a = M.anchored(ST.order_graphs(_table(spark, d, "orders"), _table(spark, d, "lineitem")))
+    return a, M.static_patterns(a.where("stmt_ix < 6"))
+
+
+@_add("anchor_relation_counts", f"WITH {OG}, {AN}, {_OP}, {_OC} SELECT graph_id, anchor, relation, ar_count FROM mc")
+def _(spark, d):
+    return M.multiplicities(*_order_matches(spark, d)).select("graph_id", "anchor", "relation", "ar_count")
+
+
+def _outcome(name: str, outcome: str, column: str) -> None:
+    @_add(name, f"{_MATCH} SELECT graph_id, stmt_ix, {column} FROM mo WHERE {outcome}")
+    def _(spark, d):
+        return M.matched(*_order_matches(spark, d)).where(outcome).select("graph_id", "stmt_ix", column)
+
+
+_outcome("match_unambiguous", "outcome = 'pair' AND ar_count = 2", "ap_id")
+_outcome("match_weak", "outcome = 'pair' AND ar_count > 2", "ap_id")
+_outcome("match_conflicts", "outcome = 'conflict'", "ar_count")
+_outcome("match_remainder", "outcome IN ('remainder', 'novel')", "outcome")
+
+
+@_add("static_vs_dynamic", f"WITH {EV}, {TR} SELECT graph_id, p, count(DISTINCT o_value) AS n_values, count(DISTINCT o_value) = 1 AS is_static FROM tr WHERE p NOT IN ('{EX}hasValue') GROUP BY graph_id, p")
+def _(spark, d):
+    t = ST.triplified(_events(spark, d)).where(F.col("p") != EX + "hasValue")
+    return t.groupBy("graph_id", "p").agg(F.countDistinct("o_value").alias("n_values")).withColumn("is_static", F.col("n_values") == 1)
+
+
+@_add("conversion_fill", f"WITH {EV}, f AS (SELECT graph_id, arg_min(k, seq) AS first_k FROM ev GROUP BY graph_id), c AS (SELECT graph_id, first_k, min(seq) AS at FROM ev JOIN f USING (graph_id) WHERE k <> first_k GROUP BY ALL) SELECT c.graph_id, first_k AS old_value, 1::BIGINT AS old_n, ev.k AS new_value, c.at - 1 AS new_n FROM c JOIN ev ON ev.graph_id = c.graph_id AND ev.seq = c.at")
+def _(spark, d):
+    e = _events(spark, d)
+    first = e.groupBy("graph_id").agg(F.min_by("k", "seq").alias("old_value"))
+    change = e.join(first, "graph_id").where("k <> old_value").groupBy("graph_id", "old_value").agg(F.min(F.struct("seq", "k")).alias("c"))
+    return change.select("graph_id", "old_value", F.lit(1).cast("long").alias("old_n"), F.col("c.k").alias("new_value"), (F.col("c.seq") - 1).alias("new_n"))
+
+
+# --- statistics
+@_add("multiset_samples", f"WITH {EV} SELECT graph_id, k, count(*) AS n, min(seq) AS first_ix FROM ev GROUP BY graph_id, k")
+def _(spark, d):
+    return S.multiset(_events(spark, d), value="k")
+
+
+@_add("fluidity", f"WITH {EV} SELECT graph_id, count(*) AS n, count(DISTINCT value) AS n_distinct, round(CASE WHEN count(DISTINCT value) <= 1 THEN 0.0 ELSE count(DISTINCT value) / count(*) END, 6) AS fluidity FROM ev GROUP BY graph_id")
+def _(spark, d):
+    return S.fluidity(_events(spark, d)).withColumn("fluidity", F.round("fluidity", 6))
+
+
+_PLACES = f"WITH {EV}, f AS (SELECT *, min(seq) OVER (PARTITION BY graph_id, k) AS fi FROM ev), p AS (SELECT graph_id, seq, row_number() OVER (PARTITION BY graph_id ORDER BY fi DESC, seq DESC) AS place FROM f)"
+
+
+@_add("lastn_split", f"{_PLACES} SELECT graph_id, seq, CASE WHEN place <= 50 THEN 'sample' WHEN place <= 60 THEN 'gap' ELSE 'population' END AS band FROM p")
+def _(spark, d):
+    return S.places(_events(spark, d), value="k").select("graph_id", "seq", S.band(F.col("place_from_end"), 50, 10).alias("band"))
+
+
+@_add("sample_decay", f"WITH {EV} SELECT graph_id, seq, count(*) OVER w AS kept, round(avg(value) OVER w, 6) AS kept_mean FROM ev WINDOW w AS (PARTITION BY graph_id ORDER BY seq ROWS BETWEEN 18 PRECEDING AND CURRENT ROW)")
+def _(spark, d):
+    w = W.partitionBy("graph_id").orderBy("seq").rowsBetween(-(20 - 2), 0)
+    return _events(spark, d).select("graph_id", "seq", F.count("*").over(w).alias("kept"), F.round(F.avg("value").over(w), 6).alias("kept_mean"))
+
+
+@_add("ap_frequency_promotion", f"WITH {EV} SELECT graph_id, seq, k, count(*) OVER (PARTITION BY graph_id, k ORDER BY seq) AS freq, count(*) OVER (PARTITION BY graph_id, k ORDER BY seq) >= 5 AS promoted FROM ev")
+def _(spark, d):
+    freq = F.count("*").over(W.partitionBy("graph_id", "k").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    return _events(spark, d).select("graph_id", "seq", "k", freq.alias("freq")).withColumn("promoted", F.col("freq") >= 5)
+
+
+@_add("grace_filter", f"WITH {EV} SELECT graph_id, seq FROM ev WHERE seq > 100")
+def _(spark, d):
+    return _events(spark, d).where(F.col("seq") > Settings().grace_period).select("graph_id", "seq")
+
+
+@_add("fit_cadence", f"WITH {EV} SELECT graph_id, seq FROM ev WHERE seq % 25 = 0")
+def _(spark, d):
+    return _events(spark, d).where(F.col("seq") % (Settings().samplesize // 2) == 0).select("graph_id", "seq")
+
+
+@_add("insufficient_data", f"WITH {EU} SELECT graph_id, count(*) AS n, CASE WHEN count(*) < 110 THEN 2 ELSE 0 END AS code FROM ev GROUP BY graph_id")
+def _(spark, d):
+    s = Settings()
+    need = 2 * s.samplesize + s.samplegap
+    per = _table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return per.select(F.concat(F.lit("u-"), F.col("user_id")).alias("graph_id"), "n", F.when(F.col("n") < need, T.NODATA).otherwise(T.NOMINAL).alias("code"))
+
+
+@_add("continuous_stats", f"WITH {EV} SELECT graph_id, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(median(value), 6) AS median FROM ev GROUP BY graph_id")
+def _(spark, d):
+    r = lambda f, n: F.round(f("value"), 6).alias(n)
+    return _table(spark, d, "events").groupBy(F.concat(F.lit("g-"), F.col("event_type")).alias("graph_id")).agg(r(F.avg, "mean"), r(F.stddev_samp, "sd"), r(F.median, "median"))
+
+
+@_add("discrete_proportions", f"WITH {EV} SELECT graph_id, k, round(count(*) / sum(count(*)) OVER (PARTITION BY graph_id), 6) AS share FROM ev GROUP BY graph_id, k")
+def _(spark, d):
+    return S.proportions(_events(spark, d), value="k").withColumn("share", F.round("share", 6))
+
+
+def _pi(source: str) -> str:
+    return f"""ra AS (SELECT graph_id, value, row_number() OVER (PARTITION BY graph_id ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY graph_id) AS n FROM {source}),
+lv AS (SELECT *, greatest(0.0::DOUBLE, ((n + 1) - (n + 1) * level) / 2 - 1) AS rl FROM ra, (SELECT unnest([0.99::DOUBLE, 0.95::DOUBLE]) AS level) WHERE n >= 100), lu AS (SELECT *, least(n - rl - 1, n - 1) AS ru FROM lv),
+pi AS (SELECT graph_id, level, n, max(value) FILTER (WHERE r = floor(rl)) AS lf, max(value) FILTER (WHERE r = ceil(rl)) AS lc, max(value) FILTER (WHERE r = floor(ru)) AS uf, max(value) FILTER (WHERE r = ceil(ru)) AS uc, rl, ru FROM lu GROUP BY graph_id, level, n, rl, ru),
+pb AS (SELECT graph_id, level, n, lf + (lc - lf) * (rl - floor(rl)) AS lo, uf + (uc - uf) * (ru - floor(ru)) AS hi FROM pi)"""
+
+
+@_add("pi_bounds", f"WITH {EV}, {_pi('ev')} SELECT graph_id, level, n, round(lo, 6) AS lo, round(hi, 6) AS hi FROM pb")
+def _(spark, d):
+    b = S.intervals(_events(spark, d), [0.99, 0.95])
+    return b.select("graph_id", "level", "n", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+def interval_codes(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(graph_id, seq, code) of the events after each stream's first hundred, against the interval of these."""
+    levels = [1 - settings.alpha_critical, 1 - settings.alpha_suspicious]
+    bounds = S.widened(S.intervals(events.where(F.col("seq") <= _FIRST), levels), settings.pi_tolerance)
+    wide = bounds.groupBy("graph_id").agg(*[F.max(F.when(F.col("level") == p, F.col(c))).alias(f"{c}{i}") for i, p in enumerate(levels) for c in ("lo", "hi")])
+    code = F.when(C.outside(F.col("value"), F.col("lo0"), F.col("hi0")), T.CRITICAL).when(C.outside(F.col("value"), F.col("lo1"), F.col("hi1")), T.SUSPICIOUS).otherwise(T.NOMINAL)
+    return events.where(F.col("seq") > _FIRST).join(wide, "graph_id").select("graph_id", "seq", "event_id", "value", code.alias("code"))
+
+
+_CODES = f"""WITH {EV}, {_pi('(SELECT * FROM ev WHERE seq <= 100)')}, wb AS (SELECT graph_id, level, lo - abs(hi - lo) * 0.1 AS lo, hi + abs(hi - lo) * 0.1 AS hi FROM pb),
+cd AS (SELECT e.graph_id, e.seq, e.event_id, e.value, CASE WHEN e.value <= a.lo OR e.value > a.hi THEN 5 WHEN e.value <= b.lo OR e.value > b.hi THEN 4 ELSE 0 END AS code FROM ev e JOIN wb a ON a.graph_id = e.graph_id AND a.level = 0.99 JOIN wb b ON b.graph_id = e.graph_id AND b.level = 0.95 WHERE e.seq > 100)"""
+
+
+@_add("pi_violations", f"{_CODES} SELECT graph_id, seq, code FROM cd WHERE code > 0")
+def _(spark, d):
+    return interval_codes(_events(spark, d)).where("code > 0").select("graph_id", "seq", "code")
+
+
+@_add("categorical_membership", f"WITH {EV} SELECT e.graph_id, e.seq, 5 AS code FROM ev e WHERE e.seq > 100 AND NOT EXISTS (SELECT 1 FROM ev p WHERE p.graph_id = e.graph_id AND p.user_id = e.user_id AND p.seq <= 100)")
+def _(spark, d):
+    e = _events(spark, d)
+    known = e.where(F.col("seq") <= _FIRST).select("graph_id", "user_id").distinct()
+    return e.where(F.col("seq") > _FIRST).join(known, ["graph_id", "user_id"], "left_anti").select("graph_id", "seq", F.lit(T.CRITICAL).alias("code"))
+
+
+_BAND = f"{_PLACES.replace('k) AS fi', 'value) AS fi').replace('SELECT graph_id, seq, row_number', 'SELECT graph_id, seq, value, row_number')}, sa AS (SELECT graph_id, seq - 1 AS x, value, row_number() OVER (PARTITION BY graph_id ORDER BY seq) - 1 AS ix, count(*) OVER (PARTITION BY graph_id) AS n FROM p WHERE place <= 50), po AS (SELECT graph_id, value, row_number() OVER (PARTITION BY graph_id ORDER BY seq) - 1 AS ix, count(*) OVER (PARTITION BY graph_id) AS n FROM p WHERE place > 60), gr AS (SELECT id // 33 AS r, ({S.LCG_A} * id + {S.LCG_B}) % {S.LCG_M} AS u FROM (SELECT unnest(range(200 * 33)) AS id))"
+_SIDE = "(SELECT graph_id, r, avg(value) AS m, stddev_samp(value) AS s, median(value) AS d FROM (SELECT graph_id, max(n) AS n FROM {0} GROUP BY graph_id) z, gr JOIN {0} USING (graph_id) WHERE {0}.ix = gr.u % z.n GROUP BY graph_id, r)"
+_BOOT = f"{_BAND}, bp AS (SELECT graph_id, avg(CASE WHEN a.m < b.m THEN 1.0::DOUBLE ELSE 0.0 END) AS p_mean, avg(CASE WHEN a.s < b.s THEN 1.0::DOUBLE ELSE 0.0 END) AS p_sd, avg(CASE WHEN a.d < b.d THEN 1.0::DOUBLE ELSE 0.0 END) AS p_median FROM {_SIDE.format('sa')} a JOIN {_SIDE.format('po')} b USING (graph_id, r) GROUP BY graph_id)"
+
+
+def _bootstrap(spark, d):
+    placed = S.places(_events(spark, d))
+    index = (F.row_number().over(W.partitionBy("graph_id").orderBy("seq")) - 1).cast("long")
+    side = lambda rows: rows.withColumn("ix", index).withColumn("n", F.count("*").over(W.partitionBy("graph_id"))).select("graph_id", "ix", "n", "value")
+    return S.bootstrap(side(placed.where("place_from_end <= 50")), side(placed.where("place_from_end > 60")), 200)
+
+
+@_add("bootstrap_pvalues", f"{_BOOT} SELECT graph_id, round(p_mean, 2) AS p_mean, round(p_sd, 2) AS p_sd, round(p_median, 2) AS p_median FROM bp")
+def _(spark, d):
+    return _bootstrap(spark, d).select("graph_id", *[F.round(c, 2).alias(c) for c in ("p_mean", "p_sd", "p_median")])
+
+
+@_add("bootstrap_vote", f"{_BOOT} SELECT graph_id, CAST(p_mean < 0.05 OR p_mean > 0.95 AS INTEGER) + CAST(p_sd < 0.05 OR p_sd > 0.95 AS INTEGER) + CAST(p_median < 0.05 OR p_median > 0.95 AS INTEGER) >= 2 AS rejected FROM bp")
+def _(spark, d):
+    return _bootstrap(spark, d).select("graph_id", S.rejected(0.1, F.col("p_mean"), F.col("p_sd"), F.col("p_median")).alias("rejected"))
+
+
+# --- checks
+_ST = "st AS (SELECT o.*, f.o_orderstatus AS st_status, f.o_orderpriority AS st_prio FROM orders o JOIN (SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey) f USING (o_custkey))"
+
+
+@_add("semantic_static", f"WITH {_ST}, fi AS (SELECT o_orderkey, unnest([CASE WHEN o_orderstatus = 'F' THEN 3 END, CASE WHEN o_orderstatus <> 'F' AND o_orderstatus = 'O' THEN 3 END, CASE WHEN o_orderpriority <> st_prio THEN 5 END]) AS code, unnest(['Resource Type Violation', 'Data Type Violation', 'Value Equality Violation']) AS label, o_orderstatus FROM st) SELECT o_orderkey, label, code FROM fi WHERE code IS NOT NULL UNION ALL SELECT o_orderkey, 'Data Type Violation', 3 FROM st WHERE o_orderstatus = 'F'")
+def _(spark, d):
+    o = _table(spark, d, "orders")
+    first = o.groupBy("o_custkey").agg(F.min_by("o_orderpriority", "o_orderkey").alias("st"))
+    kind = F.when(F.col("o_orderstatus") == "F", "iri").otherwise("literal")
+    dtype = F.when(F.col("o_orderstatus") == "F", F.lit(None)).when(F.col("o_orderstatus") == "O", XSD + "token").otherwise(XSD + "string")
+    no = F.lit(None).cast("string")
+    found = C.static_findings(kind, F.col("o_orderpriority"), dtype, no, F.lit("literal"), F.col("st"), F.lit(XSD + "string"), no)
+    return o.join(first, "o_custkey").select("o_orderkey", F.inline(found))
+
+
+@_add("semantic_discrete", f"SELECT event_id, label, code FROM (SELECT event_id, unnest([CASE WHEN event_type = 'click' THEN 5 END, CASE WHEN event_type = 'view' THEN 3 END, CASE WHEN event_type NOT IN ('click', 'login') THEN 3 END]) AS code, unnest(['Resource Type Violation', 'Distribution Type Violation', 'Data Type Violation']) AS label FROM events) WHERE code IS NOT NULL")
+def _(spark, d):
+    t = F.col("event_type")
+    dtype = F.when(t == "view", XSD + "double").when(t == "login", XSD + "integer").otherwise(XSD + "string")
+    found = C.discrete_findings(F.when(t == "click", "iri").otherwise("literal"), dtype, F.lit(XSD + "integer"), F.lit(False))
+    return _table(spark, d, "events").select("event_id", F.inline(found))
+
+
+@_add("semantic_continuous", f"SELECT event_id, label, code FROM (SELECT event_id, unnest([CASE WHEN event_type = 'click' THEN 5 END, CASE WHEN event_type NOT IN ('click', 'view', 'login') THEN 3 END, CASE WHEN event_type NOT IN ('click', 'view') THEN 3 END]) AS code, unnest(['Resource Type Violation', 'Distribution Type Violation', 'Data Type Violation']) AS label FROM events) WHERE code IS NOT NULL")
+def _(spark, d):
+    t = F.col("event_type")
+    dtype = F.when(t == "view", XSD + "double").when(t == "login", XSD + "float").otherwise(XSD + "string")
+    found = C.continuous_findings(F.when(t == "click", "iri").otherwise("literal"), dtype, F.lit(XSD + "double"))
+    return _table(spark, d, "events").select("event_id", F.inline(found))
+
+
+@_add("structure_checks", f"{_MATCH}, n AS (SELECT graph_id, count(*) FILTER (WHERE outcome = 'pair') AS pairs, count(*) FILTER (WHERE outcome = 'remainder') AS unmatched FROM mo GROUP BY graph_id), z AS (SELECT graph_id, count(*) AS size FROM op GROUP BY graph_id), fl AS (SELECT * FROM (VALUES (false, false), (false, true), (true, false), (true, true)) v(cwa, exact)) SELECT graph_id, cwa, exact, CASE WHEN (pairs < size AND (cwa OR exact)) OR (pairs >= size AND unmatched > 0 AND exact) THEN 3 ELSE 0 END AS code FROM n JOIN z USING (graph_id), fl")
+def _(spark, d):
+    a, patterns = _order_matches(spark, d)
+    per = M.matched(a, patterns).groupBy("graph_id").agg(F.count(F.when(F.col("outcome") == "pair", 1)).alias("pairs"), F.count(F.when(F.col("outcome") == "remainder", 1)).alias("unmatched"))
+    flags = F.array(*[F.struct(F.lit(c).alias("cwa"), F.lit(e).alias("exact")) for c in (False, True) for e in (False, True)])
+    both = per.join(patterns.groupBy("graph_id").agg(F.count("*").alias("size")), "graph_id").select("*", F.inline(flags))
+    return both.select("graph_id", "cwa", "exact", M.structure_codes(F.col("pairs"), F.col("size"), F.col("unmatched"), F.col("cwa"), F.col("exact")).alias("code"))
+
+
+@_add("severity_max", f"{_CODES} SELECT graph_id, max(code) AS code, list_extract(['NOMINAL', 'ERROR', 'NODATA', 'INCONSISTENCY', 'SUSPICIOUS', 'CRITICAL'], max(code) + 1) AS severity FROM cd GROUP BY graph_id")
+def _(spark, d):
+    top = interval_codes(_events(spark, d)).groupBy("graph_id").agg(F.max("code").alias("code"))
+    return top.join(T.severity_dim(spark), "code").select("graph_id", "code", "severity")
+
+
+_REPORT = f"{_CODES} SELECT graph_id, seq, code, code = 0 AS conforms FROM cd WHERE code >= 3"
+
+
+def interval_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Messages to report: value beyond its stream's prediction interval, at the report level or above."""
+    return interval_codes(_events(spark, d)).where(F.col("code") >= Settings().report_level).select("graph_id", "seq", "code", (F.col("code") == 0).alias("conforms"))
+
+
+_add("report_level", _REPORT)(interval_reports)
+
+
+# --- exports
+def _shacl(spark, d):
+    bad = interval_codes(_events(spark, d)).where("code > 0").join(T.severity_dim(spark), "code")
+    rid = F.concat(F.lit("r-"), F.col("event_id"))
+    reports = bad.select(rid.alias("report_id"), F.col("seq").alias("report_ts"), F.lit(False).alias("conforms"))
+    found = bad.select(rid.alias("report_id"), F.concat(rid, F.lit("-1")).alias("result_id"), F.lit("Prediction Interval Violation").alias("label"), F.lit("out of range").alias("message"), "severity", F.concat(F.lit(EX + "res/"), F.col("event_id")).alias("focus"), F.lit(EX + "hasValue").alias("path"), F.col("event_id").alias("value"))
+    return K.report_statements(reports, found)
+
+
+@_add("shacl_report", f"{_CODES} SELECT 'r-' || event_id AS graph_id, 16::BIGINT AS n, 11::BIGINT AS n_result, 'false' AS conforms FROM cd WHERE code > 0")
+def _(spark, d):
+    s = F.col("s").contains("-1") | (F.col("p") == T.SH + "result")
+    return _shacl(spark, d).groupBy("graph_id").agg(F.count("*").alias("n"), F.count(F.when((F.col("s") != F.col("graph_id")) | (F.col("p") == T.SH + "result"), 1)).alias("n_result"), F.max(F.when(F.col("p") == T.SH + "conforms", F.col("o_value"))).alias("conforms"))
+
+
+@_add("shacl_conforms", f"{_CODES} SELECT 'r-' || event_id AS graph_id, '{T.SH}conforms' AS p, CASE WHEN code > 0 THEN 'false' ELSE 'true' END AS o_value FROM cd")
+def _(spark, d):
+    all_ = interval_codes(_events(spark, d)).select(F.concat(F.lit("r-"), F.col("event_id")).alias("report_id"), F.col("seq").alias("report_ts"), (F.col("code") == 0).alias("conforms"))
+    none = spark.createDataFrame([], "report_id string, result_id string, label string, message string, severity string, focus string, path string, value string")
+    return K.report_statements(all_, none).where(F.col("p") == T.SH + "conforms").select("graph_id", "p", "o_value")
+
+
+@_add("report_binding_set", f"{_CODES} SELECT 'r-' || event_id AS report, 'r-' || event_id || '-1' AS result, 'Prediction Interval Violation' AS message, '{EX}res/' || event_id AS focus, '{EX}hasValue' AS path, CAST(event_id AS VARCHAR) AS value FROM cd WHERE code > 0")
+def _(spark, d):
+    return K.binding_sets(_shacl(spark, d))
+
+
+@_add("shape_minmax", f"WITH {EV} SELECT graph_id, '{EX}isMeasuredIn' AS relation, CAST(min(k) AS DOUBLE) AS min_inclusive, CAST(max(k) AS DOUBLE) AS max_inclusive FROM ev GROUP BY graph_id")
+def _(spark, d):
+    t = ST.triplified(_events(spark, d)).where(F.col("p") == EX + "isMeasuredIn")
+    return K.shape_bounds(t.select("graph_id", F.col("p").alias("relation"), L.numeric(F.col("o_value"), F.col("o_dtype")).alias("num")))
+
+
+@_add("shape_enum", f"WITH {EV}, u AS (SELECT DISTINCT graph_id, '{EX}user/' || user_id AS member FROM ev) SELECT graph_id, '{EX}madeBy' AS relation, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY member) - 1 AS INTEGER) AS pos, member FROM u")
+def _(spark, d):
+    t = ST.triplified(_events(spark, d)).where(F.col("p") == EX + "madeBy")
+    return K.shape_lists(t.select("graph_id", F.col("p").alias("relation"), F.col("o_value").alias("str")))
+
+
+# --- state
+@_add("vault_latest", "SELECT 'c-' || o_custkey AS graph_id, max(o_orderkey) AS version, arg_max(o_orderstatus, o_orderkey) AS pattern FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    return _table(spark, d, "orders").groupBy(F.concat(F.lit("c-"), F.col("o_custkey")).alias("graph_id")).agg(F.max("o_orderkey").alias("version"), F.max_by("o_orderstatus", "o_orderkey").alias("pattern"))
+
+
+@_add("vault_prune", "SELECT 'c-' || o_custkey AS graph_id, o_orderkey AS version FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) > 1")
+def _(spark, d):
+    old = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))) > 1
+    return _table(spark, d, "orders").withColumn("old", old).where("old").select(F.concat(F.lit("c-"), F.col("o_custkey")).alias("graph_id"), F.col("o_orderkey").alias("version"))
+
+
+@_add("generator_anomaly_mask", f"WITH {EV} SELECT graph_id, seq, seq >= 80 AND seq % 80 <= 4 AS value_anomaly, seq > 0 AND seq % 100 = 0 AS unit_anomaly FROM ev")
+def _(spark, d):
+    from ..sources.generator import anomalous
+
+    return _events(spark, d).select("graph_id", "seq", anomalous(F.col("seq"), 80, 5).alias("value_anomaly"), anomalous(F.col("seq"), 100, 1).alias("unit_anomaly"))
+
+
+@_add("round_robin_publish", f"WITH {EV} SELECT graph_id AS stream, seq AS ix, event_id FROM ev")
+def _(spark, d):
+    return ST.round_robin(_events(spark, d).select(F.col("graph_id").alias("stream"), F.col("seq").alias("ix"), "event_id"))
+
+
+@_add("online_fold")
+def _(spark, d):
+    return R.replayed(ST.triplified(_events(spark, d), made_by=False))
+
+
+@_add("online_fold_patterns")
+def _(spark, d):
+    return R.learnt(ST.triplified(_events(spark, d), made_by=False))
+
+
+@_add("online_fold_reports")
+def _(spark, d):
+    return R.reports(R.replayed(ST.triplified(_events(spark, d), made_by=False)), Settings().report_level)
+
+
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    return interval_reports(spark, d)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
