@@ -52,8 +52,12 @@ def numeric(value: Column, dtype: Column) -> Column:
 
 
 def significant(value: Column, figures: int) -> Column:
-    """value rounded to significant figures; 0 figures or fewer leave it."""
-    return value if figures <= 0 else F.format_string(f"%.{figures - 1}e", value).cast("double")
+    """value rounded to significant figures, ties to even; 0 figures or fewer leave it."""
+    if figures <= 0:
+        return value
+    last = F.when(value == 0, 0).otherwise(F.floor(F.log10(F.abs(value)))) - (figures - 1)
+    scaled = F.when(last > 0, value / F.pow(F.lit(10.0), last)).otherwise(value * F.pow(F.lit(10.0), -last))
+    return F.concat(F.bround(scaled).cast("long").cast("string"), F.lit("e"), last.cast("string")).cast("double")
 
 
 def date_text(seconds: Column, dtype: str) -> Column:

@@ -37,14 +37,24 @@ def _pattern(ap_id: str, row: tuple, t: int) -> State:
     return {"id": ap_id, "anchor": row[1], "relation": row[2], "t": 1, "freq": 1, "status": "nominal", "kind": row[3], "value": row[4], "dtype": row[5], "lang": row[6], "num": row[7], "dist": None, "born": t}
 
 
+def _empty() -> State:
+    return {"counts": {}, "n": 0, "t": 0, "order": [], "sorted": []}
+
+
 def _add(dist: State, value: float | str, decay: int) -> None:
-    """A sample joins the multiset in its first-seen place; with decay D the D - 1 latest stay."""
+    """A sample joins the multiset in its first-seen place; with decay D the D - 1 latest stay. Numbers are kept sorted, too."""
     dist["counts"][value] = dist["counts"].get(value, 0) + 1
     dist["t"] += 1
+    dist["n"] += 1
+    if not isinstance(value, str):
+        bisect.insort(dist["sorted"], value)
     if decay > 0:
         dist["order"].append(value)
         while len(dist["order"]) >= decay:
             old = dist["order"].pop(0)
+            dist["n"] -= 1
+            if not isinstance(old, str):
+                dist["sorted"].pop(bisect.bisect_left(dist["sorted"], old))
             dist["counts"][old] -= 1
             if not dist["counts"][old]:
                 del dist["counts"][old]
@@ -62,7 +72,7 @@ def _weak(ap: State, row: tuple) -> bool:
 
 def _match(aps: list[State], rows: list[tuple], all_rows: list[tuple]) -> tuple[list[tuple[State, tuple]], list[tuple]]:
     """Pairs, and the rows that match nothing. Conflicts and lone anchor-relation rows are dropped."""
-    times = Counter((r[1], r[2]) for r in all_rows) + Counter((a["anchor"], a["relation"]) for a in aps)
+    times = Counter([(r[1], r[2]) for r in all_rows] + [(a["anchor"], a["relation"]) for a in aps])
     pairs, rest = [], []
     for r in rows:
         own = [a for a in aps if (a["anchor"], a["relation"]) == (r[1], r[2])]
@@ -76,8 +86,8 @@ def _match(aps: list[State], rows: list[tuple], all_rows: list[tuple]) -> tuple[
 
 
 def interval(data: list[float], p: float) -> tuple[float, float]:
-    """Order-statistic prediction interval of 100 numbers or more."""
-    data, n = sorted(data), len(data)
+    """Order-statistic prediction interval of 100 sorted numbers or more."""
+    n = len(data)
     low = max(0.0, (n + 1 - (n + 1) * p) / 2 - 1)
     high = min(n - low - 1, n - 1)
     at = lambda r: data[int(r)] + (data[min(int(np.ceil(r)), n - 1)] - data[int(r)]) * (r - int(r))
@@ -123,7 +133,7 @@ def _distribution(ap: State, r: tuple, graph_id: str, s: Settings) -> list[tuple
         if r[5] != ap["dtype"]:
             out.append(("Data Type Violation", INCONSISTENCY))
     counts = ap["dist"]["counts"]
-    n = sum(counts.values())
+    n = ap["dist"]["n"]
     clean = not out
     if n < 2 * s.samplesize + s.samplegap:
         out.append(("Insufficient Data", NODATA))
@@ -135,16 +145,17 @@ def _distribution(ap: State, r: tuple, graph_id: str, s: Settings) -> list[tuple
         if value not in counts:
             out.append(("Category Violation", CRITICAL))
     elif n >= 100:
-        data = _data(ap["dist"])
         for alpha, code in ((s.alpha_critical, CRITICAL), (s.alpha_suspicious, SUSPICIOUS)):
-            lo, hi = interval(data, 1 - alpha)
+            lo, hi = interval(ap["dist"]["sorted"], 1 - alpha)
             by = abs(hi - lo) * s.pi_tolerance
             if value <= lo - by or value > hi + by:
                 out.append(("Prediction Interval Violation", code))
                 break
+    if ap["t"] % (s.samplesize // 2):
+        return out
     data = _data(ap["dist"])
     population = data[: -(s.samplesize + s.samplegap)]
-    if ap["t"] % (s.samplesize // 2) == 0 and population and not (len(out) and out[-1][1] == CRITICAL):
+    if population and not (len(out) and out[-1][1] == CRITICAL):
         rng = np.random.default_rng(zlib.crc32(f"{s.seed}:{graph_id}:{ap['id']}:{ap['t']}".encode()))
         p = bootstrap([*data[-s.samplesize :], value], population, ap["continuous"], s.resamples, rng)
         for alpha, code in ((s.alpha_critical, CRITICAL), (s.alpha_suspicious, SUSPICIOUS)):
@@ -160,7 +171,7 @@ def _learn(ap: State, r: tuple, s: Settings) -> None:
         if _dtype(r) not in _CONTINUOUS | _DISCRETE:
             raise ValueError(f"no distribution of {_dtype(r)}")
         old = (0, "", "", ap["kind"], ap["value"], ap["dtype"], ap["lang"], ap["num"])
-        ap |= {"dtype": _dtype(r), "continuous": _dtype(r) in _CONTINUOUS, "dist": {"counts": {}, "t": 0, "order": []}}
+        ap |= {"dtype": _dtype(r), "continuous": _dtype(r) in _CONTINUOUS, "dist": _empty()}
         for v in [_value(old)] + [_value(r)] * ap["t"]:  # the old value once, the new one as often as the pattern was met
             _add(ap["dist"], v, s.pattern_decay)
     elif ap["dist"] is not None:

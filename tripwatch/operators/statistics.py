@@ -54,7 +54,7 @@ def intervals(samples: DataFrame, levels: list[float], key: str = "graph_id", va
 def widened(bounds: DataFrame, tolerance: float) -> DataFrame:
     """bounds with both ends moved out by tolerance times the width."""
     by = F.abs(F.col("hi") - F.col("lo")) * tolerance
-    return bounds.withColumn("lo", F.col("lo") - by).withColumn("hi", F.col("hi") + by)
+    return bounds.withColumns({"lo": F.col("lo") - by, "hi": F.col("hi") + by})
 
 
 def proportions(samples: DataFrame, key: str = "graph_id", value: str = "value") -> DataFrame:

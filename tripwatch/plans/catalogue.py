@@ -290,7 +290,7 @@ def _(spark, d):
 
 
 _BAND = f"{_PLACES.replace('k) AS fi', 'value) AS fi').replace('SELECT graph_id, seq, row_number', 'SELECT graph_id, seq, value, row_number')}, sa AS (SELECT graph_id, seq - 1 AS x, value, row_number() OVER (PARTITION BY graph_id ORDER BY seq) - 1 AS ix, count(*) OVER (PARTITION BY graph_id) AS n FROM p WHERE place <= 50), po AS (SELECT graph_id, value, row_number() OVER (PARTITION BY graph_id ORDER BY seq) - 1 AS ix, count(*) OVER (PARTITION BY graph_id) AS n FROM p WHERE place > 60), gr AS (SELECT id // 33 AS r, ({S.LCG_A} * id + {S.LCG_B}) % {S.LCG_M} AS u FROM (SELECT unnest(range(200 * 33)) AS id))"
-_SIDE = "(SELECT graph_id, r, avg(value) AS m, stddev_samp(value) AS s, median(value) AS d FROM (SELECT graph_id, max(n) AS n FROM {0} GROUP BY graph_id) z, gr JOIN {0} USING (graph_id) WHERE {0}.ix = gr.u % z.n GROUP BY graph_id, r)"
+_SIDE = "(SELECT graph_id, r, avg(value) AS m, stddev_samp(value) AS s, median(value) AS d FROM (SELECT graph_id, max(n) AS zn FROM {0} GROUP BY graph_id) z CROSS JOIN gr JOIN {0} USING (graph_id) WHERE {0}.ix = gr.u % zn GROUP BY graph_id, r)"
 _BOOT = f"{_BAND}, bp AS (SELECT graph_id, avg(CASE WHEN a.m < b.m THEN 1.0::DOUBLE ELSE 0.0 END) AS p_mean, avg(CASE WHEN a.s < b.s THEN 1.0::DOUBLE ELSE 0.0 END) AS p_sd, avg(CASE WHEN a.d < b.d THEN 1.0::DOUBLE ELSE 0.0 END) AS p_median FROM {_SIDE.format('sa')} a JOIN {_SIDE.format('po')} b USING (graph_id, r) GROUP BY graph_id)"
 
 

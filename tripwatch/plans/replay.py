@@ -55,7 +55,7 @@ def learnt(statements: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for m in pdf.sort_values("seq", kind="stable").itertuples():
             graph = m.graph_id
             state, _, _ = step(state, graph, int(m.seq), _rows(m.rows), settings)
-        rows = [(graph, state["t"], a["id"], a["anchor"], a["relation"], a["status"], a["t"], a["freq"], a["dtype"], sum(a["dist"]["counts"].values()) if a["dist"] else 0) for a in (state or {"aps": []})["aps"]]
+        rows = [(graph, state["t"], a["id"], a["anchor"], a["relation"], a["status"], a["t"], a["freq"], a["dtype"], a["dist"]["n"] if a["dist"] else 0) for a in (state or {"aps": []})["aps"]]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PATTERNS.split(", ")])
 
     return messages(statements).groupBy("graph_id").applyInPandas(run, PATTERNS)
