@@ -112,7 +112,7 @@ def test_streaming_equals_replay(spark, sf_dir, tmp_path):
 
 
 def test_generated_anomalies_are_found(spark):
-    data = generator.observations(spark, 600)
+    data = generator.observations(spark, 600, multiplier=2.0)
     found = replay.replayed(triplified(data, made_by=False)).where("label = 'Prediction Interval Violation'").select("seq").distinct()
     bad = {r.seq for r in data.where("anomaly").select("seq").collect()}
     hit = {r.seq for r in found.collect()}
