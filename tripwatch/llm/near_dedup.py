@@ -98,7 +98,7 @@ def candidate_clusters(sets: DataFrame) -> DataFrame:
     """(set_id, cluster) of the sets(set_id, keys) that meet another in a product table, directly or over others."""
     # a key is named by the least set that has it: sets that share a key share its name, and a large group has few names
     keyed = sets.select("set_id", F.explode("keys").alias("key"))
-    named = keyed.groupBy("key").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("most")).where("lead < most").select("key", "lead")
+    named = materialise(keyed.groupBy("key").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("most")).where("lead < most").select("key", "lead"))
     met = keyed.join(named, "key").groupBy("set_id").agg(F.collect_set(F.expr("if(key & 1 = 0, lead, null)")).alias("left"), F.collect_set(F.expr("if(key & 1 = 1, lead, null)")).alias("right"))
     met = met.where("size(left) > 0 and size(right) > 0")
     product = met.select("set_id", "right", F.explode("left").alias("l")).select("set_id", "l", F.explode("right").alias("r")).select("set_id", F.xxhash64("l", "r").alias("table"))

@@ -217,7 +217,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     Ranges may overlap. Repeated rows (same rk) count as copies of each other.
     """
-    again = segments(docs).groupBy("anchor").count().where("count > 1").select("anchor", F.col("count").alias("total"))
+    # written first: a join of two plain shuffles can split a hot anchor, one with an aggregate below it can't
+    again = materialise(segments(docs).groupBy("anchor").count().where("count > 1").select("anchor", F.col("count").alias("total")))
     found = materialise(segments(docs).join(again, "anchor"))
     copies = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "start", "windows")).alias("one"), F.first("total").alias("total"))
     copies = materialise(copies)
