@@ -1,0 +1,151 @@
+"""The other operators against brute force, exact round trips, SQL or held-out accuracy, and on odd rows."""
+
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+from tripwatch.llm import fingerprints, language_id, packing, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filter
+
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "é"), (5, "a b  c"), (5, "a b  c"), (None, "Hello, world. It's 12.5!"), (6, "ﬁ Ｆ 日本 😀"), (7, "x" * 300 + "  y" + " " * 40), (8, "the cat sat on the cat sat on the mat\nthe\nthe\n\nthe"), (9, "▁x <s> <|endoftext|>y."), (10, " ".join(str(i) for i in range(9000)))]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(d, t, "x", 0.5, "en") for d, t in ODD], "doc_id long, text string, rk string, score double, lang string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def test_sentencepiece_equals_the_library(spark, odd, docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.vocabulary())
+    for table in (odd, docs):
+        for r in sentencepiece_codec.encode(table).collect():
+            assert r.ids == (None if r.text is None else model.encode(r.text))
+        assert sentencepiece_codec.digest(table).where("not round_trip").count() == 0
+    assert sentencepiece_codec.digest(odd.limit(0)).collect() == []
+
+
+def test_quality_equals_sql(spark, odd, docs):
+    for table in (odd, docs):
+        db = duckdb.connect()
+        db.register("documents", table.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+        want = db.execute(quality_rules.oracle_sql()).fetchall()
+        assert sorted(map(tuple, quality_rules.digest(table).collect()), key=str) == sorted(want, key=str)
+    assert quality_rules.digest(odd.limit(0)).collect() == []
+
+
+def test_fingerprints_equal_sql_and_add_up(spark, odd, docs):
+    for table in (odd, docs):
+        db = duckdb.connect()
+        db.register("documents", table.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+        want = db.execute(fingerprints.oracle_sql()).fetchall()
+        assert sorted(map(tuple, fingerprints.digest(table).collect()), key=str) == sorted(want, key=str)
+    assert fingerprints.digest(odd.limit(0)).collect() == []
+    from pyspark.sql import functions as F
+
+    parts = spark.createDataFrame([("one two\nthree", "three", "one two", "three\none two")], "ab string, b string, a string, ba string")
+    laned = parts.select(*[fingerprints.lanes(c).alias(c) for c in parts.columns])
+    got = laned.select(*[fingerprints.fingerprint(c).alias(n) for n, c in (("ab", F.col("ab")), ("ba", F.col("ba")), ("sum", fingerprints.combined(F.col("a"), F.col("b"))), ("left", fingerprints.combined(F.col("ab"), F.col("b"), -1)), ("a", F.col("a")))]).first()
+    assert got.ab == got.ba == got.sum and got.left == got.a
+
+
+def test_packing_is_exact_and_tight(spark, odd, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    for table in (odd, docs):
+        rows = packing.digest(table).collect()
+        want = Counter()
+        for r in table.collect():
+            ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]
+            for piece, start in enumerate(range(0, len(ids), packing.TOKENS)):
+                own = ids[start : start + packing.TOKENS]
+                want[(r.doc_id, piece, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))] += 1
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+        bins = {}
+        for r in rows:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for own in bins.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= packing.TOKENS
+        assert len(bins) <= packing.lower_bound(np.array([r.length for r in rows])) + 1
+    assert packing.digest(odd.limit(0)).collect() == []
+
+
+def test_packing_exchange(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES", 40)
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(1, 4097, 400))]
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECE_SCHEMA)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(400))
+    assert len({r.sequence_id for r in out}) <= 1.06 * packing.lower_bound(np.array([r[3] for r in rows]))
+
+
+def test_language_accuracy(spark, odd, sf_dir):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.digest(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang_pred == r.lang for r in rows]) >= 0.97
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.digest(odd).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "en"
+    assert language_id.digest(odd.limit(0)).collect() == []
+    assert language_id.keep_known(docs).columns == docs.columns
+
+
+def test_toxicity_accuracy(spark, odd):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = toxicity.digest(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.toxic for r in rows]) >= 0.95
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.digest(odd, none).count() == len(ODD) and toxicity.digest(odd.limit(0), labels).collect() == []
+
+
+def test_secrets(spark, odd, docs):
+    pattern = re.compile(r'token = "([0-9a-f]{40})"', re.I)
+    want = {(r.doc_id, m.start(1)) for r in docs.collect() for m in pattern.finditer(r.text or "")}
+    found = secret_scan.digest(docs).collect()
+    assert {(r.doc_id, r.start) for r in found if r.is_secret} >= want and all(r.length >= 16 for r in found)
+    clean = secret_scan.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert not [1 for r in clean.collect() if pattern.search(r.text or "")]
+    assert sorted(map(str, secret_scan.redact(odd).collect())) == sorted(map(str, odd.collect())) or secret_scan.redact(odd).count() == len(ODD)
+
+
+def test_urls_against_brute_force(spark):
+    urls = [None, "", "no scheme", "http://A.EXAMPLE.com/en/x?q", "https://www.example.com/en/", "http://example.com", "http://b.net/fr/a#b", "http://c.org/es/", "x://d.net/es", "http://evil.org?/en/", "http://notexample.com/en/1"]
+    html = '<a href="http://b.net/fr/a">x</a> <a href=//e.net/es/>'
+    pages = spark.createDataFrame([(i, u, html if i % 2 else None, "z") for i, u in enumerate(urls)], "page_id long, url string, html string, rule string")
+
+    def judge(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.split(r"[/?#]", rest)[0].lower()
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: len(r.host + r.path), default=None)
+        return host, path, best and best.host + best.path, best and best.verdict
+
+    for r in url_filter.judged(pages).collect():
+        host, path, rule, verdict = judge(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ([verdict] if verdict else ["allow", "block"])
+    assert url_filter.judged(pages.limit(0)).collect() == []
+
+
+def test_ranks_follow_links(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("d", "a", 1)], "src string, dst string, n long")
+    rank = {r.host: r.rank for r in url_filter.propagated(edges, spark.createDataFrame([("a", 1.0)], "host string, seed double"), rounds=60).collect()}
+    x = np.zeros(3)
+    for _ in range(60):
+        x = 0.85 * np.array([x[2], x[0], x[1]]) + np.array([0.15, 0, 0])
+    assert [rank[h] for h in "abc"] == pytest.approx(x.tolist(), abs=1e-3)
