@@ -104,7 +104,10 @@ def candidate_clusters(sets: DataFrame) -> DataFrame:
     product = met.select("set_id", "right", F.explode("left").alias("l")).select("set_id", "l", F.explode("right").alias("r")).select("set_id", F.xxhash64("l", "r").alias("table"))
     product = materialise(product)
     leaders = product.groupBy("table").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("most")).where("lead < most").select("table", "lead")
-    stars = product.join(leaders, "table").where("set_id <> lead").select(F.col("set_id").alias("a"), F.col("lead").alias("b")).distinct()
+    # a set has TABLES**2 leads at most, all less than itself; it keeps an edge to the least, and the others hang on that one,
+    # which a large group's sets have in common: so the edges that every round of components() shuffles are few
+    led = product.join(leaders, "table").where("set_id <> lead").groupBy("set_id").agg(F.collect_set("lead").alias("leads")).withColumn("least", F.array_min("leads"))
+    stars = led.select(F.explode(F.expr("array_append(transform(leads, x -> struct(least as a, x as b)), struct(set_id as a, least as b))")).alias("e")).select("e.*").where("a <> b").distinct()
     return components(stars).select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
 
 
