@@ -149,3 +149,25 @@ def test_ranks_follow_links(spark):
     for _ in range(60):
         x = 0.85 * np.array([x[2], x[0], x[1]]) + np.array([0.15, 0, 0])
     assert [rank[h] for h in "abc"] == pytest.approx(x.tolist(), abs=1e-3)
+
+
+def test_link_verdicts_on_hundreds_of_hosts(spark):
+    rules = (url_filter.Rule("allow", "good.com", "/"), url_filter.Rule("block", "bad.net", "/"))
+    links = [(f"s{i}.good.com", f"g{10 * i + j}.org") for i in range(20) for j in range(10)]
+    links += [(f"g{i}.org", f"g{(i + 1) % 200}.org") for i in range(200)]
+    links += [(f"f{10 * i + j}.org", f"b{i}.bad.net") for i in range(20) for j in range(10)]
+    links += [(f"c{i}.org", f"c{i + 1}.org" if i < 19 else "b0.bad.net") for i in range(20)]
+    hosts = sorted({h for link in links for h in link})
+    html = {h: " ".join(f'<a href="http://{d}/x">' for s, d in links if s == h) for h in hosts}
+    pages = spark.createDataFrame([(i, f"http://{h}/", html[h]) for i, h in enumerate(hosts)], "page_id long, url string, html string")
+    rows = {r.host: r for r in url_filter.judged(pages, rules).collect()}
+    back = np.zeros((len(hosts), len(hosts)))  # the walk backwards, solved exactly
+    for s, d in links:
+        back[hosts.index(s), hosts.index(d)] = 1 / sum(x == d for _, x in links)
+    start = np.array([h.endswith("bad.net") / 20 for h in hosts])
+    distrust, neutral = (np.linalg.solve(np.eye(len(hosts)) - 0.85 * back, 0.15 * x) for x in (start, np.full(len(hosts), 1 / len(hosts))))
+    assert [rows[h].distrust for h in hosts] == pytest.approx(distrust.tolist(), abs=1e-3 / len(hosts))
+    assert all(rows[f"c{i}.org"].distrust > 0 for i in range(20))
+    blocked = {h for h in hosts if rows[h].verdict == "block"}
+    assert blocked == {h for h, d, n in zip(hosts, distrust, neutral, strict=True) if d > 0.05 * n}
+    assert blocked >= {h for h in hosts if h[0] in "bf" or h in ("c18.org", "c19.org")} and not [h for h in blocked if h[0] in "sg"]

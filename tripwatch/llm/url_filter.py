@@ -1,8 +1,9 @@
 """URL filters: rules for hosts and paths, and for the rest the host's place in the link graph.
 
 Trust starts at hosts whose pages the rules allow and follows links; distrust starts at hosts whose pages the rules block
-and follows links backwards. Both are personalised PageRanks over host edges, computed by joins. A host is blocked if its
-distrust is above `bound` and above its trust.
+and follows links backwards. Both are personalised PageRanks over host edges, computed by joins until they stand still. A host
+is blocked if its distrust is above its trust and above `bound` times what a start from all hosts alike would give it: all of
+these shrink alike as hosts are added, so the verdict doesn't depend on how many there are.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: Chance to follow a link, rounds, and the least distrust of a blocked host.
-DAMPING, ROUNDS, BOUND = 0.85, 12, 0.05
+#: Chance to follow a link, and the least distrust of a blocked host as a share of its rank from a uniform start.
+DAMPING, BOUND = 0.85, 0.05
+#: Rounds end when no host's rank moves by more than this share of the mean rank; that is tested every STRIDE rounds.
+TOLERANCE, STRIDE = 1e-4, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,32 +62,47 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds(host, seed), whose seeds sum to 1, along edges(src, dst, n)."""
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
+    """(host, rank): personalised PageRank from seeds(host, seed), whose seeds sum to 1, along edges(src, dst, n).
+
+    Without `rounds` it goes on until the ranks stand still. A round moves at most the damping's share of what the last one
+    moved, so the rounds end.
+    """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     flow = materialise(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
     rank = seeds.select("host", F.col("seed").alias("rank"))
     if not flow.limit(1).count():  # no links: each round leaves the seeds' own part
         return rank.withColumn("rank", F.col("rank") * (1 - damping))
-    for i in range(rounds):
+    hosts = flow.select("src").union(flow.select("dst")).distinct().count() if rounds is None else 0
+    done, last = 0, rank
+    while rounds is None or done < rounds:
+        last = rank
         moved = flow.join(rank, flow["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
         rank = moved.unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % 3 == 2:
+        done += 1
+        if done % STRIDE == STRIDE - 1:
+            rank = materialise(rank)
+        elif done % STRIDE == 0 and rounds is None:  # `last` is stored, so this is one round
             rank = materialise(rank)
+            both = rank.join(last.withColumnRenamed("rank", "before"), "host", "full").fillna(0.0, ["rank", "before"])
+            if (both.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) <= TOLERANCE / hosts:
+                break
     return rank
 
 
 def host_scores(pages: DataFrame) -> DataFrame:
-    """(host, trust, distrust) of pages(host, html, ruled)."""
+    """(host, trust, distrust, neutral) of pages(host, html, ruled); neutral is the rank backwards from all hosts alike."""
     edges = materialise(host_edges(pages))
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     hosts = materialise(pages.groupBy("host").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("allowed"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked")))
-    sums = hosts.agg(F.sum("allowed"), F.sum("blocked")).first()
-    scores = []
-    for name, total, links in (("allowed", sums[0], edges), ("blocked", sums[1], edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))):
-        seeds = hosts.where(f"{name} > 0 and host <> ''").select("host", (F.col(name) / F.lit(total or 1)).alias("seed"))
-        scores.append(propagated(links, seeds))
-    trust, distrust = scores[0].withColumnRenamed("rank", "trust"), scores[1].withColumnRenamed("rank", "distrust")
-    return hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").fillna(0.0, ["trust", "distrust"])
+    known = materialise(hosts.select("host").union(edges.select("dst")).where("host <> ''").distinct().withColumn("every", F.lit(1)))
+    out = hosts.select("host")
+    for name, table, column, links in (("trust", hosts, "allowed", edges), ("distrust", hosts, "blocked", back), ("neutral", known, "every", back)):
+        seeds = table.where(f"{column} > 0 and host <> ''")
+        total = seeds.agg(F.sum(column)).first()[0]
+        rank = propagated(links, materialise(seeds.select("host", (F.col(column) / F.lit(total or 1)).alias("seed"))))
+        out = out.join(rank.withColumnRenamed("rank", name), "host", "left")
+    return out.fillna(0.0, ["trust", "distrust", "neutral"])
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, bound: float = BOUND) -> DataFrame:
@@ -98,5 +116,5 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, bound: float = BOU
     found = pages.select("page_id", "url", "html").withColumn("host", host).withColumn("path", path).withColumn("rule", name).withColumn("ruled", verdict)
     scores = host_scores(found.select("host", "html", "ruled"))
     out = found.drop("html").join(scores, "host", "left")
-    own = F.when((F.col("distrust") > bound) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    own = F.when((F.col("distrust") > bound * F.col("neutral")) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "trust", "distrust")
