@@ -84,6 +84,16 @@ def test_packing_is_exact_and_tight(spark, odd, docs):
     assert packing.digest(odd.limit(0)).collect() == []
 
 
+def test_packing_of_repeated_long_rows(spark):
+    text = " ".join("the cat" for _ in range(4500))  # 9,000 tokens and END
+    rows = packing.digest(spark.createDataFrame([(1, text), (1, text), (1, text), (None, text), (None, text)], "doc_id long, text string")).collect()
+    fill = Counter()
+    for r in rows:
+        fill[r.sequence_id] += r.length
+    assert len(rows) == 15 and sum(r.length for r in rows) == 5 * 9001
+    assert max(fill.values()) <= packing.TOKENS and sum(r.length == packing.TOKENS for r in rows) == 10 and len(fill) >= 11
+
+
 def test_packing_exchange(spark, monkeypatch):
     monkeypatch.setattr(packing, "PIECES", 40)
     rng = np.random.default_rng(3)

@@ -220,10 +220,11 @@ def _pack(tokens: int, level: int, final: bool):
 def pack(found: DataFrame, tokens: int = TOKENS) -> DataFrame:
     """found(doc_id, piece, start, length, ids_crc32) with sequence_id and offset. Full pieces are sequences of their own.
 
-    Which partition packs a piece follows from its id, so a lost task is repeated alike.
+    Which partition packs a piece follows from its id, so a lost task is repeated alike. Full pieces are numbered by row, as
+    equal ones of repeated rows need a sequence each; the numbers are stored.
     """
     found = materialise(found)
-    full = found.where(f"length = {tokens}").withColumn("sequence_id", F.expr("xxhash64(doc_id, piece, ids_crc32) | shiftleft(1L, 63)")).withColumn("offset", F.lit(0).cast("long"))
+    full = materialise(found.where(f"length = {tokens}").withColumn("sequence_id", F.expr("monotonically_increasing_id() | shiftleft(1L, 63)")).withColumn("offset", F.lit(0).cast("long")))
     left = found.where(f"length < {tokens}")
     n, level, done = left.count(), 0, None
     while True:
