@@ -1,16 +1,21 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more letters, digits and + / _ = - that has a digit. Its features are its length, its
-kinds of characters and the changes between them, how much of it is dictionary words, path signs, and the words beside it.
-The forest is trained from labelled findings. Where none are given, findings label themselves: one that is assigned to a
-credential's name is a secret, one that is digits alone or has no such name before it isn't.
+Candidates are private key blocks, passwords in URLs, values of 6 or more characters that are assigned to a credential's name,
+and runs of 16 or more letters, digits and + / _ = - (dotted ones as a whole) that have a digit or a high entropy. Their
+features are length, kinds of characters and the changes between them, how much is dictionary words, path signs, a known token
+format, and the words beside them. The forest is trained from labelled findings. Where none are given, findings label
+themselves: one of a known format or assigned to a credential's name is a secret, unless it is digits alone, a plain word or an
+expression of code; the others aren't. Fixed examples of each kind are added, so that the forest knows kinds that a table lacks.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,24 +29,44 @@ from .common import materialise, row_key
 #: Findings to train from, as expected when they are drawn by a hash.
 TRAIN_FINDINGS = 20_000
 TREES, DEPTH, SEED = 20, 6, 7
+#: Times that each kind of example is drawn.
+EXAMPLES = 60
 #: Characters before a candidate in which neighbouring words are looked for.
 BEFORE = 32
 
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
-#: Names of credentials, of other identifiers, and words that code is made of (fixed values).
-_CREDENTIAL = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credential)s?[\"']?\s*(?:[:=]+|is)?\s*[\"']?$", re.I)
+#: Least characters of a value after a credential's name, and of a run without one; least entropy of a run without digits.
+ASSIGNED, RUN, ENTROPY = 6, 16, 3.0
+_RUN = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{RUN},}}")
+_PART = re.compile(rf"[A-Za-z0-9+/_=-]{{{RUN},}}")
+_NAMES = r"(?:token|secret|passw(?:or)?d|pass[_ -]?(?:phrase|code)|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|secret[_ -]?key|auth|authorization|bearer|credential)s?"
+_CREDENTIAL = re.compile(_NAMES + r"[\"']?\s*(?::=|=>|[:=]+|is)?\s*(?:(?:bearer|basic)\s+)?[\"'`]?$", re.I)
+_VALUE = r"(?:\"(?P<double>(?:\\.|[^\"\\\n])+)\"|'(?P<single>(?:\\.|[^'\\\n])+)'|`(?P<back>[^`\n]+)`|(?P<bare>(?:(?!</?[A-Za-z])[^\s\"'`])+))"
+_ASSIGNED = re.compile(_NAMES + r"[\"']?(?:\s*(?::=|=>|[:=]+)\s*|\s+is\s+|\s+)(?:(?:bearer|basic)\s+)?" + _VALUE, re.I)
+#: Some name of a credential has one of these; texts without them need no search.
+_HINTS = ("token", "secret", "pass", "pwd", "key", "auth", "bearer", "credential")
+_USERINFO = re.compile(r"://[^\s/:@?#\"'<>]*:([^\s/@\"'<>]+)@(?=[A-Za-z0-9\[])")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----)[\s\S])*-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\n)*[A-Za-z0-9+/=]{16,})*)")
+#: Formats that providers give their tokens.
+_KNOWN = re.compile(r"(?:A(?:KIA|SIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.+(?:[\w-]+\.+)*[\w-]+|-----BEGIN [\s\S]*)", re.A)
+#: Values after a credential's name that are no values: a word of one kind, code, a placeholder.
+_PLAIN = re.compile(r"[A-Z]?(?:[^\W\d_]|['-])*[.,;:!?)]*")
+_CODE = re.compile(r"[A-Za-z_][\w.]*[(\[].*|\$[{(].*|\{\{.*|<.*|%\(.*", re.S)
 _IDENTIFIER = re.compile(r"(?:sha1|sha256|md5|hash|commit|uuid|guid|digest|checksum|order|invoice|card|phone|isbn|id|number|no\.?)[\"']?\s*[:=#]*\s*[\"']?$", re.I)
 _DICTIONARY = "access account admin application base build cache class client config content data date default device document download email error example file function group header home http https image index input item json list login main message model name node number object order output page param password path product public query record release report request response result script server service session setting source static status string style system table target template test text time title type update upload user value version view window".split()
-FEATURES = ("length", "digits", "upper", "lower", "hex", "signs", "changes", "pairs", "entropy", "words", "path", "credential", "identifier", "quoted")
+FEATURES = ("length", "digits", "upper", "lower", "hex", "signs", "changes", "pairs", "entropy", "words", "path", "credential", "identifier", "quoted", "known", "plain")
 
-_FINDING = "start long, length long, value_sha256 string, credential boolean, digits_only boolean, features array<double>"
+_FINDING = "start long, length long, value_sha256 string, credential boolean, digits_only boolean, known boolean, plain boolean, features array<double>"
 
 
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
-def _features(value: str, before: str, after: str) -> list[float]:
+def _entropy(value: str) -> float:
+    return -sum(k / len(value) * math.log2(k / len(value)) for k in Counter(value).values())
+
+
+def _features(value: str, before: str, after: str, known: bool, plain: bool) -> list[float]:
     n = len(value)
     kinds = [_kind(c) for c in value]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
@@ -53,30 +78,79 @@ def _features(value: str, before: str, after: str) -> list[float]:
         while at >= 0:
             covered[at : at + len(w)] = [True] * len(w)
             at = low.find(w, at + 1)
-    counts = Counter(value)
-    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     return [
-        float(n), kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, sum(c in "0123456789abcdefABCDEF" for c in value) / n, kinds.count(3) / n, changes / n, pairs / n, entropy,
-        sum(covered) / n, float(value.count("/") + before.endswith(("/", ".", "\\")) + after.startswith(("/", "."))), float(bool(_CREDENTIAL.search(before))), float(bool(_IDENTIFIER.search(before))), float(before[-1:] in ("\"", "'")),
+        float(n), kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, sum(c in "0123456789abcdefABCDEF" for c in value) / n, kinds.count(3) / n, changes / n, pairs / n, _entropy(value),
+        sum(covered) / n, float(value.count("/") + before.endswith(("/", ".", "\\")) + after.startswith(("/", "."))), float(bool(_CREDENTIAL.search(before))), float(bool(_IDENTIFIER.search(before))), float(before[-1:] in ("\"", "'", "`")), float(known), float(plain),
     ]
 
 
+def candidates(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, whether its place or form makes it a secret) of a text's candidates, in order and apart from one another."""
+    spans: list[tuple[int, int, bool]] = []
+    if "PRIVATE KEY" in text:
+        spans += [(*m.span(), True) for m in _PEM.finditer(text)]
+    if "://" in text and "@" in text:
+        spans += [(*m.span(1), True) for m in _USERINFO.finditer(text)]
+    low = text.lower()
+    if any(h in low for h in _HINTS):
+        at = 0
+        while m := _ASSIGNED.search(text, at):
+            kind = m.lastgroup
+            start, end = m.span(kind)
+            gap = text[m.start() : start]
+            at = end
+            if kind == "bare":
+                # a name before a name ("auth token = x"), or prose: only a sign, "is" or a scheme makes the next word a value
+                if not re.search(r"[:=]|\sis\s|(?:bearer|basic)\s", gap, re.I):
+                    at = start
+                    continue
+                end = start + len(text[start:end].rstrip(".,;)]}"))
+                more = _ASSIGNED.match(text, start)
+                if more:
+                    at = start
+                    continue
+            if end - start >= ASSIGNED:
+                spans.append((start, end, False))
+    for m in _RUN.finditer(text):
+        run = m.group()
+        start, end = m.start() + len(run) - len(run.lstrip(".")), m.end() - (len(run) - len(run.rstrip(".")))
+        value = text[start:end]
+        if (_PART.search(value) or _KNOWN.fullmatch(value)) and (any(c in "0123456789" for c in value) or _entropy(value) >= ENTROPY):
+            spans.append((start, end, False))
+    out: list[tuple[int, int, bool]] = []
+    taken = []
+    for start, end, sure in spans:  # the first kinds go first
+        at = bisect.bisect(taken, (start, end))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+            taken.insert(at, (start, end))
+            out.append((start, end, sure))
+    return sorted(out)
+
+
+def _found(text: str) -> Iterator[dict]:
+    for start, end, sure in candidates(text):
+        value, before = text[start:end], text[max(0, start - BEFORE) : start]
+        quoted = before[-1:] in ("\"", "'", "`")
+        known = sure or bool(_KNOWN.fullmatch(value))
+        plain = not quoted and not known and bool(_PLAIN.fullmatch(value) and _entropy(value) < 3.5 or _CODE.fullmatch(value))
+        own = _features(value, before, text[end : end + 1], known, plain)
+        yield {"start": start, "length": len(value), "value_sha256": hashlib.sha256(value.encode()).hexdigest(), "credential": own[11] > 0, "digits_only": value.isdigit(), "known": known, "plain": plain, "features": own}
+
+
 def findings(docs: DataFrame) -> DataFrame:
     """A row for each candidate of docs: their other columns, and start, length (code points), features and more."""
     names = [c for c in docs.columns if c != "text"]
     schema = StructType([*[docs.schema[c] for c in names], StructField("found", StructType.fromDDL(_FINDING))])
     ready = docs.select(*names, F.col("text").cast("string").alias("text"))
-    kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("value_sha256", pa.string()), ("credential", pa.bool_()), ("digits_only", pa.bool_()), ("features", pa.list_(pa.float64()))])
+    kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("value_sha256", pa.string()), ("credential", pa.bool_()), ("digits_only", pa.bool_()), ("known", pa.bool_()), ("plain", pa.bool_()), ("features", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             at, found = [], []
             for i, text in enumerate(rows.column("text").to_pylist()):
-                for m in _CANDIDATE.finditer(text or ""):
-                    value, before = m.group(), text[max(0, m.start() - BEFORE) : m.start()]
-                    own = _features(value, before, text[m.end() : m.end() + 1])
+                for own in _found(text or ""):
                     at.append(i)
-                    found.append({"start": m.start(), "length": len(value), "value_sha256": hashlib.sha256(value.encode()).hexdigest(), "credential": own[11] > 0, "digits_only": value.isdigit(), "features": own})
+                    found.append(own)
             index = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*[rows.column(c).take(index) for c in names], pa.array(found, kind)], names=[*names, "found"])
 
@@ -85,19 +159,42 @@ def findings(docs: DataFrame) -> DataFrame:
 
 def labelled(found: DataFrame) -> DataFrame:
     """Findings with the label that they give themselves."""
-    return found.withColumn("label", F.expr("cast(credential and not digits_only as double)"))
-
-
-def fit(found: DataFrame, rows: int = TRAIN_FINDINGS):
-    """A random forest from findings with `label` and `features`, about `rows` of them (None: not both labels are there)."""
+    return found.withColumn("label", F.expr("cast(known or credential and not digits_only and not plain as double)"))
+
+
+def _examples() -> list[tuple[float, list[float]]]:
+    """Fixed (label, features) of the kinds of secrets and of what looks like them; the label is the finding's own."""
+    draw = random.Random(SEED)
+    some = lambda signs, n: "".join(draw.choice(signs) for _ in range(n))
+    low, hexa = string.ascii_lowercase, "0123456789abcdef"
+    word = lambda: draw.choice(_DICTIONARY)
+    out = []
+    for _ in range(EXAMPLES):
+        n = draw.randint(6, 40)
+        values = [some(string.ascii_letters + string.digits + "!@#$%^&*.:-_", n), some(string.ascii_letters + string.digits, n), some(string.ascii_letters, n), some(hexa, draw.choice((32, 40, 64))), "-".join(word() for _ in range(4)), " ".join(word() for _ in range(4)), f"{word().title()}{draw.randint(1, 9999)}!"]
+        name, sign = draw.choice(("password", "api_key", "token", "secret", "passphrase", "auth_token")), draw.choice(("=", ": ", " = "))
+        jwt = f"eyJ{some(string.ascii_letters + string.digits, 33)}.eyJ{some(string.ascii_letters + string.digits, 60)}.{some(string.ascii_letters + string.digits + '-_', 43)}"
+        texts = [f'{name}{sign}"{v}"' for v in values] + [f"{name}{sign}{v}" for v in values[:4]]
+        texts += [f"AKIA{some(string.ascii_uppercase + string.digits, 16)}", jwt, f"postgres://{word()}:{some(string.ascii_letters + string.digits + '!$.', max(n // 2, 6))}@db.example.com/{word()}", f"-----BEGIN RSA PRIVATE KEY-----\\n{some(string.ascii_letters + string.digits + '+/', 128)}\\n-----END RSA PRIVATE KEY-----"]
+        texts += [f"commit {some(hexa, 40)}", f"sha256: {some(hexa, 64)}", f"see {some(string.ascii_letters + string.digits, max(n, 16))} there", f"/usr/{word()}/{word()}/{word()}{draw.randint(1, 99)}.txt", f"{word()}_{word()}_{word()}_{word()}", f"https://www.example.com/{word()}/{word()}-{word()}-{draw.randint(1, 9999)}"]
+        texts += [f"the {name} is {word()}ed here", f"{name}{sign}{word()}", f"{name} = {word()}.{word()}({word()})", f"{name} = ${{{word().upper()}_{word().upper()}}}", f"{name} {some(string.digits, 16)}", some(low, 3) + "-" + "-".join(word() for _ in range(4))]
+        out += [(float(f["known"] or f["credential"] and not f["digits_only"] and not f["plain"]), f["features"]) for t in texts for f in _found(t)]
+    return out
+
+
+def fit(found: DataFrame, rows: int = TRAIN_FINDINGS, examples: bool = False):
+    """A random forest from findings with `label` and `features`, about `rows` of them (None: not both labels are there), and
+    from the fixed examples if these are wanted."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     classes = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
-    if len(classes) < 2:
+    if len(classes) < 2 and not examples:
         return None
-    share = F.create_map(*[F.lit(x) for label, n in classes.items() for x in (label, int(min(1.0, rows / 2 / n) * 1_000_000))])
-    drawn = found.where(F.pmod(F.xxhash64("value_sha256", "start"), F.lit(1_000_000)) < share[F.col("label")])
+    share = F.create_map(*[F.lit(x) for label in (0.0, 1.0) for x in (label, int(min(1.0, rows / 2 / classes.get(label, 1)) * 1_000_000))])
+    drawn = found.where(F.pmod(F.xxhash64("value_sha256", "start"), F.lit(1_000_000)) < share[F.col("label")]).select("label", "features")
+    if examples:
+        drawn = drawn.unionByName(found.sparkSession.createDataFrame(_examples(), "label double, features array<double>"))
     drawn = drawn.select("label", array_to_vector("features").alias("vector"))
     return RandomForestClassifier(labelCol="label", featuresCol="vector", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(drawn)
 
@@ -105,13 +202,13 @@ def fit(found: DataFrame, rows: int = TRAIN_FINDINGS):
 def scored(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """findings(docs) with score (the forest's share for a secret) and is_secret (0.5 or more).
 
-    labels: findings with `label` and `features` to train from; default: what the findings of docs say themselves. If these
-    have one class only, the label that a finding gives itself is its score.
+    labels: findings with `label` and `features` to train from; default: what the findings of docs say themselves, and
+    the fixed examples. If labels have one class only, the label that a finding gives itself is its score.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     found = materialise(findings(docs))
-    model = fit(labels if labels is not None else labelled(found))
+    model = fit(labels) if labels is not None else fit(labelled(found), examples=True)
     if model is None:
         out = labelled(found).withColumnRenamed("label", "score")
     else:
