@@ -111,6 +111,27 @@ def test_streaming_equals_replay(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_replay_streams_batches_past_one_state(spark, sf_dir):
+    statements = triplified(numbered(spark.read.parquet(f"{sf_dir}/events.parquet")), made_by=False)
+    states, want = {}, []
+    for m in sorted(replay.messages(statements).collect(), key=lambda m: (m.graph_id, m.seq)):
+        state, found, code = step(states.get(m.graph_id), m.graph_id, m.seq, replay._rows(m.rows), Settings())
+        states[m.graph_id] = state
+        if code is not None:
+            want += [(m.graph_id, m.seq, state["t"], code, *f) for f in found or [(None, None, None, None)]]
+    kept = [(g, s["t"], a["id"], a["freq"], a["dist"]["n"] if a["dist"] else 0) for g, s in states.items() for a in s["aps"]]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got, patterns = replay.replayed(statements), replay.learnt(statements)
+        for df in (got, patterns):  # no group of a whole stream
+            assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        assert sorted(map(tuple, patterns.select("graph_id", "g_t", "ap_id", "freq", "samples").collect())) == sorted(kept)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_generated_anomalies_are_found(spark):
     data = generator.observations(spark, 600, multiplier=2.0)
     found = replay.replayed(triplified(data, made_by=False)).where("label = 'Prediction Interval Violation'").select("seq").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,36 +30,51 @@ def _rows(own) -> list[tuple]:
     return [tuple(clean(v) for v in (r.values() if isinstance(r, dict) else r)) for r in own]
 
 
+def _in_order(statements: DataFrame) -> DataFrame:
+    """messages(statements), each graph's in one partition and in order, so that a task can stream them past one state."""
+    return messages(statements).repartition("graph_id").sortWithinPartitions("graph_id", "seq")
+
+
 def replayed(statements: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Findings of each message; one row with a null label for a message without any, none for a graph's first.
 
     A graph's messages depend on one another, so they are folded in order in one task; graphs are dealt out by their ids.
-    A stream is a sequence, so a task holds one graph's messages; streaming holds a micro-batch of them and the state.
+    A task holds a batch of messages and the state of the graph that it is at, never a whole stream.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, state = [], None
-        for m in pdf.sort_values("seq", kind="stable").itertuples():
-            state, found, code = step(state, m.graph_id, int(m.seq), _rows(m.rows), settings)
-            if code is not None:
-                out += [(m.graph_id, m.seq, state["t"], code, *f) for f in found or [(None, None, None, None)]]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FINDINGS.split(", ")]).astype({"stmt_ix": "Int32", "finding": "Int32"})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, graph = None, None
+        for pdf in batches:
+            out = []
+            for m in pdf.itertuples():
+                if m.graph_id != graph:
+                    state, graph = None, m.graph_id
+                state, found, code = step(state, graph, int(m.seq), _rows(m.rows), settings)
+                if code is not None:
+                    out += [(graph, m.seq, state["t"], code, *f) for f in found or [(None, None, None, None)]]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FINDINGS.split(", ")]).astype({"stmt_ix": "Int32", "finding": "Int32"})
 
-    return messages(statements).groupBy("graph_id").applyInPandas(run, FINDINGS)
+    return _in_order(statements).mapInPandas(run, FINDINGS)
 
 
 def learnt(statements: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The assertion patterns of each graph after its last message."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, graph = None, ""
-        for m in pdf.sort_values("seq", kind="stable").itertuples():
-            graph = m.graph_id
-            state, _, _ = step(state, graph, int(m.seq), _rows(m.rows), settings)
+    def patterns(graph: str | None, state: dict | None) -> pd.DataFrame:
         rows = [(graph, state["t"], a["id"], a["anchor"], a["relation"], a["status"], a["t"], a["freq"], a["dtype"], a["dist"]["n"] if a["dist"] else 0) for a in (state or {"aps": []})["aps"]]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PATTERNS.split(", ")])
 
-    return messages(statements).groupBy("graph_id").applyInPandas(run, PATTERNS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, graph = None, None
+        for pdf in batches:
+            for m in pdf.itertuples():
+                if m.graph_id != graph:
+                    yield patterns(graph, state)
+                    state, graph = None, m.graph_id
+                state, _, _ = step(state, graph, int(m.seq), _rows(m.rows), settings)
+        yield patterns(graph, state)
+
+    return _in_order(statements).mapInPandas(run, PATTERNS)
 
 
 def reports(findings: DataFrame, level: int = 3) -> DataFrame:
