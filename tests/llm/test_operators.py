@@ -122,6 +122,27 @@ def test_toxicity_accuracy(spark, odd):
     assert toxicity.digest(odd, none).count() == len(ODD) and toxicity.digest(odd.limit(0), labels).collect() == []
 
 
+def _toxicity_tables(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts) if y is not None], "doc_id long, toxic int")
+
+
+def test_toxicity_keeps_rare_steps_and_counts_all_rows(spark):
+    part = lambda i: zlib.crc32(str(i).encode()) % 5
+    texts = [[f"plain words of a text {i}", i % 2] for i in range(400)]
+    four = [i for i in range(400) if part(i) == 4 and i % 2]
+    once = next(i for i in range(400) if part(i) in (1, 2, 3) and i % 2)
+    held = [i for i in range(400) if part(i) == 0][:3]
+    texts[once][0] += " zzyx"  # a single occurrence
+    for i in four:
+        texts[i][0] += " qqvw"  # only in rows of remainder 4
+    for i, word in zip(held, ("zzyx", "qqvw", "xxjk"), strict=True):
+        texts[i] = [word, None]
+    docs, labels = _toxicity_tables(spark, texts)
+    got = {r.doc_id: r.ratio for r in toxicity.digest(docs, labels).collect()}
+    assert len(got) == 400 and got[held[0]] > 0 and got[held[1]] > 1 and got[held[2]] == 0
+
+
 def test_secrets(spark, odd, docs):
     pattern = re.compile(r'token = "([0-9a-f]{40})"', re.I)
     want = {(r.doc_id, m.start(1)) for r in docs.collect() for m in pattern.finditer(r.text or "")}

@@ -4,7 +4,8 @@ A word is a path: its first 3, 5, 6, 7, 8, 10 bytes, then the whole. Two models,
 documents, give the chance of each step after the one before: the step's own count less a discount, plus the discounted
 mass times a backoff that both share - how many different ways words go on after the step. So rare expressions count by
 what they begin with. A document's score is a logistic function of its length-normalised log-likelihood ratio. Counts cover
-all labelled rows. The models hold steps with a least share of all words, so their size has a bound.
+all labelled rows that aren't held out. The models hold every counted step, in a table that grows with the input; it is joined
+to the distinct steps of a chunk of documents.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from .common import RangeHash, batch, byte_codes, crc_remainder, materialise, mi
 
 #: Bytes of a word that its steps hold, before the whole word.
 STEPS = (3, 5, 6, 7, 8, 10)
-#: Least occurrences and least share of a step in a model: at most (len(STEPS) + 1) / LEAST_SHARE are in it.
-LEAST, LEAST_SHARE = 3, 1e-6
+#: Bytes of text of a chunk, whose distinct steps are looked up at once.
+CHUNK = 16 << 20
 #: Log-likelihood ratio of a word beyond which it counts as strong.
 STRONG = 1.5
 DISCOUNT = 0.75
@@ -37,8 +39,7 @@ _PUNCTUATION[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
 class Model(NamedTuple):
-    keys: np.ndarray  # sorted hashes of steps
-    ratio: np.ndarray  # of the path up to each: log of the toxic over the ordinary chance
+    table: DataFrame  # (step, ratio): log of the toxic over the ordinary chance of a step after the one before
     weights: np.ndarray  # of the features
 
 
@@ -86,24 +87,25 @@ def _step_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "step long, parent long, n0 long, n1 long").groupBy("step", "parent").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _word_ratios(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratio of each word, by its longest step in the model, and where each row's words begin."""
+def _word_ratios(keys: np.ndarray, ratio: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratio of each word, up to its longest known step (sorted keys), and where each row's words begin."""
     found, first = paths(data, offsets)
     out = np.zeros(len(found[0]))
-    if len(model.keys):
+    if len(keys):
         left = np.arange(len(out))
-        for step in found:  # a step is in the model only if those before it are
+        for step in found:  # a step is known only if those before it are
             left = left[step[left] != 0]
-            at = np.minimum(np.searchsorted(model.keys, step[left]), len(model.keys) - 1)
-            hit = model.keys[at] == step[left]
+            own = step[left].view(np.int64)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hit = keys[at] == own
             left, at = left[hit], at[hit]
-            out[left] = model.ratio[at]
+            out[left] += ratio[at]
     return out, first
 
 
-def _features(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _features(keys: np.ndarray, ratios: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of the rows, their sums of ratios and their numbers of words."""
-    ratio, first = _word_ratios(model, data, offsets)
+    ratio, first = _word_ratios(keys, ratios, data, offsets)
     n = np.diff(first)
     total = lambda x: (c := np.concatenate([[0.0], np.cumsum(x)]))[first[1:]] - c[first[:-1]]
     every, strong = total(ratio), total(np.maximum(ratio - STRONG, 0))
@@ -111,37 +113,25 @@ def _features(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     return np.stack([np.ones(len(n)), every / words_, every / np.sqrt(words_), strong / words_, strong / np.sqrt(words_)], axis=1), every, n
 
 
-def _counted(rows: DataFrame) -> Model:
-    """The two models of rows(text, toxic), without the logistic function."""
-    counts = materialise(_step_counts(rows))
-    root = counts.where("parent = 0").agg(F.sum("n0"), F.sum("n1")).first()
-    total = [root[0] or 0, root[1] or 0]
-    on = counts.groupBy("parent").agg(F.count("*").alias("ways"), F.count(F.when(F.col("n0") > 0, 1)).alias("t0"), F.count(F.when(F.col("n1") > 0, 1)).alias("t1")).withColumnRenamed("parent", "step")
-    on = materialise(on)
-    wide = counts.join(on, "step", "left").fillna({"ways": 1, "t0": 0, "t1": 0})
-    sums = wide.groupBy("parent").agg(F.sum("ways").alias("all_ways"))
-    kept = wide.where(F.col("n0") + F.col("n1") >= max(LEAST, LEAST_SHARE * sum(total))).join(sums, "parent").toPandas()
-    first = on.where("step = 0").first()
-    kept = kept.sort_values("step").reset_index(drop=True)
-    keys, parents = kept["step"].to_numpy(np.int64), kept["parent"].to_numpy(np.int64)
-    at = np.minimum(np.searchsorted(keys, parents), max(len(keys) - 1, 0))
-    top = parents == 0
-    shared = kept["ways"].to_numpy(float) / kept["all_ways"].to_numpy(float)
-    step = np.zeros(len(keys))
-    for c, sign in ((0, -1), (1, 1)):
-        n, kinds = kept[f"n{c}"].to_numpy(float), kept[f"t{c}"].to_numpy(float)
-        before = np.where(top, total[c], n[at]) if len(keys) else n
-        ways = np.where(top, first[f"t{c}"] if first else 0, kinds[at]) if len(keys) else n
-        chance = np.where(before > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * ways * shared) / np.maximum(before, 1), shared)
-        step += sign * np.log(np.maximum(chance, 1e-12))
-    ratio, back = step.copy(), at.copy()
-    live = ~top
-    for _ in STEPS:  # sums along the path
-        ratio[live] += step[back[live]]
-        live = live & ~top[back]
-        back = np.where(live, at[back], back)
-    order = np.argsort(keys.view(np.uint64))
-    return Model(keys.view(np.uint64)[order], ratio[order], np.array([0.0, 1.0, 0.0, 0.0, 0.0]))
+def _table(counts: DataFrame) -> DataFrame:
+    """(step, ratio) of the two models of counts(step, parent, n0, n1)."""
+    root = counts.where("parent = 0").agg(F.sum("n0"), F.sum("n1"), F.count(F.when(F.col("n0") > 0, 1)), F.count(F.when(F.col("n1") > 0, 1))).first()
+    on = counts.where("parent <> 0").groupBy(F.col("parent").alias("step")).agg(F.count("*").alias("ways"), F.count(F.when(F.col("n0") > 0, 1)).alias("t0"), F.count(F.when(F.col("n1") > 0, 1)).alias("t1"))
+    wide = materialise(counts.join(on, "step", "left").fillna({"ways": 1, "t0": 0, "t1": 0}))
+    sums = wide.where("parent <> 0").groupBy("parent").agg(F.sum("ways").alias("all_ways"))
+    above = wide.select(F.col("step").alias("parent"), F.col("n0").alias("b0"), F.col("n1").alias("b1"), F.col("t0").alias("k0"), F.col("t1").alias("k1")).join(sums, "parent")
+    # the first steps share one parent, which is a row of constants and not a join key
+    ways = wide.where("parent = 0").agg(F.sum("ways")).first()[0]
+    top = dict(zip(("b0", "b1", "k0", "k1", "all_ways"), (*root, ways), strict=True))
+    first = wide.where("parent = 0").withColumns({c: F.lit(v or 0).cast("long") for c, v in top.items()})
+    rest = wide.where("parent <> 0").join(above, "parent")
+    shared = F.col("ways") / F.col("all_ways")
+    log = {}
+    for c in "01":
+        chance = F.when(F.col(f"b{c}") > 0, (F.greatest(F.col(f"n{c}") - F.lit(DISCOUNT), F.lit(0.0)) + DISCOUNT * F.col(f"k{c}") * shared) / F.col(f"b{c}")).otherwise(shared)
+        log[c] = F.log(F.greatest(chance, F.lit(1e-12)))
+    both = first.unionByName(rest.select(*first.columns))
+    return materialise(both.select("step", (log["1"] - log["0"]).alias("ratio")))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -159,35 +149,69 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Models of the labelled rows that aren't held out. A fifth of all rows (remainder 4) fits the logistic function, so that
-    it sees texts the counts don't have; the others are counted. A document with several labels is toxic if one is."""
+    """Models of the labelled rows that aren't held out. The logistic function is fitted on rows of remainder 4 with models that
+    don't count these, so that it sees texts as new ones; the models returned count all. A document with several labels is toxic
+    if one is."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.expr("cast(toxic > 0 as int)")).alias("toxic"))
     known = materialise(known.where(crc_remainder() != 0))
     small = known.count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", "text").where((crc_remainder() != 0) & F.col("text").isNotNull()).join(F.broadcast(known) if small else known, "doc_id")
-    model = _counted(rows.where(crc_remainder() != 4))
+    some, others = materialise(_step_counts(rows.where(crc_remainder() != 4))), materialise(_step_counts(rows.where(crc_remainder() == 4)))
     n = max(1, known.where(crc_remainder() == 4).count())
     sample = rows.where((crc_remainder() == 4) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, FIT_ROWS / n) * 1_000_000)))
-    found = _scored(sample, model, "toxic").select("toxic", "features").toPandas()
-    if found["toxic"].nunique() < 2:
-        return model
-    return model._replace(weights=_logistic(np.stack(found["features"]), found["toxic"].to_numpy(float)))
+    weights = np.array([0.0, 1.0, 0.0, 0.0, 0.0])
+    found = _scored(sample, Model(_table(some), weights), "toxic").select("toxic", "features").toPandas()
+    if found["toxic"].nunique() > 1:
+        weights = _logistic(np.stack(found["features"]), found["toxic"].to_numpy(float))
+    every = some.unionByName(others).groupBy("step", "parent").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return Model(_table(materialise(every)), weights)
 
 
-def _scored(docs: DataFrame, model: Model, carry: str) -> DataFrame:
-    """(carry, features, ratio, n, score) of docs(carry, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _chunks(docs: DataFrame, carry: str) -> DataFrame:
+    """(chunk, carry, text, step): the rows of docs(carry, text) dealt to chunks (null step), and each chunk's distinct steps."""
+    schema = pa.schema([("chunk", pa.int64()), (carry, pa.int64()), ("text", pa.string()), ("step", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        chunk = TaskContext.get().partitionId() << 32
         for rows in batches:
             data, offsets = utf8(rows.column("text"))
-            for lo, hi in steps(offsets):
-                features, ratio, n = _features(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                score = 1 / (1 + np.exp(-np.clip(features @ model.weights, -30, 30)))
-                yield pa.RecordBatch.from_arrays([rows.column(carry).slice(lo, hi - lo), pa.array(list(features)), pa.array(ratio), pa.array(n.astype(np.int64)), pa.array(score)], names=[carry, "features", "ratio", "n", "score"])
+            for lo, hi in steps(offsets, CHUNK):
+                own, seen = rows.slice(lo, hi - lo), np.empty(0, np.uint64)
+                at = offsets[lo : hi + 1]
+                for i, j in steps(at - at[0]):
+                    found, _ = paths(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                    seen = np.union1d(seen, np.unique(np.concatenate(found)))
+                seen = seen[seen != 0].view(np.int64)
+                n, m = hi - lo, len(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), own.column(carry), own.column("text").cast(pa.string()), pa.nulls(n, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.array(seen)], schema=schema)
+                chunk += 1
+
+    return docs.select(F.col(carry).cast("long").alias(carry), "text").mapInArrow(run, f"chunk long, {carry} long, text string, step long")
 
-    return docs.select(F.col(carry).cast("long").alias(carry), "text").mapInArrow(run, f"{carry} long, features array<double>, ratio double, n long, score double")
+
+def _scored(docs: DataFrame, model: Model, carry: str) -> DataFrame:
+    """(carry, features, ratio, n, score) of docs(carry, text)."""
+    weights = model.weights
+    both = materialise(_chunks(docs, carry))
+    known = both.where("step is not null").select(F.col("chunk").alias("of"), "step").join(model.table, "step").select("of", "step", "ratio")
+    schema = pa.schema([(carry, pa.int64()), ("features", pa.list_(pa.float64())), ("ratio", pa.float64()), ("n", pa.int64()), ("score", pa.float64())])
+
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        keys, ratios = own.column("step").to_numpy(), own.column("ratio").to_numpy()
+        order = np.argsort(keys)
+        keys, ratios = keys[order], ratios[order]
+        out = []
+        data, offsets = utf8(rows.column("text"))
+        names = rows.column(carry).combine_chunks()
+        for lo, hi in steps(offsets):
+            features, ratio, n = _features(keys, ratios, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            score = 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
+            out.append(pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.array(list(features), schema.field("features").type), pa.array(ratio), pa.array(n.astype(np.int64)), pa.array(score)], schema=schema))
+        return pa.Table.from_batches(out, schema)
+
+    texts = both.where("step is null").select("chunk", carry, "text")
+    return texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(run, f"{carry} long, features array<double>, ratio double, n long, score double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
