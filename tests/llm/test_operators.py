@@ -34,6 +34,25 @@ def test_sentencepiece_equals_the_library(spark, odd, docs):
     assert sentencepiece_codec.digest(odd.limit(0)).collect() == []
 
 
+def test_sentencepiece_of_single_words_and_merges(monkeypatch):
+    import pyarrow as pa
+    import sentencepiece
+
+    model, ours = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.vocabulary()), sentencepiece_codec.pieces(sentencepiece_codec.vocabulary())
+    texts = ["", "internationalisation  of naïve 日本語 words", "ab" * 200, " " * 70 + "x", "▁▁ y", "😀" * 20, "\x00\u2028 z "]
+    for long in (256, 3):  # words by themselves and together are coded alike
+        monkeypatch.setattr(sentencepiece_codec, "LONG", long)
+        ids, first = ours.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [model.encode(t) for t in texts]
+        assert ours.decode(ids, first).to_pylist() == [t.replace("▁", " ") for t in texts]
+    cut = np.array([ours.byte[0xE6], ours.byte[0x97], ours.ids["▁"], ours.ids["▁"]])  # half a character, and blanks alone
+    assert ours.decode(cut, np.array([0, 2, 3, 4, 4])).to_pylist() == [model.decode([int(x) for x in cut[:2]]), "", "", ""]
+    monkeypatch.setattr(sentencepiece_codec.Pieces, "probe", lambda self, key: np.full(len(key), 300))  # every substring collides
+    monkeypatch.setattr(sentencepiece_codec, "LONG", 256)
+    ids, first = ours.encode(pa.array(texts[1:2]))
+    assert ids.tolist() == model.encode(texts[1])
+
+
 def test_quality_equals_sql(spark, odd, docs):
     for table in (odd, docs):
         db = duckdb.connect()
@@ -113,6 +132,29 @@ def test_language_accuracy(spark, odd, sf_dir):
     assert language_id.keep_known(docs).columns == docs.columns
 
 
+def test_language_filter_against_exact_sets():
+    rng = np.random.default_rng(1)
+    own = [np.unique(rng.integers(0, 1 << 32, 3000 + 40 * i)) for i in range(70)]  # more languages than a mask has bits
+    masks, wrong = language_id.sliced(own)
+    model = language_id.LanguageFilter([f"l{i}" for i in range(70)], masks, wrong)
+    texts = [b"some text of plain words ", b"", b"x"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    values, start, end = language_id.grams(data, offsets)
+    own[3] = np.union1d(own[3], values[:20])
+    masks, wrong = language_id.sliced(own)
+    got = language_id.scores(model._replace(masks=masks, false_positive=wrong), data, offsets)
+    exact = np.array([[np.isin(values[a:b], s).mean() if b > a else 0 for s in own] for a, b in zip(start, end, strict=True)])
+    assert got.shape == (3, 70) and np.abs(got - exact).max() <= 2 / len(texts[0]) and got[0].argmax() == 3
+    assert all(np.isclose(w, (((masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** language_id.PROBES) for i, w in enumerate(wrong))
+
+
+def test_language_of_many_languages(spark):
+    rows = [(i, f"w{i % 70}z q{i % 70}k " * 5, f"l{i % 70:02}") for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.digest(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+
+
 def test_toxicity_accuracy(spark, odd):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

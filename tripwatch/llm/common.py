@@ -27,8 +27,11 @@ _POWERS = {"n": 0, "up": np.empty(0, _U), "down": np.empty(0, _U)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tripwatch-")
+    """A new folder below spark.checkpoint.dir, which driver and executors share; in local mode a temporary one where it is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = top or tempfile.mkdtemp(prefix="tripwatch-")
     return f"{top.rstrip('/')}/tripwatch-{uuid.uuid4().hex}"
 
 

@@ -1,6 +1,6 @@
 """Language identification with a bit-sliced Bloom filter of n-grams.
 
-All languages share the slots of one filter: a slot holds a bit mask, one bit a language. The masks at an n-gram's slots,
+All languages share the slots of one filter: a slot holds a bit mask, one bit a language (a mask for each 64 of them). The masks at an n-gram's slots,
 ANDed, are the languages that contain it. A text's bits are counted per language and corrected for false positives.
 """
 
@@ -11,10 +11,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import batch, crc_remainder, mix, steps, utf8
+from .common import batch, crc_remainder, materialise, mix, steps, utf8
 
 #: Bytes of an n-gram, slots of the filter as a power of two, and slots probed for an n-gram.
 GRAM, SLOT_BITS, PROBES = 4, 21, 2
@@ -32,6 +34,7 @@ _FOLD[[9, 10, 11, 12, 13]] = 32
 
 class LanguageFilter(NamedTuple):
     languages: list[str]
+    #: A row of slots for each 64 languages.
     masks: np.ndarray
     #: Chance that an n-gram which a language lacks seems to be in it.
     false_positive: np.ndarray
@@ -58,10 +61,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageFilter:
     """The filter learnt from docs(doc_id, text, lang): rows with a language that aren't held out, about `rows` a language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_remainder() != 0)).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if len(sizes) > 64:
-        raise ValueError(f"a mask holds 64 languages, not {len(sizes)}")
     if not sizes:
-        return LanguageFilter([], np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(0))
+        return LanguageFilter([], np.zeros((1, 1 << SLOT_BITS), np.uint8), np.zeros(0))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, rows / n) * 1_000_000))])
     drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -77,34 +78,42 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageFilter:
                     value, n = np.unique(np.concatenate([values[start[i] : end[i]] for i in own]), return_counts=True)
                     yield batch({"lang": [lang] * len(value), "gram": value, "n": n}, schema)
 
-    counts = drawn.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = materialise(drawn.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals, key=lambda x: (-sizes[x], x))
     if not languages:
-        return LanguageFilter([], np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(0))
+        return LanguageFilter([], np.zeros((1, 1 << SLOT_BITS), np.uint8), np.zeros(0))
     total = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, float(n))])
     shares = counts.withColumn("share", F.col("n") / total[F.col("lang")])
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
     known = shares.where(F.col("share") >= LEAST_SHARE).join(most, "gram").where(F.col("share") >= AGAINST * F.col("most")).select("lang", "gram").toPandas()
-    kind = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= bits)
-    masks = np.zeros(1 << SLOT_BITS, kind)
-    for i, lang in enumerate(languages):
-        for slots in _slots(known["gram"][known["lang"] == lang].to_numpy(np.int64)):
-            masks[slots] |= kind(1 << i)
-    fill = np.array([((masks >> kind(i)) & kind(1)).mean() for i in range(len(languages))])
-    return LanguageFilter(languages, masks, fill**PROBES)
+    return LanguageFilter(languages, *sliced([known["gram"][known["lang"] == lang].to_numpy(np.int64) for lang in languages]))
+
+
+def sliced(grams_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the filter of each language's n-grams, and the chance of a false positive for each."""
+    kind = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (1 << 60, np.uint64)) if len(grams_) <= bits)
+    bits = np.dtype(kind).itemsize * 8
+    masks, fill = np.zeros((-(-len(grams_) // bits), 1 << SLOT_BITS), kind), np.zeros(len(grams_))
+    for i, own in enumerate(grams_):
+        for slots in _slots(own):
+            masks[i // bits, slots] |= kind(1 << i % bits)
+        fill[i] = ((masks[i // bits] >> kind(i % bits)) & kind(1)).mean()
+    return masks, fill**PROBES
 
 
 def scores(model: LanguageFilter, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Share of each row's n-grams that each language contains, corrected for false positives."""
     values, start, end = grams(data, offsets)
-    masks = None
-    for slots in _slots(values):
-        masks = model.masks[slots] if masks is None else masks & model.masks[slots]
+    first, *others = _slots(values)
+    masks = model.masks[:, first]
+    for slots in others:
+        masks &= model.masks[:, slots]
     out = np.zeros((len(start), len(model.languages)))
     size = np.maximum(end - start, 1)
     for i, wrong in enumerate(model.false_positive):
-        sums = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(i)) & masks.dtype.type(1), dtype=np.int64)])
+        bits = masks.itemsize * 8
+        sums = np.concatenate([[0], np.cumsum((masks[i // bits] >> masks.dtype.type(i % bits)) & masks.dtype.type(1), dtype=np.int64)])
         out[:, i] = np.maximum(0, ((sums[end] - sums[start]) / size - wrong) / (1 - wrong))
     return out
 
@@ -116,12 +125,12 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """
     names = [c for c in docs.columns]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    ready = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"), F.expr(r"coalesce(cast(text as string) rlike '\\p{L}', false)").alias("letters"))
+    ready = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.expr(r"coalesce(cast(text as string) rlike '\\p{L}', false)").alias("letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for rows in batches:
-            data, offsets = utf8(rows.column("text"))
+            data, offsets = utf8(pc.struct_field(rows.column("row"), [names.index("text")]).cast(pa.string()))
             letters = rows.column("letters").to_numpy(zero_copy_only=False)
             for lo, hi in steps(offsets):
                 found = scores(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) if model.languages else np.zeros((hi - lo, 1))
@@ -132,8 +141,6 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
                 langs = [model.languages[b] if g else "und" for b, g in zip(best, good, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column("row").slice(lo, hi - lo), pa.array(langs), pa.array(np.where(good, score, 0.0)), pa.array(np.where(good, known, 0.0))], names=["row", "lang_pred", "lang_score", "lang_known"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
     schema = StructType([ready.schema["row"], StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_known", DoubleType())])
     return ready.mapInArrow(run, schema)
 

@@ -24,10 +24,8 @@ from .common import materialise, steps, utf8
 TOKENS, END = 4096, 1
 #: Pieces that one partition packs at first.
 PIECES = 50_000
-#: Words whose ids a worker keeps.
-CACHE = 1 << 20
 #: Bytes of text that are split into words at once.
-STEP = 8 << 20
+STEP = 16 << 20
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,8 +40,8 @@ def vocabulary() -> str:
 class WordIds:
     """Token ids of words. Tokens never span white space, so a text's ids are those of its words, one after the other.
 
-    A word of letters and a last "." or "," is split once more, and ASCII words are lower-cased: the tokenizer does
-    both itself. Distinct words are encoded once; the worker keeps CACHE of them, as ranges of one array of ids.
+    ASCII letters are lower-cased, and a word of letters and a last "." or "," is split once more: the tokenizer does both
+    itself. The distinct words of a step are encoded once; nothing is kept from step to step.
     """
 
     def __init__(self, path: str):
@@ -54,78 +52,73 @@ class WordIds:
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
-        self._clear()
-
-    def _clear(self) -> None:
         #: Entry 0 is END, then come "." and ","; a word is an entry and perhaps a mark after it.
         marks = [self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"]
-        self.word: dict[str, int] = {}
-        self.core: dict[str, int] = {}
-        self.ids, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self._add(np.array([END, *marks[0], *marks[1]], np.uint32), np.array([1, len(marks[0]), len(marks[1])]))
-
-    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, sizes])
-
-    def _encode(self, words: list[str]) -> None:
-        """Adds entries; words of letters are encoded many at once and split after the ids that end a word."""
-        rest, ids, sizes, names = [w for w in words if not w.isalpha()], [], [], []
-        plain = [w for w in words if w.isalpha()]
+        self.first = [(np.array([END, *marks[0], *marks[1]], np.uint32), np.array([1, len(marks[0]), len(marks[1])]))]
+
+    def _encode(self, words: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in words, ids, numbers of ids) of distinct words; those of letters are encoded many at once and split after
+        the ids that end a word."""
+        plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        rest, out = [np.flatnonzero(~plain)], []
+        plain = np.flatnonzero(plain)
         for i in range(0, len(plain), 1000):
-            some = plain[i : i + 1000]
-            got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.last[got]) + 1
-            if len(ends) == len(some):
-                ids.append(got)
-                sizes.append(np.diff(ends, prepend=0))
-                names += some
+            own = plain[i : i + 1000]
+            joined = " ".join(words.take(pa.array(own)).to_pylist())
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(own):
+                out.append((own, ids, np.diff(ends, prepend=0)))
             else:
-                rest += some
-        for i in range(0, len(rest), 5000):
-            for word, e in zip(rest[i : i + 5000], self.tokenizer.encode_batch_fast(rest[i : i + 5000], add_special_tokens=False), strict=True):
-                ids.append(np.array(e.ids, np.uint32))
-                sizes.append(np.array([len(ids[-1])]))
-                names.append(word)
-        self.core.update(zip(names, range(len(self.size), len(self.size) + len(names)), strict=True))
-        if names:
-            self._add(np.concatenate(ids), np.concatenate(sizes))
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        """Three times the entry of each word, and 1 or 2 more if "." or "," comes after it."""
-        if len(self.word) > CACHE:
-            self._clear()
-        new = [w for w in words if w not in self.word]
-        marks = [(w[-1] == ",") + 1 if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() else 0 for w in new]
-        cores = [w[:-1] if m else w for w, m in zip(new, marks, strict=True)]
-        cores = [c.lower() if c.isascii() else c for c in cores]
-        self._encode(list({c for c in cores if c not in self.core}))
-        self.word.update((w, 3 * self.core[c] + m) for w, c, m in zip(new, cores, marks, strict=True))
-        return np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
+                rest.append(own)
+        alone = np.concatenate(rest)
+        for i in range(0, len(alone), 5000):
+            own = alone[i : i + 5000]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(words.take(pa.array(own)).to_pylist(), add_special_tokens=False)]
+            out.append((own, np.array([x for e in each for x in e], np.uint32), np.array(list(map(len, each)))))
+        return out
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words: each one's entry and its mark (1 ".", 2 ",", 0 none), and the entries' ids: all in a row, where
+        they begin and how many they are."""
+        data, at = utf8(words)
+        size = np.diff(at)
+        mark = np.zeros(len(size), np.int64)
+        long = np.flatnonzero(size > 1)
+        end, before = data[at[1:][long] - 1], data[at[1:][long] - 2]
+        letter = (before >= 97) & (before <= 122)
+        mark[long] = np.where(letter & (end == 46), 1, np.where(letter & (end == 44), 2, 0))
+        core = pc.dictionary_encode(pc.if_else(pa.array(mark > 0), pc.binary_slice(words.cast(pa.binary()), 0, -1), words.cast(pa.binary())).cast(pa.string()))
+        found = self._encode(core.dictionary)
+        place = np.concatenate([own for own, _, _ in found])
+        ids, sizes = (np.concatenate([x[i] for x in self.first] + [f[i + 1] for f in found]) for i in (0, 1))
+        entry = np.empty(len(place), np.int64)
+        entry[place] = np.arange(len(place)) + 3
+        return entry[core.indices.to_numpy(zero_copy_only=False)], mark, ids, np.cumsum(sizes) - sizes, sizes
 
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """One for each worker."""
+    """One for each worker; its size is that of the vocabulary."""
     return WordIds(path)
 
 
 def _ids(texts: pa.Array, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts in a row, each text's last id END, and where each text's ids begin."""
-    split = pc.ascii_split_whitespace(texts)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     at = split.offsets.to_numpy().astype(np.int64)
     flat = pc.dictionary_encode(split.values.slice(int(at[0]), int(at[-1] - at[0])))
     at -= at[0]
-    entry = words(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)]
-    entry, mark = np.insert(entry // 3, at[1:], 0), np.insert(entry % 3, at[1:], 0)
+    code = flat.indices.to_numpy(zero_copy_only=False)
+    entry, mark, ids, begin, size = words(flat.dictionary)
+    entry, mark = np.insert(entry[code], at[1:], 0), np.insert(mark[code], at[1:], 0)
     marked = np.flatnonzero(mark) + 1
     at = at + np.arange(len(at))
     at += np.searchsorted(marked, at, side="right")
     entry = np.insert(entry, marked, mark[marked - 1])
-    size = words.size[entry]
-    before = np.concatenate([[0], np.cumsum(size)])
-    ids = words.ids[np.arange(int(before[-1])) + np.repeat(words.begin[entry] - before[:-1], size)]
-    return ids, before[at]
+    sizes = size[entry]
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[np.arange(int(before[-1])) + np.repeat(begin[entry] - before[:-1], sizes)], before[at]
 
 
 def pieces(docs: DataFrame, path: str | None = None, tokens: int = TOKENS) -> DataFrame:
@@ -208,7 +201,7 @@ def _pack(tokens: int, level: int, final: bool):
         if not final and len(fill) > lower_bound(lengths, tokens):
             loose = np.argsort(fill, kind="stable")
             loose = loose[fill[loose] < tokens]
-            # all bins with room, the loosest first, as far as their room comes to a tenth more than the gap
+            # the loosest quarter of the bins with room, at least two
             given[loose[: max(2, len(loose) // 4)]] = True
         elif not final:  # at its bound: only the last, loosest bin may still take pieces of others
             given[np.argmin(fill)] = fill.min() < tokens
