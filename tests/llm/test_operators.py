@@ -169,6 +169,50 @@ def _toxicity_tables(spark, texts):
     return docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts) if y is not None], "doc_id long, toxic int")
 
 
+def test_toxicity_against_plain_kneser_ney(spark, monkeypatch):
+    import math
+    import random
+
+    draw = random.Random(2)
+    plain, bad = [f"w{i}" for i in range(30)], ["(Scum!", "loser,", "trash"]
+    texts = []
+    for i in range(300):
+        y = i % 4 == 0
+        own = [draw.choice(plain[: 5 + 25 * draw.randint(0, 1)]) for _ in range(draw.randint(0, 25))]
+        for _ in range(3 * y):
+            own.insert(draw.randint(0, len(own)), draw.choice(bad))
+        texts.append((" ".join(own), int(y)))
+    docs, labels = _toxicity_tables(spark, texts)
+    clean = lambda t: [w.lower().strip("(!,") for w in t.split()]
+    used = [(clean(t), y) for i, (t, y) in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 0]
+    count = [Counter(p for t, y in used if y == k for p in zip([""] + t[:-1], t, strict=False)) for k in (0, 1)]
+    follow = [Counter(w for _, w in c) for c in count]
+    types = len({w for c in count for _, w in c})
+    one = lambda k, w: (max(follow[k][w] - 0.75, 0) + 0.75 * len(follow[k]) / types) / sum(follow[k].values())
+    first = [Counter() for _ in count]
+    for k in (0, 1):
+        for (u, _), n in count[k].items():
+            first[k][u] += n
+
+    def gain(u, w):
+        if not follow[0][w] + follow[1][w]:
+            return 0.0
+        p = [one(k, w) for k in (0, 1)]
+        if max(c[u, w] for c in count) > 2:
+            kept = sum(max(n - 2, 0) for c in count for (v, _), n in c.items() if v == u)
+            rest = 1 - kept / (first[0][u] + first[1][u])
+            p = [(max(count[k][u, w] - 2, 0) / first[k][u] if first[k][u] else 0) + rest * p[k] for k in (0, 1)]
+        return math.log(0.99 + 0.01 * p[1] / p[0])
+
+    want = [sum(gain(u, w) for u, w in zip([""] + clean(t)[:-1], clean(t), strict=False)) for t, _ in texts]
+    for head in (1 << 20, 7, 0):  # whatever is sent to all executors
+        monkeypatch.setattr(toxicity, "HEAD", head)
+        rows = {r.doc_id: r for r in toxicity.digest(docs, labels).collect()}
+        assert [rows[i].ratio for i in range(300)] == pytest.approx(want, abs=1e-4)
+        assert [rows[i].n for i in range(300)] == [len(t.split()) for t, _ in texts]
+    assert np.mean([rows[i].predicted == y for i, (_, y) in enumerate(texts) if rows[i].held_out]) > 0.9
+
+
 def test_toxicity_keeps_rare_steps_and_counts_all_rows(spark):
     part = lambda i: zlib.crc32(str(i).encode()) % 5
     texts = [[f"plain words of a text {i}", i % 2] for i in range(400)]
@@ -182,7 +226,7 @@ def test_toxicity_keeps_rare_steps_and_counts_all_rows(spark):
         texts[i] = [word, None]
     docs, labels = _toxicity_tables(spark, texts)
     got = {r.doc_id: r.ratio for r in toxicity.digest(docs, labels).collect()}
-    assert len(got) == 400 and got[held[0]] > 0 and got[held[1]] > 1 and got[held[2]] == 0
+    assert len(got) == 400 and got[held[0]] > 0 and got[held[1]] > 100 * got[held[0]] and got[held[2]] == 0
 
 
 def test_secrets(spark, odd, docs):

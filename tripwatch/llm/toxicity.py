@@ -1,11 +1,16 @@
-"""Toxicity from class-conditional Kneser-Ney models of words, read from their start.
-
-A word is a path: its first 3, 5, 6, 7, 8, 10 bytes, then the whole. Two models, one of toxic and one of ordinary
-documents, give the chance of each step after the one before: the step's own count less a discount, plus the discounted
-mass times a backoff that both share - how many different ways words go on after the step. So rare expressions count by
-what they begin with. A document's score is a logistic function of its length-normalised log-likelihood ratio. Counts cover
-all labelled rows that aren't held out. The models hold every counted step, in a table that grows with the input; it is joined
-to the distinct steps of a chunk of documents.
+"""Toxicity from class-conditional Kneser-Ney bigrams of words.
+
+Two models, one of toxic and one of ordinary documents. The chance of a word in a class follows from its continuation count:
+how many different words it comes after, less a discount; the discounted mass goes to all words that either class has, alike.
+A pair of words adds its own discounted count after the first word; the weight of the backoff after a word is what both classes
+together leave over there, so that a pair that neither class has often is judged by its second word. Toxic documents
+are ordinary text with toxic expressions in it, so their model is a mixture of both, of which MIXTURE is the toxic part; that
+also keeps what all words of a text have in common, as its language, out of the comparison. A document's score is a logistic
+function of the difference of its length-normalised log-likelihoods.
+
+The models are a table of words and pairs that grows with the input. Its most frequent rows, a fixed number at most, are sent to
+all executors with a filter of fixed size; only words and pairs that pass the filter and aren't among these are
+joined to the table.
 """
 
 from __future__ import annotations
@@ -16,122 +21,123 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import RangeHash, batch, byte_codes, crc_remainder, materialise, mix, steps, utf8, words
 
-#: Bytes of a word that its steps hold, before the whole word.
-STEPS = (3, 5, 6, 7, 8, 10)
-#: Bytes of text of a chunk, whose distinct steps are looked up at once.
-CHUNK = 16 << 20
-#: Log-likelihood ratio of a word beyond which it counts as strong.
-STRONG = 1.5
-DISCOUNT = 0.75
+#: What a count loses: a word's of preceding words, and a pair's.
+DISCOUNT, PAIR_DISCOUNT = 0.75, 2.0
+#: Share of toxic expressions in the model of toxic documents.
+MIXTURE = 0.01
+#: Rows of the table that are sent to all executors at most, and bits of the filter as a power of two.
+HEAD, FILTER_BITS = 1 << 20, 27
+#: Bits of the first word in a pair's name; no context; bytes of text that are counted at once.
+CONTEXT_BITS, STEP = 24, 16 << 20
+ALONE = (1 << CONTEXT_BITS) - 1
 #: Labels up to which they are sent to all executors; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Documents, as expected, from which the logistic function is fitted.
 FIT_ROWS = 40_000
 
+_U = np.uint64
 _CODES = byte_codes(8, fold_case=True)
 _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
 class Model(NamedTuple):
-    table: DataFrame  # (step, ratio): log of the toxic over the ordinary chance of a step after the one before
-    weights: np.ndarray  # of the features
+    table: DataFrame  # (step, value): what a word, or a pair beside its word, adds to the log-likelihoods' difference
+    head: tuple[np.ndarray, np.ndarray]  # steps, sorted, and values of the most frequent
+    filter: np.ndarray  # bits of all steps
+    weights: np.ndarray  # of 1 and of asinh(weights[2] * difference), which keeps copies of a labelled text from outweighing all
 
 
-def paths(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of the steps of the words of a step of rows (0: a word has ended), and where each row's words begin.
-
-    Words are without case and outer punctuation.
-    """
+def pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the word pairs that end at each word of a step of rows, and where each row's words begin. The name of a word is in
+    the upper 40 bits, that of the word before it in the others (0: none). Words are without case and outer punctuation."""
     starts, ends, first = words(data, offsets)
-    if len(starts):
-        for _ in range(4):
-            ends = ends - ((ends - starts > 1) & _PUNCTUATION[data[ends - 1]])
-            starts = starts + ((ends - starts > 1) & _PUNCTUATION[data[starts]])
-    hashed = RangeHash(data, _CODES)
-    whole = mix(hashed(starts, ends) + np.uint64(1)) | np.uint64(1)
-    out, ended = [], np.zeros(len(starts), dtype=bool)
-    for length in STEPS:
-        over = ends - starts > length
-        out.append(np.where(over, hashed(starts, np.minimum(starts + length, ends)) | np.uint64(1), np.where(ended, np.uint64(0), whole)))
-        ended = ~over
-    out.append(np.where(ended, np.uint64(0), whole))
-    return out, first
-
-
-def _step_counts(rows: DataFrame) -> DataFrame:
-    """(step, parent, n0, n1) of rows(text, toxic); the first steps' parent is 0."""
-    schema = pa.schema([("step", pa.int64()), ("parent", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
+    live = np.arange(len(starts))
+    while len(live):
+        live = live[ends[live] - starts[live] > 1]
+        tail, head = _PUNCTUATION[data[ends[live] - 1]], _PUNCTUATION[data[starts[live]]]
+        ends[live] -= tail
+        starts[live] += head & (ends[live] - starts[live] > 1)
+        live = live[tail | head]
+    word = RangeHash(data, _CODES)(starts, ends) >> _U(CONTEXT_BITS)
+    before = np.concatenate([[_U(0)], mix(word[:-1]) % _U(ALONE - 1) + _U(1)]) if len(word) else word
+    before[first[:-1][np.diff(first) > 0]] = 0
+    return (word << _U(CONTEXT_BITS)) | before, first
+
+
+def _pair_counts(rows: DataFrame) -> DataFrame:
+    """(pair, n0, n1, m0, m1) of rows(text, toxic, part): counts in ordinary and toxic rows, n of part 0 and m of part 1."""
+    names = ("n0", "n1", "m0", "m1")
+    schema = pa.schema([("pair", pa.int64()), *[(c, pa.int32()) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
             data, offsets = utf8(some.column("text"))
-            toxic = some.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in steps(offsets, 8 << 20):
-                found, first = paths(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                kind = np.repeat(toxic[lo:hi], np.diff(first))
-                parent = np.zeros(len(kind), np.uint64)
-                for step in found:
-                    live = step != 0
-                    value, at, inverse = np.unique(step[live], return_index=True, return_inverse=True)
-                    n1 = np.bincount(inverse, weights=kind[live], minlength=len(value)).astype(np.int64)
-                    n = np.bincount(inverse, minlength=len(value))
-                    yield batch({"step": value.view(np.int64), "parent": parent[live][at].view(np.int64), "n0": n - n1, "n1": n1}, schema)
-                    parent = step
-
-    return rows.select("text", "toxic").mapInArrow(run, "step long, parent long, n0 long, n1 long").groupBy("step", "parent").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def _word_ratios(keys: np.ndarray, ratio: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratio of each word, up to its longest known step (sorted keys), and where each row's words begin."""
-    found, first = paths(data, offsets)
-    out = np.zeros(len(found[0]))
-    if len(keys):
-        left = np.arange(len(out))
-        for step in found:  # a step is known only if those before it are
-            left = left[step[left] != 0]
-            own = step[left].view(np.int64)
-            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            hit = keys[at] == own
-            left, at = left[hit], at[hit]
-            out[left] += ratio[at]
-    return out, first
-
-
-def _features(keys: np.ndarray, ratios: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the rows, their sums of ratios and their numbers of words."""
-    ratio, first = _word_ratios(keys, ratios, data, offsets)
-    n = np.diff(first)
-    total = lambda x: (c := np.concatenate([[0.0], np.cumsum(x)]))[first[1:]] - c[first[:-1]]
-    every, strong = total(ratio), total(np.maximum(ratio - STRONG, 0))
-    words_ = np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), every / words_, every / np.sqrt(words_), strong / words_, strong / np.sqrt(words_)], axis=1), every, n
-
-
-def _table(counts: DataFrame) -> DataFrame:
-    """(step, ratio) of the two models of counts(step, parent, n0, n1)."""
-    root = counts.where("parent = 0").agg(F.sum("n0"), F.sum("n1"), F.count(F.when(F.col("n0") > 0, 1)), F.count(F.when(F.col("n1") > 0, 1))).first()
-    on = counts.where("parent <> 0").groupBy(F.col("parent").alias("step")).agg(F.count("*").alias("ways"), F.count(F.when(F.col("n0") > 0, 1)).alias("t0"), F.count(F.when(F.col("n1") > 0, 1)).alias("t1"))
-    wide = materialise(counts.join(on, "step", "left").fillna({"ways": 1, "t0": 0, "t1": 0}))
-    sums = wide.where("parent <> 0").groupBy("parent").agg(F.sum("ways").alias("all_ways"))
-    above = wide.select(F.col("step").alias("parent"), F.col("n0").alias("b0"), F.col("n1").alias("b1"), F.col("t0").alias("k0"), F.col("t1").alias("k1")).join(sums, "parent")
-    # the first steps share one parent, which is a row of constants and not a join key
-    ways = wide.where("parent = 0").agg(F.sum("ways")).first()[0]
-    top = dict(zip(("b0", "b1", "k0", "k1", "all_ways"), (*root, ways), strict=True))
-    first = wide.where("parent = 0").withColumns({c: F.lit(v or 0).cast("long") for c, v in top.items()})
-    rest = wide.where("parent <> 0").join(above, "parent")
-    shared = F.col("ways") / F.col("all_ways")
-    log = {}
-    for c in "01":
-        chance = F.when(F.col(f"b{c}") > 0, (F.greatest(F.col(f"n{c}") - F.lit(DISCOUNT), F.lit(0.0)) + DISCOUNT * F.col(f"k{c}") * shared) / F.col(f"b{c}")).otherwise(shared)
-        log[c] = F.log(F.greatest(chance, F.lit(1e-12)))
-    both = first.unionByName(rest.select(*first.columns))
-    return materialise(both.select("step", (log["1"] - log["0"]).alias("ratio")))
+            kinds = some.column("toxic").to_numpy(zero_copy_only=False) + 2 * some.column("part").to_numpy(zero_copy_only=False)
+            for lo, hi in steps(offsets, STEP):
+                found, first = pairs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                kind = np.repeat(kinds[lo:hi], np.diff(first))
+                value, inverse = np.unique(found, return_inverse=True)
+                yield batch({"pair": value.view(np.int64), **{c: np.bincount(inverse[kind == k], minlength=len(value)) for k, c in enumerate(names)}}, schema)
+
+    counts = rows.select("text", "toxic", "part").mapInArrow(run, "pair long, n0 int, n1 int, m0 int, m1 int")
+    return counts.groupBy("pair").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _over(count: Column, discount: float) -> Column:
+    return F.greatest(count - F.lit(discount), F.lit(0.0))
+
+
+def probabilities(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of counts(pair, n0, n1): words(word, p0, p1, n), and pairs(pair, word, q0, q1, n) that have more than their discount in a
+    class, with the chances in ordinary and toxic text of a word and of a pair's second word after its first."""
+    counts = counts.where("n0 + n1 > 0").select("pair", "n0", "n1", F.shiftrightunsigned("pair", CONTEXT_BITS).alias("word"), F.col("pair").bitwiseAND(ALONE).alias("before"))
+    known = materialise(counts.groupBy("word").agg(F.count(F.when(F.col("n0") > 0, 1)).alias("c0"), F.count(F.when(F.col("n1") > 0, 1)).alias("c1"), F.sum(F.col("n0") + F.col("n1")).alias("n")))
+    sums = known.agg(F.count("*").alias("v"), *[f(c) for c in ("c0", "c1") for f in (lambda c: F.sum(c).alias(f"{c}_sum"), lambda c: F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_types"))]).first()
+    chance = lambda c: (_over(F.col(c), DISCOUNT) + F.lit(DISCOUNT * sums[f"{c}_types"] / max(sums["v"], 1))) / F.lit(float(sums[f"{c}_sum"])) if sums[f"{c}_sum"] else F.lit(1.0 / max(sums["v"], 1))
+    words_ = known.select("word", chance("c0").alias("p0"), chance("c1").alias("p1"), "n")
+    own = {c: _over(F.col(c), PAIR_DISCOUNT) for c in ("n0", "n1")}
+    contexts = materialise(counts.groupBy("before").agg(F.sum("n0").alias("b0"), F.sum("n1").alias("b1"), F.sum(own["n0"] + own["n1"]).alias("kept")))
+    rest = 1 - F.col("kept") / (F.col("b0") + F.col("b1"))
+    after = lambda c: F.when(F.col(f"b{c}") > 0, own[f"n{c}"] / F.col(f"b{c}")).otherwise(0.0) + rest * F.col(f"p{c}")
+    often = counts.where(f"n0 > {PAIR_DISCOUNT} or n1 > {PAIR_DISCOUNT}").join(contexts, "before").join(words_.drop("n"), "word")
+    return words_, often.select("pair", "word", after("0").alias("q0"), after("1").alias("q1"), "p0", "p1", (F.col("n0") + F.col("n1")).alias("n"))
+
+
+def _place(step: Column) -> Column:
+    """Bit of the filter for a step; places() is the same for arrays."""
+    return F.shiftrightunsigned(step, CONTEXT_BITS).bitwiseXOR(step.bitwiseAND(ALONE) * 40503).bitwiseAND((1 << FILTER_BITS) - 1)
+
+
+def places(step: np.ndarray) -> np.ndarray:
+    return (((step >> _U(CONTEXT_BITS)) ^ ((step & _U(ALONE)) * _U(40503))) & _U((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def model(counts: DataFrame, weights: np.ndarray) -> Model:
+    """The models of counts(pair, n0, n1). In the table a word's step is its name with ALONE."""
+    words_, often = probabilities(counts)
+    gain = lambda a, b: F.log(F.lit(1 - MIXTURE) + F.lit(MIXTURE) * F.col(b) / F.col(a))
+    table = words_.select(F.shiftleft("word", CONTEXT_BITS).bitwiseOR(ALONE).alias("step"), gain("p0", "p1").cast("float").alias("value"), "n")
+    table = materialise(table.unionByName(often.select(F.col("pair").alias("step"), (gain("q0", "q1") - gain("p0", "p1")).cast("float").alias("value"), "n")).withColumn("size", F.floor(8 * F.log2("n")).cast("int")))
+    # the sizes whose rows together are HEAD at most, the greatest first
+    least, left = 1 << 30, HEAD
+    for r in sorted(table.groupBy("size").count().collect(), key=lambda r: -r["size"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["size"]
+    head = table.where(F.col("size") >= least).select("step", "value").toPandas().sort_values("step")
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    at = _place(F.col("step")) + 1  # bitmaps count from 1
+    for r in table.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
+        own = np.frombuffer(r["bits"], np.uint8)
+        bits[(r["bucket"] - 1) * len(own) : r["bucket"] * len(own)] = own
+    return Model(table.where(F.col("size") < least).select("step", "value"), (head["step"].to_numpy(np.int64), head["value"].to_numpy(np.float32)), bits, weights)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -148,6 +154,45 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w / scale
 
 
+def scored(docs: DataFrame, by: Model, carry: str = "doc_id") -> DataFrame:
+    """(carry, ratio, n, score) of each row of docs(carry, text): the log-likelihoods' difference, words, and the score."""
+    shared = docs.sparkSession.sparkContext.broadcast((by.head, by.filter))
+    schema = pa.schema([("row", pa.int64()), (carry, pa.int64()), ("n", pa.int64()), ("value", pa.float64()), ("step", pa.int64()), ("times", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (keys, values), bits = shared.value
+        row = TaskContext.get().partitionId() << 32
+        for rows in batches:
+            data, offsets = utf8(rows.column("text"))
+            for lo, hi in steps(offsets, STEP):
+                found, first = pairs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                size = np.diff(first)
+                of, total = np.repeat(np.arange(hi - lo), size), np.zeros(hi - lo)
+                far = []
+                for step in (found | _U(ALONE), found):
+                    place = places(step)
+                    live = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                    own, inverse = np.unique(step[live].view(np.int64), return_inverse=True)
+                    at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+                    near = keys[at] == own if len(keys) else np.zeros(len(own), dtype=bool)
+                    value = np.where(near, values[at], 0.0) if len(keys) else np.zeros(len(own))
+                    total += np.bincount(of[live], weights=value[inverse], minlength=hi - lo)
+                    far.append((of[live][~near[inverse]], own[inverse][~near[inverse]]))
+                own = np.concatenate([x for x, _ in far]), np.concatenate([x for _, x in far])
+                names, times = np.unique(np.stack(own, axis=1), axis=0, return_counts=True) if len(own[0]) else (np.empty((0, 2), np.int64), np.empty(0, np.int64))
+                m = hi - lo
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(m)), rows.column(carry).slice(lo, m), pa.array(size), pa.array(total), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
+                k = len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(row + names[:, 0]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(names[:, 1]), pa.array(times)], schema=schema)
+                row += m
+
+    both = materialise(docs.select(F.col(carry).cast("long").alias(carry), "text").mapInArrow(run, f"row long, {carry} long, n long, value double, step long, times long"))
+    far = both.where("step is not null").select("row", "step", "times").join(by.table, "step").groupBy("row").agg(F.sum(F.col("value") * F.col("times")).alias("more"))
+    out = both.where("step is null").select("row", carry, "n", "value").join(far, "row", "left").select(carry, (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("ratio"), "n")
+    a, b, c = map(float, by.weights)
+    return out.withColumn("score", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.asinh(F.lit(c) * F.col("ratio") / F.greatest("n", F.lit(1)))))))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Models of the labelled rows that aren't held out. The logistic function is fitted on rows of remainder 4 with models that
     don't count these, so that it sees texts as new ones; the models returned count all. A document with several labels is toxic
@@ -155,71 +200,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.expr("cast(toxic > 0 as int)")).alias("toxic"))
     known = materialise(known.where(crc_remainder() != 0))
     small = known.count() <= BROADCAST_ROWS
-    rows = docs.select("doc_id", "text").where((crc_remainder() != 0) & F.col("text").isNotNull()).join(F.broadcast(known) if small else known, "doc_id")
-    some, others = materialise(_step_counts(rows.where(crc_remainder() != 4))), materialise(_step_counts(rows.where(crc_remainder() == 4)))
+    rows = docs.select("doc_id", "text", F.expr("0").alias("part")).where((crc_remainder() != 0) & F.col("text").isNotNull()).join(F.broadcast(known) if small else known, "doc_id")
+    rows = rows.withColumn("part", F.when(crc_remainder() == 4, 1).otherwise(0))
+    counts = materialise(_pair_counts(rows))
     n = max(1, known.where(crc_remainder() == 4).count())
-    sample = rows.where((crc_remainder() == 4) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, FIT_ROWS / n) * 1_000_000)))
-    weights = np.array([0.0, 1.0, 0.0, 0.0, 0.0])
-    found = _scored(sample, Model(_table(some), weights), "toxic").select("toxic", "features").toPandas()
+    sample = rows.where((F.col("part") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, FIT_ROWS / n) * 1_000_000)))
+    weights = np.array([0.0, 1.0, 1.0])
+    found = scored(sample, model(counts, weights), "toxic").select("toxic", (F.col("ratio") / F.greatest("n", F.lit(1))).alias("mean")).toPandas()
     if found["toxic"].nunique() > 1:
-        weights = _logistic(np.stack(found["features"]), found["toxic"].to_numpy(float))
-    every = some.unionByName(others).groupBy("step", "parent").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    return Model(_table(materialise(every)), weights)
-
-
-def _chunks(docs: DataFrame, carry: str) -> DataFrame:
-    """(chunk, carry, text, step): the rows of docs(carry, text) dealt to chunks (null step), and each chunk's distinct steps."""
-    schema = pa.schema([("chunk", pa.int64()), (carry, pa.int64()), ("text", pa.string()), ("step", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for rows in batches:
-            data, offsets = utf8(rows.column("text"))
-            for lo, hi in steps(offsets, CHUNK):
-                own, seen = rows.slice(lo, hi - lo), np.empty(0, np.uint64)
-                at = offsets[lo : hi + 1]
-                for i, j in steps(at - at[0]):
-                    found, _ = paths(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                    seen = np.union1d(seen, np.unique(np.concatenate(found)))
-                seen = seen[seen != 0].view(np.int64)
-                n, m = hi - lo, len(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), own.column(carry), own.column("text").cast(pa.string()), pa.nulls(n, pa.int64())], schema=schema)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.array(seen)], schema=schema)
-                chunk += 1
-
-    return docs.select(F.col(carry).cast("long").alias(carry), "text").mapInArrow(run, f"chunk long, {carry} long, text string, step long")
-
-
-def _scored(docs: DataFrame, model: Model, carry: str) -> DataFrame:
-    """(carry, features, ratio, n, score) of docs(carry, text)."""
-    weights = model.weights
-    both = materialise(_chunks(docs, carry))
-    known = both.where("step is not null").select(F.col("chunk").alias("of"), "step").join(model.table, "step").select("of", "step", "ratio")
-    schema = pa.schema([(carry, pa.int64()), ("features", pa.list_(pa.float64())), ("ratio", pa.float64()), ("n", pa.int64()), ("score", pa.float64())])
-
-    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
-        keys, ratios = own.column("step").to_numpy(), own.column("ratio").to_numpy()
-        order = np.argsort(keys)
-        keys, ratios = keys[order], ratios[order]
-        out = []
-        data, offsets = utf8(rows.column("text"))
-        names = rows.column(carry).combine_chunks()
-        for lo, hi in steps(offsets):
-            features, ratio, n = _features(keys, ratios, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            score = 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
-            out.append(pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.array(list(features), schema.field("features").type), pa.array(ratio), pa.array(n.astype(np.int64)), pa.array(score)], schema=schema))
-        return pa.Table.from_batches(out, schema)
-
-    texts = both.where("step is null").select("chunk", carry, "text")
-    return texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(run, f"{carry} long, features array<double>, ratio double, n long, score double")
+        scale = 1 / max(np.abs(found["mean"]).median(), 1e-9)
+        weights = np.append(_logistic(np.stack([np.ones(len(found)), np.arcsinh(scale * found["mean"])], axis=1), found["toxic"].to_numpy(float)), scale)
+    return model(counts.select("pair", (F.col("n0") + F.col("m0")).alias("n0"), (F.col("n1") + F.col("m1")).alias("n1")), weights)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, and ratio (log-likelihoods' difference) and n (words).
 
-    Null and empty texts get the score of no evidence. Without labels of both classes the ratio per word is the logistic
-    function's argument. Repeated rows are scored each; extra columns are ignored; empty tables give an empty result.
+    Null and empty texts get the score of no evidence. Without labels of both classes asinh of the ratio per word is the
+    logistic function's argument. Repeated rows are scored each; extra columns are ignored; empty tables give an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = _scored(docs, fit(docs, labels), "doc_id")
+    out = scored(docs, fit(docs, labels))
     return out.select("doc_id", (crc_remainder() == 0).alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"), "ratio", "n")
