@@ -31,7 +31,7 @@ DISCOUNT, PAIR_DISCOUNT = 0.75, 2.0
 #: Share of toxic expressions in the model of toxic documents.
 MIXTURE = 0.01
 #: Rows of the table that are sent to all executors at most, and bits of the filter as a power of two.
-HEAD, FILTER_BITS = 1 << 20, 27
+HEAD, FILTER_BITS = 1 << 20, 26
 #: Bits of the first word in a pair's name; no context; bytes of text that are counted at once.
 CONTEXT_BITS, STEP = 24, 16 << 20
 ALONE = (1 << CONTEXT_BITS) - 1
@@ -47,10 +47,10 @@ _PUNCTUATION[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
 class Model(NamedTuple):
-    table: DataFrame  # (step, value): what a word, or a pair beside its word, adds to the log-likelihoods' difference
-    head: tuple[np.ndarray, np.ndarray]  # steps, sorted, and values of the most frequent
+    tail: DataFrame  # (step, some, all): what a word, or a pair beside its word, adds to the log-likelihoods' difference
+    steps: np.ndarray  # those of the most frequent, sorted
+    values: dict[str, np.ndarray]  # theirs, by the models of some training rows and of all
     filter: np.ndarray  # bits of all steps
-    weights: np.ndarray  # of 1 and of asinh(weights[2] * difference), which keeps copies of a labelled text from outweighing all
 
 
 def pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +71,7 @@ def pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _pair_counts(rows: DataFrame) -> DataFrame:
-    """(pair, n0, n1, m0, m1) of rows(text, toxic, part): counts in ordinary and toxic rows, n of part 0 and m of part 1."""
+    """(pair, n0, n1, m0, m1) of rows(text, toxic, part), for each step of rows: counts in ordinary and toxic rows, n of part 0 and m of part 1."""
     names = ("n0", "n1", "m0", "m1")
     schema = pa.schema([("pair", pa.int64()), *[(c, pa.int32()) for c in names]])
 
@@ -80,33 +80,68 @@ def _pair_counts(rows: DataFrame) -> DataFrame:
             data, offsets = utf8(some.column("text"))
             kinds = some.column("toxic").to_numpy(zero_copy_only=False) + 2 * some.column("part").to_numpy(zero_copy_only=False)
             for lo, hi in steps(offsets, STEP):
-                found, first = pairs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                kind = np.repeat(kinds[lo:hi], np.diff(first))
-                value, inverse = np.unique(found, return_inverse=True)
-                yield batch({"pair": value.view(np.int64), **{c: np.bincount(inverse[kind == k], minlength=len(value)) for k, c in enumerate(names)}}, schema)
+                found, kind, at = [], [], offsets[lo : hi + 1]
+                for i, j in steps(at - at[0]):
+                    own, first = pairs(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                    found.append(own)
+                    kind.append(np.repeat(kinds[lo + i : lo + j].astype(np.uint8), np.diff(first)))
+                found, kind = np.concatenate(found), np.concatenate(kind)
+                order = np.argsort(found)
+                found, kind = found[order], kind[order]
+                new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.empty(0, np.int64)
+                sums = {c: np.add.reduceat(kind == k, new, dtype=np.int32) if len(new) else new.astype(np.int32) for k, c in enumerate(names)}
+                yield batch({"pair": found[new].view(np.int64), **sums}, schema)
 
-    counts = rows.select("text", "toxic", "part").mapInArrow(run, "pair long, n0 int, n1 int, m0 int, m1 int")
-    return counts.groupBy("pair").agg(*[F.sum(c).alias(c) for c in names])
+    return rows.select("text", "toxic", "part").mapInArrow(run, "pair long, n0 int, n1 int, m0 int, m1 int")
 
 
 def _over(count: Column, discount: float) -> Column:
     return F.greatest(count - F.lit(discount), F.lit(0.0))
 
 
-def probabilities(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of counts(pair, n0, n1): words(word, p0, p1, n), and pairs(pair, word, q0, q1, n) that have more than their discount in a
-    class, with the chances in ordinary and toxic text of a word and of a pair's second word after its first."""
-    counts = counts.where("n0 + n1 > 0").select("pair", "n0", "n1", F.shiftrightunsigned("pair", CONTEXT_BITS).alias("word"), F.col("pair").bitwiseAND(ALONE).alias("before"))
-    known = materialise(counts.groupBy("word").agg(F.count(F.when(F.col("n0") > 0, 1)).alias("c0"), F.count(F.when(F.col("n1") > 0, 1)).alias("c1"), F.sum(F.col("n0") + F.col("n1")).alias("n")))
-    sums = known.agg(F.count("*").alias("v"), *[f(c) for c in ("c0", "c1") for f in (lambda c: F.sum(c).alias(f"{c}_sum"), lambda c: F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_types"))]).first()
-    chance = lambda c: (_over(F.col(c), DISCOUNT) + F.lit(DISCOUNT * sums[f"{c}_types"] / max(sums["v"], 1))) / F.lit(float(sums[f"{c}_sum"])) if sums[f"{c}_sum"] else F.lit(1.0 / max(sums["v"], 1))
-    words_ = known.select("word", chance("c0").alias("p0"), chance("c1").alias("p1"), "n")
-    own = {c: _over(F.col(c), PAIR_DISCOUNT) for c in ("n0", "n1")}
-    contexts = materialise(counts.groupBy("before").agg(F.sum("n0").alias("b0"), F.sum("n1").alias("b1"), F.sum(own["n0"] + own["n1"]).alias("kept")))
-    rest = 1 - F.col("kept") / (F.col("b0") + F.col("b1"))
-    after = lambda c: F.when(F.col(f"b{c}") > 0, own[f"n{c}"] / F.col(f"b{c}")).otherwise(0.0) + rest * F.col(f"p{c}")
-    often = counts.where(f"n0 > {PAIR_DISCOUNT} or n1 > {PAIR_DISCOUNT}").join(contexts, "before").join(words_.drop("n"), "word")
-    return words_, often.select("pair", "word", after("0").alias("q0"), after("1").alias("q1"), "p0", "p1", (F.col("n0") + F.col("n1")).alias("n"))
+def _statistics(found: DataFrame) -> DataFrame:
+    """(kind, name, a0, a1, b0, b1, ka, kb, n) of found(pair, n0, n1, m0, m1): a is of part 0 and b of all, 0 of ordinary and 1 of
+    toxic rows. Kind 0 are words with their continuation counts, 1 pairs that have more than their discount, 2 first words with
+    the sums of their pairs and what these keep, in ka and kb. All three come from one shuffle of the pairs by their second word.
+    """
+    counts = found.withColumn("word", F.shiftrightunsigned("pair", CONTEXT_BITS)).repartition("word").groupBy("word", "pair").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "m0", "m1")])
+    counts = counts.select("word", "pair", F.col("n0").alias("a0"), F.col("n1").alias("a1"), (F.col("n0") + F.col("m0")).alias("b0"), (F.col("n1") + F.col("m1")).alias("b1"))
+    kept = lambda x: _over(F.col(f"{x}0"), PAIR_DISCOUNT) + _over(F.col(f"{x}1"), PAIR_DISCOUNT)
+    sides, none = ("a0", "a1", "b0", "b1"), F.lit(0.0)
+    words_ = counts.groupBy("word").agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in sides], F.sum(F.col("b0") + F.col("b1")).alias("n"))
+    often = counts.where(f"b0 > {PAIR_DISCOUNT} or b1 > {PAIR_DISCOUNT}")
+    firsts = counts.groupBy(F.col("pair").bitwiseAND(ALONE).alias("before")).agg(*[F.sum(c).alias(c) for c in sides], F.sum(kept("a")).alias("ka"), F.sum(kept("b")).alias("kb"))
+    out = words_.select(F.lit(0).alias("kind"), F.col("word").alias("name"), *sides, none.alias("ka"), none.alias("kb"), "n")
+    out = out.unionByName(often.select(F.lit(1).alias("kind"), F.col("pair").alias("name"), *sides, none.alias("ka"), none.alias("kb"), (F.col("b0") + F.col("b1")).alias("n")))
+    return out.unionByName(firsts.select(F.lit(2).alias("kind"), F.col("before").alias("name"), *sides, "ka", "kb", F.lit(0).cast("long").alias("n")))
+
+
+def table(found: DataFrame) -> DataFrame:
+    """(step, some, all, n) of found(pair, n0, n1, m0, m1): values by the models of part 0 and of all. A word's step is its name
+    with ALONE, a pair's its name. Words and pairs that a model hasn't got have the value 0 in it."""
+    every = materialise(_statistics(found))
+    words_, often, firsts = (every.where(f"kind = {k}").drop("kind") for k in range(3))
+    sums = words_.agg(*[F.count(F.when(F.col(f"{x}0") + F.col(f"{x}1") > 0, 1)).alias(f"{x}_types") for x in "ab"], *[F.sum(x + c).alias(f"{x}{c}_sum") for x in "ab" for c in "01"], *[F.count(F.when(F.col(x + c) > 0, 1)).alias(f"{x}{c}_types") for x in "ab" for c in "01"]).first()
+
+    def chance(x: str, c: str) -> Column:  # of a word
+        types = max(sums[f"{x}_types"], 1)
+        if not sums[f"{x}{c}_sum"]:
+            return F.lit(1.0 / types)
+        return (_over(F.col(x + c), DISCOUNT) + F.lit(DISCOUNT * sums[f"{x}{c}_types"] / types)) / F.lit(float(sums[f"{x}{c}_sum"]))
+
+    def after(x: str, c: str) -> Column:  # of a pair's second word
+        rest = 1 - F.col(f"k{x}") / (F.col(f"f{x}0") + F.col(f"f{x}1"))
+        return F.when(F.col(f"f{x}{c}") > 0, _over(F.col(x + c), PAIR_DISCOUNT) / F.col(f"f{x}{c}")).otherwise(0.0) + rest * F.col(f"p{x}{c}")
+
+    gain = lambda p, x: F.log(F.lit(1 - MIXTURE) + F.lit(MIXTURE) * p(x, "1") / p(x, "0"))
+    known = lambda x, least: (F.col(f"{x}0") > least) | (F.col(f"{x}1") > least)
+    one = words_.select(F.shiftleft("name", CONTEXT_BITS).bitwiseOR(ALONE).alias("step"), *[F.when(known(x, 0), gain(chance, x)).otherwise(0.0).cast("float").alias(n) for x, n in (("a", "some"), ("b", "all"))], "n")
+    firsts = firsts.select(F.col("name").alias("before"), *[F.col(x + c).alias(f"f{x}{c}") for x in "ab" for c in "01"], "ka", "kb")
+    seconds = words_.select(F.col("name").alias("word"), *[chance(x, c).alias(f"p{x}{c}") for x in "ab" for c in "01"])
+    often = often.drop("ka", "kb").withColumns({"word": F.shiftrightunsigned("name", CONTEXT_BITS), "before": F.col("name").bitwiseAND(ALONE)}).join(firsts, "before").join(seconds, "word")
+    plain = lambda x, c: F.col(f"p{x}{c}")
+    two = often.select(F.col("name").alias("step"), *[F.when(known(x, PAIR_DISCOUNT), gain(after, x) - gain(plain, x)).otherwise(0.0).cast("float").alias(n) for x, n in (("a", "some"), ("b", "all"))], "n")
+    return one.unionByName(two)
 
 
 def _place(step: Column) -> Column:
@@ -118,26 +153,24 @@ def places(step: np.ndarray) -> np.ndarray:
     return (((step >> _U(CONTEXT_BITS)) ^ ((step & _U(ALONE)) * _U(40503))) & _U((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
-def model(counts: DataFrame, weights: np.ndarray) -> Model:
-    """The models of counts(pair, n0, n1). In the table a word's step is its name with ALONE."""
-    words_, often = probabilities(counts)
-    gain = lambda a, b: F.log(F.lit(1 - MIXTURE) + F.lit(MIXTURE) * F.col(b) / F.col(a))
-    table = words_.select(F.shiftleft("word", CONTEXT_BITS).bitwiseOR(ALONE).alias("step"), gain("p0", "p1").cast("float").alias("value"), "n")
-    table = materialise(table.unionByName(often.select(F.col("pair").alias("step"), (gain("q0", "q1") - gain("p0", "p1")).cast("float").alias("value"), "n")).withColumn("size", F.floor(8 * F.log2("n")).cast("int")))
+def model(found: DataFrame) -> Model:
+    """The models of found(pair, n0, n1, m0, m1)."""
+    rows = materialise(table(found).withColumn("size", F.floor(8 * F.log2("n")).cast("int")))
     # the sizes whose rows together are HEAD at most, the greatest first
     least, left = 1 << 30, HEAD
-    for r in sorted(table.groupBy("size").count().collect(), key=lambda r: -r["size"]):
+    for r in sorted(rows.groupBy("size").count().collect(), key=lambda r: -r["size"]):
         left -= r["count"]
         if left < 0:
             break
         least = r["size"]
-    head = table.where(F.col("size") >= least).select("step", "value").toPandas().sort_values("step")
+    head = rows.where(F.col("size") >= least).select("step", "some", "all").toArrow().sort_by("step")
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     at = _place(F.col("step")) + 1  # bitmaps count from 1
-    for r in table.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
-        own = np.frombuffer(r["bits"], np.uint8)
-        bits[(r["bucket"] - 1) * len(own) : r["bucket"] * len(own)] = own
-    return Model(table.where(F.col("size") < least).select("step", "value"), (head["step"].to_numpy(np.int64), head["value"].to_numpy(np.float32)), bits, weights)
+    maps = rows.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toArrow()
+    for bucket, own in zip(maps["bucket"].to_pylist(), maps["bits"], strict=True):
+        own = np.frombuffer(own.as_buffer(), np.uint8)
+        bits[(bucket - 1) * len(own) : bucket * len(own)] = own
+    return Model(rows.where(F.col("size") < least).select("step", "some", "all"), head["step"].to_numpy(), {c: head[c].to_numpy() for c in ("some", "all")}, bits)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -154,17 +187,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w / scale
 
 
-def scored(docs: DataFrame, by: Model, carry: str = "doc_id") -> DataFrame:
-    """(carry, ratio, n, score) of each row of docs(carry, text): the log-likelihoods' difference, words, and the score."""
-    shared = docs.sparkSession.sparkContext.broadcast((by.head, by.filter))
+def scored(docs: DataFrame, by: Model, which: str = "all", carry: str = "doc_id") -> DataFrame:
+    """(carry, ratio, n) of each row of docs(carry, text): the log-likelihoods' difference by the models of some training rows or of
+    all, and words."""
+    shared = docs.sparkSession.sparkContext.broadcast((by.steps, by.values[which], by.filter))
     schema = pa.schema([("row", pa.int64()), (carry, pa.int64()), ("n", pa.int64()), ("value", pa.float64()), ("step", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, values), bits = shared.value
+        keys, values, bits = shared.value
         row = TaskContext.get().partitionId() << 32
         for rows in batches:
             data, offsets = utf8(rows.column("text"))
-            for lo, hi in steps(offsets, STEP):
+            for lo, hi in steps(offsets):
                 found, first = pairs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 size = np.diff(first)
                 of, total = np.repeat(np.arange(hi - lo), size), np.zeros(hi - lo)
@@ -187,30 +221,34 @@ def scored(docs: DataFrame, by: Model, carry: str = "doc_id") -> DataFrame:
                 row += m
 
     both = materialise(docs.select(F.col(carry).cast("long").alias(carry), "text").mapInArrow(run, f"row long, {carry} long, n long, value double, step long, times long"))
-    far = both.where("step is not null").select("row", "step", "times").join(by.table, "step").groupBy("row").agg(F.sum(F.col("value") * F.col("times")).alias("more"))
-    out = both.where("step is null").select("row", carry, "n", "value").join(far, "row", "left").select(carry, (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("ratio"), "n")
-    a, b, c = map(float, by.weights)
-    return out.withColumn("score", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.asinh(F.lit(c) * F.col("ratio") / F.greatest("n", F.lit(1)))))))
+    far = both.where("step is not null").select("row", "step", "times").join(by.tail, "step").groupBy("row").agg(F.sum(F.col(which) * F.col("times")).alias("more"))
+    return both.where("step is null").select("row", carry, "n", "value").join(far, "row", "left").select(carry, (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("ratio"), "n")
+
+
+def _mean() -> Column:
+    return F.col("ratio") / F.greatest("n", F.lit(1))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
     """Models of the labelled rows that aren't held out. The logistic function is fitted on rows of remainder 4 with models that
-    don't count these, so that it sees texts as new ones; the models returned count all. A document with several labels is toxic
+    don't count these, so that it sees texts as new ones; the score's models count all. Beside the models come weights a, b, c: a
+    score is the logistic function of a + b * asinh(c * difference), where asinh keeps copies of a labelled text from outweighing
+    all others. A document with several labels is toxic
     if one is."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.expr("cast(toxic > 0 as int)")).alias("toxic"))
     known = materialise(known.where(crc_remainder() != 0))
     small = known.count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", "text", F.expr("0").alias("part")).where((crc_remainder() != 0) & F.col("text").isNotNull()).join(F.broadcast(known) if small else known, "doc_id")
     rows = rows.withColumn("part", F.when(crc_remainder() == 4, 1).otherwise(0))
-    counts = materialise(_pair_counts(rows))
+    by = model(_pair_counts(rows))
     n = max(1, known.where(crc_remainder() == 4).count())
     sample = rows.where((F.col("part") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, FIT_ROWS / n) * 1_000_000)))
     weights = np.array([0.0, 1.0, 1.0])
-    found = scored(sample, model(counts, weights), "toxic").select("toxic", (F.col("ratio") / F.greatest("n", F.lit(1))).alias("mean")).toPandas()
+    found = scored(sample, by, "some", "toxic").select("toxic", _mean().alias("mean")).toPandas()
     if found["toxic"].nunique() > 1:
         scale = 1 / max(np.abs(found["mean"]).median(), 1e-9)
         weights = np.append(_logistic(np.stack([np.ones(len(found)), np.arcsinh(scale * found["mean"])], axis=1), found["toxic"].to_numpy(float)), scale)
-    return model(counts.select("pair", (F.col("n0") + F.col("m0")).alias("n0"), (F.col("n1") + F.col("m1")).alias("n1")), weights)
+    return by, weights
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -220,5 +258,7 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     logistic function's argument. Repeated rows are scored each; extra columns are ignored; empty tables give an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = scored(docs, fit(docs, labels))
+    by, (a, b, c) = fit(docs, labels)
+    score = 1 / (1 + F.exp(-(F.lit(float(a)) + F.lit(float(b)) * F.asinh(F.lit(float(c)) * _mean()))))
+    out = scored(docs, by).withColumn("score", score)
     return out.select("doc_id", (crc_remainder() == 0).alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"), "ratio", "n")
