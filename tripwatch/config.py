@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import tomllib
+from dataclasses import dataclass, fields
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -29,3 +31,10 @@ class Settings:
         good = 0 < self.alpha_critical < 1 and 0 < self.alpha_suspicious < 1 and self.grace_period > 0 and self.samplesize > 1
         if not (good and self.samplegap >= 0 and self.pi_tolerance >= 0 and 0 <= self.report_level <= 5):
             raise ValueError(f"settings out of range: {self}")
+
+    @classmethod
+    def from_toml(cls, path: str, section: str | None = None) -> Settings:
+        """Settings of a TOML file, or of one of its tables; names that are none of ours are left out."""
+        found = tomllib.loads(Path(path).read_text())
+        found = found.get(section, {}) if section else found
+        return cls(**{f.name: found[f.name] for f in fields(cls) if f.name in found})

@@ -71,6 +71,22 @@ def fragment_text(days: Column, dtype: str) -> Column:
     return days.cast("string") if dtype == "gDay" else F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days), "MM-dd" if dtype == "gMonthDay" else "MM")
 
 
+def literal_text(value: Column, dtype: str | None) -> Column:
+    """The lexical form of the number that stands for a literal of dtype: dates and date fragments as such, others as they are."""
+    name = (dtype or "").removeprefix(XSD)
+    if name in FAMILIES["datetime"]:
+        return date_text(value, name)
+    if name in FAMILIES["datefrag"]:
+        return fragment_text(value.cast("int"), name)
+    whole = name in FAMILIES["numeric"] and name not in CONTINUOUS
+    return (value.cast("long") if whole else value).cast("string")
+
+
+def duration_days(days: Column) -> Column:
+    """Whole days as an ISO 8601 duration."""
+    return F.concat(F.lit("P"), days.cast("long").cast("string"), F.lit("D"))
+
+
 def duration_text(seconds: Column) -> Column:
     """Whole seconds as an ISO 8601 duration of days, hours, minutes and seconds."""
     s = seconds.cast("long")

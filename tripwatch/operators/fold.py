@@ -1,7 +1,7 @@
 """The gated recurrence of one graph: match, check, and learn only from what was accepted. No Spark in here.
 
-A message is a list of rows (stmt_ix, anchor, relation, kind, value, dtype, lang, num), in order of stmt_ix, where dtype is the
-inferred datatype and num the number a literal stands for. `step` takes a state and a message and gives findings; batch replay
+A message is a list of rows (stmt_ix, anchor, relation, kind, value, dtype, lang, num, subject), in order of stmt_ix, where dtype is
+the inferred datatype and num the number a literal stands for. `step` takes a state and a message and gives findings; batch replay
 and streaming share it.
 """
 
@@ -15,14 +15,14 @@ from typing import Any
 import numpy as np
 
 from ..config import Settings
-from ..functions.terms import CONTINUOUS, CRITICAL, ERROR, FAMILIES, INCONSISTENCY, NODATA, NOMINAL, SUSPICIOUS, XSD
+from ..functions.terms import CONTINUOUS, CRITICAL, ERROR, FAMILIES, INCONSISTENCY, NODATA, NOMINAL, RDFS_RESOURCE, SUSPICIOUS, XSD
 
 _CONTINUOUS = {XSD + n for n in CONTINUOUS}
 _DISCRETE = {XSD + n for names in FAMILIES.values() for n in names} - _CONTINUOUS
 _NUMERIC = {XSD + n for n in FAMILIES["numeric"] + FAMILIES["datetime"] + FAMILIES["datefrag"]}
 _STAMPS = {XSD + "dateTime"}
 State = dict[str, Any]
-Finding = tuple[str | None, int | None, str, int]
+Finding = tuple[str | None, int | None, str, int, str]
 
 
 def _value(row: tuple) -> float | str:
@@ -64,20 +64,23 @@ def _data(dist: State) -> list:
     return [v for v, n in dist["counts"].items() for _ in range(n)]
 
 
-def _weak(ap: State, row: tuple) -> bool:
+def _weak(ap: State, row: tuple, classes: dict[str, str]) -> bool:
+    if ap["dist"] is None and ap["kind"] == row[3] == "iri":
+        return classes.get(ap["value"], RDFS_RESOURCE) == classes.get(row[4], RDFS_RESOURCE)
     if ap["dist"] is None:
-        return ap["kind"] == row[3] and (row[3] != "literal" or ap["dtype"] == row[5])
-    return ap["dtype"] == _dtype(row) and (ap["continuous"] is False or row[3] == "literal")
+        return ap["kind"] == row[3] == "literal" and ap["dtype"] == row[5]
+    return row[3] != "bnode" and ap["dtype"] == _dtype(row) and (ap["continuous"] is False or row[3] == "literal")
 
 
 def _match(aps: list[State], rows: list[tuple], all_rows: list[tuple]) -> tuple[list[tuple[State, tuple]], list[tuple]]:
     """Pairs, and the rows that match nothing. Conflicts and lone anchor-relation rows are dropped."""
     times = Counter([(r[1], r[2]) for r in all_rows] + [(a["anchor"], a["relation"]) for a in aps])
+    classes = {r[8]: r[1] for r in all_rows}  # a statement's anchor is the class of its subject
     pairs, rest = [], []
     for r in rows:
         own = [a for a in aps if (a["anchor"], a["relation"]) == (r[1], r[2])]
         n = times[(r[1], r[2])]
-        hits = own if n == 2 else [a for a in own if _weak(a, r)]
+        hits = own if n == 2 else [a for a in own if _weak(a, r, classes)]
         if len(hits) == 1:
             pairs.append((hits[0], r))
         elif not hits and n > 1:
@@ -95,73 +98,76 @@ def interval(data: list[float], p: float) -> tuple[float, float]:
 
 
 def bootstrap(sample: list, population: list, continuous: bool, resamples: int, rng: np.random.Generator) -> list[float]:
-    """One-sided p values of the statistics: mean, spread and median, or the share of each value."""
+    """One-sided p values, how often the population's statistic is the lesser: mean, spread and median, or the share of each value."""
     m = int(0.67 * len(sample))
     if continuous:
         stats = lambda x: np.stack([x.mean(1), x.std(1, ddof=1), np.median(x, 1)], 1)
-        a, b = (stats(np.asarray(s, float)[rng.integers(0, len(s), (resamples, m))]) for s in (sample, population))
+        a, b = (stats(np.asarray(s, float)[rng.integers(0, len(s), (resamples, m))]) for s in (population, sample))
         return (a < b).mean(0).tolist()
-    names = {v: i for i, v in enumerate(dict.fromkeys([*sample, *population]))}
-    sides = [np.array([names[v] for v in s])[rng.integers(0, len(s), (resamples, m))] for s in (sample, population)]
+    names = {v: i for i, v in enumerate(dict.fromkeys([*population, *sample]))}
+    sides = [np.array([names[v] for v in s])[rng.integers(0, len(s), (resamples, m))] for s in (population, sample)]
     shares = [np.stack([(s == i).mean(1) for i in range(len(names))], 1) for s in sides]
     seen = (shares[0] > 0) & (shares[1] > 0)
     return [float((shares[0][:, i] < shares[1][:, i])[seen[:, i]].mean()) if seen[:, i].any() else 0.5 for i in range(len(names))]
 
 
-def _static(ap: State, r: tuple) -> list[tuple[str, int]]:
+def _expected(what: str, expected: object, observed: object) -> str:
+    return f"{what}: expected {expected}, observed {observed}"
+
+
+def _static(ap: State, r: tuple) -> list[tuple[str, int, str]]:
     out = []
     if ap["kind"] != r[3]:
-        out.append(("Resource Type Violation", INCONSISTENCY))
-    if ap["kind"] != "literal":
-        return out + ([("Resource Equality Violation", CRITICAL)] if ap["value"] != r[4] else [])
-    if ap["dtype"] != r[5]:
-        out.append(("Data Type Violation", INCONSISTENCY))
+        out.append(("Resource Type Violation", INCONSISTENCY, _expected("kind of resource", ap["kind"], r[3])))
+    if ap["kind"] == "literal" and ap["dtype"] != r[5]:
+        out.append(("Data Type Violation", INCONSISTENCY, _expected("datatype", ap["dtype"], r[5])))
     if ap["value"] != r[4]:
-        out.append(("Value Equality Violation", CRITICAL))
-    if ap["lang"] and r[6] and ap["lang"] != r[6]:
-        out.append(("Value Language Violation", INCONSISTENCY))
+        out.append(("Value Equality Violation", CRITICAL, _expected("value", f"'{ap['value']}'", f"'{r[4]}'")))
+    if ap["kind"] == "literal" and ap["lang"] and r[6] and ap["lang"] != r[6]:
+        out.append(("Value Language Violation", INCONSISTENCY, _expected("language", ap["lang"], r[6])))
     return out
 
 
-def _distribution(ap: State, r: tuple, graph_id: str, s: Settings) -> list[tuple[str, int]]:
+def _distribution(ap: State, r: tuple, graph_id: str, s: Settings) -> list[tuple[str, int, str]]:
     out, literal = [], r[3] == "literal"
     if (ap["continuous"] or ap["dtype"] != XSD + "anyURI") and not literal:
-        out.append(("Resource Type Violation", CRITICAL))
+        out.append(("Resource Type Violation", CRITICAL, _expected("kind of resource", "literal", r[3])))
     if literal:
         if r[5] not in (_CONTINUOUS if ap["continuous"] else _DISCRETE):
-            out.append(("Distribution Type Violation", INCONSISTENCY))
+            out.append(("Value Type Violation", INCONSISTENCY, _expected("datatype", "a continuous one" if ap["continuous"] else "a discrete one", r[5])))
         if r[5] != ap["dtype"]:
-            out.append(("Data Type Violation", INCONSISTENCY))
+            out.append(("Data Type Violation", INCONSISTENCY, _expected("datatype", ap["dtype"], r[5])))
     counts = ap["dist"]["counts"]
     n = ap["dist"]["n"]
     clean = not out
     if n < 2 * s.samplesize + s.samplegap:
-        out.append(("Insufficient Data", NODATA))
+        out.append(("Insufficient Data", NODATA, _expected("samples", f"{2 * s.samplesize + s.samplegap} or more", n)))
     fluid = not ap["continuous"] and len(counts) > 1 and len(counts) == n
     if fluid or (ap["dtype"] in _STAMPS and not s.evaluate_timestamps) or not clean:
         return out
     value = _value(r)
+    levels = ((s.alpha_critical, CRITICAL, "Critical"), (s.alpha_suspicious, SUSPICIOUS, "Suspicious"))
     if isinstance(value, str):
         if value not in counts:
-            out.append(("Category Violation", CRITICAL))
+            out.append(("Critical Value Violation", CRITICAL, _expected("value", f"one of {len(counts)} known ones", f"'{value}'")))
     elif n >= 100:
-        for alpha, code in ((s.alpha_critical, CRITICAL), (s.alpha_suspicious, SUSPICIOUS)):
+        for alpha, code, name in levels:
             lo, hi = interval(ap["dist"]["sorted"], 1 - alpha)
             by = abs(hi - lo) * s.pi_tolerance
             if value <= lo - by or value > hi + by:
-                out.append(("Prediction Interval Violation", code))
+                out.append((f"{name} Value Violation", code, _expected(f"{1 - alpha:.0%} prediction interval", f"({lo:.3g}, {hi:.3g}] and {by:.3g} beyond", f"'{r[4]}'")))
                 break
     if ap["t"] % (s.samplesize // 2):
         return out
     data = _data(ap["dist"])
     population = data[: -(s.samplesize + s.samplegap)]
-    if population and not (len(out) and out[-1][1] == CRITICAL):
+    if population:  # whatever the value's own finding is
         rng = np.random.default_rng(zlib.crc32(f"{s.seed}:{graph_id}:{ap['id']}:{ap['t']}".encode()))
         p = bootstrap([*data[-s.samplesize :], value], population, ap["continuous"], s.resamples, rng)
-        for alpha, code in ((s.alpha_critical, CRITICAL), (s.alpha_suspicious, SUSPICIOUS)):
+        for alpha, code, name in levels:
             votes = [x < alpha / 2 or x > 1 - alpha / 2 for x in p]
             if (sum(votes) * 2 > len(votes)) if ap["continuous"] else any(votes):
-                out.append(("Goodness Of Fit Violation", code))
+                out.append((f"{name} Pattern Violation", code, _expected(f"last {s.samplesize} values", f"a chance of {alpha} or more", f"{np.mean(p):.2f}")))
                 break
     return out
 
@@ -183,7 +189,7 @@ def _learn(ap: State, r: tuple, s: Settings) -> None:
 
 
 def step(state: State | None, graph_id: str, seq: int, rows: list[tuple], s: Settings) -> tuple[State, list[Finding], int | None]:
-    """The next state, the findings (ap_id, stmt_ix, label, code) and the report's code (None: first message, no report)."""
+    """The next state, the findings (ap_id, stmt_ix, label, code, message) and the report's code (None: first message, no report)."""
     if state is None:
         return {"t": 1, "aps": [_pattern(f"{graph_id}:{seq}:{r[0]}", r, 1) for r in rows], "due": {}}, [], None
     findings: list[Finding] = []
@@ -194,18 +200,19 @@ def step(state: State | None, graph_id: str, seq: int, rows: list[tuple], s: Set
         if s.evaluate_structure and state["t"] >= s.grace_period:
             short, extra = len(pairs) < len(nominal), len(rest) + len(more) > 0
             if (short and (s.match_cwa or s.match_exact)) or (not short and extra and s.match_exact):
-                findings.append((None, None, "Graph Structure Violation", INCONSISTENCY))
+                label = "Exact Match Requirement Violation" if s.match_exact else "Closed-World Assumption Violation"
+                findings.append((None, None, label, INCONSISTENCY, _expected("statements", f"{len(nominal)} that match", f"{len(pairs)} that match and {len(rest) + len(more)} others")))
         if s.evaluate_data:
             for ap, r in pairs:
                 if ap["t"] >= s.grace_period:
                     found = _static(ap, r) if ap["dist"] is None else _distribution(ap, r, graph_id, s)
-                    findings += [(ap["id"], r[0], label, code) for label, code in found]
+                    findings += [(ap["id"], r[0], *f) for f in found]
         code = max((f[3] for f in findings), default=NOMINAL)
         if code in (NOMINAL, NODATA):
             _update(state, graph_id, seq, pairs, more, rest, s)
         return state, findings, code
     except (ValueError, TypeError, ArithmeticError) as e:
-        return state, [(None, None, f"Validation Malfunction: {e}", ERROR)], ERROR
+        return state, [(None, None, f"Validation Malfunction: {e}", ERROR, str(e))], ERROR
 
 
 def _update(state: State, graph_id: str, seq: int, pairs: list, more: list, rest: list, s: Settings) -> None:

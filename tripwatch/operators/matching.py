@@ -6,12 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.literals import inferred
-from ..functions.terms import RDFS_RESOURCE, TYPE
+from ..functions.literals import inferred, numeric
+from ..functions.terms import RDFS_RESOURCE, TYPE, XSD
 
 MESSAGE = ["graph_id", "seq"]
 
 
+def _class_of(resource: Column) -> Column:
+    """The class of a resource by `types`, the message's rdf:type statements in their order; else rdfs:Resource."""
+    own = F.filter("types", lambda t: t["s"] == resource)
+    return F.coalesce(F.get(own, F.lit(0))["o_value"], F.lit(RDFS_RESOURCE))
+
+
+def typed(statements: DataFrame) -> DataFrame:
+    """anchored(statements) with `types`, which tells the class of any resource of the message."""
+    types = F.array_sort(F.collect_list(F.when((F.col("p") == TYPE) & (F.col("o_kind") == "iri"), F.struct("stmt_ix", "s", "o_value"))).over(W.partitionBy(*MESSAGE)))
+    dtype = F.when(F.col("o_kind") == "literal", inferred(F.col("o_value"), F.col("o_dtype"), F.col("o_lang")))
+    return statements.withColumn("types", types).withColumn("anchor", _class_of(F.col("s"))).withColumn("dtype_eff", dtype)
+
+
 def anchored(statements: DataFrame) -> DataFrame:
     """statements with anchor (the class of the subject) and dtype_eff (the inferred datatype of a literal).
 
@@ -35,24 +48,56 @@ def multiplicities(anchored_: DataFrame, patterns: DataFrame) -> DataFrame:
     return stated.join(known, ["graph_id", "anchor", "relation"], "left").select(*MESSAGE, "anchor", "relation", (F.col("stated") + F.coalesce("known", F.lit(0))).alias("ar_count"))
 
 
-def weak_match() -> Column:
-    """Whether a statement and a static pattern of one anchor and relation are of one kind, and literals of one datatype."""
-    return (F.col("o_kind") == F.col("st_kind")) & ((F.col("o_kind") == "iri") | (F.col("dtype_eff") == F.col("st_dtype")))
+def _known(patterns: DataFrame) -> DataFrame:
+    """(graph_id, aps): the patterns of each graph in one row; dist (D or C) and members are null for static ones."""
+    more = {c: F.lit(None).cast(t) for c, t in (("st_dist", "string"), ("st_members", "array<string>"), ("st_lo", "double"), ("st_hi", "double")) if c not in patterns.columns}
+    fields = ["ap_id", "anchor", "relation", "st_kind", "st_value", "st_dtype", "st_dist", "st_members", "st_lo", "st_hi"]
+    return patterns.withColumns(more).groupBy("graph_id").agg(F.collect_list(F.struct(*fields)).alias("aps"))
+
+
+def weak_match(ap: Column) -> Column:
+    """Whether a statement may belong to a pattern of its anchor and relation. Static IRIs need equal classes in the message and
+    literals equal datatypes; a discrete distribution takes IRIs or literals of its datatype, a continuous one literals."""
+    iri, literal = F.col("o_kind") == "iri", F.col("o_kind") == "literal"
+    same = F.col("dtype_eff") == ap["st_dtype"]
+    static = (iri & (ap["st_kind"] == "iri") & (_class_of(F.col("o_value")) == _class_of(ap["st_value"]))) | (literal & (ap["st_kind"] == "literal") & same)
+    spread = (literal & same) | (iri & (ap["st_dist"] == "D") & (ap["st_dtype"] == XSD + "anyURI"))
+    return F.coalesce(F.when(ap["st_dist"].isNull(), static).otherwise(spread), F.lit(False))
 
 
-def matched(anchored_: DataFrame, patterns: DataFrame) -> DataFrame:
+def strong_match(ap: Column) -> Column:
+    """A weak match whose value is the pattern's, among its members, or between its least and greatest sample."""
+    num = numeric(F.col("o_value"), F.col("dtype_eff"))
+    static = (F.col("o_value") == ap["st_value"]) & (F.col("o_kind") == ap["st_kind"])
+    return weak_match(ap) & F.coalesce(F.when(ap["st_dist"] == "C", num.between(ap["st_lo"], ap["st_hi"])).when(ap["st_dist"] == "D", F.array_contains(ap["st_members"], F.col("o_value"))).otherwise(static), F.lit(False))
+
+
+def matched(typed_: DataFrame, patterns: DataFrame) -> DataFrame:
     """Statements with ap_id and outcome: pair (one match), conflict (several; dropped), remainder (none) or novel.
 
     A statement whose anchor and relation occur once here and once in the patterns is a pair whatever its object; where they
-    occur more often the weak match decides; where they have no pattern and one statement it is novel and dropped.
+    occur more often the weak match decides (a strong one is a weak one, too); where they have no pattern and one statement it is
+    novel and dropped. A graph's patterns, which are few, come as one row, so statements are joined once and never
+    multiplied; counts are of the window that gave the classes.
     """
-    counts = multiplicities(anchored_, patterns)
-    with_count = anchored_.withColumn("relation", F.col("p")).join(counts, [*MESSAGE, "anchor", "relation"])
-    joined = with_count.join(patterns, ["graph_id", "anchor", "relation"], "left")
-    good = F.col("ap_id").isNotNull() & ((F.col("ar_count") == 2) | weak_match())
-    each = joined.groupBy(*MESSAGE, "stmt_ix", "anchor", "relation", "ar_count").agg(F.count(F.when(good, 1)).alias("matches"), F.min(F.when(good, F.col("ap_id"))).alias("ap_id"))
+    stated = F.count("*").over(W.partitionBy(*MESSAGE, "anchor", "p"))
+    joined = typed_.withColumn("stated", stated).join(_known(patterns), "graph_id", "left").withColumn("aps", F.filter(F.coalesce("aps", F.array()), lambda a: (a["anchor"] == F.col("anchor")) & (a["relation"] == F.col("p"))))
+    counted = joined.withColumn("ar_count", F.col("stated") + F.size("aps"))
+    good = counted.withColumn("hits", F.filter("aps", lambda a: (F.col("ar_count") == 2) | weak_match(a))).withColumn("matches", F.size("hits").cast("long"))
     outcome = F.when(F.col("ar_count") == 1, "novel").when(F.col("matches") > 1, "conflict").when(F.col("matches") == 1, "pair").otherwise("remainder")
-    return each.withColumn("outcome", outcome).withColumn("ap_id", F.when(F.col("matches") == 1, F.col("ap_id")))
+    one = F.when(F.col("matches") == 1, F.get("hits", F.lit(0))["ap_id"])
+    return good.select(*MESSAGE, "stmt_ix", "s", "anchor", F.col("p").alias("relation"), "o_kind", "o_value", "dtype_eff", "o_lang", "types", "ar_count", "matches", one.alias("ap_id"), outcome.alias("outcome"))
+
+
+def two_stage(typed_: DataFrame, nominal: DataFrame, candidates: DataFrame) -> DataFrame:
+    """matched() by the nominal patterns, then its remainder by the candidates; `stage` is nominal or candidate.
+
+    The second stage counts anchors and relations of the whole message, as the first does.
+    """
+    first = matched(typed_, nominal)
+    left = first.where("outcome = 'remainder'").select(*MESSAGE, "stmt_ix").withColumn("left", F.lit(True))
+    second = matched(typed_, candidates).join(left, [*MESSAGE, "stmt_ix"]).drop("left")
+    return first.where("outcome <> 'remainder'").withColumn("stage", F.lit("nominal")).unionByName(second.withColumn("stage", F.lit("candidate")))
 
 
 def structure_codes(pairs: Column, size: Column, unmatched: Column, cwa: Column, exact: Column) -> Column:

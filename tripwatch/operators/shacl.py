@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.terms import DCT, SH, TYPE, XSD
+from ..functions.terms import DCT, RDF, SH, TYPE, XSD
 
 
 def _row(s: Column, p: str, kind: str, value: Column, dtype: str | None = None) -> Column:
@@ -37,6 +38,38 @@ def binding_sets(statements: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("graph_id").alias("report"), F.col("s").alias("result")).agg(pick("resultMessage").alias("message"), pick("focusNode").alias("focus"), pick("resultPath").alias("path"), pick("value").alias("value"))
 
 
+def shape_statements(patterns: DataFrame, bounds: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """Shapes of patterns(graph_id, ap_id, anchor, relation, st_kind, st_value, st_dtype, st_lang) as statements (graph_id, s, p,
+    o_kind, o_value, o_dtype): a node shape and a property shape for each; a fixed value with its kind, and its language list or
+    datatype. Patterns with a distribution have st_kind null; theirs are bounds(ap_id, min_inclusive, max_inclusive, dtype), lexical
+    forms, or lists(ap_id, pos, member, dtype), sorted members as the cells of a list.
+    """
+    shape, prop, cell = F.concat(F.lit("B"), F.col("ap_id")), F.concat(F.lit("B"), F.col("ap_id"), F.lit("-property")), F.concat(F.lit("B"), F.col("ap_id"), F.lit("-language"))
+    kind = F.col("st_kind")
+    value = F.struct(prop.alias("s"), F.lit(SH + "hasValue").alias("p"), kind.alias("o_kind"), F.col("st_value").alias("o_value"), F.when(kind == "literal", F.col("st_dtype")).alias("o_dtype"))
+    node = F.when(kind == "literal", SH + "Literal").when(kind == "iri", SH + "IRI").otherwise(SH + "BlankNode")
+    spoken, data = (kind == "literal") & F.col("st_lang").isNotNull(), (kind == "literal") & F.col("st_lang").isNull() & F.col("st_dtype").isNotNull()
+    rows = F.array(
+        _row(F.col("graph_id"), DCT + "hasPart", "bnode", shape), _row(shape, TYPE, "iri", F.lit(SH + "NodeShape")), _row(shape, DCT + "identifier", "literal", F.col("ap_id"), "string"),
+        _row(shape, SH + "targetClass", "iri", F.col("anchor")), _row(shape, SH + "targetSubjectsOf", "iri", F.col("relation")), _row(shape, SH + "property", "bnode", prop), _row(prop, SH + "path", "iri", F.col("relation")),
+        F.when(kind.isNotNull(), value), F.when(kind.isNotNull(), _row(prop, SH + "nodeKind", "iri", node)), F.when(data, _row(prop, SH + "datatype", "iri", F.col("st_dtype"))),
+        F.when(spoken, _row(prop, SH + "languageIn", "bnode", cell)), F.when(spoken, _row(cell, TYPE, "iri", F.lit(RDF + "List"))), F.when(spoken, _row(cell, RDF + "first", "literal", F.col("st_lang"), "string")), F.when(spoken, _row(cell, RDF + "rest", "iri", F.lit(RDF + "nil"))),
+    )
+    out = patterns.select("graph_id", F.inline(F.array_compact(rows)))
+    typed = lambda p, v: F.struct(prop.alias("s"), F.lit(SH + p).alias("p"), F.lit("literal").alias("o_kind"), F.col(v).cast("string").alias("o_value"), F.col("dtype").alias("o_dtype"))
+    owner = patterns.select("graph_id", "ap_id")
+    if bounds is not None:
+        out = out.unionByName(owner.join(bounds, "ap_id").select("graph_id", F.inline(F.array(typed("minInclusive", "min_inclusive"), typed("maxInclusive", "max_inclusive")))))
+    if lists is not None:
+        place = lambda n: F.concat(F.lit("B"), F.col("ap_id"), F.lit("-in-"), n.cast("string"))
+        lists = lists.withColumn("last", F.max("pos").over(W.partitionBy("ap_id")))
+        rest = F.when(F.col("pos") == F.col("last"), _row(place(F.col("pos")), RDF + "rest", "iri", F.lit(RDF + "nil"))).otherwise(_row(place(F.col("pos")), RDF + "rest", "bnode", place(F.col("pos") + 1)))
+        member = F.struct(place(F.col("pos")).alias("s"), F.lit(RDF + "first").alias("p"), F.when(F.col("dtype") == XSD + "anyURI", "iri").otherwise("literal").alias("o_kind"), F.col("member").alias("o_value"), F.when(F.col("dtype") != XSD + "anyURI", F.col("dtype")).alias("o_dtype"))
+        head = F.when(F.col("pos") == 0, _row(prop, SH + "in", "bnode", place(F.lit(0)))), F.when(F.col("pos") == 0, _row(place(F.lit(0)), TYPE, "iri", F.lit(RDF + "List")))
+        out = out.unionByName(owner.join(lists, "ap_id").select("graph_id", F.inline(F.array_compact(F.array(*head, member, rest)))))
+    return out
+
+
 def shape_bounds(samples: DataFrame) -> DataFrame:
     """(graph_id, relation, min_inclusive, max_inclusive) of samples(graph_id, relation, num)."""
     return samples.groupBy("graph_id", "relation").agg(F.min("num").alias("min_inclusive"), F.max("num").alias("max_inclusive"))

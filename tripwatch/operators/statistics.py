@@ -63,25 +63,24 @@ def proportions(samples: DataFrame, key: str = "graph_id", value: str = "value")
     return per.join(total, key).select(key, value, (F.col("n") / F.col("total")).alias("share"))
 
 
-def resampled(side: DataFrame, resamples: int, draws: int, key: str = "graph_id") -> DataFrame:
-    """(key, r, mean, sd, median) of `resamples` bootstrap resamples of side(key, ix, n, value), ix from 0 to n - 1.
+def resampled(side: DataFrame, plan: DataFrame, key: str = "graph_id") -> DataFrame:
+    """(key, r, mean, sd, median) of bootstrap resamples of side(key, ix, n, value), ix from 0 to n - 1, as plan(key, resamples,
+    draws) says for each key.
 
     Draw i of resample r takes the sample with index ((A (r draws + i) + B) mod M) mod n, so it is the same everywhere.
     """
-    spark = side.sparkSession
-    grid = spark.range(resamples * draws).select(F.expr(f"id div {draws}").alias("r"), F.expr(f"({LCG_A} * id + {LCG_B}) % {LCG_M}").alias("u"))
-    sizes = side.groupBy(key).agg(F.max("n").alias("n"))
-    picked = sizes.join(grid).select(key, "r", (F.col("u") % F.col("n")).alias("ix"))
+    sizes = side.groupBy(key).agg(F.max("n").alias("n")).join(plan, key)
+    picked = sizes.select(key, "n", "draws", F.explode(F.expr("sequence(0L, resamples * draws - 1)")).alias("id")).select(key, F.expr("id div draws").alias("r"), F.expr(f"({LCG_A} * id + {LCG_B}) % {LCG_M} % n").alias("ix"))
     return picked.join(side.select(key, "ix", "value"), [key, "ix"]).groupBy(key, "r").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.median("value").alias("median"))
 
 
 def bootstrap(sample: DataFrame, population: DataFrame, resamples: int = 1000, share: float = 0.67, key: str = "graph_id") -> DataFrame:
-    """(key, p_mean, p_sd, p_median): how often a resample of the sample has less than one of the population."""
-    draws = int(share * (sample.groupBy(key).count().agg(F.max("count")).first()[0] or 0))
-    a, b = resampled(sample, resamples, max(draws, 1), key), resampled(population, resamples, max(draws, 1), key)
+    """(key, p_mean, p_sd, p_median): how often a resample of the population has less than one of the sample. Each key draws a
+    share of its own sample's size."""
+    plan = sample.groupBy(key).agg(F.greatest(F.floor(F.count("*") * F.lit(share)), F.lit(1)).alias("draws")).withColumn("resamples", F.lit(resamples).cast("long"))
+    a, b = resampled(population, plan, key), resampled(sample, plan, key)
     b = b.select(key, "r", *[F.col(c).alias(f"b_{c}") for c in ("mean", "sd", "median")])
-    both = a.join(b, [key, "r"])
-    return both.groupBy(key).agg(*[F.avg(F.when(F.col(c) < F.col(f"b_{c}"), 1.0).otherwise(0.0)).alias(f"p_{c}") for c in ("mean", "sd", "median")])
+    return a.join(b, [key, "r"]).groupBy(key).agg(*[F.avg(F.when(F.col(c) < F.col(f"b_{c}"), 1.0).otherwise(0.0)).alias(f"p_{c}") for c in ("mean", "sd", "median")])
 
 
 def rejected(alpha: float, *p: Column, every: bool = True) -> Column:

@@ -16,6 +16,7 @@ from ..operators import checks as C
 from ..operators import matching as M
 from ..operators import shacl as K
 from ..operators import statistics as S
+from ..operators import vault as V
 from ..sources import statements as ST
 from . import replay as R
 
@@ -52,15 +53,17 @@ _KINDS = [("obs", T.TYPE, "'iri'", f"'{EX}Observation'", None), ("obs", EX + "ma
           ("res", T.TYPE, "'iri'", f"'{EX}PropertyValue'", None), ("res", EX + "isValueOfProperty", "'iri'", f"'{EX}prop/' || event_type", None), ("res", EX + "hasValue", "'literal'", "CAST(value AS VARCHAR)", "double"), ("res", EX + "isMeasuredIn", "'literal'", "CAST(k AS VARCHAR)", "integer")]
 TR = "tr AS (" + " UNION ALL ".join(f"SELECT graph_id, seq, CAST({i} AS INTEGER) AS stmt_ix, '{EX}{s}/' || event_id AS s, '{p}' AS p, {k} AS o_kind, {v} AS o_value, {f"'{XSD}{d}'" if d else 'CAST(NULL AS VARCHAR)'} AS o_dtype, CAST(NULL AS VARCHAR) AS o_lang FROM ev" for i, (s, p, k, v, d) in enumerate(_KINDS)) + ")"
 AN = f"an AS (SELECT tr.*, coalesce(c.cls, '{T.RDFS_RESOURCE}') AS anchor, CASE WHEN o_kind = 'literal' THEN o_dtype END AS dtype_eff FROM tr LEFT JOIN (SELECT graph_id, seq, s, arg_min(o_value, stmt_ix) AS cls FROM tr WHERE p = '{T.TYPE}' AND o_kind = 'iri' GROUP BY ALL) c USING (graph_id, seq, s))"
+CL = f"cl AS (SELECT graph_id, seq, s, arg_min(o_value, stmt_ix) AS cls FROM tr WHERE p = '{T.TYPE}' AND o_kind = 'iri' GROUP BY ALL)"
 _L = f"'{EX}line/' || l_orderkey || '/' || l_linenumber"
 _O = f"'{EX}order/' || o_orderkey"
-OG = f"""tr AS (
+LI = "li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate) AS place FROM lineitem)"
+OG = f"""{LI}, tr AS (
 SELECT 'o-' || o_orderkey AS graph_id, 0 AS stmt_ix, {_O} AS s, '{T.TYPE}' AS p, 'iri' AS o_kind, '{EX}Order' AS o_value, CAST(NULL AS VARCHAR) AS o_dtype, 1::BIGINT AS seq FROM orders
 UNION ALL SELECT 'o-' || o_orderkey, 1, {_O}, '{EX}status', 'literal', o_orderstatus, '{XSD}string', 1 FROM orders
 UNION ALL SELECT 'o-' || o_orderkey, 2, {_O}, '{EX}total', 'literal', 'x', '{XSD}double', 1 FROM orders
-UNION ALL SELECT 'o-' || l_orderkey, l_linenumber * 3, {_L}, '{T.TYPE}', 'iri', '{EX}Line', NULL, 1 FROM lineitem
-UNION ALL SELECT 'o-' || l_orderkey, l_linenumber * 3 + 1, {_L}, '{EX}quantity', 'literal', 'x', '{XSD}double', 1 FROM lineitem
-UNION ALL SELECT 'o-' || l_orderkey, l_linenumber * 3 + 2, {_L}, '{EX}flag', 'literal', l_returnflag, '{XSD}string', 1 FROM lineitem)"""
+UNION ALL SELECT 'o-' || l_orderkey, place * 3, {_L}, '{T.TYPE}', 'iri', '{EX}Line', NULL, 1 FROM li
+UNION ALL SELECT 'o-' || l_orderkey, place * 3 + 1, {_L}, '{EX}quantity', 'literal', 'x', '{XSD}double', 1 FROM li
+UNION ALL SELECT 'o-' || l_orderkey, place * 3 + 2, {_L}, '{EX}flag', 'literal', l_returnflag, '{XSD}string', 1 FROM li)"""
 
 
 # --- sources, parsing and literals
@@ -146,18 +149,21 @@ def _(spark, d):
     return M.anchored(ST.triplified(_events(spark, d))).select("graph_id", "seq", "stmt_ix", "anchor")
 
 
-_OP = f"op AS (SELECT graph_id, graph_id || ':' || stmt_ix AS ap_id, anchor, p AS relation, o_kind AS st_kind, dtype_eff AS st_dtype FROM an WHERE stmt_ix < 6)"
+_OP = f"op AS (SELECT graph_id, graph_id || ':' || stmt_ix AS ap_id, anchor, p AS relation, o_kind AS st_kind, o_value AS st_value, dtype_eff AS st_dtype FROM an WHERE stmt_ix < 6)"
 _OC = "mc AS (SELECT s.*, s.stated + coalesce(k.known, 0) AS ar_count FROM (SELECT graph_id, seq, anchor, p AS relation, count(*) AS stated FROM an GROUP BY ALL) s LEFT JOIN (SELECT graph_id, anchor, relation, count(*) AS known FROM op GROUP BY ALL) k USING (graph_id, anchor, relation))"
-_MM = """mm AS (SELECT a.graph_id, a.stmt_ix, c.ar_count, count(*) FILTER (WHERE ap_id IS NOT NULL AND (c.ar_count = 2 OR (a.o_kind = op.st_kind AND (a.o_kind = 'iri' OR a.dtype_eff = op.st_dtype)))) AS matches,
-min(ap_id) FILTER (WHERE c.ar_count = 2 OR (a.o_kind = op.st_kind AND (a.o_kind = 'iri' OR a.dtype_eff = op.st_dtype))) AS one
-FROM an a JOIN mc c ON a.graph_id = c.graph_id AND a.anchor = c.anchor AND a.p = c.relation LEFT JOIN op ON op.graph_id = a.graph_id AND op.anchor = a.anchor AND op.relation = a.p GROUP BY ALL)"""
-_MATCH = f"WITH {OG}, {AN}, {_OP}, {_OC}, {_MM}, mo AS (SELECT graph_id, CAST(stmt_ix AS INTEGER) AS stmt_ix, ar_count, CASE WHEN matches = 1 THEN one END AS ap_id, CASE WHEN ar_count = 1 THEN 'novel' WHEN matches > 1 THEN 'conflict' WHEN matches = 1 THEN 'pair' ELSE 'remainder' END AS outcome FROM mm)"
+_CLASS = f"coalesce({{0}}.cls, '{T.RDFS_RESOURCE}')"
+_GOOD = f"(c.ar_count = 2 OR (a.o_kind = op.st_kind AND ((a.o_kind = 'iri' AND {_CLASS.format('co')} = {_CLASS.format('cs')}) OR (a.o_kind = 'literal' AND a.dtype_eff = op.st_dtype))))"
+_MM = f"""mm AS (SELECT a.graph_id, a.stmt_ix, c.ar_count, count(*) FILTER (WHERE ap_id IS NOT NULL AND {_GOOD}) AS matches, min(ap_id) FILTER (WHERE {_GOOD}) AS one
+FROM an a JOIN mc c ON a.graph_id = c.graph_id AND a.anchor = c.anchor AND a.p = c.relation LEFT JOIN op ON op.graph_id = a.graph_id AND op.anchor = a.anchor AND op.relation = a.p
+LEFT JOIN cl co ON co.graph_id = a.graph_id AND co.s = a.o_value LEFT JOIN cl cs ON cs.graph_id = a.graph_id AND cs.s = op.st_value GROUP BY ALL)"""
+_OUT = f"{AN}, {CL}, {_OP}, {_OC}, {_MM}, mo AS (SELECT graph_id, CAST(stmt_ix AS INTEGER) AS stmt_ix, ar_count, CASE WHEN matches = 1 THEN one END AS ap_id, CASE WHEN ar_count = 1 THEN 'novel' WHEN matches > 1 THEN 'conflict' WHEN matches = 1 THEN 'pair' ELSE 'remainder' END AS outcome FROM mm)"
+_MATCH = f"WITH {OG}, {_OUT}"
 
 
-def _order_matches(spark, d):
-    """Each order's graph against the patterns of its head and first line."""
-    a = M.anchored(ST.order_graphs(_table(spark, d, "orders"), _table(spark, d, "lineitem")))
-    return a, M.static_patterns(a.where("stmt_ix < 6"))
+def _order_matches(spark, d, upto: int = 6):
+    """Each order's graph against the patterns of its head and first lines."""
+    a = M.typed(ST.order_graphs(_table(spark, d, "orders"), _table(spark, d, "lineitem")))
+    return a, M.static_patterns(a.where(f"stmt_ix < {upto}"))
 
 
 @_add("anchor_relation_counts", f"WITH {OG}, {AN}, {_OP}, {_OC} SELECT graph_id, anchor, relation, ar_count FROM mc")
@@ -165,16 +171,40 @@ def _(spark, d):
     return M.multiplicities(*_order_matches(spark, d)).select("graph_id", "anchor", "relation", "ar_count")
 
 
-def _outcome(name: str, outcome: str, column: str) -> None:
-    @_add(name, f"{_MATCH} SELECT graph_id, stmt_ix, {column} FROM mo WHERE {outcome}")
+def _outcome(name: str, outcome: str, column: str, upto: int = 6) -> None:
+    @_add(name, f"{_MATCH.replace('stmt_ix < 6', f'stmt_ix < {upto}')} SELECT graph_id, stmt_ix, {column} FROM mo WHERE {outcome}")
     def _(spark, d):
-        return M.matched(*_order_matches(spark, d)).where(outcome).select("graph_id", "stmt_ix", column)
+        return M.matched(*_order_matches(spark, d, upto)).where(outcome).select("graph_id", "stmt_ix", column)
 
 
 _outcome("match_unambiguous", "outcome = 'pair' AND ar_count = 2", "ap_id")
 _outcome("match_weak", "outcome = 'pair' AND ar_count > 2", "ap_id")
-_outcome("match_conflicts", "outcome = 'conflict'", "ar_count")
-_outcome("match_remainder", "outcome IN ('remainder', 'novel')", "outcome")
+_outcome("match_conflicts", "outcome = 'conflict'", "ar_count", 9)  # with the patterns of two lines
+
+_PG = f"""{LI}, tr AS (SELECT 'p-' || l_orderkey AS graph_id, 1::BIGINT AS seq, place * 3 AS stmt_ix, '{EX}order/' || l_orderkey AS s, '{EX}part' AS p, 'iri' AS o_kind, {_L} AS o_value, CAST(NULL AS VARCHAR) AS o_dtype FROM li
+UNION ALL SELECT 'p-' || l_orderkey, 1, place * 3 + 1, {_L}, '{T.TYPE}', 'iri', '{EX}Line', NULL FROM li UNION ALL SELECT 'p-' || l_orderkey, 1, place * 3 + 2, '{EX}order/' || l_orderkey, '{EX}part', 'iri', '{EX}supplier/' || l_suppkey, NULL FROM li)"""
+
+
+@_add("match_remainder", f"WITH {_PG}, {_OUT.replace('stmt_ix < 6', 'stmt_ix < 4')} SELECT graph_id, stmt_ix, outcome FROM mo WHERE outcome IN ('remainder', 'novel')")
+def _(spark, d):
+    """Only a line as part has a pattern: suppliers are left, and so are the lines' types, or they are novel where they are alone."""
+    a = M.typed(ST.part_graphs(_table(spark, d, "lineitem")))
+    return M.matched(a, M.static_patterns(a.where("stmt_ix < 4"))).where("outcome in ('remainder', 'novel')").select("graph_id", "stmt_ix", "outcome")
+
+
+@_add("match_classes", f"WITH {_PG}, {_OUT} SELECT graph_id, stmt_ix, ar_count, ap_id, outcome FROM mo")
+def _(spark, d):
+    """Parts of one relation whose objects have different classes, or none."""
+    a = M.typed(ST.part_graphs(_table(spark, d, "lineitem")))
+    return M.matched(a, M.static_patterns(a.where("stmt_ix < 6"))).select("graph_id", "stmt_ix", "ar_count", "ap_id", "outcome")
+
+
+@_add("checked_pairs", f"WITH {EV}, {TR}, {AN} SELECT a.graph_id, a.seq, a.stmt_ix, 'Value Equality Violation' AS label, 5 AS code FROM an a JOIN an f ON f.graph_id = a.graph_id AND f.seq = 1 AND f.stmt_ix = a.stmt_ix WHERE a.seq > 1 AND a.o_value <> f.o_value")
+def _(spark, d):
+    """Each message's statements, matched with the static patterns of its stream's first message, and checked."""
+    a = M.typed(ST.triplified(_events(spark, d)))
+    patterns = M.static_patterns(a.where("seq = 1"))
+    return C.static_checks(M.matched(a.where("seq > 1"), patterns).where("outcome = 'pair'"), patterns).select("graph_id", "seq", "stmt_ix", "label", "code")
 
 
 @_add("static_vs_dynamic", f"WITH {EV}, {TR} SELECT graph_id, p, count(DISTINCT o_value) AS n_values, count(DISTINCT o_value) = 1 AS is_static FROM tr WHERE p NOT IN ('{EX}hasValue') GROUP BY graph_id, p")
@@ -270,7 +300,7 @@ def interval_codes(events: DataFrame, settings: Settings = Settings()) -> DataFr
     bounds = S.widened(S.intervals(events.where(F.col("seq") <= _FIRST), levels), settings.pi_tolerance)
     wide = bounds.groupBy("graph_id").agg(*[F.max(F.when(F.col("level") == p, F.col(c))).alias(f"{c}{i}") for i, p in enumerate(levels) for c in ("lo", "hi")])
     code = F.when(C.outside(F.col("value"), F.col("lo0"), F.col("hi0")), T.CRITICAL).when(C.outside(F.col("value"), F.col("lo1"), F.col("hi1")), T.SUSPICIOUS).otherwise(T.NOMINAL)
-    return events.where(F.col("seq") > _FIRST).join(wide, "graph_id").select("graph_id", "seq", "event_id", "value", code.alias("code"))
+    return events.where(F.col("seq") > _FIRST).join(wide, "graph_id").select("graph_id", "seq", "event_id", "value", code.alias("code"), *[F.when(code == T.SUSPICIOUS, F.col(f"{c}1")).otherwise(F.col(f"{c}0")).alias(c) for c in ("lo", "hi")])
 
 
 _CODES = f"""WITH {EV}, {_pi('(SELECT * FROM ev WHERE seq <= 100)')}, wb AS (SELECT graph_id, level, lo - abs(hi - lo) * 0.1 AS lo, hi + abs(hi - lo) * 0.1 AS hi FROM pb),
@@ -289,16 +319,18 @@ def _(spark, d):
     return e.where(F.col("seq") > _FIRST).join(known, ["graph_id", "user_id"], "left_anti").select("graph_id", "seq", F.lit(T.CRITICAL).alias("code"))
 
 
-_BAND = f"{_PLACES.replace('k) AS fi', 'value) AS fi').replace('SELECT graph_id, seq, row_number', 'SELECT graph_id, seq, value, row_number')}, sa AS (SELECT graph_id, seq - 1 AS x, value, row_number() OVER (PARTITION BY graph_id ORDER BY seq) - 1 AS ix, count(*) OVER (PARTITION BY graph_id) AS n FROM p WHERE place <= 50), po AS (SELECT graph_id, value, row_number() OVER (PARTITION BY graph_id ORDER BY seq) - 1 AS ix, count(*) OVER (PARTITION BY graph_id) AS n FROM p WHERE place > 60), gr AS (SELECT id // 33 AS r, ({S.LCG_A} * id + {S.LCG_B}) % {S.LCG_M} AS u FROM (SELECT unnest(range(200 * 33)) AS id))"
+# the last value of a stream is the new one, which joins the 50 before it; the oldest are the population
+_BAND = f"{_PLACES.replace('k) AS fi', 'value) AS fi').replace('SELECT graph_id, seq, row_number', 'SELECT graph_id, seq, value, row_number')}, sa AS (SELECT graph_id, value, row_number() OVER (PARTITION BY graph_id ORDER BY seq) - 1 AS ix, count(*) OVER (PARTITION BY graph_id) AS n FROM p WHERE place <= 51), po AS (SELECT graph_id, value, row_number() OVER (PARTITION BY graph_id ORDER BY seq) - 1 AS ix, count(*) OVER (PARTITION BY graph_id) AS n FROM p WHERE place > 61), gr AS (SELECT id // 34 AS r, ({S.LCG_A} * id + {S.LCG_B}) % {S.LCG_M} AS u FROM (SELECT unnest(range(1000 * 34)) AS id))"
 _SIDE = "(SELECT graph_id, r, avg(value) AS m, stddev_samp(value) AS s, median(value) AS d FROM (SELECT graph_id, max(n) AS zn FROM {0} GROUP BY graph_id) z CROSS JOIN gr JOIN {0} USING (graph_id) WHERE {0}.ix = gr.u % zn GROUP BY graph_id, r)"
-_BOOT = f"{_BAND}, bp AS (SELECT graph_id, avg(CASE WHEN a.m < b.m THEN 1.0::DOUBLE ELSE 0.0 END) AS p_mean, avg(CASE WHEN a.s < b.s THEN 1.0::DOUBLE ELSE 0.0 END) AS p_sd, avg(CASE WHEN a.d < b.d THEN 1.0::DOUBLE ELSE 0.0 END) AS p_median FROM {_SIDE.format('sa')} a JOIN {_SIDE.format('po')} b USING (graph_id, r) GROUP BY graph_id)"
+_BOOT = f"{_BAND}, bp AS (SELECT graph_id, avg(CASE WHEN a.m < b.m THEN 1.0::DOUBLE ELSE 0.0 END) AS p_mean, avg(CASE WHEN a.s < b.s THEN 1.0::DOUBLE ELSE 0.0 END) AS p_sd, avg(CASE WHEN a.d < b.d THEN 1.0::DOUBLE ELSE 0.0 END) AS p_median FROM {_SIDE.format('po')} a JOIN {_SIDE.format('sa')} b USING (graph_id, r) GROUP BY graph_id)"
 
 
 def _bootstrap(spark, d):
+    s = Settings()
     placed = S.places(_events(spark, d))
     index = (F.row_number().over(W.partitionBy("graph_id").orderBy("seq")) - 1).cast("long")
     side = lambda rows: rows.withColumn("ix", index).withColumn("n", F.count("*").over(W.partitionBy("graph_id"))).select("graph_id", "ix", "n", "value")
-    return S.bootstrap(side(placed.where("place_from_end <= 50")), side(placed.where("place_from_end > 60")), 200)
+    return S.bootstrap(side(placed.where(F.col("place_from_end") <= s.samplesize + 1)), side(placed.where(F.col("place_from_end") > s.samplesize + s.samplegap + 1)), s.resamples)
 
 
 @_add("bootstrap_pvalues", f"{_BOOT} SELECT graph_id, round(p_mean, 2) AS p_mean, round(p_sd, 2) AS p_sd, round(p_median, 2) AS p_median FROM bp")
@@ -306,9 +338,13 @@ def _(spark, d):
     return _bootstrap(spark, d).select("graph_id", *[F.round(c, 2).alias(c) for c in ("p_mean", "p_sd", "p_median")])
 
 
-@_add("bootstrap_vote", f"{_BOOT} SELECT graph_id, CAST(p_mean < 0.05 OR p_mean > 0.95 AS INTEGER) + CAST(p_sd < 0.05 OR p_sd > 0.95 AS INTEGER) + CAST(p_median < 0.05 OR p_median > 0.95 AS INTEGER) >= 2 AS rejected FROM bp")
+_VOTE = "CAST(p_mean < {0} OR p_mean > 1 - {0} AS INTEGER) + CAST(p_sd < {0} OR p_sd > 1 - {0} AS INTEGER) + CAST(p_median < {0} OR p_median > 1 - {0} AS INTEGER) >= 2"
+
+
+@_add("bootstrap_vote", f"{_BOOT} SELECT graph_id, {_VOTE.format('0.005::DOUBLE')} AS critical, {_VOTE.format('0.025::DOUBLE')} AS suspicious FROM bp")
 def _(spark, d):
-    return _bootstrap(spark, d).select("graph_id", S.rejected(0.1, F.col("p_mean"), F.col("p_sd"), F.col("p_median")).alias("rejected"))
+    p, s = [F.col(c) for c in ("p_mean", "p_sd", "p_median")], Settings()
+    return _bootstrap(spark, d).select("graph_id", S.rejected(s.alpha_critical, *p).alias("critical"), S.rejected(s.alpha_suspicious, *p).alias("suspicious"))
 
 
 # --- checks
@@ -326,7 +362,7 @@ def _(spark, d):
     return o.join(first, "o_custkey").select("o_orderkey", F.inline(found))
 
 
-@_add("semantic_discrete", f"SELECT event_id, label, code FROM (SELECT event_id, unnest([CASE WHEN event_type = 'click' THEN 5 END, CASE WHEN event_type = 'view' THEN 3 END, CASE WHEN event_type NOT IN ('click', 'login') THEN 3 END]) AS code, unnest(['Resource Type Violation', 'Distribution Type Violation', 'Data Type Violation']) AS label FROM events) WHERE code IS NOT NULL")
+@_add("semantic_discrete", f"SELECT event_id, label, code FROM (SELECT event_id, unnest([CASE WHEN event_type = 'click' THEN 5 END, CASE WHEN event_type = 'view' THEN 3 END, CASE WHEN event_type NOT IN ('click', 'login') THEN 3 END]) AS code, unnest(['Resource Type Violation', 'Value Type Violation', 'Data Type Violation']) AS label FROM events) WHERE code IS NOT NULL")
 def _(spark, d):
     t = F.col("event_type")
     dtype = F.when(t == "view", XSD + "double").when(t == "login", XSD + "integer").otherwise(XSD + "string")
@@ -334,7 +370,7 @@ def _(spark, d):
     return _table(spark, d, "events").select("event_id", F.inline(found))
 
 
-@_add("semantic_continuous", f"SELECT event_id, label, code FROM (SELECT event_id, unnest([CASE WHEN event_type = 'click' THEN 5 END, CASE WHEN event_type NOT IN ('click', 'view', 'login') THEN 3 END, CASE WHEN event_type NOT IN ('click', 'view') THEN 3 END]) AS code, unnest(['Resource Type Violation', 'Distribution Type Violation', 'Data Type Violation']) AS label FROM events) WHERE code IS NOT NULL")
+@_add("semantic_continuous", f"SELECT event_id, label, code FROM (SELECT event_id, unnest([CASE WHEN event_type = 'click' THEN 5 END, CASE WHEN event_type NOT IN ('click', 'view', 'login') THEN 3 END, CASE WHEN event_type NOT IN ('click', 'view') THEN 3 END]) AS code, unnest(['Resource Type Violation', 'Value Type Violation', 'Data Type Violation']) AS label FROM events) WHERE code IS NOT NULL")
 def _(spark, d):
     t = F.col("event_type")
     dtype = F.when(t == "view", XSD + "double").when(t == "login", XSD + "float").otherwise(XSD + "string")
@@ -373,7 +409,7 @@ def _shacl(spark, d):
     bad = interval_codes(_events(spark, d)).where("code > 0").join(T.severity_dim(spark), "code")
     rid = F.concat(F.lit("r-"), F.col("event_id"))
     reports = bad.select(rid.alias("report_id"), F.col("seq").alias("report_ts"), F.lit(False).alias("conforms"))
-    found = bad.select(rid.alias("report_id"), F.concat(rid, F.lit("-1")).alias("result_id"), F.lit("Prediction Interval Violation").alias("label"), F.lit("out of range").alias("message"), "severity", F.concat(F.lit(EX + "res/"), F.col("event_id")).alias("focus"), F.lit(EX + "hasValue").alias("path"), F.col("event_id").alias("value"))
+    found = bad.select(rid.alias("report_id"), F.concat(rid, F.lit("-1")).alias("result_id"), F.when(F.col("code") == T.CRITICAL, "Critical Value Violation").otherwise("Suspicious Value Violation").alias("label"), F.concat(F.lit("expected a value within "), F.format_number("lo", 3), F.lit(" and "), F.format_number("hi", 3), F.lit(", observed "), F.col("value").cast("string")).alias("message"), "severity", F.concat(F.lit(EX + "res/"), F.col("event_id")).alias("focus"), F.lit(EX + "hasValue").alias("path"), F.col("event_id").alias("value"))
     return K.report_statements(reports, found)
 
 
@@ -390,7 +426,7 @@ def _(spark, d):
     return K.report_statements(all_, none).where(F.col("p") == T.SH + "conforms").select("graph_id", "p", "o_value")
 
 
-@_add("report_binding_set", f"{_CODES} SELECT 'r-' || event_id AS report, 'r-' || event_id || '-1' AS result, 'Prediction Interval Violation' AS message, '{EX}res/' || event_id AS focus, '{EX}hasValue' AS path, CAST(event_id AS VARCHAR) AS value FROM cd WHERE code > 0")
+@_add("report_binding_set", f"{_CODES} SELECT 'r-' || event_id AS report, 'r-' || event_id || '-1' AS result, CASE WHEN code = 5 THEN 'Critical Value Violation' ELSE 'Suspicious Value Violation' END AS message, '{EX}res/' || event_id AS focus, '{EX}hasValue' AS path, CAST(event_id AS VARCHAR) AS value FROM cd WHERE code > 0")
 def _(spark, d):
     return K.binding_sets(_shacl(spark, d))
 
@@ -408,15 +444,63 @@ def _(spark, d):
 
 
 # --- state
+def _states(spark, d):
+    """A version of a customer's state with each order."""
+    return _table(spark, d, "orders").select(F.concat(F.lit("c-"), F.col("o_custkey")).alias("graph_id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("pattern"))
+
+
 @_add("vault_latest", "SELECT 'c-' || o_custkey AS graph_id, max(o_orderkey) AS version, arg_max(o_orderstatus, o_orderkey) AS pattern FROM orders GROUP BY o_custkey")
 def _(spark, d):
-    return _table(spark, d, "orders").groupBy(F.concat(F.lit("c-"), F.col("o_custkey")).alias("graph_id")).agg(F.max("o_orderkey").alias("version"), F.max_by("o_orderstatus", "o_orderkey").alias("pattern"))
+    return V.latest(_states(spark, d))
 
 
 @_add("vault_prune", "SELECT 'c-' || o_custkey AS graph_id, o_orderkey AS version FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) > 1")
 def _(spark, d):
-    old = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))) > 1
-    return _table(spark, d, "orders").withColumn("old", old).where("old").select(F.concat(F.lit("c-"), F.col("o_custkey")).alias("graph_id"), F.col("o_orderkey").alias("version"))
+    return V.prunable(_states(spark, d)).select("graph_id", "version")
+
+
+@_add("vault_size", "SELECT count(DISTINCT o_custkey) AS keys, count(*) AS versions FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def _(spark, d):
+    gone = _table(spark, d, "customer").where("c_nationkey = 3").select(F.concat(F.lit("c-"), F.col("c_custkey")).alias("graph_id"))
+    return V.size(V.removed(_states(spark, d), gone))
+
+
+@_add("shape_statements", f"WITH {OG}, {AN}, op AS (SELECT graph_id, graph_id || ':' || stmt_ix AS ap_id, anchor, p AS relation, o_kind AS k, CASE WHEN p = '{EX}total' OR p = '{EX}quantity' THEN 'x' ELSE o_value END AS v, dtype_eff AS dt FROM an WHERE stmt_ix < 6) SELECT * FROM (SELECT graph_id, 'B' || ap_id AS s, '{T.TYPE}' AS p, 'iri' AS o_kind, '{T.SH}NodeShape' AS o_value, NULL AS o_dtype FROM op UNION ALL SELECT graph_id, graph_id, '{T.DCT}hasPart', 'bnode', 'B' || ap_id, NULL FROM op UNION ALL SELECT graph_id, 'B' || ap_id, '{T.DCT}identifier', 'literal', ap_id, '{XSD}string' FROM op UNION ALL SELECT graph_id, 'B' || ap_id, '{T.SH}targetClass', 'iri', anchor, NULL FROM op UNION ALL SELECT graph_id, 'B' || ap_id, '{T.SH}targetSubjectsOf', 'iri', relation, NULL FROM op UNION ALL SELECT graph_id, 'B' || ap_id, '{T.SH}property', 'bnode', 'B' || ap_id || '-property', NULL FROM op UNION ALL SELECT graph_id, 'B' || ap_id || '-property', '{T.SH}path', 'iri', relation, NULL FROM op UNION ALL SELECT graph_id, 'B' || ap_id || '-property', '{T.SH}hasValue', k, v, dt FROM op UNION ALL SELECT graph_id, 'B' || ap_id || '-property', '{T.SH}nodeKind', 'iri', CASE WHEN k = 'iri' THEN '{T.SH}IRI' ELSE '{T.SH}Literal' END, NULL FROM op UNION ALL SELECT graph_id, 'B' || ap_id || '-property', '{T.SH}datatype', 'iri', dt, NULL FROM op WHERE k = 'literal')")
+def _(spark, d):
+    a, patterns = _order_matches(spark, d)
+    number = F.col("relation").isin(EX + "total", EX + "quantity")  # their lexical forms aren't the same everywhere
+    return K.shape_statements(patterns.withColumn("st_value", F.when(number, "x").otherwise(F.col("st_value"))))
+
+
+@_add("shape_distributions", f"WITH {EV}, b AS (SELECT graph_id, CAST(min(k) AS VARCHAR) AS lo, CAST(max(k) AS VARCHAR) AS hi FROM ev GROUP BY graph_id), u AS (SELECT *, count(*) OVER (PARTITION BY graph_id) AS n FROM (SELECT graph_id, member, row_number() OVER (PARTITION BY graph_id ORDER BY member) - 1 AS pos FROM (SELECT DISTINCT graph_id, '{EX}user/' || user_id AS member FROM ev))) SELECT graph_id, 'B' || graph_id || ':k-property' AS s, '{T.SH}minInclusive' AS p, 'literal' AS o_kind, lo AS o_value, '{XSD}integer' AS o_dtype FROM b UNION ALL SELECT graph_id, 'B' || graph_id || ':k-property', '{T.SH}maxInclusive', 'literal', hi, '{XSD}integer' FROM b UNION ALL SELECT graph_id, 'B' || graph_id || ':u-in-' || pos, '{T.RDF}first', 'iri', member, NULL FROM u UNION ALL SELECT graph_id, 'B' || graph_id || ':u-in-' || pos, '{T.RDF}rest', CASE WHEN pos = n - 1 THEN 'iri' ELSE 'bnode' END, CASE WHEN pos = n - 1 THEN '{T.RDF}nil' ELSE 'B' || graph_id || ':u-in-' || (pos + 1) END, NULL FROM u UNION ALL SELECT graph_id, 'B' || graph_id || ':u-property', '{T.SH}in', 'bnode', 'B' || graph_id || ':u-in-0', NULL FROM b UNION ALL SELECT graph_id, 'B' || graph_id || ':u-in-0', '{T.TYPE}', 'iri', '{T.RDF}List', NULL FROM b")
+def _(spark, d):
+    """Streams' units as bounds and users as lists, beside the shapes' heads."""
+    e = _events(spark, d)
+    ap = lambda c: F.concat(F.col("graph_id"), F.lit(":" + c)).alias("ap_id")
+    no = F.lit(None).cast("string")
+    owners = e.select("graph_id").distinct()
+    patterns = owners.select("graph_id", ap("k")).unionByName(owners.select("graph_id", ap("u"))).select("*", F.lit(EX).alias("anchor"), F.lit(EX).alias("relation"), *[no.alias(c) for c in ("st_kind", "st_value", "st_dtype", "st_lang")])
+    bounds = e.groupBy("graph_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).select(ap("k"), *[L.literal_text(F.col(c), XSD + "integer").alias(n) for c, n in (("lo", "min_inclusive"), ("hi", "max_inclusive"))], F.lit(XSD + "integer").alias("dtype"))
+    lists = K.shape_lists(e.select("graph_id", F.lit(EX + "madeBy").alias("relation"), F.concat(F.lit(EX + "user/"), F.col("user_id")).alias("str"))).select(ap("u"), "pos", "member", F.lit(XSD + "anyURI").alias("dtype"))
+    heads = [T.DCT + "hasPart", T.SH + "targetClass", T.SH + "targetSubjectsOf", T.SH + "property", T.SH + "path", T.DCT + "identifier"]
+    return K.shape_statements(patterns, bounds, lists).where(~F.col("p").isin(heads) & ~F.col("o_value").isin(T.SH + "NodeShape"))
+
+
+@_add("binding_set_scan", f"SELECT 'ask-suppliers' AS graph_id, CAST(s_nationkey AS BIGINT) AS seq, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS place, '<{EX}supplier/' || s_suppkey || '> <{EX}name> \"' || s_name || '\" .' AS data FROM supplier")
+def _(spark, d):
+    binding = F.struct("s_suppkey", F.create_map(F.lit("s"), F.concat(F.lit(f"<{EX}supplier/"), F.col("s_suppkey"), F.lit(">")), F.lit("name"), F.concat(F.lit('"'), F.col("s_name"), F.lit('"'))).alias("b"))
+    sets = _table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("seq")).agg(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", F.to_json(binding["b"]).alias("b")))), lambda x: x["b"]).alias("all"))
+    raw = sets.select("seq", F.concat(F.lit(f'{{"knowledgeInteractionId": "{EX}kb/ask-suppliers", "bindingSet": ['), F.array_join("all", ","), F.lit("]}")).alias("value"))
+    raw = raw.unionByName(sets.select("seq", F.lit('{"knowledgeInteractionId": "other", "bindingSet": [{"s": "x"}]}').alias("value"))).unionByName(sets.select("seq", F.lit(f'{{"knowledgeInteractionId": "{EX}kb/ask-suppliers", "bindingSet": []}}').alias("value")))
+    return ST.binding_sets(raw, {f"{EX}kb/ask-suppliers": (["?s ex:name ?name ."], {"ex": EX})})
+
+
+@_add("literal_reverse", f"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp, strftime(ts, '%Y-%m-%d') AS day, strftime(DATE '1970-01-01' + CAST(event_id % 365 AS INTEGER), '%m-%d') AS month_day, CAST(k AS VARCHAR) AS whole, 'P' || event_id || 'D' AS days FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+def _(spark, d):
+    s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    as_ = lambda v, dt: L.literal_text(v, XSD + dt)
+    k = F.get_json_object("props", "$.k").cast("double")
+    return _table(spark, d, "events").select("event_id", as_(s, "dateTime").alias("stamp"), as_(s, "date").alias("day"), as_(F.col("event_id") % 365, "gMonthDay").alias("month_day"), as_(k, "integer").alias("whole"), L.duration_days(F.col("event_id")).alias("days"))
 
 
 @_add("generator_anomaly_mask", f"WITH {EV} SELECT graph_id, seq, seq >= 80 AND seq % 80 <= 4 AS value_anomaly, seq > 0 AND seq % 100 = 0 AS unit_anomaly FROM ev")
@@ -433,17 +517,17 @@ def _(spark, d):
 
 @_add("online_fold")
 def _(spark, d):
-    return R.replayed(ST.triplified(_events(spark, d), made_by=False))
+    return R.replayed(ST.triplified(_events(spark, d)))
 
 
 @_add("online_fold_patterns")
 def _(spark, d):
-    return R.learnt(ST.triplified(_events(spark, d), made_by=False))
+    return R.learnt(ST.triplified(_events(spark, d)))
 
 
 @_add("online_fold_reports")
 def _(spark, d):
-    return R.reports(R.replayed(ST.triplified(_events(spark, d), made_by=False)), Settings().report_level)
+    return R.reports(R.replayed(ST.triplified(_events(spark, d))), Settings().report_level)
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:

@@ -14,14 +14,14 @@ from ..functions.literals import numeric
 from ..operators.fold import step
 from ..operators.matching import anchored
 
-FINDINGS = "graph_id string, seq long, g_t long, code int, ap_id string, stmt_ix int, label string, finding int"
+FINDINGS = "graph_id string, seq long, g_t long, code int, ap_id string, stmt_ix int, label string, finding int, message string"
 PATTERNS = "graph_id string, g_t long, ap_id string, anchor string, relation string, status string, ap_t long, freq long, dtype string, samples long"
 
 
 def messages(statements: DataFrame) -> DataFrame:
     """(graph_id, seq, rows): each message as one row, an array of its enriched statements in their order."""
     rich = anchored(statements).withColumn("num", F.when(F.col("o_kind") == "literal", numeric(F.col("o_value"), F.col("dtype_eff"))))
-    row = F.struct("stmt_ix", "anchor", F.col("p").alias("relation"), "o_kind", "o_value", "dtype_eff", "o_lang", "num")
+    row = F.struct("stmt_ix", "anchor", F.col("p").alias("relation"), "o_kind", "o_value", "dtype_eff", "o_lang", "num", "s")
     return rich.groupBy("graph_id", "seq").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
@@ -51,7 +51,7 @@ def replayed(statements: DataFrame, settings: Settings = Settings()) -> DataFram
                     state, graph = None, m.graph_id
                 state, found, code = step(state, graph, int(m.seq), _rows(m.rows), settings)
                 if code is not None:
-                    out += [(graph, m.seq, state["t"], code, *f) for f in found or [(None, None, None, None)]]
+                    out += [(graph, m.seq, state["t"], code, *f) for f in found or [(None,) * 5]]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FINDINGS.split(", ")]).astype({"stmt_ix": "Int32", "finding": "Int32"})
 
     return _in_order(statements).mapInPandas(run, FINDINGS)

@@ -44,6 +44,12 @@ def triplified(events: DataFrame, made_by: bool = True) -> DataFrame:
     return events.select("graph_id", "seq", F.posexplode(F.array(*rows)).alias("stmt_ix", "o")).select("graph_id", "seq", "stmt_ix", "o.*")
 
 
+def placed_lines(lineitem: DataFrame) -> DataFrame:
+    """lineitem with `place`, from 1 within an order; line numbers may repeat."""
+    by = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
+    return lineitem.withColumn("place", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*by)))
+
+
 def order_graphs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """A graph for each order: its type, status and total, and a typed node for each line, whose relations repeat."""
     no = F.lit(None).cast("string")
@@ -53,13 +59,23 @@ def order_graphs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         return F.struct(ix.cast("int").alias("stmt_ix"), s.alias("s"), F.lit(p).alias("p"), F.lit(kind).alias("o_kind"), value.cast("string").alias("o_value"), (F.lit(XSD + dtype) if dtype else no).alias("o_dtype"), no.alias("o_lang"))
 
     head = F.array(row(F.lit(0), order, TYPE, "iri", F.lit(EX + "Order"), None), row(F.lit(1), order, EX + "status", "literal", F.col("o_orderstatus"), "string"), row(F.lit(2), order, EX + "total", "literal", F.col("o_totalprice"), "double"))
-    n = F.col("l_linenumber") * 3
+    n = F.col("place") * 3
     body = F.array(row(n, line, TYPE, "iri", F.lit(EX + "Line"), None), row(n + 1, line, EX + "quantity", "literal", F.col("l_quantity"), "double"), row(n + 2, line, EX + "flag", "literal", F.col("l_returnflag"), "string"))
     a = orders.select(F.concat(F.lit("o-"), F.col("o_orderkey")).alias("graph_id"), F.inline(head))
-    b = lineitem.select(F.concat(F.lit("o-"), F.col("l_orderkey")).alias("graph_id"), F.inline(body))
+    b = placed_lines(lineitem).select(F.concat(F.lit("o-"), F.col("l_orderkey")).alias("graph_id"), F.inline(body))
     return a.unionByName(b).withColumn("seq", F.lit(1).cast("long"))
 
 
+def part_graphs(lineitem: DataFrame) -> DataFrame:
+    """A graph for each order: it has its lines, which are typed nodes, and their suppliers, which aren't, as parts."""
+    no = F.lit(None).cast("string")
+    order, line = F.concat(F.lit(EX + "order/"), F.col("l_orderkey")), F.concat(F.lit(EX + "line/"), F.col("l_orderkey"), F.lit("/"), F.col("l_linenumber"))
+    row = lambda ix, s, p, o: F.struct(ix.cast("int").alias("stmt_ix"), s.alias("s"), F.lit(p).alias("p"), F.lit("iri").alias("o_kind"), o.alias("o_value"), no.alias("o_dtype"), no.alias("o_lang"))
+    n = F.col("place") * 3
+    rows = F.array(row(n, order, EX + "part", line), row(n + 1, line, TYPE, F.lit(EX + "Line")), row(n + 2, order, EX + "part", F.concat(F.lit(EX + "supplier/"), F.col("l_suppkey"))))
+    return placed_lines(lineitem).select(F.concat(F.lit("p-"), F.col("l_orderkey")).alias("graph_id"), F.inline(rows)).withColumn("seq", F.lit(1).cast("long"))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """Statements of messages(graph_id, seq, data), one per line of data; lines that are none are skipped."""
     lines = messages.select("graph_id", "seq", F.posexplode(F.split("data", "\n")).alias("stmt_ix", "line")).where(F.col("line").rlike(_LINE))
@@ -99,7 +115,25 @@ def round_robin(items: DataFrame) -> DataFrame:
     return items.orderBy("ix", "stream")
 
 
-def instantiated(bindings: DataFrame, template: list[str], prefixes: dict[str, str]) -> DataFrame:
+def binding_sets(raw: DataFrame, templates: dict[str, tuple[list[str], dict[str, str]]]) -> DataFrame:
+    """messages of raw(value, seq), JSON objects with knowledgeInteractionId and bindingSet: a message for each binding, whose
+    graph_id is the last part of the id. Objects without either, without bindings or of an unknown id are skipped.
+
+    templates: for each id its lines and prefixes. seq numbers an object's bindings within it, in their order.
+    """
+    got = raw.select("seq", F.from_json("value", "knowledgeInteractionId string, bindingSet array<map<string,string>>").alias("m")).where("m.knowledgeInteractionId is not null and size(m.bindingSet) > 0")
+    each = got.select(F.col("m.knowledgeInteractionId").alias("id"), "seq", F.posexplode("m.bindingSet").alias("place", "binding"))
+    out = None
+    for name, (template, prefixes) in templates.items():  # templates are code, like their lines
+        own = each.where(F.col("id") == name).select(F.lit(name.rsplit("/", 1)[-1]).alias("graph_id"), "seq", "place", "binding")
+        filled = instantiated(own, template, prefixes, ["place"])
+        out = filled if out is None else out.unionByName(filled)
+    if out is None:
+        raise ValueError("no templates")
+    return out
+
+
+def instantiated(bindings: DataFrame, template: list[str], prefixes: dict[str, str], carry: list[str] | None = None) -> DataFrame:
     """messages of bindings(graph_id, seq, binding map<string,string>): template lines with `?name` and `prefix:` replaced.
 
     The template is code, a few lines; it's unrolled into one expression per line, so nothing is joined.
@@ -118,4 +152,4 @@ def instantiated(bindings: DataFrame, template: list[str], prefixes: dict[str, s
             else:
                 parts.append(F.lit(token))
         lines.append(F.concat_ws(" ", *parts))
-    return bindings.select("graph_id", "seq", F.concat_ws("\n", *lines).alias("data"))
+    return bindings.select("graph_id", "seq", *(carry or []), F.concat_ws("\n", *lines).alias("data"))

@@ -26,7 +26,7 @@ def detected(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for m in pdf.sort_values("seq", kind="stable").itertuples():
             state, found, code = step(state, key[0], int(m.seq), _rows(m.rows), settings)
             if code is not None:
-                out += [(key[0], m.seq, state["t"], code, *f) for f in found or [(None, None, None, None)]]
+                out += [(key[0], m.seq, state["t"], code, *f) for f in found or [(None,) * 5]]
         kept.update((dumped(state),))
         yield pd.DataFrame(out, columns=names).astype({"stmt_ix": "Int32", "finding": "Int32"})
 
