@@ -3,9 +3,8 @@
 Candidates are private key blocks, passwords in URLs, values of 6 or more characters that are assigned to a credential's name,
 and runs of 16 or more letters, digits and + / _ = - (dotted ones as a whole) that have a digit or a high entropy. Their
 features are length, kinds of characters and the changes between them, how much is dictionary words, path signs, a known token
-format, and the words beside them. The forest is trained from labelled findings. Where none are given, findings label
-themselves: one of a known format or assigned to a credential's name is a secret, unless it is digits alone, a plain word or an
-expression of code; the others aren't. Fixed examples of each kind are added, so that the forest knows kinds that a table lacks.
+format, and the words beside them. The forest is trained from labelled findings; where none are given, from made-up texts that
+hold secrets of each kind and what looks like them, placeholders and file names after a credential's name among them.
 """
 
 from __future__ import annotations
@@ -28,9 +27,9 @@ from .common import materialise, row_key
 
 #: Findings to train from, as expected when they are drawn by a hash.
 TRAIN_FINDINGS = 20_000
-TREES, DEPTH, SEED = 20, 6, 7
+TREES, DEPTH, SEED = 30, 9, 7
 #: Times that each kind of example is drawn.
-EXAMPLES = 60
+EXAMPLES = 80
 #: Characters before a candidate in which neighbouring words are looked for.
 BEFORE = 32
 
@@ -157,63 +156,64 @@ def findings(docs: DataFrame) -> DataFrame:
     return ready.mapInArrow(run, schema).select(*names, "found.*")
 
 
-def labelled(found: DataFrame) -> DataFrame:
-    """Findings with the label that they give themselves."""
-    return found.withColumn("label", F.expr("cast(known or credential and not digits_only and not plain as double)"))
-
-
-def _examples() -> list[tuple[float, list[float]]]:
-    """Fixed (label, features) of the kinds of secrets and of what looks like them; the label is the finding's own."""
-    draw = random.Random(SEED)
+def examples(seed: int = SEED, times: int = EXAMPLES) -> list[tuple[float, str, str, bool, list[float]]]:
+    """Labelled findings of made-up texts: (label, text, value, what the plain rule says, features). A finding that overlaps the
+    text's secret has label 1, any other one 0; the label comes from how the text was made, not from a feature."""
+    draw = random.Random(seed)
     some = lambda signs, n: "".join(draw.choice(signs) for _ in range(n))
-    low, hexa = string.ascii_lowercase, "0123456789abcdef"
+    low, hexa, plain = string.ascii_lowercase, "0123456789abcdef", string.ascii_letters + string.digits
     word = lambda: draw.choice(_DICTIONARY)
     out = []
-    for _ in range(EXAMPLES):
+    for _ in range(times):
         n = draw.randint(6, 40)
-        values = [some(string.ascii_letters + string.digits + "!@#$%^&*.:-_", n), some(string.ascii_letters + string.digits, n), some(string.ascii_letters, n), some(hexa, draw.choice((32, 40, 64))), "-".join(word() for _ in range(4)), " ".join(word() for _ in range(4)), f"{word().title()}{draw.randint(1, 9999)}!"]
-        name, sign = draw.choice(("password", "api_key", "token", "secret", "passphrase", "auth_token")), draw.choice(("=", ": ", " = "))
-        jwt = f"eyJ{some(string.ascii_letters + string.digits, 33)}.eyJ{some(string.ascii_letters + string.digits, 60)}.{some(string.ascii_letters + string.digits + '-_', 43)}"
-        texts = [f'{name}{sign}"{v}"' for v in values] + [f"{name}{sign}{v}" for v in values[:4]]
-        texts += [f"AKIA{some(string.ascii_uppercase + string.digits, 16)}", jwt, f"postgres://{word()}:{some(string.ascii_letters + string.digits + '!$.', max(n // 2, 6))}@db.example.com/{word()}", f"-----BEGIN RSA PRIVATE KEY-----\\n{some(string.ascii_letters + string.digits + '+/', 128)}\\n-----END RSA PRIVATE KEY-----"]
-        texts += [f"commit {some(hexa, 40)}", f"sha256: {some(hexa, 64)}", f"see {some(string.ascii_letters + string.digits, max(n, 16))} there", f"/usr/{word()}/{word()}/{word()}{draw.randint(1, 99)}.txt", f"{word()}_{word()}_{word()}_{word()}", f"https://www.example.com/{word()}/{word()}-{word()}-{draw.randint(1, 9999)}"]
-        texts += [f"the {name} is {word()}ed here", f"{name}{sign}{word()}", f"{name} = {word()}.{word()}({word()})", f"{name} = ${{{word().upper()}_{word().upper()}}}", f"{name} {some(string.digits, 16)}", some(low, 3) + "-" + "-".join(word() for _ in range(4))]
-        out += [(float(f["known"] or f["credential"] and not f["digits_only"] and not f["plain"]), f["features"]) for t in texts for f in _found(t)]
+        name, sign = draw.choice(("password", "api_key", "token", "secret", "passphrase", "auth_token", "client_secret", "Authorization")), draw.choice(("=", ": ", " = "))
+        # secrets at {}
+        values = [some(plain + "!@#$%^&*.:-_", n), some(plain, n), some(string.ascii_letters, max(n, 10)), some(hexa, draw.choice((32, 40, 64))), "-".join(word() for _ in range(4)), " ".join(word() for _ in range(4)), f"{word().title()}{draw.randint(1, 9999)}!", some(low, 3) + some(string.digits, 3)]
+        jwt = f"eyJ{some(plain, 33)}.eyJ{some(plain, 60)}.{some(plain + '-_', 43)}"
+        pem = f"-----BEGIN RSA PRIVATE KEY-----\n{some(plain + '+/', 64)}\n{some(plain + '+/', 40)}\n-----END RSA PRIVATE KEY-----"
+        good = [(f'{name}{sign}"{{}}"', v) for v in values] + [(f"{name}{sign}{{}} {word()}", v) for v in values[:4]]
+        good += [("use {} now", f"AKIA{some(string.ascii_uppercase + string.digits, 16)}"), ("see {} there", jwt), ("Authorization: Bearer {}", jwt), ("{}", f"ghp_{some(plain, 36)}"), ("key:\n{}\n", pem), (f"postgres://{word()}:{{}}@db.example.com/{word()}", some(plain + "!$.", max(n // 2, 6)))]
+        # what only looks like one
+        bad = [f"commit {some(hexa, 40)}", f"sha256: {some(hexa, 64)}", f"see {some(plain, max(n, 16))} there", f"/usr/{word()}/{word()}/{word()}{draw.randint(1, 99)}.txt", f"{word()}_{word()}_{word()}_{word()}", f"https://www.example.com/{word()}/{word()}-{word()}-{draw.randint(1, 9999)}"]
+        bad += [f"the {name} is {word()}ed here", f"{name}{sign}{word()}", f"{name} = {word()}.{word()}({word()})", f"{name} = {some(low, 2)}.{word()}[{word().upper()}]", f"{name} = {word()}[{word()}]", f"{name} = ${{{word().upper()}_{word().upper()}}}", f"{name} {some(string.digits, 16)}", some(low, 3) + "-" + "-".join(word() for _ in range(4)), f"id={some(hexa, 8)}-{some(hexa, 4)}-{some(hexa, 4)}-{some(hexa, 12)}"]
+        bad += [f'{name}{sign}"{v}"' for v in (f"YOUR_{word().upper()}_{word().upper()}_HERE", "x" * draw.randint(8, 24), "*" * draw.randint(8, 24), f"<{word()}-{word()}>", f"{word().upper()}_{word().upper()}", f"/{word()}/{word()}/{word()}.txt")]
+        for text, value in [*good, *((t, None) for t in bad)]:
+            at = text.index("{}") if value is not None else -1
+            made = text.replace("{}", value) if value is not None else text
+            for f in _found(made):
+                hit = value is not None and f["start"] < at + len(value) and f["start"] + f["length"] > at
+                out.append((float(hit), made, made[f["start"] : f["start"] + f["length"]], f["known"] or f["credential"] and not f["digits_only"] and not f["plain"], f["features"]))
     return out
 
 
-def fit(found: DataFrame, rows: int = TRAIN_FINDINGS, examples: bool = False):
-    """A random forest from findings with `label` and `features`, about `rows` of them (None: not both labels are there), and
-    from the fixed examples if these are wanted."""
+def fit(found: DataFrame, rows: int = TRAIN_FINDINGS):
+    """A random forest from labelled findings (label, features), about `rows` of them; None if both labels aren't there."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     classes = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
-    if len(classes) < 2 and not examples:
+    if len(classes) < 2:
         return None
     share = F.create_map(*[F.lit(x) for label in (0.0, 1.0) for x in (label, int(min(1.0, rows / 2 / classes.get(label, 1)) * 1_000_000))])
-    drawn = found.where(F.pmod(F.xxhash64("value_sha256", "start"), F.lit(1_000_000)) < share[F.col("label")]).select("label", "features")
-    if examples:
-        drawn = drawn.unionByName(found.sparkSession.createDataFrame(_examples(), "label double, features array<double>"))
-    drawn = drawn.select("label", array_to_vector("features").alias("vector"))
+    drawn = found.where(F.pmod(F.xxhash64("features", "label"), F.lit(1_000_000)) < share[F.col("label")]).select("label", array_to_vector("features").alias("vector"))
     return RandomForestClassifier(labelCol="label", featuresCol="vector", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(drawn)
 
 
 def scored(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """findings(docs) with score (the forest's share for a secret) and is_secret (0.5 or more).
 
-    labels: findings with `label` and `features` to train from; default: what the findings of docs say themselves, and
-    the fixed examples. If labels have one class only, the label that a finding gives itself is its score.
+    labels: findings with `label` and `features` to train from, of both labels; default: the labelled examples. Documents never
+    label themselves.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    found = materialise(findings(docs))
-    model = fit(labels) if labels is not None else fit(labelled(found), examples=True)
+    if labels is None:
+        labels = docs.sparkSession.createDataFrame([(label, features) for label, *_, features in examples()], "label double, features array<double>")
+    model = fit(labels)
     if model is None:
-        out = labelled(found).withColumnRenamed("label", "score")
-    else:
-        model.setProbabilityCol("p").setRawPredictionCol("").setPredictionCol("")
-        out = model.transform(found.withColumn("vector", array_to_vector("features"))).withColumn("score", vector_to_array("p")[1])
+        raise ValueError("findings of both labels are needed")
+    model.setProbabilityCol("p").setRawPredictionCol("").setPredictionCol("")
+    out = model.transform(materialise(findings(docs)).withColumn("vector", array_to_vector("features"))).withColumn("score", vector_to_array("p")[1])
     return out.withColumn("is_secret", F.col("score") >= 0.5)
 
 

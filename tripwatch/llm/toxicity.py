@@ -31,7 +31,7 @@ DISCOUNT, PAIR_DISCOUNT = 0.75, 2.0
 #: Share of toxic expressions in the model of toxic documents.
 MIXTURE = 0.01
 #: Rows of the table that are sent to all executors at most, and bits of the filter as a power of two.
-HEAD, FILTER_BITS = 1 << 20, 26
+HEAD, FILTER_BITS = 1 << 22, 26
 #: Bits of the first word in a pair's name; no context; bytes of text that are counted at once.
 CONTEXT_BITS, STEP = 24, 16 << 20
 ALONE = (1 << CONTEXT_BITS) - 1
