@@ -162,17 +162,19 @@ def examples(seed: int = SEED, times: int = EXAMPLES) -> list[tuple[float, str,
     draw = random.Random(seed)
     some = lambda signs, n: "".join(draw.choice(signs) for _ in range(n))
     low, hexa, plain = string.ascii_lowercase, "0123456789abcdef", string.ascii_letters + string.digits
-    word = lambda: draw.choice(_DICTIONARY)
+    # half of the words are unknown to the dictionary
+    word = lambda: draw.choice(_DICTIONARY) if draw.random() < 0.5 else "".join(draw.choice("bcdfghklmnprstvw") + draw.choice("aeiou") + draw.choice(["", "", "n", "r", "s", "t"]) for _ in range(draw.randint(1, 3)))
     out = []
     for _ in range(times):
         n = draw.randint(6, 40)
         name, sign = draw.choice(("password", "api_key", "token", "secret", "passphrase", "auth_token", "client_secret", "Authorization")), draw.choice(("=", ": ", " = "))
         # secrets at {}
-        values = [some(plain + "!@#$%^&*.:-_", n), some(plain, n), some(string.ascii_letters, max(n, 10)), some(hexa, draw.choice((32, 40, 64))), "-".join(word() for _ in range(4)), " ".join(word() for _ in range(4)), f"{word().title()}{draw.randint(1, 9999)}!", some(low, 3) + some(string.digits, 3)]
+        values = [some(plain + "!@#$%^&*.:-_", n), some(plain, n), some(string.ascii_letters, max(n, 16)), some(hexa, draw.choice((32, 40, 64))), "-".join(word() for _ in range(4)), " ".join(word() for _ in range(4)), f"{word().title()}{draw.randint(1, 9999)}!", some(low, 3) + some(string.digits, 3)]
         jwt = f"eyJ{some(plain, 33)}.eyJ{some(plain, 60)}.{some(plain + '-_', 43)}"
         pem = f"-----BEGIN RSA PRIVATE KEY-----\n{some(plain + '+/', 64)}\n{some(plain + '+/', 40)}\n-----END RSA PRIVATE KEY-----"
         good = [(f'{name}{sign}"{{}}"', v) for v in values] + [(f"{name}{sign}{{}} {word()}", v) for v in values[:4]]
         good += [("use {} now", f"AKIA{some(string.ascii_uppercase + string.digits, 16)}"), ("see {} there", jwt), ("Authorization: Bearer {}", jwt), ("{}", f"ghp_{some(plain, 36)}"), ("key:\n{}\n", pem), (f"postgres://{word()}:{{}}@db.example.com/{word()}", some(plain + "!$.", max(n // 2, 6)))]
+        good += [(f"https://{word()}:{{}}@example.org", f"{word()}.{word()}!{word()}"), (f"amqp://{word()}:{{}}@{word()}:5672", f"{word()}{draw.choice('.-_')}{some(low + string.digits, 6)}")]
         # what only looks like one
         bad = [f"commit {some(hexa, 40)}", f"sha256: {some(hexa, 64)}", f"see {some(plain, max(n, 16))} there", f"/usr/{word()}/{word()}/{word()}{draw.randint(1, 99)}.txt", f"{word()}_{word()}_{word()}_{word()}", f"https://www.example.com/{word()}/{word()}-{word()}-{draw.randint(1, 9999)}"]
         bad += [f"the {name} is {word()}ed here", f"{name}{sign}{word()}", f"{name} = {word()}.{word()}({word()})", f"{name} = {some(low, 2)}.{word()}[{word().upper()}]", f"{name} = {word()}[{word()}]", f"{name} = ${{{word().upper()}_{word().upper()}}}", f"{name} {some(string.digits, 16)}", some(low, 3) + "-" + "-".join(word() for _ in range(4)), f"id={some(hexa, 8)}-{some(hexa, 4)}-{some(hexa, 4)}-{some(hexa, 12)}"]
@@ -196,7 +198,7 @@ def fit(found: DataFrame, rows: int = TRAIN_FINDINGS):
         return None
     share = F.create_map(*[F.lit(x) for label in (0.0, 1.0) for x in (label, int(min(1.0, rows / 2 / classes.get(label, 1)) * 1_000_000))])
     drawn = found.where(F.pmod(F.xxhash64("features", "label"), F.lit(1_000_000)) < share[F.col("label")]).select("label", array_to_vector("features").alias("vector"))
-    return RandomForestClassifier(labelCol="label", featuresCol="vector", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(drawn)
+    return RandomForestClassifier(labelCol="label", featuresCol="vector", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="0.7", seed=SEED).fit(drawn)
 
 
 def scored(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
