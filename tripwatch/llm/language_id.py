@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import batch, crc_remainder, materialise, mix, steps, utf8
+from .common import batch, crc_remainder, materialise, mix, releasing, steps, utf8
 
 #: Bytes of an n-gram, slots of the filter as a power of two, and slots probed for an n-gram.
 GRAM, SLOT_BITS, PROBES = 4, 21, 2
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageFilter:
                     value, n = np.unique(np.concatenate([values[start[i] : end[i]] for i in own]), return_counts=True)
                     yield batch({"lang": [lang] * len(value), "gram": value, "n": n}, schema)
 
-    counts = materialise(drawn.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = materialise(drawn.select("lang", "text").mapInArrow(releasing(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals, key=lambda x: (-sizes[x], x))
     if not languages:
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("row").slice(lo, hi - lo), pa.array(langs), pa.array(np.where(good, score, 0.0)), pa.array(np.where(good, known, 0.0))], names=["row", "lang_pred", "lang_score", "lang_known"])
 
     schema = StructType([ready.schema["row"], StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_known", DoubleType())])
-    return ready.mapInArrow(run, schema)
+    return ready.mapInArrow(releasing(run), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, batch, byte_codes, materialise, mix, row_key, steps, utf8, words
+from .common import RangeHash, batch, byte_codes, materialise, mix, releasing, row_key, steps, utf8, words
 from .components import components
 
 #: Words of a shingle; a pair is linked if 100 * shared >= PERCENT * united.
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     keys[row] = own
                 yield pa.RecordBatch.from_arrays([rows.column("rk").slice(lo, hi - lo), rows.column("doc_id").slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(set_id, mask=size == 0), pa.array(keys.tolist(), _SIGNED.field("keys").type)], schema=_SIGNED)
 
-    return docs.select("rk", "doc_id", "text").mapInArrow(run, "rk long, doc_id long, n_shingles long, set_id long, keys array<long>")
+    return docs.select("rk", "doc_id", "text").mapInArrow(releasing(run), "rk long, doc_id long, n_shingles long, set_id long, keys array<long>")
 
 
 def candidate_clusters(sets: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def _sets_of(docs: DataFrame) -> DataFrame:
                 value, first = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 yield pa.RecordBatch.from_arrays([rows.column("set_id").slice(lo, hi - lo), rows.column("cluster").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64)))], names=["set_id", "cluster", "shingles"])
 
-    return docs.select("set_id", "cluster", "text").mapInArrow(run, "set_id long, cluster long, shingles array<long>")
+    return docs.select("set_id", "cluster", "text").mapInArrow(releasing(run), "set_id long, cluster long, shingles array<long>")
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, steps, utf8
+from .common import materialise, releasing, steps, utf8
 
 #: Tokens of a sequence, and the id that ends a document.
 TOKENS, END = 4096, 1
@@ -97,12 +96,6 @@ class WordIds:
         return entry[core.indices.to_numpy(zero_copy_only=False)], mark, ids, np.cumsum(sizes) - sizes, sizes
 
 
-@lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """One for each worker; its size is that of the vocabulary."""
-    return WordIds(path)
-
-
 def _ids(texts: pa.Array, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts in a row, each text's last id END, and where each text's ids begin."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -126,7 +119,7 @@ def pieces(docs: DataFrame, path: str | None = None, tokens: int = TOKENS) -> Da
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
+        words = WordIds(path)  # for this task; a kept one would stay in idle workers
         for rows in batches:
             text = pc.fill_null(rows.column("text"), "")
             doc_id = rows.column("doc_id").to_pylist()
@@ -140,7 +133,7 @@ def pieces(docs: DataFrame, path: str | None = None, tokens: int = TOKENS) -> Da
                         out.append((doc_id[lo + i], piece, start - int(first[i]), end - start, zlib.crc32(raw[4 * start : 4 * end])))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), PIECE_SCHEMA)
 
 
 def lower_bound(lengths: np.ndarray, tokens: int = TOKENS) -> int:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import materialise, row_key
+from .common import materialise, releasing, row_key
 
 #: Findings to train from, as expected when they are drawn by a hash.
 TRAIN_FINDINGS = 20_000
@@ -153,7 +153,7 @@ def findings(docs: DataFrame) -> DataFrame:
             index = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*[rows.column(c).take(index) for c in names], pa.array(found, kind)], names=[*names, "found"])
 
-    return ready.mapInArrow(run, schema).select(*names, "found.*")
+    return ready.mapInArrow(releasing(run), schema).select(*names, "found.*")
 
 
 def examples(seed: int = SEED, times: int = EXAMPLES) -> list[tuple[float, str, str, bool, list[float]]]:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, mix, powers, steps, utf8
+from .common import batch, mix, powers, releasing, steps, utf8
 
 SPACE = "▁"
 #: Bytes of text that are coded at once; words that advance together; characters beyond which a word goes by itself.
@@ -362,7 +362,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32), mask=np.append(null, False)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").slice(lo, hi - lo), rows.column("text").slice(lo, hi - lo), lists], names=["doc_id", "text", "ids"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return _texts(docs).mapInArrow(releasing(run), "doc_id long, text string, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -379,7 +379,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
                 text = pieces(path).decode(ids, first[lo : hi + 1] - first[lo])
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").slice(lo, hi - lo), pc.if_else(lists.slice(lo, hi - lo).is_null(), pa.scalar(None, pa.string()), text)], names=["doc_id", "decoded"])
 
-    return coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, decoded string")
+    return coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(releasing(run), "doc_id long, decoded string")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -400,4 +400,4 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield batch({"doc_id": rows.column("doc_id").slice(lo, hi - lo), "n_ids": np.diff(first), "ids_crc32": crc, "round_trip": pc.or_(same, pa.array(null))}, schema)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    return _texts(docs).mapInArrow(releasing(run), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")

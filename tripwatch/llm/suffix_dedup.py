@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, STEP_BYTES, batch, byte_codes, materialise, row_key, steps, utf8
+from .common import STEP_BYTES, RangeHash, batch, byte_codes, materialise, releasing, row_key, steps, utf8
 
 #: Bytes of a repeat, and of an anchor.
 LENGTH, GRAM = 200, 32
@@ -80,7 +80,7 @@ def segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                 for row, start, windows, anchor, content in _segments_of(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], length, gram):
                     yield batch({"anchor": anchor.view(np.int64), "content": content.view(np.int64), "rk": rk[first + row], "start": start, "windows": windows.astype(np.int32)}, _SEGMENTS)
 
-    return docs.select("rk", "text").mapInArrow(run, "anchor long, content long, rk long, start long, windows int")
+    return docs.select("rk", "text").mapInArrow(releasing(run), "anchor long, content long, rk long, start long, windows int")
 
 
 class RunLengthIndex:
@@ -203,7 +203,7 @@ def indexed_spans(contested: DataFrame, length: int = LENGTH) -> DataFrame:
         if sum(len(x) for x in held):
             yield _judge(pa.Table.from_batches(held), length)
 
-    return contested.select("anchor", "rk", "start", "copies", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "rk long, start long, end long")
+    return contested.select("anchor", "rk", "start", "copies", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(releasing(run), "rk long, start long, end long")
 
 
 def _cut(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def digest(docs: DataFrame) -> DataFrame:
             yield batch(out, schema)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_spans(docs).select("doc_id", F.col("text").cast("binary").alias("raw"), "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs).select("doc_id", F.col("text").cast("binary").alias("raw"), "spans").mapInArrow(releasing(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, batch, byte_codes, crc_remainder, materialise, mix, steps, utf8, words
+from .common import RangeHash, batch, byte_codes, crc_remainder, materialise, mix, releasing, steps, utf8, words
 
 #: What a count loses: a word's of preceding words, and a pair's.
 DISCOUNT, PAIR_DISCOUNT = 0.75, 2.0
@@ -92,7 +92,7 @@ def _pair_counts(rows: DataFrame) -> DataFrame:
                 sums = {c: np.add.reduceat(kind == k, new, dtype=np.int32) if len(new) else new.astype(np.int32) for k, c in enumerate(names)}
                 yield batch({"pair": found[new].view(np.int64), **sums}, schema)
 
-    return rows.select("text", "toxic", "part").mapInArrow(run, "pair long, n0 int, n1 int, m0 int, m1 int")
+    return rows.select("text", "toxic", "part").mapInArrow(releasing(run), "pair long, n0 int, n1 int, m0 int, m1 int")
 
 
 def _over(count: Column, discount: float) -> Column:
@@ -220,7 +220,7 @@ def scored(docs: DataFrame, by: Model, which: str = "all", carry: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(row + names[:, 0]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(names[:, 1]), pa.array(times)], schema=schema)
                 row += m
 
-    both = materialise(docs.select(F.col(carry).cast("long").alias(carry), "text").mapInArrow(run, f"row long, {carry} long, n long, value double, step long, times long"))
+    both = materialise(docs.select(F.col(carry).cast("long").alias(carry), "text").mapInArrow(releasing(run), f"row long, {carry} long, n long, value double, step long, times long"))
     far = both.where("step is not null").select("row", "step", "times").join(by.tail, "step").groupBy("row").agg(F.sum(F.col(which) * F.col("times")).alias("more"))
     return both.where("step is null").select("row", carry, "n", "value").join(far, "row", "left").select(carry, (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("ratio"), "n")
 
