@@ -45,7 +45,7 @@ def test_against_brute_force(spark, monkeypatch, crowd):
 
 
 def test_small_steps(monkeypatch):
-    monkeypatch.setattr(S, "STEP_BYTES", 500)
+    monkeypatch.setattr(S, "STRIP", 500)
     data = np.frombuffer(("q" * 300 + "".join(chr(97 + i * i % 23) for i in range(3000))).encode(), np.uint8)
     got = sorted((int(r), int(s) + i) for r, s, w, _, _ in ((a, b, c, d, e) for x in S._segments_of(data, np.array([0, 100, len(data)]), 200, 32) for a, b, c, d, e in zip(*x)) for i in range(int(w)))
     assert got == [(1, i) for i in range(len(data) - 100 - 199)]

@@ -24,7 +24,7 @@ TOKENS, END = 4096, 1
 #: Pieces that one partition packs at first.
 PIECES = 50_000
 #: Bytes of text that are split into words at once.
-STEP = 16 << 20
+STEP = 5 << 20
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

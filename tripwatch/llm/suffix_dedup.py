@@ -16,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, RangeHash, batch, byte_codes, materialise, releasing, row_key, steps, utf8
+from .common import RangeHash, batch, byte_codes, materialise, releasing, row_key, steps, utf8
 
 #: Bytes of a repeat, and of an anchor.
 LENGTH, GRAM = 200, 32
 #: Distinct segments of one anchor beyond which its windows are dealt out by their content.
 CROWD = 16_384
 #: Bytes that one run-length index covers.
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 19
+#: Bytes of text in which segments are looked for at once.
+STRIP = 1 << 20
 
 _U = np.uint64
 _POS = 22
@@ -44,8 +46,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def _segments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, start in row, windows, anchor, content) of the segments of the rows in one step; long rows go in strips."""
     row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    for lo in range(0, max(1, len(data)), STEP_BYTES):
-        part = data[lo : lo + STEP_BYTES + length - 1]
+    for lo in range(0, max(1, len(data)), STRIP):
+        part = data[lo : lo + STRIP + length - 1]
         if len(part) < length:
             continue
         hashed = RangeHash(part, _CODES)
@@ -76,7 +78,7 @@ def segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         for rows in batches:
             rk = rows.column("rk").to_numpy(zero_copy_only=False)
             data, offsets = utf8(rows.column("text"))
-            for first, last in steps(offsets):
+            for first, last in steps(offsets, STRIP):
                 for row, start, windows, anchor, content in _segments_of(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], length, gram):
                     yield batch({"anchor": anchor.view(np.int64), "content": content.view(np.int64), "rk": rk[first + row], "start": start, "windows": windows.astype(np.int32)}, _SEGMENTS)
 
