@@ -50,7 +50,7 @@ class Model(NamedTuple):
     tail: DataFrame  # (step, some, all): what a word, or a pair beside its word, adds to the log-likelihoods' difference
     steps: np.ndarray  # those of the most frequent, sorted
     values: dict[str, np.ndarray]  # theirs, by the models of some training rows and of all
-    filter: np.ndarray  # bits of all steps
+    filters: tuple[np.ndarray, np.ndarray]  # bits of all steps, and of those in the tail
 
 
 def pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +153,16 @@ def places(step: np.ndarray) -> np.ndarray:
     return (((step >> _U(CONTEXT_BITS)) ^ ((step & _U(ALONE)) * _U(40503))) & _U((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
+def _filter(rows: DataFrame) -> np.ndarray:
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    at = _place(F.col("step")) + 1  # bitmaps count from 1
+    maps = rows.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toArrow()
+    for bucket, own in zip(maps["bucket"].to_pylist(), maps["bits"], strict=True):
+        own = np.frombuffer(own.as_buffer(), np.uint8)
+        bits[(bucket - 1) * len(own) : bucket * len(own)] = own
+    return bits
+
+
 def model(found: DataFrame) -> Model:
     """The models of found(pair, n0, n1, m0, m1)."""
     rows = materialise(table(found).withColumn("size", F.floor(8 * F.log2("n")).cast("int")))
@@ -164,13 +174,7 @@ def model(found: DataFrame) -> Model:
             break
         least = r["size"]
     head = rows.where(F.col("size") >= least).select("step", "some", "all").toArrow().sort_by("step")
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    at = _place(F.col("step")) + 1  # bitmaps count from 1
-    maps = rows.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toArrow()
-    for bucket, own in zip(maps["bucket"].to_pylist(), maps["bits"], strict=True):
-        own = np.frombuffer(own.as_buffer(), np.uint8)
-        bits[(bucket - 1) * len(own) : bucket * len(own)] = own
-    return Model(rows.where(F.col("size") < least).select("step", "some", "all"), head["step"].to_numpy(), {c: head[c].to_numpy() for c in ("some", "all")}, bits)
+    return Model(rows.where(F.col("size") < least).select("step", "some", "all"), head["step"].to_numpy(), {c: head[c].to_numpy() for c in ("some", "all")}, (_filter(rows), _filter(rows.where(F.col("size") < least))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -190,11 +194,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def scored(docs: DataFrame, by: Model, which: str = "all", carry: str = "doc_id") -> DataFrame:
     """(carry, ratio, n) of each row of docs(carry, text): the log-likelihoods' difference by the models of some training rows or of
     all, and words."""
-    shared = docs.sparkSession.sparkContext.broadcast((by.steps, by.values[which], by.filter))
+    shared = docs.sparkSession.sparkContext.broadcast((by.steps, by.values[which], by.filters))
     schema = pa.schema([("row", pa.int64()), (carry, pa.int64()), ("n", pa.int64()), ("value", pa.float64()), ("step", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, bits = shared.value
+        keys, values, (bits, tail) = shared.value
         row = TaskContext.get().partitionId() << 32
         for rows in batches:
             data, offsets = utf8(rows.column("text"))
@@ -211,7 +215,9 @@ def scored(docs: DataFrame, by: Model, which: str = "all", carry: str = "doc_id"
                     near = keys[at] == own if len(keys) else np.zeros(len(own), dtype=bool)
                     value = np.where(near, values[at], 0.0) if len(keys) else np.zeros(len(own))
                     total += np.bincount(of[live], weights=value[inverse], minlength=hi - lo)
-                    far.append((of[live][~near[inverse]], own[inverse][~near[inverse]]))
+                    place = places(own.view(_U))
+                    wanted = (~near & ((tail[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool))[inverse]
+                    far.append((of[live][wanted], own[inverse][wanted]))
                 own = np.concatenate([x for x, _ in far]), np.concatenate([x for _, x in far])
                 names, times = np.unique(np.stack(own, axis=1), axis=0, return_counts=True) if len(own[0]) else (np.empty((0, 2), np.int64), np.empty(0, np.int64))
                 m = hi - lo
