@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,6 +44,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """64 bits that name a row by its id and its text; repeated rows share them."""
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00null")), F.coalesce(F.col(text), F.lit("")))
@@ -95,6 +102,23 @@ class RangeHash:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(_U) * _MIX1)
 
 
+#: Longer words are named by a cryptographic hash: modulo 2^64 long strings can be built that collide for every base.
+LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word of a buffer; with fold A-Z count as a-z, as they must in codes."""
+    out = RangeHash(data, codes)(starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        own = data[starts[i] : ends[i]].tobytes()
+        own = own.translate(_FOLDED) if fold else own
+        out[i] = int.from_bytes(hashlib.blake2b(own, digest_size=8, key=int(codes[0]).to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+_FOLDED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
