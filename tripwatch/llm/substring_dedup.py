@@ -34,7 +34,7 @@ GROUP, BLOCK = 1 << 22, 1 << 16
 #: Cells for each byte of text: eight for each window of average text.
 CELLS_PER_BYTE = 1.25
 #: Bytes of text of a step, and windows that a task counts before it hands them on.
-STEP, FLUSH = 16 << 20, 1 << 22
+STEP, FLUSH = 4 << 20, 1 << 22
 
 _U = np.uint64
 _CODES = (byte_codes(11), byte_codes(1103))
