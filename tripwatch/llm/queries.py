@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, near_dedup, packing, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, url_filter, vector_codes
+from . import conversation_trie, fingerprints, language_id, near_dedup, packing, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, url_filter, vector_codes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -42,9 +46,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filters": op9_url_filters,
         "op10_fingerprints": _over_documents(fingerprints.digest),
         "op11_substring_dedup": _over_documents(substring_dedup.digest),
+        "op12_conversation_trie": op12_conversation_trie,
         "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.oracle_sql(), "op10_fingerprints": fingerprints.oracle_sql(), "op11_substring_dedup": substring_dedup.oracle_sql(), "op13_vector_codes": vector_codes.oracle_sql()}
+    return {"op3_quality_rules": quality_rules.oracle_sql(), "op10_fingerprints": fingerprints.oracle_sql(), "op11_substring_dedup": substring_dedup.oracle_sql(), "op12_conversation_trie": conversation_trie.oracle_sql(), "op13_vector_codes": vector_codes.oracle_sql()}
