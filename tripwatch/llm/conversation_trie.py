@@ -208,7 +208,7 @@ def _shard(rows: list[pa.RecordBatch]) -> Shard:
     return Shard(length, turns, words, ends, low, none, none, none, sha)
 
 
-def _level(paths: DataFrame, last: bool) -> DataFrame:
+def _level(paths: DataFrame, last: bool, shard: int) -> DataFrame:
     """Whole nodes and spine paths, in one table, of sorted paths."""
 
     def written(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def _level(paths: DataFrame, last: bool) -> DataFrame:
             at = np.concatenate([[0], np.cumsum(rows.column("path").value_lengths().to_numpy(zero_copy_only=False))])
             lo = 0
             for hi in range(1, len(rows) + 1):
-                if not last and size + at[hi] - at[lo] >= SHARD and count + hi - lo >= LEAST_ROWS:
+                if not last and size + at[hi] - at[lo] >= shard and count + hi - lo >= LEAST_ROWS:
                     yield from written([*kept, rows.slice(lo, hi - lo)])
                     kept, size, count, lo = [], 0, 0, hi
             if lo < len(rows):
@@ -286,7 +286,7 @@ def member_hashes(ends: DataFrame) -> DataFrame:
     return pieces.repartition("name").sortWithinPartitions("name", "piece").mapInArrow(run, "name string, sha string")
 
 
-def nodes(paths: DataFrame) -> DataFrame:
+def nodes(paths: DataFrame, shard: int = SHARD) -> DataFrame:
     """The nodes of paths(conv, path), see digest."""
     spark = paths.sparkSession
     named = materialise(paths.withColumn("name", F.sha2(F.concat(*[F.to_json(F.transform("path", lambda x: F.base64(x["t"])))]), 256)))
@@ -295,14 +295,14 @@ def nodes(paths: DataFrame) -> DataFrame:
     level = distinct.select(F.col("path.t").alias("path"), F.col("path.w").alias("words"), "ends", "low", "sha").repartitionByRange("path").sortWithinPartitions("path")
     done, rows, last = [], None, False
     while True:
-        got = materialise(_level(level, last))
+        got = materialise(_level(level, last, shard))
         done.append(got.where("k1 is not null").select(_NODES))
         spines = got.where("path is not null").select(_SPINES)
         size = spines.agg(F.count("*").alias("rows"), F.sum(F.size("path")).alias("turns")).first()
         if not size["rows"]:
             break
         # a shard of LEAST_ROWS paths or more leaves two; where hardly any shard has that many, one takes the rest
-        last = size["turns"] <= SHARD or size["rows"] <= 16 or (rows is not None and size["rows"] > 0.7 * rows)
+        last = size["turns"] <= shard or size["rows"] <= 16 or (rows is not None and size["rows"] > 0.7 * rows)
         rows = size["rows"]
         level = (spines.repartition(1) if last else spines.repartitionByRange("path")).sortWithinPartitions("path")
     every = done[0]
@@ -318,7 +318,7 @@ def nodes(paths: DataFrame) -> DataFrame:
     return every.join(above, ["p1", "p2", "depth"], "left").withColumn("parent_conv_id", F.coalesce("parent_conv_id", "parent"))
 
 
-def digest(conversations: DataFrame) -> DataFrame:
+def digest(conversations: DataFrame, shard: int = SHARD) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256), a row for each node.
 
     Null roles and texts count as empty, null turns come first, equal turns go by a hash of role and text, and repeated rows are
@@ -326,7 +326,7 @@ def digest(conversations: DataFrame) -> DataFrame:
     Extra columns don't matter. Very long texts leave the first stage as 16 bytes and a count; a conversation is a unit, 24 bytes
     a turn.
     """
-    return nodes(rebuilt(conversations.select("conv_id", "turn", "role", "text"))).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    return nodes(rebuilt(conversations.select("conv_id", "turn", "role", "text")), shard).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
 def oracle_sql() -> str:

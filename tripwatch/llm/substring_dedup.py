@@ -60,7 +60,7 @@ def _cells(hashes: np.ndarray, cells: int) -> np.ndarray:
     return (hashes >> _U(64 - int(math.log2(cells)))).astype(np.int64)
 
 
-def partition_sketch(cells: np.ndarray) -> pa.RecordBatch:
+def partition_sketch(cells: np.ndarray, group: int) -> pa.RecordBatch:
     """(grp, block, cells) of cell numbers, at most two of each: the blocks that have any, as 16-bit numbers in them."""
     cells = np.sort(cells)
     third = np.zeros(len(cells), bool)
@@ -71,14 +71,14 @@ def partition_sketch(cells: np.ndarray) -> pa.RecordBatch:
     ends = 2 * np.concatenate([begin, [len(cells)]]).astype(np.int32)
     binary = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer((cells % BLOCK).astype(np.uint16))])
     number = block[begin]
-    return pa.RecordBatch.from_arrays([pa.array(number // (GROUP // BLOCK)), pa.array(number), binary], names=["grp", "block", "cells"])
+    return pa.RecordBatch.from_arrays([pa.array(number // (group // BLOCK)), pa.array(number), binary], names=["grp", "block", "cells"])
 
 
-def merged(rows: DataFrame) -> DataFrame:
+def merged(rows: DataFrame, group: int) -> DataFrame:
     """(grp, full) of partition sketches: a bit for each cell of a group that counts more than one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, own = np.zeros(GROUP, np.uint8), None
+        count, own = np.zeros(group, np.uint8), None
         full = lambda: pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([np.packbits(count > 1).tobytes()], pa.binary())], names=["grp", "full"])
         for b in batches:
             groups = b.column("grp").to_numpy()
@@ -90,7 +90,7 @@ def merged(rows: DataFrame) -> DataFrame:
                     count[:] = 0
                 for block, cells in zip(b.column("block").slice(lo, hi - lo).to_pylist(), b.column("cells").slice(lo, hi - lo).to_pylist(), strict=True):
                     got = np.frombuffer(cells, np.uint16)
-                    base = block % (GROUP // BLOCK) * BLOCK
+                    base = block % (group // BLOCK) * BLOCK
                     again = np.zeros(len(got), bool)
                     again[1:] = got[1:] == got[:-1]
                     at = base + got[~again].astype(np.int64)
@@ -102,7 +102,7 @@ def merged(rows: DataFrame) -> DataFrame:
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(releasing(run), "grp long, full binary")
 
 
-def sketch(texts: DataFrame, cells: int, width: int = WINDOW) -> DataFrame:
+def sketch(texts: DataFrame, cells: int, group: int, width: int = WINDOW) -> DataFrame:
     """merged() partition sketches of all windows of texts(text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,20 +116,20 @@ def sketch(texts: DataFrame, cells: int, width: int = WINDOW) -> DataFrame:
                 kept.append(_cells(hashes, cells).astype(np.uint32 if cells <= 1 << 32 else np.int64))
                 n += len(hashes)
                 if n >= FLUSH:
-                    yield partition_sketch(np.concatenate(kept).astype(np.int64))
+                    yield partition_sketch(np.concatenate(kept).astype(np.int64), group)
                     kept, n = [], 0
         if n:
-            yield partition_sketch(np.concatenate(kept).astype(np.int64))
+            yield partition_sketch(np.concatenate(kept).astype(np.int64), group)
 
-    return merged(texts.select("text").mapInArrow(releasing(run), "grp long, block long, cells binary"))
+    return merged(texts.select("text").mapInArrow(releasing(run), "grp long, block long, cells binary"), group)
 
 
-def _bits(rows: list, slice_cells: int) -> np.ndarray:
+def _bits(rows: list, slice_cells: int, group: int) -> np.ndarray:
     """The bits of one slice from its groups' rows; groups without windows have none."""
-    bits, size = np.zeros(slice_cells // 8, np.uint8), GROUP // 8
+    bits, size = np.zeros(slice_cells // 8, np.uint8), group // 8
     for r in rows:
         at = r["grp"] * size % len(bits)
-        bits[at : at + size] = np.frombuffer(r["full"], np.uint8)[: len(bits)]
+        bits[at : at + size] = np.frombuffer(r["full"], np.uint8)
     return bits
 
 
@@ -192,11 +192,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     n_bytes = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = 1 << min(max(20, round(math.log2(max(1, n_bytes) * CELLS_PER_BYTE))), int(math.log2(SLICE * SLICES)))
     parts = max(1, cells // SLICE)
-    counted = materialise(sketch(keyed, cells, width))
+    group = min(GROUP, cells // parts)
+    counted = materialise(sketch(keyed, cells, group, width))
     found = None
     for part in range(parts):
-        mine = counted if parts == 1 else counted.where((F.col("grp") >= part * (SLICE // GROUP)) & (F.col("grp") < (part + 1) * (SLICE // GROUP)))
-        bits = spark.sparkContext.broadcast(_bits(mine.collect(), cells // parts))  # of fixed size: SLICE bits at most
+        mine = counted if parts == 1 else counted.where((F.col("grp") >= part * (SLICE // group)) & (F.col("grp") < (part + 1) * (SLICE // group)))
+        bits = spark.sparkContext.broadcast(_bits(mine.collect(), cells // parts, group))  # of fixed size: SLICE bits at most
         sent = candidates(keyed, bits, part, parts, cells, width)
         lowest = F.min("doc").over(W.partitionBy("h", (F.col("h2_at").bitwiseAND(F.lit(-1 << 32)))))
         judged = sent.withColumn("lowest", lowest).where("run > 0 or doc > lowest")
