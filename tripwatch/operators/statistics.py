@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sequence import order_statistics, placed, running
+from .storage import materialise
+
 LEAST_FOR_INTERVAL = 100
-#: Arithmetic generator of the reproducible bootstrap.
-LCG_A, LCG_B, LCG_M = 48271, 11, 2147483647
+#: Buckets of rank in which a draw looks for its value.
+RANK_BUCKETS = 1024
 
 
 def multiset(samples: DataFrame, key: str = "graph_id", value: str = "value") -> DataFrame:
@@ -17,10 +20,10 @@ def multiset(samples: DataFrame, key: str = "graph_id", value: str = "value") ->
 
 
 def places(samples: DataFrame, key: str = "graph_id", value: str = "value") -> DataFrame:
-    """samples with place_from_end: 1 for the last in the order of first-seen values, repeats beside each other."""
-    first = F.min("seq").over(W.partitionBy(key, value))
-    placed = samples.withColumn("first_ix", first)
-    return placed.withColumn("place_from_end", F.row_number().over(W.partitionBy(key).orderBy(F.desc("first_ix"), F.desc("seq"))))
+    """samples(key, seq, value) with place_from_end: 1 for the last in the order of first-seen values, repeats beside each other."""
+    first = samples.groupBy(key, value).agg(F.min("seq").alias("first_ix"))
+    seen = samples.join(first, [key, value])
+    return placed(seen, [key], [F.desc("first_ix"), F.desc("seq")], "place_from_end")
 
 
 def band(place: Column, samplesize: int, samplegap: int) -> Column:
@@ -35,20 +38,26 @@ def fluidity(samples: DataFrame, key: str = "graph_id", value: str = "value") ->
     return out.withColumn("fluidity", F.when(F.col("n_distinct") <= 1, 0.0).otherwise(F.col("n_distinct") / F.col("n")))
 
 
+def interval_ranks(n: Column, level: float | Column) -> tuple[Column, Column]:
+    """The fractional ranks, from 0, of the ends of a prediction interval of n samples."""
+    level = F.lit(level) if isinstance(level, float) else level
+    low = F.greatest(F.lit(0.0), (n + 1 - (n + 1) * level) / 2 - 1)
+    return low, F.least(n - low - 1, n - 1.0)
+
+
 def intervals(samples: DataFrame, levels: list[float], key: str = "graph_id", value: str = "value") -> DataFrame:
     """(key, level, n, lo, hi): non-parametric prediction intervals from order statistics, for keys with 100 samples or more.
 
-    Equal values are counted before they are ranked: the window runs over distinct values and cumulated counts.
+    The order statistics come from a distributed selection (see sequence.order_statistics).
     """
-    per = samples.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.partitionBy(key).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    ranked = per.withColumn("upto", upto).withColumn("n", F.sum("c").over(W.partitionBy(key))).where(f"n >= {LEAST_FOR_INTERVAL}")
-    spread = ranked.withColumn("level", F.explode(F.array(*[F.lit(float(p)) for p in levels])))
-    spread = spread.withColumn("rl", F.greatest(F.lit(0.0), (F.col("n") + 1 - (F.col("n") + 1) * F.col("level")) / 2 - 1)).withColumn("ru", F.least(F.col("n") - F.col("rl") - 1, F.col("n") - 1.0))
-    at = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col(value)))
-    got = spread.groupBy(key, "level", "n", "rl", "ru").agg(at(F.floor("rl")).alias("lf"), at(F.ceil("rl")).alias("lc"), at(F.floor("ru")).alias("uf"), at(F.ceil("ru")).alias("uc"))
-    line = lambda f, c, r: F.col(f) + (F.col(c) - F.col(f)) * (F.col(r) - F.floor(r))
-    return got.select(key, "level", "n", line("lf", "lc", "rl").alias("lo"), line("uf", "uc", "ru").alias("hi"))
+    n = samples.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(f"n >= {LEAST_FOR_INTERVAL}")
+    low, high = interval_ranks(F.col("n"), F.col("level"))
+    asked = materialise(n.withColumn("level", F.explode(F.array(*[F.lit(float(p)) for p in levels]))).withColumn("rl", low).withColumn("ru", high))
+    at = F.explode(F.array(F.floor("rl"), F.ceil("rl"), F.floor("ru"), F.ceil("ru")))
+    values = order_statistics(samples, asked.select(key, at.alias("rank")).distinct(), key, value)
+    held = values.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("rank", value))).alias("at"))  # four values a level
+    line = lambda r: F.col("at")[F.floor(r)] + (F.col("at")[F.ceil(r)] - F.col("at")[F.floor(r)]) * (F.col(r) - F.floor(r))
+    return asked.join(held, key).select(key, "level", "n", line("rl").alias("lo"), line("ru").alias("hi"))
 
 
 def widened(bounds: DataFrame, tolerance: float) -> DataFrame:
@@ -63,26 +72,67 @@ def proportions(samples: DataFrame, key: str = "graph_id", value: str = "value")
     return per.join(total, key).select(key, value, (F.col("n") / F.col("total")).alias("share"))
 
 
-def resampled(side: DataFrame, plan: DataFrame, key: str = "graph_id") -> DataFrame:
-    """(key, r, mean, sd, median) of bootstrap resamples of side(key, ix, n, value), ix from 0 to n - 1, as plan(key, resamples,
-    draws) says for each key.
+def proportion_grid(a: DataFrame, b: DataFrame, key: str = "graph_id", value: str = "value") -> DataFrame:
+    """(key, value, share_a, share_b) over the values of both sides; a side that lacks a value has null for it, not zero."""
+    side = lambda x, n: proportions(x, key, value).withColumnRenamed("share", n)
+    return side(a, "share_a").join(side(b, "share_b"), [key, value], "full")
+
 
-    Draw i of resample r takes the sample with index ((A (r draws + i) + B) mod M) mod n, so it is the same everywhere.
+def hashed(*parts: Column) -> Column:
+    """60 bits of the MD5 of the parts: a number that depends on nothing but them, for draws that are the same everywhere."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
+def drawn(side: DataFrame, plan: DataFrame, name: str, seed: int = 0, key: str = "graph_id", value: str = "value") -> DataFrame:
+    """(key, r, value): draws with replacement from side(key, value), as many resamples and draws of each as plan(key, resamples,
+    draws) says.
+
+    Draw i of resample r takes the sample whose rank by value is hashed(seed, key, name, r, i) mod n. Equal values are
+    counted, and a draw finds its value by the counts before it: populations aren't expanded.
     """
-    sizes = side.groupBy(key).agg(F.max("n").alias("n")).join(plan, key)
-    picked = sizes.select(key, "n", "draws", F.explode(F.expr("sequence(0L, resamples * draws - 1)")).alias("id")).select(key, F.expr("id div draws").alias("r"), F.expr(f"({LCG_A} * id + {LCG_B}) % {LCG_M} % n").alias("ix"))
-    return picked.join(side.select(key, "ix", "value"), [key, "ix"]).groupBy(key, "r").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.median("value").alias("median"))
+    counted = running(side.groupBy(key, value).agg(F.count("*").alias("c")), [key], [value], "c")
+    sizes = materialise(counted.groupBy(key).agg(F.sum("c").alias("n")).join(plan, key).withColumn("width", F.expr(f"greatest(n div {RANK_BUCKETS}, 1L)")))
+    spans = counted.join(sizes.select(key, "width"), key).select(key, value, "before", "c", F.explode(F.expr("sequence(before div width, (before + c - 1) div width)")).alias("bucket"))
+    rank = hashed(F.lit(seed), F.col(key), F.lit(name), F.col("r"), F.col("i")) % F.col("n")
+    picks = sizes.select(key, "n", "width", "draws", F.explode(F.expr("sequence(0L, resamples - 1)")).alias("r")).select("*", F.explode(F.expr("sequence(0L, draws - 1)")).alias("i")).withColumn("ix", rank)
+    return picks.withColumn("bucket", F.expr("ix div width")).join(spans, [key, "bucket"]).where("ix >= before and ix < before + c").select(key, "r", value)
+
 
+def resampled(draws: DataFrame, key: str = "graph_id", value: str = "value") -> DataFrame:
+    """(key, r, mean, sd, median) of draws(key, r, value), rounded so that equal statistics are equal however they were summed."""
+    stat = lambda f: F.round(f(value), 9)
+    return draws.groupBy(key, "r").agg(stat(F.avg).alias("mean"), stat(F.stddev_samp).alias("sd"), stat(F.median).alias("median"))
 
-def bootstrap(sample: DataFrame, population: DataFrame, resamples: int = 1000, share: float = 0.67, key: str = "graph_id") -> DataFrame:
-    """(key, p_mean, p_sd, p_median): how often a resample of the population has less than one of the sample. Each key draws a
-    share of its own sample's size."""
-    plan = sample.groupBy(key).agg(F.greatest(F.floor(F.count("*") * F.lit(share)), F.lit(1)).alias("draws")).withColumn("resamples", F.lit(resamples).cast("long"))
-    a, b = resampled(population, plan, key), resampled(sample, plan, key)
+
+def _plan(sample: DataFrame, resamples: int, share: float, key: str) -> DataFrame:
+    """Each key draws a share of its own sample's size."""
+    return sample.groupBy(key).agg(F.greatest(F.floor(F.count("*") * F.lit(share)), F.lit(1)).alias("draws")).withColumn("resamples", F.lit(resamples).cast("long"))
+
+
+def bootstrap(sample: DataFrame, population: DataFrame, resamples: int = 1000, share: float = 0.67, seed: int = 0, key: str = "graph_id") -> DataFrame:
+    """(key, p_mean, p_sd, p_median): how often a resample of the population has less than one of the sample."""
+    plan = _plan(sample, resamples, share, key)
+    a, b = (resampled(drawn(side, plan, name, seed, key), key) for side, name in ((population, "a"), (sample, "b")))
     b = b.select(key, "r", *[F.col(c).alias(f"b_{c}") for c in ("mean", "sd", "median")])
     return a.join(b, [key, "r"]).groupBy(key).agg(*[F.avg(F.when(F.col(c) < F.col(f"b_{c}"), 1.0).otherwise(0.0)).alias(f"p_{c}") for c in ("mean", "sd", "median")])
 
 
+def bootstrap_discrete(sample: DataFrame, population: DataFrame, resamples: int = 1000, share: float = 0.67, seed: int = 0, key: str = "graph_id", value: str = "value") -> DataFrame:
+    """(key, value, n_valid, p) for each value of either side: how often its share in a resample of the population is under that in
+    one of the sample, among the n_valid resamples in which both have it; p is null where there is none."""
+    plan = _plan(sample, resamples, share, key)
+    a, b = (drawn(side, plan, name, seed, key, value).groupBy(key, "r", value).agg(F.count("*").alias(f"n_{name}")) for side, name in ((population, "a"), (sample, "b")))
+    both = a.join(b, [key, "r", value]).groupBy(key, value).agg(F.count("*").alias("n_valid"), F.count_if(F.col("n_a") < F.col("n_b")).alias("less"))
+    support = population.select(key, value).union(sample.select(key, value)).distinct()
+    return support.join(both, [key, value], "left").select(key, value, F.coalesce("n_valid", F.lit(0)).alias("n_valid"), (F.col("less") / F.col("n_valid")).alias("p"))
+
+
+def any_rejected(p: DataFrame, alpha: float, key: str = "graph_id") -> DataFrame:
+    """(key, rejected) of p(key, p): whether any value's p is beyond alpha / 2 from an end; nulls reject nothing."""
+    beyond = (F.col("p") < alpha / 2) | (F.col("p") > 1 - alpha / 2)
+    return p.groupBy(key).agg(F.coalesce(F.bool_or(beyond), F.lit(False)).alias("rejected"))
+
+
 def rejected(alpha: float, *p: Column, every: bool = True) -> Column:
     """Vote: more than half of the statistics reject (every), or any does."""
     votes = [F.when((x < alpha / 2) | (x > 1 - alpha / 2), 1).otherwise(0) for x in p]

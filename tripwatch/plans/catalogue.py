@@ -13,10 +13,12 @@ from ..functions import literals as L
 from ..functions import terms as T
 from ..functions.terms import XSD
 from ..operators import checks as C
+from ..operators import gate as gated
 from ..operators import matching as M
 from ..operators import shacl as K
 from ..operators import statistics as S
 from ..operators import vault as V
+from ..operators.storage import materialise
 from ..sources import statements as ST
 from . import replay as R
 
@@ -25,7 +27,6 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 EX = ST.EX
-_FIRST = 100  # messages of the population that the interval queries learn from
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -295,16 +296,29 @@ def _(spark, d):
 
 
 def interval_codes(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(graph_id, seq, code) of the events after each stream's first hundred, against the interval of these."""
-    levels = [1 - settings.alpha_critical, 1 - settings.alpha_suspicious]
-    bounds = S.widened(S.intervals(events.where(F.col("seq") <= _FIRST), levels), settings.pi_tolerance)
-    wide = bounds.groupBy("graph_id").agg(*[F.max(F.when(F.col("level") == p, F.col(c))).alias(f"{c}{i}") for i, p in enumerate(levels) for c in ("lo", "hi")])
-    code = F.when(C.outside(F.col("value"), F.col("lo0"), F.col("hi0")), T.CRITICAL).when(C.outside(F.col("value"), F.col("lo1"), F.col("hi1")), T.SUSPICIOUS).otherwise(T.NOMINAL)
-    return events.where(F.col("seq") > _FIRST).join(wide, "graph_id").select("graph_id", "seq", "event_id", "value", code.alias("code"), *[F.when(code == T.SUSPICIOUS, F.col(f"{c}1")).otherwise(F.col(f"{c}0")).alias(c) for c in ("lo", "hi")])
+    """(graph_id, seq, event_id, value, code, lo, hi) of the events after each stream's first hundred accepted ones, each against the
+    interval of all that was accepted before it."""
+    judged = gated.interval_codes(events, settings).where(f"n >= {S.LEAST_FOR_INTERVAL}").select("graph_id", "seq", "code", "lo", "hi")
+    return judged.join(events.select("graph_id", "seq", "event_id", "value"), ["graph_id", "seq"])
 
 
-_CODES = f"""WITH {EV}, {_pi('(SELECT * FROM ev WHERE seq <= 100)')}, wb AS (SELECT graph_id, level, lo - abs(hi - lo) * 0.1 AS lo, hi + abs(hi - lo) * 0.1 AS hi FROM pb),
-cd AS (SELECT e.graph_id, e.seq, e.event_id, e.value, CASE WHEN e.value <= a.lo OR e.value > a.hi THEN 5 WHEN e.value <= b.lo OR e.value > b.hi THEN 4 ELSE 0 END AS code FROM ev e JOIN wb a ON a.graph_id = e.graph_id AND a.level = 0.99 JOIN wb b ON b.graph_id = e.graph_id AND b.level = 0.95 WHERE e.seq > 100)"""
+def _end(rank: str) -> str:
+    at = lambda f: f"kept[CAST({f}({rank}) AS BIGINT) + 1]"
+    return f"({at('floor')} + ({at('ceil')} - {at('floor')}) * ({rank} - floor({rank})))"
+
+
+def _ends(i: int, level: str) -> str:
+    low = f"greatest(0.0::DOUBLE, ((n + 1) - (n + 1) * {level}::DOUBLE) / 2 - 1)"
+    return f"{_end(low)} AS l{i}, {_end(f'least(n - {low} - 1, n - 1)')} AS h{i}"
+
+
+# the recursion carries the accepted values of each stream, sorted
+_CODES = f"""WITH RECURSIVE {EV.replace('ev AS (', 'ev AS MATERIALIZED (')}, st AS (
+SELECT DISTINCT graph_id, 0::BIGINT AS seq, NULL::BIGINT AS event_id, NULL::DOUBLE AS value, []::DOUBLE[] AS kept, 0::BIGINT AS n, 0::INTEGER AS code, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi FROM ev
+UNION ALL SELECT graph_id, seq, event_id, value, CASE WHEN code = 0 THEN list_sort(list_append(kept, value)) ELSE kept END, n, code, CASE WHEN code = 4 THEN a1 ELSE a0 END, CASE WHEN code = 4 THEN b1 ELSE b0 END
+FROM (SELECT *, (CASE WHEN n < 100 THEN 0 WHEN value <= a0 OR value > b0 THEN 5 WHEN value <= a1 OR value > b1 THEN 4 ELSE 0 END)::INTEGER AS code FROM (SELECT *, l0 - abs(h0 - l0) * 0.1 AS a0, h0 + abs(h0 - l0) * 0.1 AS b0, l1 - abs(h1 - l1) * 0.1 AS a1, h1 + abs(h1 - l1) * 0.1 AS b1
+FROM (SELECT *, {_ends(0, '0.99')}, {_ends(1, '0.95')} FROM (SELECT e.graph_id, e.seq, e.event_id, e.value, s.kept, len(s.kept) AS n FROM st s JOIN ev e ON e.graph_id = s.graph_id AND e.seq = s.seq + 1))))),
+cd AS MATERIALIZED (SELECT graph_id, seq, event_id, value, code, lo, hi FROM st WHERE seq > 0 AND n >= 100)"""
 
 
 @_add("pi_violations", f"{_CODES} SELECT graph_id, seq, code FROM cd WHERE code > 0")
@@ -314,28 +328,60 @@ def _(spark, d):
 
 @_add("categorical_membership", f"WITH {EV} SELECT e.graph_id, e.seq, 5 AS code FROM ev e WHERE e.seq > 100 AND NOT EXISTS (SELECT 1 FROM ev p WHERE p.graph_id = e.graph_id AND p.user_id = e.user_id AND p.seq <= 100)")
 def _(spark, d):
+    """Values known after the grace period stay the known ones: others are rejected, so they are never learnt."""
     e = _events(spark, d)
-    known = e.where(F.col("seq") <= _FIRST).select("graph_id", "user_id").distinct()
-    return e.where(F.col("seq") > _FIRST).join(known, ["graph_id", "user_id"], "left_anti").select("graph_id", "seq", F.lit(T.CRITICAL).alias("code"))
+    known = e.where(F.col("seq") <= Settings().grace_period).select("graph_id", "user_id").distinct()
+    return e.where(F.col("seq") > Settings().grace_period).join(known, ["graph_id", "user_id"], "left_anti").select("graph_id", "seq", F.lit(T.CRITICAL).alias("code"))
 
 
 # the last value of a stream is the new one, which joins the 50 before it; the oldest are the population
-_BAND = f"{_PLACES.replace('k) AS fi', 'value) AS fi').replace('SELECT graph_id, seq, row_number', 'SELECT graph_id, seq, value, row_number')}, sa AS (SELECT graph_id, value, row_number() OVER (PARTITION BY graph_id ORDER BY seq) - 1 AS ix, count(*) OVER (PARTITION BY graph_id) AS n FROM p WHERE place <= 51), po AS (SELECT graph_id, value, row_number() OVER (PARTITION BY graph_id ORDER BY seq) - 1 AS ix, count(*) OVER (PARTITION BY graph_id) AS n FROM p WHERE place > 61), gr AS (SELECT id // 34 AS r, ({S.LCG_A} * id + {S.LCG_B}) % {S.LCG_M} AS u FROM (SELECT unnest(range(1000 * 34)) AS id))"
-_SIDE = "(SELECT graph_id, r, avg(value) AS m, stddev_samp(value) AS s, median(value) AS d FROM (SELECT graph_id, max(n) AS zn FROM {0} GROUP BY graph_id) z CROSS JOIN gr JOIN {0} USING (graph_id) WHERE {0}.ix = gr.u % zn GROUP BY graph_id, r)"
-_BOOT = f"{_BAND}, bp AS (SELECT graph_id, avg(CASE WHEN a.m < b.m THEN 1.0::DOUBLE ELSE 0.0 END) AS p_mean, avg(CASE WHEN a.s < b.s THEN 1.0::DOUBLE ELSE 0.0 END) AS p_sd, avg(CASE WHEN a.d < b.d THEN 1.0::DOUBLE ELSE 0.0 END) AS p_median FROM {_SIDE.format('po')} a JOIN {_SIDE.format('sa')} b USING (graph_id, r) GROUP BY graph_id)"
+def _bands(value: str) -> str:
+    ranked = lambda name, where: f"{name} AS (SELECT graph_id, v, row_number() OVER (PARTITION BY graph_id ORDER BY v) - 1 AS ix, count(*) OVER (PARTITION BY graph_id) AS n FROM p WHERE {where})"
+    return f"WITH {EV}, f AS (SELECT *, {value} AS v, min(seq) OVER (PARTITION BY graph_id, {value}) AS fi FROM ev), p AS MATERIALIZED (SELECT graph_id, seq, v, row_number() OVER (PARTITION BY graph_id ORDER BY fi DESC, seq DESC) AS place FROM f), {ranked('sa', 'place <= 51')}, {ranked('po', 'place > 61')}, gr AS (SELECT id // 34 AS r, id % 34 AS i FROM (SELECT unnest(range(1000 * 34)) AS id))"
 
 
-def _bootstrap(spark, d):
+def _draws(side: str, name: str) -> str:
+    return f"d{name} AS MATERIALIZED (SELECT z.graph_id, r, ('0x' || substr(md5('0|' || z.graph_id || '|{name}|' || r || '|' || i), 1, 15))::BIGINT % zn AS ix FROM (SELECT graph_id, max(n) AS zn FROM {side} GROUP BY graph_id) z CROSS JOIN gr), v{name} AS (SELECT graph_id, r, v FROM d{name} JOIN {side} USING (graph_id, ix))"
+
+
+_STATS = "(SELECT graph_id, r, round(avg(v), 9) AS m, round(stddev_samp(v), 9) AS s, round(median(v), 9) AS d FROM {0} GROUP BY graph_id, r)"
+_BOOT = f"{_bands('value')}, {_draws('po', 'a')}, {_draws('sa', 'b')}, bp AS (SELECT graph_id, avg(CASE WHEN a.m < b.m THEN 1.0::DOUBLE ELSE 0.0 END) AS p_mean, avg(CASE WHEN a.s < b.s THEN 1.0::DOUBLE ELSE 0.0 END) AS p_sd, avg(CASE WHEN a.d < b.d THEN 1.0::DOUBLE ELSE 0.0 END) AS p_median FROM {_STATS.format('va')} a JOIN {_STATS.format('vb')} b USING (graph_id, r) GROUP BY graph_id)"
+_COUNTS = "(SELECT graph_id, r, v, count(*) AS c FROM {0} GROUP BY ALL)"
+_DISCRETE = f"{_bands('k')}, {_draws('po', 'a')}, {_draws('sa', 'b')}, dv AS (SELECT graph_id, v, count(*) AS n_valid, count(*) FILTER (WHERE a.c < b.c) AS less FROM {_COUNTS.format('va')} a JOIN {_COUNTS.format('vb')} b USING (graph_id, r, v) GROUP BY graph_id, v), dp AS (SELECT graph_id, v, coalesce(n_valid, 0) AS n_valid, less / n_valid AS p FROM (SELECT graph_id, v FROM sa UNION SELECT graph_id, v FROM po) LEFT JOIN dv USING (graph_id, v))"
+
+
+def _sides(spark, d, value: str = "value"):
+    """The latest values with the new one, and the population, of each stream."""
     s = Settings()
-    placed = S.places(_events(spark, d))
-    index = (F.row_number().over(W.partitionBy("graph_id").orderBy("seq")) - 1).cast("long")
-    side = lambda rows: rows.withColumn("ix", index).withColumn("n", F.count("*").over(W.partitionBy("graph_id"))).select("graph_id", "ix", "n", "value")
-    return S.bootstrap(side(placed.where(F.col("place_from_end") <= s.samplesize + 1)), side(placed.where(F.col("place_from_end") > s.samplesize + s.samplegap + 1)), s.resamples)
+    placed = materialise(S.places(_events(spark, d).select("graph_id", "seq", F.col(value).alias("value"))))
+    return placed.where(F.col("place_from_end") <= s.samplesize + 1), placed.where(F.col("place_from_end") > s.samplesize + s.samplegap + 1)
+
+
+def _bootstrap(spark, d):
+    return S.bootstrap(*_sides(spark, d), Settings().resamples)
+
+
+@_add("bootstrap_pvalues", f"{_BOOT} SELECT graph_id, round(p_mean, 6) AS p_mean, round(p_sd, 6) AS p_sd, round(p_median, 6) AS p_median FROM bp")
+def _(spark, d):
+    return _bootstrap(spark, d).select("graph_id", *[F.round(c, 6).alias(c) for c in ("p_mean", "p_sd", "p_median")])
+
+
+@_add("proportion_grid", f"{_bands('k')}, {', '.join(f'{g} AS (SELECT graph_id, v, count(*) / any_value(n) AS share FROM {t} GROUP BY graph_id, v)' for g, t in (('ga', 'po'), ('gb', 'sa')))} SELECT graph_id, v AS k, round(ga.share, 6) AS share_a, round(gb.share, 6) AS share_b FROM ga FULL JOIN gb USING (graph_id, v)")
+def _(spark, d):
+    """Shares of units in the population and among the latest, over the units of both."""
+    sample, population = _sides(spark, d, "k")
+    return S.proportion_grid(population, sample).select("graph_id", F.col("value").alias("k"), F.round("share_a", 6).alias("share_a"), F.round("share_b", 6).alias("share_b"))
+
+
+@_add("bootstrap_discrete", f"{_DISCRETE} SELECT graph_id, v AS k, n_valid, round(p, 6) AS p FROM dp")
+def _(spark, d):
+    return S.bootstrap_discrete(*_sides(spark, d, "k")).select("graph_id", F.col("value").alias("k"), "n_valid", F.round("p", 6).alias("p"))
 
 
-@_add("bootstrap_pvalues", f"{_BOOT} SELECT graph_id, round(p_mean, 2) AS p_mean, round(p_sd, 2) AS p_sd, round(p_median, 2) AS p_median FROM bp")
+@_add("bootstrap_discrete_vote", f"{_DISCRETE} SELECT graph_id, coalesce(bool_or(p < 0.005 OR p > 0.995), false) AS critical, coalesce(bool_or(p < 0.025 OR p > 0.975), false) AS suspicious FROM dp GROUP BY graph_id")
 def _(spark, d):
-    return _bootstrap(spark, d).select("graph_id", *[F.round(c, 2).alias(c) for c in ("p_mean", "p_sd", "p_median")])
+    p, s = materialise(S.bootstrap_discrete(*_sides(spark, d, "k"))), Settings()
+    return S.any_rejected(p, s.alpha_critical).withColumnRenamed("rejected", "critical").join(S.any_rejected(p, s.alpha_suspicious).withColumnRenamed("rejected", "suspicious"), "graph_id")
 
 
 _VOTE = "CAST(p_mean < {0} OR p_mean > 1 - {0} AS INTEGER) + CAST(p_sd < {0} OR p_sd > 1 - {0} AS INTEGER) + CAST(p_median < {0} OR p_median > 1 - {0} AS INTEGER) >= 2"

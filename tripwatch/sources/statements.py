@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.terms import TYPE, XSD
+from ..operators.sequence import placed
 
 EX = "http://example.org/"
 _LINE = r"^\s*(\S+)\s+(\S+)\s+(.*\S)\s*\.\s*$"
@@ -17,10 +18,10 @@ _LITERAL = r'^"(.*)"(?:@([A-Za-z0-9-]+)|\^\^<?([^<>\s]+)>?)?$'
 
 
 def numbered(events: DataFrame, key: Column | None = None) -> DataFrame:
-    """events with graph_id and seq, its place in its stream. A stream is an ordered sequence: its order needs its rows together."""
+    """events with graph_id and seq, its place in its stream by time, from 1; streams are cut into ranges of time (see placed)."""
     key = F.concat(F.lit("g-"), F.col("event_type")) if key is None else key
     keyed = events.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k")).withColumn("graph_id", key)
-    return keyed.withColumn("seq", F.row_number().over(W.partitionBy("graph_id").orderBy("ts", "event_id")).cast("long"))
+    return placed(keyed, ["graph_id"], ["ts", "event_id"], "seq")
 
 
 def triplified(events: DataFrame, made_by: bool = True) -> DataFrame:
