@@ -165,3 +165,16 @@ def test_generated_anomalies_are_found(spark):
     hit = {r.seq for r in found.collect()}
     late = {s for s in bad if s > 200}
     assert len(hit & late) >= 0.9 * len(late) and len(hit - bad) <= 0.05 * 600
+
+
+def test_a_failed_step_changes_nothing():
+    """The second statement can't be learnt (no distribution of its datatype): the first isn't learnt either."""
+    import copy
+
+    hex_ = lambda v: row(1, v, relation="r2", dtype="hexBinary")
+    state, _, _ = step(None, "g", 1, [row(0, "1", "r1"), hex_("aa")], Settings())
+    before = copy.deepcopy(state)
+    state, found, code = step(state, "g", 2, [row(0, "2", "r1"), hex_("bb")], Settings())
+    assert code == 1 and found[0][2].startswith("Validation Malfunction") and state == before
+    state, _, code = step(state, "g", 3, [row(0, "2", "r1"), hex_("aa")], Settings())
+    assert code == 0 and state["aps"][0]["dist"]["counts"] == {1.0: 1, 2.0: 1} and state["t"] == 2

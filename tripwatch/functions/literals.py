@@ -52,12 +52,18 @@ def numeric(value: Column, dtype: Column) -> Column:
 
 
 def significant(value: Column, figures: int) -> Column:
-    """value rounded to significant figures, ties to even; 0 figures or fewer leave it."""
-    if figures <= 0:
+    """value rounded to significant figures, ties to even; 0 figures or fewer leave it, and so do more than a double has.
+
+    Null, NaN and infinite values stay as they are; what rounds up beyond the largest double becomes infinite.
+    """
+    if figures <= 0 or figures > 16:
         return value
-    last = F.when(value == 0, 0).otherwise(F.floor(F.log10(F.abs(value)))) - (figures - 1)
-    scaled = F.when(last > 0, value / F.pow(F.lit(10.0), last)).otherwise(value * F.pow(F.lit(10.0), -last))
-    return F.concat(F.bround(scaled).cast("long").cast("string"), F.lit("e"), last.cast("string")).cast("double")
+    finite = (F.abs(value) != float("inf")) & ~F.isnan(value)
+    last = F.when(value == 0, 0).when(finite, F.floor(F.log10(F.abs(value)))).otherwise(0) - (figures - 1)
+    near = F.when(last < -200, value * 1e200).otherwise(value)  # powers of ten beyond 308 are no doubles
+    up = F.pow(F.lit(10.0), F.when(last < -200, -last - 200).otherwise(-last).cast("double"))
+    scaled = F.when(last > 0, near / F.pow(F.lit(10.0), last.cast("double"))).otherwise(near * up)
+    return F.when(finite, F.concat(F.bround(scaled).try_cast("long").cast("string"), F.lit("e"), last.cast("string")).try_cast("double")).otherwise(value)
 
 
 def date_text(seconds: Column, dtype: str) -> Column:

@@ -174,8 +174,6 @@ def _distribution(ap: State, r: tuple, graph_id: str, s: Settings) -> list[tuple
 
 def _learn(ap: State, r: tuple, s: Settings) -> None:
     if ap["dist"] is None and (ap["kind"], ap["value"], ap["dtype"], ap["lang"]) != (r[3], r[4], r[5], r[6]):
-        if _dtype(r) not in _CONTINUOUS | _DISCRETE:
-            raise ValueError(f"no distribution of {_dtype(r)}")
         old = (0, "", "", ap["kind"], ap["value"], ap["dtype"], ap["lang"], ap["num"])
         ap |= {"dtype": _dtype(r), "continuous": _dtype(r) in _CONTINUOUS, "dist": _empty()}
         for v in [_value(old)] + [_value(r)] * ap["t"]:  # the old value once, the new one as often as the pattern was met
@@ -188,6 +186,16 @@ def _learn(ap: State, r: tuple, s: Settings) -> None:
     ap["t"] += 1
 
 
+def _check_learning(pairs: list[tuple[State, tuple]]) -> None:
+    """Raises where a pattern can't learn its statement, before anything of the state has changed."""
+    converted = set()
+    for ap, r in pairs:
+        if ap["dist"] is None and ap["id"] not in converted and (ap["kind"], ap["value"], ap["dtype"], ap["lang"]) != (r[3], r[4], r[5], r[6]):
+            if _dtype(r) not in _CONTINUOUS | _DISCRETE:
+                raise ValueError(f"no distribution of {_dtype(r)}")
+            converted.add(ap["id"])
+
+
 def step(state: State | None, graph_id: str, seq: int, rows: list[tuple], s: Settings) -> tuple[State, list[Finding], int | None]:
     """The next state, the findings (ap_id, stmt_ix, label, code, message) and the report's code (None: first message, no report)."""
     if state is None:
@@ -216,7 +224,10 @@ def step(state: State | None, graph_id: str, seq: int, rows: list[tuple], s: Set
 
 
 def _update(state: State, graph_id: str, seq: int, pairs: list, more: list, rest: list, s: Settings) -> None:
-    for ap, r in sorted(pairs + more, key=lambda x: x[1][0]):
+    """The whole step or, if a statement can't be learnt, none of it."""
+    ordered = sorted(pairs + more, key=lambda x: x[1][0])
+    _check_learning(ordered)
+    for ap, r in ordered:
         _learn(ap, r, s)
         ap["freq"] += 1
         if s.pattern_decay > 0:

@@ -12,28 +12,15 @@ from ..functions.terms import RDFS_RESOURCE, TYPE, XSD
 MESSAGE = ["graph_id", "seq"]
 
 
-def _class_of(resource: Column) -> Column:
-    """The class of a resource by `types`, the message's rdf:type statements in their order; else rdfs:Resource."""
-    own = F.filter("types", lambda t: t["s"] == resource)
-    return F.coalesce(F.get(own, F.lit(0))["o_value"], F.lit(RDFS_RESOURCE))
-
-
-def typed(statements: DataFrame) -> DataFrame:
-    """anchored(statements) with `types`, which tells the class of any resource of the message."""
-    types = F.array_sort(F.collect_list(F.when((F.col("p") == TYPE) & (F.col("o_kind") == "iri"), F.struct("stmt_ix", "s", "o_value"))).over(W.partitionBy(*MESSAGE)))
-    dtype = F.when(F.col("o_kind") == "literal", inferred(F.col("o_value"), F.col("o_dtype"), F.col("o_lang")))
-    return statements.withColumn("types", types).withColumn("anchor", _class_of(F.col("s"))).withColumn("dtype_eff", dtype)
-
-
 def anchored(statements: DataFrame) -> DataFrame:
     """statements with anchor (the class of the subject) and dtype_eff (the inferred datatype of a literal).
 
     A resource's class is the object of its first rdf:type statement in the message, else rdfs:Resource. The class comes
-    from a window over the subject's statements: one shuffle and no self join.
+    from a window over the subject's statements. Messages are dealt out whole, so what follows by message shuffles no more.
     """
     first = F.min(F.when((F.col("p") == TYPE) & (F.col("o_kind") == "iri"), F.struct("stmt_ix", "o_value"))).over(W.partitionBy(*MESSAGE, "s"))
     dtype = F.when(F.col("o_kind") == "literal", inferred(F.col("o_value"), F.col("o_dtype"), F.col("o_lang")))
-    return statements.withColumn("anchor", F.coalesce(first["o_value"], F.lit(RDFS_RESOURCE))).withColumn("dtype_eff", dtype)
+    return statements.repartition(*MESSAGE).withColumn("anchor", F.coalesce(first["o_value"], F.lit(RDFS_RESOURCE))).withColumn("dtype_eff", dtype)
 
 
 def static_patterns(first: DataFrame) -> DataFrame:
@@ -48,56 +35,86 @@ def multiplicities(anchored_: DataFrame, patterns: DataFrame) -> DataFrame:
     return stated.join(known, ["graph_id", "anchor", "relation"], "left").select(*MESSAGE, "anchor", "relation", (F.col("stated") + F.coalesce("known", F.lit(0))).alias("ar_count"))
 
 
-def _known(patterns: DataFrame) -> DataFrame:
-    """(graph_id, aps): the patterns of each graph in one row; dist (D or C) and members are null for static ones."""
+_AP = ("ap_id", "anchor", "relation", "st_kind", "st_value", "st_dtype", "st_dist", "st_members", "st_lo", "st_hi")
+
+
+def _known(patterns: DataFrame, name: str) -> DataFrame:
+    """(graph_id, name): the patterns of each graph in one row; dist (D or C), members and bounds are null for static ones."""
     more = {c: F.lit(None).cast(t) for c, t in (("st_dist", "string"), ("st_members", "array<string>"), ("st_lo", "double"), ("st_hi", "double")) if c not in patterns.columns}
-    fields = ["ap_id", "anchor", "relation", "st_kind", "st_value", "st_dtype", "st_dist", "st_members", "st_lo", "st_hi"]
-    return patterns.withColumns(more).groupBy("graph_id").agg(F.collect_list(F.struct(*fields)).alias("aps"))
+    return patterns.withColumns(more).groupBy("graph_id").agg(F.collect_list(F.struct(*_AP)).alias(name))
+
+
+def _class_of(types: Column, resource: Column) -> Column:
+    """The class of a resource by the message's rdf:type statements in their order; else rdfs:Resource."""
+    return F.coalesce(F.get(F.filter(types, lambda t: t["s"] == resource), F.lit(0))["o_value"], F.lit(RDFS_RESOURCE))
 
 
-def weak_match(ap: Column) -> Column:
+def weak_match(st: Column, ap: Column, types: Column) -> Column:
     """Whether a statement may belong to a pattern of its anchor and relation. Static IRIs need equal classes in the message and
     literals equal datatypes; a discrete distribution takes IRIs or literals of its datatype, a continuous one literals."""
-    iri, literal = F.col("o_kind") == "iri", F.col("o_kind") == "literal"
-    same = F.col("dtype_eff") == ap["st_dtype"]
-    static = (iri & (ap["st_kind"] == "iri") & (_class_of(F.col("o_value")) == _class_of(ap["st_value"]))) | (literal & (ap["st_kind"] == "literal") & same)
+    iri, literal = st["o_kind"] == "iri", st["o_kind"] == "literal"
+    same = st["dtype_eff"] == ap["st_dtype"]
+    static = (literal & (ap["st_kind"] == "literal") & same) | (iri & (ap["st_kind"] == "iri") & ((st["o_value"] == ap["st_value"]) | (_class_of(types, st["o_value"]) == _class_of(types, ap["st_value"]))))
     spread = (literal & same) | (iri & (ap["st_dist"] == "D") & (ap["st_dtype"] == XSD + "anyURI"))
     return F.coalesce(F.when(ap["st_dist"].isNull(), static).otherwise(spread), F.lit(False))
 
 
-def strong_match(ap: Column) -> Column:
-    """A weak match whose value is the pattern's, among its members, or between its least and greatest sample."""
-    num = numeric(F.col("o_value"), F.col("dtype_eff"))
-    static = (F.col("o_value") == ap["st_value"]) & (F.col("o_kind") == ap["st_kind"])
-    return weak_match(ap) & F.coalesce(F.when(ap["st_dist"] == "C", num.between(ap["st_lo"], ap["st_hi"])).when(ap["st_dist"] == "D", F.array_contains(ap["st_members"], F.col("o_value"))).otherwise(static), F.lit(False))
+def strong_match(st: Column, ap: Column) -> Column:
+    """Whether a statement has the pattern's value: the static one, one of the members, or one between least and greatest sample."""
+    static = (st["o_value"] == ap["st_value"]) & (st["o_kind"] == ap["st_kind"])
+    within = (st["num"] >= ap["st_lo"]) & (st["num"] <= ap["st_hi"])
+    return F.coalesce(F.when(ap["st_dist"] == "C", within).when(ap["st_dist"] == "D", F.array_contains(ap["st_members"], st["o_value"])).otherwise(static), F.lit(False))
 
 
-def matched(typed_: DataFrame, patterns: DataFrame) -> DataFrame:
+def _outcome(st: Column, aps: Column, types: Column, stage: str) -> Column:
+    """A statement's stage, ar_count, matches, ap_id, outcome and strong, by one set of patterns."""
+    own = F.filter(aps, lambda a: (a["anchor"] == st["anchor"]) & (a["relation"] == st["p"]))
+    # two passes of array functions, as an expression that is used twice in a lambda is computed twice
+    first = F.transform(F.array(own), lambda o: F.struct((st["stated"] + F.size(o)).alias("n"), F.when(st["stated"] + F.size(o) == 2, o).otherwise(F.filter(o, lambda a: weak_match(st, a, types))).alias("hits")))
+    one = lambda x: F.get(x["hits"], F.lit(0))
+    told = F.transform(first, lambda x: F.struct(
+        F.lit(stage).alias("stage"), x["n"].cast("long").alias("ar_count"), F.when(x["n"] == 1, 0).otherwise(F.size(x["hits"])).cast("long").alias("matches"),
+        F.when((x["n"] > 1) & (F.size(x["hits"]) == 1), one(x)["ap_id"]).alias("ap_id"),
+        F.when(x["n"] == 1, "novel").when(F.size(x["hits"]) > 1, "conflict").when(F.size(x["hits"]) == 1, "pair").otherwise("remainder").alias("outcome"),
+        F.when((x["n"] > 1) & (F.size(x["hits"]) == 1), strong_match(st, one(x))).alias("strong"),
+    ))
+    return F.get(told, F.lit(0))
+
+
+def _message_rows(anchored_: DataFrame) -> DataFrame:
+    """(graph_id, seq, sts, types): a row for each message of anchored statements; no shuffle beyond the one of anchored()."""
+    stated = F.count("*").over(W.partitionBy(*MESSAGE, "anchor", "p"))
+    st = F.struct("stmt_ix", "s", "anchor", "p", "o_kind", "o_value", "dtype_eff", "o_lang", F.when(F.col("o_kind") == "literal", numeric(F.col("o_value"), F.col("dtype_eff"))).alias("num"), "stated")
+    typed = F.when((F.col("p") == TYPE) & (F.col("o_kind") == "iri"), F.struct("stmt_ix", "s", "o_value"))
+    return anchored_.withColumn("stated", stated).groupBy(*MESSAGE).agg(F.collect_list(st).alias("sts"), F.array_sort(F.collect_list(typed)).alias("types"))
+
+
+_STATEMENT = ("stmt_ix", "s", "anchor", "o_kind", "o_value", "dtype_eff", "o_lang")
+
+
+def matched(anchored_: DataFrame, patterns: DataFrame) -> DataFrame:
     """Statements with ap_id and outcome: pair (one match), conflict (several; dropped), remainder (none) or novel.
 
     A statement whose anchor and relation occur once here and once in the patterns is a pair whatever its object; where they
     occur more often the weak match decides (a strong one is a weak one, too); where they have no pattern and one statement it is
-    novel and dropped. A graph's patterns, which are few, come as one row, so statements are joined once and never
-    multiplied; counts are of the window that gave the classes.
+    novel and dropped. A message is one row and so are a graph's patterns: they are joined once, and statements are
+    told apart inside the row. `strong` tells whether a pair's value is the pattern's.
     """
-    stated = F.count("*").over(W.partitionBy(*MESSAGE, "anchor", "p"))
-    joined = typed_.withColumn("stated", stated).join(_known(patterns), "graph_id", "left").withColumn("aps", F.filter(F.coalesce("aps", F.array()), lambda a: (a["anchor"] == F.col("anchor")) & (a["relation"] == F.col("p"))))
-    counted = joined.withColumn("ar_count", F.col("stated") + F.size("aps"))
-    good = counted.withColumn("hits", F.filter("aps", lambda a: (F.col("ar_count") == 2) | weak_match(a))).withColumn("matches", F.size("hits").cast("long"))
-    outcome = F.when(F.col("ar_count") == 1, "novel").when(F.col("matches") > 1, "conflict").when(F.col("matches") == 1, "pair").otherwise("remainder")
-    one = F.when(F.col("matches") == 1, F.get("hits", F.lit(0))["ap_id"])
-    return good.select(*MESSAGE, "stmt_ix", "s", "anchor", F.col("p").alias("relation"), "o_kind", "o_value", "dtype_eff", "o_lang", "types", "ar_count", "matches", one.alias("ap_id"), outcome.alias("outcome"))
+    rows = _message_rows(anchored_).join(_known(patterns, "aps"), "graph_id", "left").withColumn("aps", F.coalesce("aps", F.array()))
+    told = F.transform("sts", lambda st: F.struct(st.alias("st"), _outcome(st, F.col("aps"), F.col("types"), "nominal").alias("x")))
+    return rows.select(*MESSAGE, F.inline(told)).select(*MESSAGE, *[F.col(f"st.{c}") for c in _STATEMENT], F.col("st.p").alias("relation"), *[F.col(f"x.{c}") for c in ("ar_count", "matches", "ap_id", "outcome", "strong")])
 
 
-def two_stage(typed_: DataFrame, nominal: DataFrame, candidates: DataFrame) -> DataFrame:
+def two_stage(anchored_: DataFrame, nominal: DataFrame, candidates: DataFrame) -> DataFrame:
     """matched() by the nominal patterns, then its remainder by the candidates; `stage` is nominal or candidate.
 
     The second stage counts anchors and relations of the whole message, as the first does.
     """
-    first = matched(typed_, nominal)
-    left = first.where("outcome = 'remainder'").select(*MESSAGE, "stmt_ix").withColumn("left", F.lit(True))
-    second = matched(typed_, candidates).join(left, [*MESSAGE, "stmt_ix"]).drop("left")
-    return first.where("outcome <> 'remainder'").withColumn("stage", F.lit("nominal")).unionByName(second.withColumn("stage", F.lit("candidate")))
+    rows = _message_rows(anchored_).join(_known(nominal, "aps"), "graph_id", "left").join(_known(candidates, "more"), "graph_id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.array()) for c in ("aps", "more")})
+    first = rows.withColumn("told", F.transform("sts", lambda st: F.struct(st.alias("st"), _outcome(st, F.col("aps"), F.col("types"), "nominal").alias("x"))))
+    both = F.transform("told", lambda t: F.struct(t["st"].alias("st"), F.when(t["x"]["outcome"] == "remainder", _outcome(t["st"], F.col("more"), F.col("types"), "candidate")).otherwise(t["x"]).alias("x")))
+    return first.select(*MESSAGE, F.inline(both)).select(*MESSAGE, *[F.col(f"st.{c}") for c in _STATEMENT], F.col("st.p").alias("relation"), *[F.col(f"x.{c}") for c in ("stage", "ar_count", "matches", "ap_id", "outcome", "strong")])
 
 
 def structure_codes(pairs: Column, size: Column, unmatched: Column, cwa: Column, exact: Column) -> Column:

@@ -18,6 +18,7 @@ from ..operators import matching as M
 from ..operators import shacl as K
 from ..operators import statistics as S
 from ..operators import vault as V
+from ..operators.sequence import placed
 from ..operators.storage import materialise
 from ..sources import statements as ST
 from . import replay as R
@@ -81,6 +82,22 @@ def _(spark, d):
     return back.groupBy("graph_id", "seq", "p").agg(F.count("*").alias("n"), F.max(F.when(F.col("p") != EX + "hasValue", F.col("o_value"))).alias("o_value"), F.max("o_kind").alias("o_kind"), F.max("o_dtype").alias("o_dtype"), F.max("s").alias("s"))
 
 
+_TEXTS = "'g-' || event_type AS graph_id, event_id AS seq, '_:o' || event_id AS o, '_:r' || event_id AS r"
+
+
+@_add("parse_statements", f"""WITH e AS (SELECT {_TEXTS}, event_type FROM events), x AS (SELECT graph_id, seq, unnest([o, r, o, r, '{EX}e/' || seq]) AS s, unnest(['{EX}hasResult', '{EX}label', '{T.TYPE}', '{EX}amount', '{EX}about']) AS p, unnest(['bnode', 'literal', 'iri', 'literal', 'bnode']) AS o_kind,
+unnest([r, 'a "' || event_type || '" event . really', '{EX}Observation', seq::VARCHAR, o]) AS o_value, unnest([NULL, NULL, NULL, '{XSD}integer', NULL]) AS o_dtype, unnest([NULL, CASE WHEN seq % 2 = 0 THEN 'en-GB' ELSE 'nl' END, NULL, NULL, NULL]) AS o_lang, unnest(range(5))::INTEGER AS stmt_ix FROM e) SELECT graph_id, seq, stmt_ix, s, p, o_kind, o_value, o_dtype, o_lang FROM x""")
+def _(spark, d):
+    """Several statements on a line, blank nodes on both sides, language tags, and quotation marks within a literal."""
+    e = _table(spark, d, "events").select(F.concat(F.lit("g-"), F.col("event_type")).alias("graph_id"), F.col("event_id").alias("seq"), "event_type")
+    name, lang = F.col("seq").cast("string"), F.when(F.col("seq") % 2 == 0, "en-GB").otherwise("nl")
+    data = F.concat(
+        F.lit("_:o"), name, F.lit(f" <{EX}hasResult> _:r"), name, F.lit(" . "), F.lit("_:r"), name, F.lit(f' <{EX}label> "a "'), F.col("event_type"), F.lit('" event . really"@'), lang, F.lit(" ."),
+        F.lit("  no statement\n_:o"), name, F.lit(f" {T.TYPE} <{EX}Observation>.  _:r"), name, F.lit(f' <{EX}amount>"'), name, F.lit(f'"^^<{XSD}integer> . <{EX}e/'), name, F.lit(f"><{EX}about>_:o"), name, F.lit("."),
+    )
+    return ST.parsed(e.select("graph_id", "seq", data.alias("data")))
+
+
 @_add("json_messages", "SELECT conv_id || '' AS graph_id, CAST(turn AS BIGINT) AS seq, text AS data FROM conversations WHERE text IS NOT NULL")
 def _(spark, d):
     raw = _table(spark, d, "conversations").select(F.col("turn").cast("long").alias("seq"), F.to_json(F.struct(F.col("conv_id").cast("string").alias("label"), F.col("text").alias("data"))).alias("value"))
@@ -163,7 +180,7 @@ _MATCH = f"WITH {OG}, {_OUT}"
 
 def _order_matches(spark, d, upto: int = 6):
     """Each order's graph against the patterns of its head and first lines."""
-    a = M.typed(ST.order_graphs(_table(spark, d, "orders"), _table(spark, d, "lineitem")))
+    a = M.anchored(ST.order_graphs(_table(spark, d, "orders"), _table(spark, d, "lineitem")))
     return a, M.static_patterns(a.where(f"stmt_ix < {upto}"))
 
 
@@ -189,25 +206,62 @@ UNION ALL SELECT 'p-' || l_orderkey, 1, place * 3 + 1, {_L}, '{T.TYPE}', 'iri',
 @_add("match_remainder", f"WITH {_PG}, {_OUT.replace('stmt_ix < 6', 'stmt_ix < 4')} SELECT graph_id, stmt_ix, outcome FROM mo WHERE outcome IN ('remainder', 'novel')")
 def _(spark, d):
     """Only a line as part has a pattern: suppliers are left, and so are the lines' types, or they are novel where they are alone."""
-    a = M.typed(ST.part_graphs(_table(spark, d, "lineitem")))
+    a = M.anchored(ST.part_graphs(_table(spark, d, "lineitem")))
     return M.matched(a, M.static_patterns(a.where("stmt_ix < 4"))).where("outcome in ('remainder', 'novel')").select("graph_id", "stmt_ix", "outcome")
 
 
 @_add("match_classes", f"WITH {_PG}, {_OUT} SELECT graph_id, stmt_ix, ar_count, ap_id, outcome FROM mo")
 def _(spark, d):
     """Parts of one relation whose objects have different classes, or none."""
-    a = M.typed(ST.part_graphs(_table(spark, d, "lineitem")))
+    a = M.anchored(ST.part_graphs(_table(spark, d, "lineitem")))
     return M.matched(a, M.static_patterns(a.where("stmt_ix < 6"))).select("graph_id", "stmt_ix", "ar_count", "ap_id", "outcome")
 
 
-@_add("checked_pairs", f"WITH {EV}, {TR}, {AN} SELECT a.graph_id, a.seq, a.stmt_ix, 'Value Equality Violation' AS label, 5 AS code FROM an a JOIN an f ON f.graph_id = a.graph_id AND f.seq = 1 AND f.stmt_ix = a.stmt_ix WHERE a.seq > 1 AND a.o_value <> f.o_value")
+@_add("checked_pairs", f"WITH {EV}, {TR}, w AS (SELECT *, first_value(o_value) OVER (PARTITION BY graph_id, stmt_ix ORDER BY seq) AS first FROM tr) SELECT graph_id, seq, stmt_ix, 'Value Equality Violation' AS label, 5 AS code FROM w WHERE seq > 1 AND o_value <> first")
 def _(spark, d):
     """Each message's statements, matched with the static patterns of its stream's first message, and checked."""
-    a = M.typed(ST.triplified(_events(spark, d)))
+    a = M.anchored(ST.triplified(_events(spark, d)))
     patterns = M.static_patterns(a.where("seq = 1"))
     return C.static_checks(M.matched(a.where("seq > 1"), patterns).where("outcome = 'pair'"), patterns).select("graph_id", "seq", "stmt_ix", "label", "code")
 
 
+_DN = f"dn AS (SELECT 's-' || source AS graph_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS seq, doc_id, lang FROM documents WHERE source IS NOT NULL)"
+
+
+def _document_graphs(spark, d):
+    """A stream for each source, a message for each document: its class, a title in its language, and where it is kept."""
+    docs = placed(_table(spark, d, "documents").where("source is not null").select(F.concat(F.lit("s-"), F.col("source")).alias("graph_id"), "doc_id", "lang"), ["graph_id"], ["doc_id"], "seq")
+    doc, no = F.concat(F.lit(EX + "doc/"), F.col("doc_id")), F.lit(None).cast("string")
+    row = lambda p, kind, value, dtype=no, lang=no: F.struct(doc.alias("s"), F.lit(p).alias("p"), F.lit(kind).alias("o_kind"), value.alias("o_value"), dtype.alias("o_dtype"), lang.alias("o_lang"))
+    rows = F.array(row(T.TYPE, "iri", F.lit(EX + "Document")), row(EX + "title", "literal", F.lit("a title"), lang=F.col("lang")), row(EX + "shelf", "iri", F.concat(F.lit(EX + "shelf/"), F.col("doc_id") % 3)))
+    return docs.select("graph_id", F.col("seq").cast("long").alias("seq"), F.posexplode(rows).alias("stmt_ix", "x")).select("graph_id", "seq", "stmt_ix", "x.*")
+
+
+@_add("checked_languages", f"WITH {_DN}, w AS (SELECT *, first_value(lang) OVER v AS l, first_value(doc_id) OVER v AS f FROM dn WINDOW v AS (PARTITION BY graph_id ORDER BY seq)) SELECT graph_id, seq, 1 AS stmt_ix, 'Value Language Violation' AS label, 3 AS code FROM w WHERE lang <> l UNION ALL SELECT graph_id, seq, 2, 'Value Equality Violation', 5 FROM w WHERE doc_id % 3 <> f % 3")
+def _(spark, d):
+    """Language tags and IRIs of matched pairs against the first document's of each source."""
+    a = M.anchored(_document_graphs(spark, d))
+    patterns = M.static_patterns(a.where("seq = 1"))
+    return C.static_checks(M.matched(a, patterns).where("outcome = 'pair'"), patterns).select("graph_id", "seq", "stmt_ix", "label", "code")
+
+
+_N2 = f"n2 AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS lines FROM li)"
+
+
+@_add("match_two_stage", f"""WITH {LI}, {_N2} SELECT 'o-' || l_orderkey AS graph_id, CAST(place * 3 + 1 AS INTEGER) AS stmt_ix, 'nominal' AS stage, 'o-' || l_orderkey || ':q' AS ap_id, 'pair' AS outcome, l_quantity BETWEEN 10 AND 40 AS strong FROM n2
+UNION ALL SELECT 'o-' || l_orderkey, place * 3 + 2, CASE WHEN lines = 1 THEN 'nominal' ELSE 'candidate' END, CASE WHEN lines > 1 THEN 'o-' || l_orderkey || ':f' END, CASE WHEN lines = 1 THEN 'novel' ELSE 'pair' END, CASE WHEN lines > 1 THEN l_returnflag IN ('A', 'N') END FROM n2""")
+def _(spark, d):
+    """Quantities and flags of an order's lines, by a nominal pattern with a range and a candidate with members."""
+    orders = _table(spark, d, "orders")
+    a = M.anchored(ST.order_graphs(orders, _table(spark, d, "lineitem")))
+    owner = orders.select(F.concat(F.lit("o-"), F.col("o_orderkey")).alias("graph_id"))
+    no = lambda t="string": F.lit(None).cast(t)
+    ap = lambda c, relation, dtype, dist, members, lo, hi: owner.select("graph_id", F.concat(F.col("graph_id"), F.lit(c)).alias("ap_id"), F.lit(EX + "Line").alias("anchor"), F.lit(EX + relation).alias("relation"), no().alias("st_kind"), no().alias("st_value"), F.lit(XSD + dtype).alias("st_dtype"), F.lit(dist).alias("st_dist"), members.alias("st_members"), lo.alias("st_lo"), hi.alias("st_hi"))
+    nominal = ap(":q", "quantity", "double", "C", no("array<string>"), F.lit(10.0), F.lit(40.0))
+    candidates = ap(":f", "flag", "string", "D", F.array(F.lit("A"), F.lit("N")), no("double"), no("double"))
+    return M.two_stage(a, nominal, candidates).where(F.col("relation").isin(EX + "quantity", EX + "flag")).select("graph_id", "stmt_ix", "stage", "ap_id", "outcome", "strong")
+
+
 @_add("static_vs_dynamic", f"WITH {EV}, {TR} SELECT graph_id, p, count(DISTINCT o_value) AS n_values, count(DISTINCT o_value) = 1 AS is_static FROM tr WHERE p NOT IN ('{EX}hasValue') GROUP BY graph_id, p")
 def _(spark, d):
     t = ST.triplified(_events(spark, d)).where(F.col("p") != EX + "hasValue")

@@ -13,7 +13,10 @@ from ..functions.terms import TYPE, XSD
 from ..operators.sequence import placed
 
 EX = "http://example.org/"
-_LINE = r"^\s*(\S+)\s+(\S+)\s+(.*\S)\s*\.\s*$"
+# a statement: subject and relation in brackets or bare, an object, and a full stop that ends a word; literals stay within a line
+_NAME = r'(<[^<>\s]*>\s*|[^\s<>"]+\s+)'
+_TERM = r'(<[^<>\s]*>|".*?"(?:@[A-Za-z0-9-]+|\^\^<[^<>\s]*>|\^\^[^\s<>"]+?)?|[^\s<>"]+?)'
+_STATEMENT = _NAME + _NAME + _TERM + r"\s*\.(?=\s|$)"
 _LITERAL = r'^"(.*)"(?:@([A-Za-z0-9-]+)|\^\^<?([^<>\s]+)>?)?$'
 
 
@@ -77,26 +80,34 @@ def part_graphs(lineitem: DataFrame) -> DataFrame:
     return placed_lines(lineitem).select(F.concat(F.lit("p-"), F.col("l_orderkey")).alias("graph_id"), F.inline(rows)).withColumn("seq", F.lit(1).cast("long"))
 
 
+def _term(text: Column) -> Column:
+    """The name of an IRI or a blank node, wherever it stands: without brackets, blank nodes with their prefix."""
+    return F.regexp_replace(F.trim(text), r"^<|>$", "")
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """Statements of messages(graph_id, seq, data), one per line of data; lines that are none are skipped."""
-    lines = messages.select("graph_id", "seq", F.posexplode(F.split("data", "\n")).alias("stmt_ix", "line")).where(F.col("line").rlike(_LINE))
-    part = lambda i: F.regexp_extract("line", _LINE, i)
-    bare = lambda c: F.regexp_replace(c, "^<|>$", "")
-    cut = lines.select("graph_id", "seq", "stmt_ix", bare(part(1)).alias("s"), bare(part(2)).alias("p"), part(3).alias("o"))
+    """Statements of messages(graph_id, seq, data), numbered from 0; any number on a line. What is no statement is skipped.
+
+    Blank nodes are `_:name` as subjects and as objects (o_kind bnode), so that a node's statements meet. A literal ends
+    at the first quotation mark after which the statement can end.
+    """
+    found = messages.select("graph_id", "seq", F.posexplode(F.regexp_extract_all("data", F.lit(_STATEMENT), F.lit(0))).alias("stmt_ix", "whole"))
+    part = lambda i: F.regexp_extract("whole", f"^{_STATEMENT}$", i)
+    cut = found.select("graph_id", "seq", "stmt_ix", _term(part(1)).alias("s"), _term(part(2)).alias("p"), part(3).alias("o"))
     literal = F.col("o").startswith('"')
     own = lambda i: F.when(literal, F.nullif(F.regexp_extract("o", _LITERAL, i), F.lit("")))
     return cut.select(
         "graph_id", "seq", "stmt_ix", "s", "p", F.when(literal, "literal").when(F.col("o").startswith("_:"), "bnode").otherwise("iri").alias("o_kind"),
-        F.when(literal, F.regexp_extract("o", _LITERAL, 1)).otherwise(F.regexp_replace(bare(F.col("o")), "^_:", "")).alias("o_value"), own(3).alias("o_dtype"), own(2).alias("o_lang"),
+        F.when(literal, F.regexp_extract("o", _LITERAL, 1)).otherwise(_term(F.col("o"))).alias("o_value"), own(3).alias("o_dtype"), own(2).alias("o_lang"),
     )
 
 
-def rendered(statements: DataFrame) -> DataFrame:
-    """messages(graph_id, seq, data) that `parsed` reads: the statements of each message as lines, in their order."""
-    from ..functions.terms import serialised
+def rendered(statements: DataFrame, between: str = "\n") -> DataFrame:
+    """messages(graph_id, seq, data) that `parsed` reads: the statements of each message in their order."""
+    from ..functions.terms import serialised, subject_text
 
-    line = F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), serialised(), F.lit(" ."))
-    return statements.groupBy("graph_id", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stmt_ix", line.alias("line")))), lambda x: x["line"]), "\n").alias("data"))
+    line = F.concat(subject_text("s"), F.lit(" "), subject_text("p"), F.lit(" "), serialised(), F.lit(" ."))
+    return statements.groupBy("graph_id", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stmt_ix", line.alias("line")))), lambda x: x["line"]), between).alias("data"))
 
 
 def labelled_messages(raw: DataFrame) -> DataFrame:
