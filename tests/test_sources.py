@@ -1,10 +1,7 @@
-import http.server
 import json
-import threading
 
 from tripwatch.functions.terms import XSD
 from tripwatch.sources import statements as ST
-from tripwatch.sources.long_poll import LongPollReader
 
 
 def test_lines(spark):
@@ -20,38 +17,6 @@ def test_stream_file_and_turns(spark, tmp_path):
     assert [(r.stream, r.ix, r.graph_id, r.anomaly) for r in got] == [(0, 0, "a", None), (1, 0, "b", None), (0, 1, "a", True)]
 
 
-def test_long_poll():
-    answers = [(200, '{"handleRequestId": 1}'), (202, ""), (200, '{"handleRequestId": 2}'), (204, "")]
-    receipts = []
-
-    class Handler(http.server.BaseHTTPRequestHandler):
-        def do_GET(self):
-            status, text = answers.pop(0)
-            self.send_response(status)
-            self.end_headers()
-            if status == 200:
-                self.wfile.write(text.encode())
-
-        def do_POST(self):
-            receipts.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
-            self.send_response(200)
-            self.end_headers()
-
-        def log_message(self, *a):
-            pass
-
-    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    reader = LongPollReader({"endpoint": f"http://127.0.0.1:{server.server_port}", "return_receipt": "true"})
-    rows, end = reader.read(reader.initialOffset())
-    rows = list(rows)
-    assert [r[0] for r in rows] == [0, 1] and end == {"seq": 2} and receipts == []
-    assert list(reader.readBetweenOffsets({"seq": 1}, end)) == rows[1:]
-    reader.commit(end)
-    server.shutdown()
-    assert [r["handleRequestId"] for r in receipts] == [1, 2] and reader.kept == {}
-
-
 def test_language_and_declared_types(spark):
     from pyspark.sql import functions as F
 

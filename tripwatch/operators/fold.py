@@ -231,9 +231,13 @@ def _update(state: State, graph_id: str, seq: int, pairs: list, more: list, rest
         _learn(ap, r, s)
         ap["freq"] += 1
         if s.pattern_decay > 0:
-            bisect.insort(state["due"].setdefault(str(state["t"] + s.pattern_decay), []), ap["id"])
+            due = state["due"].setdefault(str(state["t"] + s.pattern_decay), [])
+            if ap["id"] not in due:  # once, however many statements met it
+                bisect.insort(due, ap["id"])
     for r in rest:
         state["aps"].append(_pattern(f"{graph_id}:{seq}:{r[0]}", r, state["t"]) | {"status": "candidate"})
+        if s.pattern_decay > 0:
+            bisect.insort(state["due"].setdefault(str(state["t"] + s.pattern_decay), []), state["aps"][-1]["id"])
     state["t"] += 1
     for ap in state["aps"]:
         if ap["status"] == "candidate" and s.pattern_threshold > 0 and ap["freq"] >= s.pattern_threshold:

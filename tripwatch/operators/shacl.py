@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.terms import DCT, RDF, SH, TYPE, XSD
+from .sequence import placed
 
 
 def _row(s: Column, p: str, kind: str, value: Column, dtype: str | None = None) -> Column:
@@ -31,11 +32,35 @@ def report_statements(reports: DataFrame, violations: DataFrame) -> DataFrame:
     return reports.select(F.col("report_id").alias("graph_id"), F.inline(head)).unionByName(results)
 
 
+def joined(statements: DataFrame, root_class: str, paths: dict[str, list[str]]) -> DataFrame:
+    """(graph_id, root, one column for each of paths): what the nodes of a class reach along paths of predicates, of any length.
+
+    Paths that begin alike share their joins; each step joins the nodes reached so far with the statements that have them as
+    subject, by graph and node. A step that leads nowhere gives null, one that leads to several nodes gives a row for each.
+    """
+    own = statements.select("graph_id", "s", "p", "o_value")
+    rows = own.where((F.col("p") == TYPE) & (F.col("o_value") == root_class)).select("graph_id", F.col("s").alias("root")).distinct()
+    at: dict[tuple[str, ...], str] = {(): "root"}
+    for path in sorted({tuple(p[: i + 1]) for p in paths.values() for i in range(len(p))}, key=lambda p: (len(p), p)):
+        at[path] = f"_{len(at)}"
+        step = own.where(F.col("p") == path[-1]).select("graph_id", F.col("s").alias(at[path[:-1]]), F.col("o_value").alias(at[path]))
+        rows = rows.join(step, ["graph_id", at[path[:-1]]], "left")
+    return rows.select("graph_id", "root", *[F.col(at[tuple(p)]).alias(name) for name, p in paths.items()])
+
+
+#: The columns of a published report and where they are in its statements.
+REPORT = {"report_date": [DCT + "date"], "identifier": [DCT + "identifier"], "conforms": [SH + "conforms"]} | {
+    name: [SH + "result", *p]
+    for name, p in {"result": [], "message": [SH + "resultMessage"], "description": [DCT + "description"], "focus": [SH + "focusNode"], "path": [SH + "resultPath"], "value": [SH + "value"], "severity": [SH + "resultSeverity"], "severity_label": [SH + "resultSeverity", DCT + "title"], "severity_description": [SH + "resultSeverity", DCT + "description"]}.items()
+}
+
+
 def binding_sets(statements: DataFrame) -> DataFrame:
-    """(report, result, message, focus, path, value) of report statements: a row for each result, by conditional maxima."""
-    pick = lambda p: F.max(F.when(F.col("p") == SH + p, F.col("o_value")))
-    rows = statements.where(F.col("p").isin([SH + p for p in ("resultMessage", "focusNode", "resultPath", "value")]))
-    return rows.groupBy(F.col("graph_id").alias("report"), F.col("s").alias("result")).agg(pick("resultMessage").alias("message"), pick("focusNode").alias("focus"), pick("resultPath").alias("path"), pick("value").alias("value"))
+    """(report, report_date, identifier, conforms, result, message, description, focus, path, value, severity, severity_label,
+    severity_description) of report statements: a row for each result; structural ones have neither focus, path nor value, and
+    a report that conforms has one row without a result."""
+    found = joined(statements, SH + "ValidationReport", REPORT)
+    return found.select(F.col("root").alias("report"), *REPORT)
 
 
 def shape_statements(patterns: DataFrame, bounds: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
@@ -77,5 +102,5 @@ def shape_bounds(samples: DataFrame) -> DataFrame:
 
 def shape_lists(samples: DataFrame) -> DataFrame:
     """(graph_id, relation, pos, member) of samples(graph_id, relation, str): sorted distinct members of an sh:in list."""
-    sets = samples.groupBy("graph_id", "relation").agg(F.array_sort(F.collect_set("str")).alias("members"))
-    return sets.select("graph_id", "relation", F.posexplode("members").alias("pos", "member"))
+    members = samples.select("graph_id", "relation", F.col("str").alias("member")).distinct()
+    return placed(members, ["graph_id", "relation"], ["member"], "pos").select("graph_id", "relation", (F.col("pos") - 1).cast("int").alias("pos"), "member")

@@ -13,6 +13,7 @@ from ..functions import literals as L
 from ..functions import terms as T
 from ..functions.terms import XSD
 from ..operators import checks as C
+from ..operators import forgetting as FG
 from ..operators import gate as gated
 from ..operators import matching as M
 from ..operators import shacl as K
@@ -307,6 +308,17 @@ def _(spark, d):
     return _events(spark, d).select("graph_id", "seq", "k", freq.alias("freq")).withColumn("promoted", F.col("freq") >= 5)
 
 
+_SWEEP = f"""WITH {EV}, ob AS (SELECT graph_id, 'u-' || user_id AS ap, seq AS t FROM ev), ee AS (SELECT graph_id, ap, t, 0 AS phase, 1 AS delta FROM ob UNION ALL SELECT graph_id, ap, t + 399, 1, -1 FROM ob WHERE t > 1 AND t + 399 <= (SELECT max(t) FROM ob o WHERE o.graph_id = ob.graph_id)),
+es AS (SELECT *, sum(delta) OVER (PARTITION BY graph_id, ap ORDER BY t, phase) AS freq FROM ee), eg AS (SELECT *, CASE WHEN phase = 1 AND freq = 0 THEN 1 ELSE 0 END AS gone FROM es), el AS (SELECT *, coalesce(sum(gone) OVER (PARTITION BY graph_id, ap ORDER BY t, phase ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM eg)"""
+
+
+@_add("pattern_lifetimes", f"{_SWEEP} SELECT graph_id, ap, CAST(life + 1 AS BIGINT) AS life, min(t) FILTER (WHERE phase = 0) AS born, CASE WHEN min(t) FILTER (WHERE phase = 0) = 1 THEN 1 ELSE min(t) FILTER (WHERE phase = 0 AND freq >= 3) END AS promoted, max(t) FILTER (WHERE gone = 1) AS deleted, CAST(arg_max(freq, t * 2 + phase) AS BIGINT) AS freq FROM el GROUP BY graph_id, ap, life")
+def _(spark, d):
+    """The users of each stream as patterns that are forgotten after 400 messages and nominal from three times on."""
+    seen = _events(spark, d).select("graph_id", F.col("seq").alias("t"), F.concat(F.lit("u-"), F.col("user_id")).alias("ap"))
+    return FG.lifetimes(seen, 400, 3)
+
+
 @_add("grace_filter", f"WITH {EV} SELECT graph_id, seq FROM ev WHERE seq > 100")
 def _(spark, d):
     return _events(spark, d).where(F.col("seq") > Settings().grace_period).select("graph_id", "seq")
@@ -513,6 +525,21 @@ def _shacl(spark, d):
     return K.report_statements(reports, found)
 
 
+def _structural(spark, d):
+    """Reports on orders whose lines have flags that no pattern allows: a structural result each, and those of the others that conform."""
+    lines = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(F.col("l_returnflag") == "R").alias("bad"))
+    rid = F.concat(F.lit("o-"), F.col("l_orderkey"))
+    reports = lines.select(rid.alias("report_id"), F.col("l_orderkey").alias("report_ts"), (~F.col("bad")).alias("conforms"))
+    no = F.lit(None).cast("string")
+    found = lines.where("bad").select(rid.alias("report_id"), F.concat(rid, F.lit("-1")).alias("result_id"), F.lit("Closed-World Assumption Violation").alias("label"), F.lit("a statement that no pattern has").alias("message"), F.lit("INCONSISTENCY").alias("severity"), no.alias("focus"), no.alias("path"), no.alias("value"))
+    return K.report_statements(reports, found)
+
+
+@_add("report_structural", "SELECT 'o-' || l_orderkey AS report, l_orderkey || '' AS report_date, 'o-' || l_orderkey AS identifier, CASE WHEN bad THEN 'false' ELSE 'true' END AS conforms, CASE WHEN bad THEN 'o-' || l_orderkey || '-1' END AS result, CASE WHEN bad THEN 'Closed-World Assumption Violation' END AS message, CASE WHEN bad THEN 'a statement that no pattern has' END AS description, NULL::VARCHAR AS focus, NULL::VARCHAR AS path, NULL::VARCHAR AS value, CASE WHEN bad THEN 'o-' || l_orderkey || '-1-severity' END AS severity, CASE WHEN bad THEN 'INCONSISTENCY' END AS severity_label, CASE WHEN bad THEN 'severity INCONSISTENCY' END AS severity_description FROM (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS bad FROM lineitem GROUP BY l_orderkey)")
+def _(spark, d):
+    return K.binding_sets(_structural(spark, d))
+
+
 @_add("shacl_report", f"{_CODES} SELECT 'r-' || event_id AS graph_id, 16::BIGINT AS n, 11::BIGINT AS n_result, 'false' AS conforms FROM cd WHERE code > 0")
 def _(spark, d):
     s = F.col("s").contains("-1") | (F.col("p") == T.SH + "result")
@@ -526,9 +553,9 @@ def _(spark, d):
     return K.report_statements(all_, none).where(F.col("p") == T.SH + "conforms").select("graph_id", "p", "o_value")
 
 
-@_add("report_binding_set", f"{_CODES} SELECT 'r-' || event_id AS report, 'r-' || event_id || '-1' AS result, CASE WHEN code = 5 THEN 'Critical Value Violation' ELSE 'Suspicious Value Violation' END AS message, '{EX}res/' || event_id AS focus, '{EX}hasValue' AS path, CAST(event_id AS VARCHAR) AS value FROM cd WHERE code > 0")
+@_add("report_binding_set", f"{_CODES} SELECT 'r-' || event_id AS report, seq || '' AS report_date, 'false' AS conforms, 'r-' || event_id || '-1' AS result, CASE WHEN code = 5 THEN 'Critical Value Violation' ELSE 'Suspicious Value Violation' END AS message, '{EX}res/' || event_id AS focus, '{EX}hasValue' AS path, CAST(event_id AS VARCHAR) AS value, CASE WHEN code = 5 THEN 'CRITICAL' ELSE 'SUSPICIOUS' END AS severity_label, CASE WHEN code = 5 THEN 'severity CRITICAL' ELSE 'severity SUSPICIOUS' END AS severity_description FROM cd WHERE code > 0")
 def _(spark, d):
-    return K.binding_sets(_shacl(spark, d))
+    return K.binding_sets(_shacl(spark, d)).select("report", "report_date", "conforms", "result", "message", "focus", "path", "value", "severity_label", "severity_description")
 
 
 @_add("shape_minmax", f"WITH {EV} SELECT graph_id, '{EX}isMeasuredIn' AS relation, CAST(min(k) AS DOUBLE) AS min_inclusive, CAST(max(k) AS DOUBLE) AS max_inclusive FROM ev GROUP BY graph_id")
