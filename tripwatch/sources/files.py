@@ -45,6 +45,12 @@ class Folder:
         if rest:
             yield rest
 
+    def clear(self, prefix: str) -> None:
+        """Deletes the files whose names begin so, and unfinished ones."""
+        for f in self.store.get_file_info(fs.FileSelector(self.top)):
+            if f.base_name.startswith(prefix):
+                self.store.delete_file(f.path)
+
     def remove(self, name: str) -> None:
         if self.has(name):
             self.store.delete_file(f"{self.top}/{name}")

@@ -55,9 +55,7 @@ class BindingSetWriter(DataSourceStreamWriter):
                 request = urllib.request.Request(self.endpoint, body, {"Content-Type": "application/json"} | self.headers, method="POST")
                 urllib.request.urlopen(request, timeout=60).close()
             folder.write(mark, iter([b"\n"]))
-        for name in folder.names():  # also those of tasks that failed; the folder is one query's, which has one batch at a time
-            if name.startswith("rows-"):
-                folder.remove(name)
+        folder.clear("rows-")  # also those of tasks that failed; the folder is one query's, which has one batch at a time
 
     def abort(self, messages: list[Staged | None], batchId: int) -> None:
         folder = Folder(self.staging)
