@@ -208,3 +208,53 @@ def test_vector_bounds_skip_distances(spark):
 @pytest.mark.parametrize("operator,schema", [(substring_dedup.digest, DOCS), (conversation_trie.digest, TURNS), (vector_codes.digest, "vec_id long, embedding array<float>, label int")])
 def test_empty_tables(spark, operator, schema):
     assert operator(spark.createDataFrame([], schema)).count() == 0
+
+
+# --- what the operators share
+def thue_morse(k):
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_built_collisions_of_words():
+    """Thue-Morse words collide modulo 2^64 for every base; they are different words here."""
+    import pyarrow as pa
+
+    from tripwatch.llm.common import RangeHash, byte_codes, utf8, word_hashes, words
+
+    data, offsets = utf8(pa.array([*thue_morse(12), thue_morse(12)[0].upper()]))
+    starts, ends, _ = words(data, offsets)
+    plain = RangeHash(data, byte_codes(4))(starts, ends)
+    assert plain[0] == plain[1]
+    got = word_hashes(data, starts, ends, byte_codes(4, fold_case=True), fold=True)
+    assert got[0] != got[1] and got[0] == got[2]
+
+
+def test_thue_morse_documents_are_no_near_copies(spark):
+    from tripwatch.llm import near_dedup
+
+    a, b = thue_morse(12)
+    rows = near_dedup.digest(spark.createDataFrame([(1, a), (2, b), (3, a.upper())], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(1, 1, True), (2, 2, True), (3, 1, False)]
+
+
+def test_samples_of_any_share(spark):
+    from tripwatch.llm.common import chosen
+
+    rows = spark.range(200_000)
+    for share in (0.5, 1e-3, 1e-5):
+        n = rows.where(chosen(share, "id")).count()
+        assert abs(n - 200_000 * share) <= 5 * (200_000 * share) ** 0.5 + 1
+    # under a millionth the share isn't rounded to none
+    assert 0 < spark.range(40_000_000).where(chosen(2e-7, "id")).count() < 30
+    assert rows.where(chosen(0.0, "id")).count() == 0
+
+
+def test_language_is_learnt_from_a_tiny_share(spark):
+    from tripwatch.llm import language_id
+
+    docs = spark.range(2950).selectExpr("id as doc_id", "'the words of this text are plain enough' as text", "'en' as lang")
+    assert language_id.fit(docs, rows=3).languages in (["en"], [])  # three rows as expected
+    assert language_id.fit(docs, rows=60).languages == ["en"]

@@ -60,6 +60,12 @@ def crc_remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def chosen(share: float | Column, *key: Column | str) -> Column:
+    """Whether a row is in a sample of this share, by a 63-bit hash of its key: exact for any share, also one under a millionth."""
+    limit = F.lit(share) if isinstance(share, float) else share
+    return F.shiftrightunsigned(F.xxhash64(*key), 1) / float(1 << 63) < limit
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit."""
     x = x ^ (x >> _U(33))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import batch, crc_remainder, materialise, mix, releasing, steps, utf8
+from .common import batch, chosen, crc_remainder, materialise, mix, releasing, steps, utf8
 
 #: Bytes of an n-gram, slots of the filter as a power of two, and slots probed for an n-gram.
 GRAM, SLOT_BITS, PROBES = 4, 21, 2
@@ -63,8 +63,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageFilter:
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return LanguageFilter([], np.zeros((1, 1 << SLOT_BITS), np.uint8), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, rows / n) * 1_000_000))])
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows / n))])
+    drawn = labelled.where((share[F.col("lang")] >= 1.0) | chosen(share[F.col("lang")], "doc_id"))
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, batch, byte_codes, materialise, mix, releasing, row_key, steps, utf8, words
+from .common import batch, byte_codes, materialise, mix, releasing, row_key, steps, utf8, word_hashes, words
 from .components import components
 
 #: Words of a shingle; a pair is linked if 100 * shared >= PERCENT * united.
@@ -37,7 +37,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """Distinct shingle hashes of the rows of a step, sorted in each row, and where each row's begin."""
     starts, ends, first = words(data, offsets)
     counts = np.diff(first)
-    one = RangeHash(data, _CODES)(starts, ends)
+    one = word_hashes(data, starts, ends, _CODES, fold=True)
     weights = mix(np.arange(11, 11 + WORDS, dtype=_U)) | _U(1)
     rows, hashes = [], []
     total = np.zeros(max(0, len(one) - WORDS + 1), _U)

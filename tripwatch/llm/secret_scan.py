@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import materialise, releasing, row_key
+from .common import chosen, materialise, releasing, row_key
 
 #: Findings to train from, as expected when they are drawn by a hash.
 TRAIN_FINDINGS = 20_000
@@ -196,8 +196,8 @@ def fit(found: DataFrame, rows: int = TRAIN_FINDINGS):
     classes = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
     if len(classes) < 2:
         return None
-    share = F.create_map(*[F.lit(x) for label in (0.0, 1.0) for x in (label, int(min(1.0, rows / 2 / classes.get(label, 1)) * 1_000_000))])
-    drawn = found.where(F.pmod(F.xxhash64("features", "label"), F.lit(1_000_000)) < share[F.col("label")]).select("label", array_to_vector("features").alias("vector"))
+    share = F.create_map(*[F.lit(x) for label in (0.0, 1.0) for x in (label, min(1.0, rows / 2 / classes.get(label, 1)))])
+    drawn = found.where((share[F.col("label")] >= 1.0) | chosen(share[F.col("label")], "features", "label")).select("label", array_to_vector("features").alias("vector"))
     return RandomForestClassifier(labelCol="label", featuresCol="vector", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="0.7", seed=SEED).fit(drawn)
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, batch, byte_codes, crc_remainder, materialise, mix, releasing, steps, utf8, words
+from .common import batch, byte_codes, chosen, crc_remainder, materialise, mix, releasing, steps, utf8, word_hashes, words
 
 #: What a count loses: a word's of preceding words, and a pair's.
 DISCOUNT, PAIR_DISCOUNT = 0.75, 2.0
@@ -35,6 +35,8 @@ HEAD, FILTER_BITS = 1 << 22, 26
 #: Bits of the first word in a pair's name; no context; bytes of text that are counted at once.
 CONTEXT_BITS, STEP = 24, 16 << 20
 ALONE = (1 << CONTEXT_BITS) - 1
+#: Tasks at most over which the pairs of a word are spread.
+SALTS = 64
 #: Labels up to which they are sent to all executors; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Documents, as expected, from which the logistic function is fitted.
@@ -64,7 +66,7 @@ def pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         ends[live] -= tail
         starts[live] += head & (ends[live] - starts[live] > 1)
         live = live[tail | head]
-    word = RangeHash(data, _CODES)(starts, ends) >> _U(CONTEXT_BITS)
+    word = word_hashes(data, starts, ends, _CODES, fold=True) >> _U(CONTEXT_BITS)
     before = np.concatenate([[_U(0)], mix(word[:-1]) % _U(ALONE - 1) + _U(1)]) if len(word) else word
     before[first[:-1][np.diff(first) > 0]] = 0
     return (word << _U(CONTEXT_BITS)) | before, first
@@ -102,13 +104,15 @@ def _over(count: Column, discount: float) -> Column:
 def _statistics(found: DataFrame) -> DataFrame:
     """(kind, name, a0, a1, b0, b1, ka, kb, n) of found(pair, n0, n1, m0, m1): a is of part 0 and b of all, 0 of ordinary and 1 of
     toxic rows. Kind 0 are words with their continuation counts, 1 pairs that have more than their discount, 2 first words with
-    the sums of their pairs and what these keep, in ka and kb. All three come from one shuffle of the pairs by their second word.
+    the sums of their pairs and what these keep, in ka and kb. All three come from one shuffle of the pairs, by their second word and one of SALTS parts
+    of the first words, so that a common word is in many tasks; its parts are summed up after.
     """
-    counts = found.withColumn("word", F.shiftrightunsigned("pair", CONTEXT_BITS)).repartition("word").groupBy("word", "pair").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "m0", "m1")])
-    counts = counts.select("word", "pair", F.col("n0").alias("a0"), F.col("n1").alias("a1"), (F.col("n0") + F.col("m0")).alias("b0"), (F.col("n1") + F.col("m1")).alias("b1"))
+    counts = found.withColumns({"word": F.shiftrightunsigned("pair", CONTEXT_BITS), "salt": F.col("pair").bitwiseAND(SALTS - 1)}).repartition("word", "salt").groupBy("word", "salt", "pair").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "m0", "m1")])
+    counts = counts.select("word", "salt", "pair", F.col("n0").alias("a0"), F.col("n1").alias("a1"), (F.col("n0") + F.col("m0")).alias("b0"), (F.col("n1") + F.col("m1")).alias("b1"))
     kept = lambda x: _over(F.col(f"{x}0"), PAIR_DISCOUNT) + _over(F.col(f"{x}1"), PAIR_DISCOUNT)
     sides, none = ("a0", "a1", "b0", "b1"), F.lit(0.0)
-    words_ = counts.groupBy("word").agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in sides], F.sum(F.col("b0") + F.col("b1")).alias("n"))
+    parts = counts.groupBy("word", "salt").agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in sides], F.sum(F.col("b0") + F.col("b1")).alias("n"))
+    words_ = parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in (*sides, "n")])
     often = counts.where(f"b0 > {PAIR_DISCOUNT} or b1 > {PAIR_DISCOUNT}")
     firsts = counts.groupBy(F.col("pair").bitwiseAND(ALONE).alias("before")).agg(*[F.sum(c).alias(c) for c in sides], F.sum(kept("a")).alias("ka"), F.sum(kept("b")).alias("kb"))
     out = words_.select(F.lit(0).alias("kind"), F.col("word").alias("name"), *sides, none.alias("ka"), none.alias("kb"), "n")
@@ -248,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
     rows = rows.withColumn("part", F.when(crc_remainder() == 4, 1).otherwise(0))
     by = model(_pair_counts(rows))
     n = max(1, known.where(crc_remainder() == 4).count())
-    sample = rows.where((F.col("part") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, FIT_ROWS / n) * 1_000_000)))
+    sample = rows.where((F.col("part") == 1) & (F.lit(n <= FIT_ROWS) | chosen(FIT_ROWS / n, "doc_id")))
     weights = np.array([0.0, 1.0, 1.0])
     found = scored(sample, by, "some", "toxic").select("toxic", _mean().alias("mean")).toPandas()
     if found["toxic"].nunique() > 1:

@@ -63,7 +63,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds(host, seed), whose seeds sum to 1, along edges(src, dst, n).
+    """(host, rank): personalised PageRank from seeds(host, seed), whose seeds sum to 1, along edges(src, dst, n). Hosts without
+    out-links give their rank back to the seeds; as that is where the jumps go, too, it is the rank without it, brought to the sum 1.
 
     Without `rounds` it goes on until the ranks stand still. A round moves at most the damping's share of what the last one
     moved, so the rounds end.
@@ -72,7 +73,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
     flow = materialise(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
     rank = seeds.select("host", F.col("seed").alias("rank"))
     if not flow.limit(1).count():  # no links: each round leaves the seeds' own part
-        return rank.withColumn("rank", F.col("rank") * (1 - damping))
+        return rank
     hosts = flow.select("src").union(flow.select("dst")).distinct().count() if rounds is None else 0
     done, last = 0, rank
     while rounds is None or done < rounds:
@@ -87,7 +88,9 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
             both = rank.join(last.withColumnRenamed("rank", "before"), "host", "full").fillna(0.0, ["rank", "before"])
             if (both.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) <= TOLERANCE / hosts:
                 break
-    return rank
+    rank = materialise(rank)
+    total = rank.agg(F.sum("rank")).first()[0]
+    return rank.withColumn("rank", F.col("rank") / F.lit(total)) if total else rank
 
 
 def host_scores(pages: DataFrame) -> DataFrame:
