@@ -138,3 +138,32 @@ def test_discrete_bootstrap(spark):
     assert S.any_rejected(p, 0.01).first().rejected == any(x is not None and (x < 0.005 or x > 0.995) for x in got)
     grid = {r.value: (r.share_a, r.share_b) for r in S.proportion_grid(_side(spark, [1, 1, 2]), _side(spark, [2, 3])).collect()}
     assert grid == {1.0: (2 / 3, None), 2.0: (1 / 3, 0.5), 3.0: (None, 0.5)}
+
+
+def test_values_of_rejected_messages_are_not_learnt(spark):
+    """Where `fine` is false a value isn't learnt, whatever its own code is; in blocks of any size."""
+    rng = np.random.default_rng(8)
+    rows = [("g", i + 1, float(v), bool(i < 100 or rng.random() < 0.7)) for i, v in enumerate(rng.exponential(size=600).round(2))]
+    s, own, want = Settings(), [], []
+    for _, seq, v, fine in rows:
+        code = 0
+        if len(own) >= 100:
+            for alpha, c in ((s.alpha_critical, 5), (s.alpha_suspicious, 4)):
+                lo, hi = interval(own, 1 - alpha)
+                by = abs(hi - lo) * s.pi_tolerance
+                if v <= lo - by or v > hi + by:
+                    code = c
+                    break
+        want.append((seq, len(own), code))
+        if not code and fine:
+            bisect.insort(own, v)
+    for block in (4096, 70):
+        got = gate.interval_codes(spark.createDataFrame(rows, SAMPLES + ", fine boolean"), s, block).select("seq", "n", "code").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_other_statistics(spark):
+    from pyspark.sql import functions as F
+
+    p = S.bootstrap(_side(spark, range(51)), _side(spark, range(100, 200)), 50, statistics={"top": F.max, "mean": F.avg}).first()
+    assert p.asDict() == {"graph_id": "g", "p_top": 0.0, "p_mean": 0.0}

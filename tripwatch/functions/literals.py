@@ -51,6 +51,20 @@ def numeric(value: Column, dtype: Column) -> Column:
     return F.when(within(FAMILIES["datetime"]), epoch_seconds(text, dtype)).when(within(FAMILIES["datefrag"]), fragment_days(text, dtype).cast("double")).when(within(integers), whole).when(within(FAMILIES["numeric"]), plain)
 
 
+def kept_value(value: Column, dtype: Column) -> Column:
+    """(num, text) of a literal as a distribution keeps it: the number it stands for or, if it has none, its stripped text."""
+    num = numeric(value, dtype)
+    return F.struct(num.alias("num"), F.when(num.isNull(), F.trim(value)).alias("text"))
+
+
+def span_seconds(text: Column) -> Column:
+    """Seconds of a time span of whole hours, days or weeks, as 12H, 3D or 2W; null for other texts."""
+    form = r"^([0-9]+)([HDW])$"
+    unit = F.regexp_extract(text, form, 2)
+    each = F.when(unit == "H", 3600).when(unit == "D", 86400).when(unit == "W", 7 * 86400)
+    return F.nullif(F.regexp_extract(text, form, 1), F.lit("")).try_cast("long") * each
+
+
 def significant(value: Column, figures: int) -> Column:
     """value rounded to significant figures, ties to even; 0 figures or fewer leave it, and so do more than a double has.
 

@@ -28,7 +28,7 @@ from .statistics import LEAST_FOR_INTERVAL, interval_ranks
 from .storage import materialise
 
 #: Messages of a block at least; longer streams have blocks of the square root of their length.
-BLOCK = 4096
+BLOCK = 1 << 16
 #: Buckets of value rank to a block's length.
 FINER = 4
 _JUDGED = "graph_id string, seq long, n long, code int, lo double, hi double, changed boolean"
@@ -72,7 +72,7 @@ def judged_block(rows: pd.DataFrame, levels: list[tuple[float, int]], tolerance:
     within = past.groupby("bucket").cumcount().to_numpy() if len(past) else np.empty(0, np.int64)
     known = Ranked(past.low.to_numpy() + within, past.name.to_numpy(), past.value.to_numpy(), int(own.low.iloc[0]) if len(own) else 0)
     out = []
-    for seq, name, value, ok in zip(own.seq, own.name, own.value, own.ok, strict=True):
+    for seq, name, value, ok, fine in zip(own.seq, own.name, own.value, own.ok, own.fine, strict=True):
         n, code, lo, hi = known.n, NOMINAL, None, None
         if n >= LEAST_FOR_INTERVAL:
             ends = []
@@ -85,24 +85,27 @@ def judged_block(rows: pd.DataFrame, levels: list[tuple[float, int]], tolerance:
                     code = violation
                     break
             lo, hi = ends[-1] if code else ends[0]
-        if code == NOMINAL:
+        learnt = code == NOMINAL and fine
+        if learnt:
             known.add(name, value)
-        out.append((seq, n, code, lo, hi, (code == NOMINAL) != ok))
+        out.append((seq, n, code, lo, hi, learnt != ok))
     return pd.DataFrame(out, columns=["seq", "n", "code", "lo", "hi", "changed"])
 
 
 def interval_codes(samples: DataFrame, settings: Settings = Settings(), block: int = BLOCK) -> DataFrame:
     """(graph_id, seq, value, n, code, lo, hi) of samples(graph_id, seq, value): n accepted values were before, [lo, hi] is the widened
     interval that decided (null for the first hundred accepted), code tells whether the value is out of it. Only values
-    with code 0 are learnt. Null values are left out.
+    with code 0 are learnt. Null values are left out. samples may have a boolean column `fine`: where it is false, the value's
+    message is rejected for another reason, and the value isn't learnt either.
     """
     levels = [(1 - settings.alpha_critical, CRITICAL), (1 - settings.alpha_suspicious, SUSPICIOUS)]
-    own = samples.where("value is not null").select("graph_id", F.col("seq").cast("long").alias("seq"), F.col("value").cast("double").alias("value"))
+    fine = F.coalesce("fine", F.lit(False)) if "fine" in samples.columns else F.lit(True)
+    own = samples.where("value is not null").select("graph_id", F.col("seq").cast("long").alias("seq"), F.col("value").cast("double").alias("value"), fine.alias("fine"))
     named = placed(own, ["graph_id"], ["value", "seq"], "name")
     sizes = named.groupBy("graph_id").agg(F.greatest(F.lit(block), F.ceil(F.sqrt(F.max("seq")))).cast("long").alias("size"))
     fresh = named.join(sizes, "graph_id").withColumn("block", F.expr("(seq - 1) div size")).withColumn("bucket", F.expr(f"(name - 1) div greatest(size div {FINER}, 1)"))
     no = lambda t: F.lit(None).cast(t)
-    rows = materialise(fresh.withColumns({"ok": F.lit(True), "n": no("long"), "code": F.lit(NOMINAL), "lo": no("double"), "hi": no("double"), "due": F.lit(True)}))
+    rows = materialise(fresh.withColumns({"ok": F.col("fine"), "n": no("long"), "code": F.lit(NOMINAL), "lo": no("double"), "hi": no("double"), "due": F.lit(True)}))
     while True:
         rows = materialise(_passed(rows, levels, settings.pi_tolerance))
         if rows.where("due").isEmpty():
@@ -125,8 +128,8 @@ def _passed(rows: DataFrame, levels: list[tuple[float, int]], tolerance: float)
         for begin, end in zip(interval_ranks(F.col("n0"), p), interval_ranks(F.col("n0") + F.col("size"), p), strict=True):
             reach = reach | ((F.col("low") + F.col("had") > F.floor(begin) - F.col("size")) & (F.col("low") <= F.ceil(end)))
     need = known.where(reach).select("graph_id", "bucket", F.col("block").alias("for_block"), "low")
-    past = rows.where("ok").join(need, ["graph_id", "bucket"]).where("block < for_block").select("graph_id", F.col("for_block").alias("block"), F.lit(0).alias("kind"), "seq", "name", "value", "bucket", "low", "ok")
-    mine = rows.where("due").join(blocks.select("graph_id", "block", "n0"), ["graph_id", "block"]).select("graph_id", "block", F.lit(1).alias("kind"), "seq", "name", "value", "bucket", F.col("n0").alias("low"), "ok")
+    past = rows.where("ok").join(need, ["graph_id", "bucket"]).where("block < for_block").select("graph_id", F.col("for_block").alias("block"), F.lit(0).alias("kind"), "seq", "name", "value", "bucket", "low", "ok", "fine")
+    mine = rows.where("due").join(blocks.select("graph_id", "block", "n0"), ["graph_id", "block"]).select("graph_id", "block", F.lit(1).alias("kind"), "seq", "name", "value", "bucket", F.col("n0").alias("low"), "ok", "fine")
 
     def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return judged_block(pdf, levels, tolerance).assign(graph_id=key[0])[["graph_id", "seq", "n", "code", "lo", "hi", "changed"]]
@@ -135,5 +138,5 @@ def _passed(rows: DataFrame, levels: list[tuple[float, int]], tolerance: float)
     at = rows.drop("n", "code", "lo", "hi", "ok", "due").join(found, ["graph_id", "seq"])
     changed = at.where("changed").groupBy("graph_id").agg(F.min("block").alias("first"))
     kept = rows.drop("due").join(found.select("graph_id", "seq", F.lit(True).alias("new")), ["graph_id", "seq"], "left").where("new is null").drop("new")
-    fresh = at.drop("changed").withColumn("ok", F.col("code") == NOMINAL)
+    fresh = at.drop("changed").withColumn("ok", (F.col("code") == NOMINAL) & F.col("fine"))
     return kept.unionByName(fresh).join(changed, "graph_id", "left").withColumn("due", F.coalesce(F.col("block") > F.col("first"), F.lit(False))).drop("first")

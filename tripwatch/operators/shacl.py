@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.terms import DCT, RDF, SH, TYPE, XSD
+from ..functions.terms import DCT, RDF, SH, TYPE, XSD, serialised, subject_text
 from .sequence import placed
 
 
@@ -48,6 +48,23 @@ def joined(statements: DataFrame, root_class: str, paths: dict[str, list[str]])
     return rows.select("graph_id", "root", *[F.col(at[tuple(p)]).alias(name) for name, p in paths.items()])
 
 
+def report_texts(statements: DataFrame) -> DataFrame:
+    """(graph_id, text) of each report: its statements, one a line in the order of their texts, between a first and a last line."""
+    line = F.concat(F.lit(" "), subject_text("s"), F.lit(" "), subject_text("p"), F.lit(" "), serialised(lang="lang"), F.lit(" ."))
+    bodies = statements.withColumn("lang", F.lit(None).cast("string")).groupBy("graph_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))  # a report's statements are few
+    edge = lambda word: F.concat(F.lit(f"--- {word} Validation Report "), F.col("graph_id"), F.lit(" ---"))
+    return bodies.select("graph_id", F.concat_ws("\n", edge("BEGIN"), F.col("body"), edge("END")).alias("text"))
+
+
+def pattern_texts(patterns: DataFrame) -> DataFrame:
+    """(graph_id, text, digest) of patterns(graph_id, ap_id, anchor, relation, st_value): each graph's as one text, in the order of
+    ap_id, so that equal sets of patterns have equal digests."""
+    one = F.concat(F.lit("("), F.concat_ws(", ", "anchor", "relation", F.coalesce("st_value", F.lit("*"))), F.lit(")"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("ap_id", one.alias("one")))), lambda x: x["one"])
+    whole = patterns.groupBy("graph_id").agg(F.concat(F.lit("{"), F.array_join(texts, "; "), F.lit("}")).alias("text"))
+    return whole.withColumn("digest", F.sha2("text", 256))
+
+
 #: The columns of a published report and where they are in its statements.
 REPORT = {"report_date": [DCT + "date"], "identifier": [DCT + "identifier"], "conforms": [SH + "conforms"]} | {
     name: [SH + "result", *p]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,10 +100,14 @@ def drawn(side: DataFrame, plan: DataFrame, name: str, seed: int = 0, key: str =
     return picks.withColumn("bucket", F.expr("ix div width")).join(spans, [key, "bucket"]).where("ix >= before and ix < before + c").select(key, "r", value)
 
 
-def resampled(draws: DataFrame, key: str = "graph_id", value: str = "value") -> DataFrame:
-    """(key, r, mean, sd, median) of draws(key, r, value), rounded so that equal statistics are equal however they were summed."""
-    stat = lambda f: F.round(f(value), 9)
-    return draws.groupBy(key, "r").agg(stat(F.avg).alias("mean"), stat(F.stddev_samp).alias("sd"), stat(F.median).alias("median"))
+#: The statistics of a continuous fit test, by name; a caller may give others.
+STATISTICS: dict[str, Callable[[str], Column]] = {"mean": F.avg, "sd": F.stddev_samp, "median": F.median}
+
+
+def resampled(draws: DataFrame, key: str = "graph_id", value: str = "value", statistics: dict[str, Callable[[str], Column]] = STATISTICS) -> DataFrame:
+    """(key, r, a column for each statistic) of draws(key, r, value), rounded so that equal statistics are equal however they were
+    summed."""
+    return draws.groupBy(key, "r").agg(*[F.round(f(value), 9).alias(name) for name, f in statistics.items()])
 
 
 def _plan(sample: DataFrame, resamples: int, share: float, key: str) -> DataFrame:
@@ -109,12 +115,12 @@ def _plan(sample: DataFrame, resamples: int, share: float, key: str) -> DataFram
     return sample.groupBy(key).agg(F.greatest(F.floor(F.count("*") * F.lit(share)), F.lit(1)).alias("draws")).withColumn("resamples", F.lit(resamples).cast("long"))
 
 
-def bootstrap(sample: DataFrame, population: DataFrame, resamples: int = 1000, share: float = 0.67, seed: int = 0, key: str = "graph_id") -> DataFrame:
-    """(key, p_mean, p_sd, p_median): how often a resample of the population has less than one of the sample."""
+def bootstrap(sample: DataFrame, population: DataFrame, resamples: int = 1000, share: float = 0.67, seed: int = 0, key: str = "graph_id", statistics: dict[str, Callable[[str], Column]] = STATISTICS) -> DataFrame:
+    """(key, p_ and a statistic's name for each): how often a resample of the population has less than one of the sample."""
     plan = _plan(sample, resamples, share, key)
-    a, b = (resampled(drawn(side, plan, name, seed, key), key) for side, name in ((population, "a"), (sample, "b")))
-    b = b.select(key, "r", *[F.col(c).alias(f"b_{c}") for c in ("mean", "sd", "median")])
-    return a.join(b, [key, "r"]).groupBy(key).agg(*[F.avg(F.when(F.col(c) < F.col(f"b_{c}"), 1.0).otherwise(0.0)).alias(f"p_{c}") for c in ("mean", "sd", "median")])
+    a, b = (resampled(drawn(side, plan, name, seed, key), key, statistics=statistics) for side, name in ((population, "a"), (sample, "b")))
+    b = b.select(key, "r", *[F.col(c).alias(f"b_{c}") for c in statistics])
+    return a.join(b, [key, "r"]).groupBy(key).agg(*[F.avg(F.when(F.col(c) < F.col(f"b_{c}"), 1.0).otherwise(0.0)).alias(f"p_{c}") for c in statistics])
 
 
 def bootstrap_discrete(sample: DataFrame, population: DataFrame, resamples: int = 1000, share: float = 0.67, seed: int = 0, key: str = "graph_id", value: str = "value") -> DataFrame:

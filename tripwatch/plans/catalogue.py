@@ -155,6 +155,21 @@ def _(spark, d):
     return _table(spark, d, "events").select("event_id", L.significant((F.col("event_id") * 7 + 1).cast("double"), 3).alias("three"))
 
 
+@_add("time_spans", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 3600 * event_id WHEN 1 THEN 86400 * event_id WHEN 2 THEN 604800 * event_id END AS seconds FROM events")
+def _(spark, d):
+    unit = F.element_at(F.array(*[F.lit(x) for x in ("H", "D", "W", "Y")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return _table(spark, d, "events").select("event_id", L.span_seconds(F.concat("event_id", unit)).alias("seconds"))
+
+
+@_add("kept_values", f"SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) AS whole, o_orderpriority AS text, CAST(NULL AS DOUBLE) AS no_number FROM orders")
+def _(spark, d):
+    """Literals as distributions keep them: numbers of numeric datatypes, other texts without the space around them."""
+    o = _table(spark, d, "orders")
+    number = L.kept_value(F.concat(F.lit(" "), F.col("o_orderkey")), F.lit(XSD + "integer"))
+    text = L.kept_value(F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit(" ")), F.lit(XSD + "string"))
+    return o.select("o_orderkey", number["num"].alias("whole"), text["text"].alias("text"), text["num"].alias("no_number"))
+
+
 @_add("type_family_dim", "SELECT event_type, count(*) AS n, CASE WHEN event_type IN ('click', 'view') THEN 'C' ELSE 'D' END AS kind FROM events GROUP BY event_type")
 def _(spark, d):
     dtype = F.when(F.col("event_type").isin("click", "view"), XSD + "double").otherwise(XSD + "string")
@@ -499,6 +514,21 @@ def _(spark, d):
     return both.select("graph_id", "cwa", "exact", M.structure_codes(F.col("pairs"), F.col("size"), F.col("unmatched"), F.col("cwa"), F.col("exact")).alias("code"))
 
 
+_GATED = _CODES.replace("AS MATERIALIZED (SELECT *,", "AS MATERIALIZED (SELECT *, coalesce(user_id IN (SELECT k.user_id FROM early k WHERE k.event_type = events.event_type), false) AS fine,", 1).replace("WITH RECURSIVE ev AS", "WITH RECURSIVE early AS MATERIALIZED (SELECT DISTINCT event_type, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 100), ev AS", 1)
+_GATED = _GATED.replace("CASE WHEN code = 0 THEN list_sort", "CASE WHEN code = 0 AND fine THEN list_sort").replace("e.value, s.kept", "e.value, e.fine, s.kept").replace("NULL::DOUBLE AS hi FROM ev", "NULL::DOUBLE AS hi, true AS fine FROM ev").replace("ELSE b0 END\n", "ELSE b0 END, fine\n").replace("code, lo, hi FROM st", "code, lo, hi, fine FROM st")
+
+
+@_add("gated_messages", f"{_GATED} SELECT graph_id, seq, CASE WHEN fine THEN code ELSE 5 END AS code, fine, lo, hi FROM (SELECT graph_id, seq, code, fine, round(lo, 6) AS lo, round(hi, 6) AS hi FROM cd)")
+def _(spark, d):
+    """Whole messages through the gate: one with an unknown user is rejected, and then its value isn't learnt either; the users of the
+    grace period are the known ones (see categorical_membership)."""
+    e = _events(spark, d)
+    known = e.where(F.col("seq") <= Settings().grace_period).select("graph_id", "user_id", F.lit(True).alias("fine")).distinct()
+    both = materialise(e.join(known, ["graph_id", "user_id"], "left").select("graph_id", "seq", "value", F.coalesce("fine", F.lit(False)).alias("fine")))
+    judged = gated.interval_codes(both).where(f"n >= {S.LEAST_FOR_INTERVAL}").join(both.select("graph_id", "seq", "fine"), ["graph_id", "seq"])
+    return judged.select("graph_id", "seq", F.when(F.col("fine"), F.col("code")).otherwise(T.CRITICAL).alias("code"), "fine", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
 @_add("severity_max", f"{_CODES} SELECT graph_id, max(code) AS code, list_extract(['NOMINAL', 'ERROR', 'NODATA', 'INCONSISTENCY', 'SUSPICIOUS', 'CRITICAL'], max(code) + 1) AS severity FROM cd GROUP BY graph_id")
 def _(spark, d):
     top = interval_codes(_events(spark, d)).groupBy("graph_id").agg(F.max("code").alias("code"))
@@ -553,6 +583,30 @@ def _(spark, d):
     return K.report_statements(all_, none).where(F.col("p") == T.SH + "conforms").select("graph_id", "p", "o_value")
 
 
+@_add("violation_messages", f"{_CODES} SELECT graph_id, seq, 'expected a value within ' || printf('%.3f', round(lo, 3)) || ' and ' || printf('%.3f', round(hi, 3)) || ', observed ' || printf('%.2f', value) AS message FROM cd WHERE code > 0")
+def _(spark, d):
+    bad = interval_codes(_events(spark, d)).where("code > 0")
+    text = lambda c, n: F.format_string(f"%.{n}f", F.round(c, n))
+    return bad.select("graph_id", "seq", F.concat(F.lit("expected a value within "), text("lo", 3), F.lit(" and "), text("hi", 3), F.lit(", observed "), text("value", 2)).alias("message"))
+
+
+_LINES = f"""list_sort([' <' || r || '> <{T.TYPE}> <{T.SH}ValidationReport> .', ' <' || r || '> <{T.DCT}date> "' || l_orderkey || '"^^<{XSD}dateTime> .', ' <' || r || '> <{T.DCT}identifier> "' || r || '"^^<{XSD}string> .', ' <' || r || '> <{T.DCT}conformsTo> <{T.SH}> .', ' <' || r || '> <{T.SH}conforms> "' || CASE WHEN bad THEN 'false' ELSE 'true' END || '"^^<{XSD}boolean> .'] || CASE WHEN bad THEN [
+' <' || r || '> <{T.SH}result> _:' || r || '-1 .', ' <' || r || '-1> <{T.TYPE}> <{T.SH}ValidationResult> .', ' <' || r || '-1> <{T.SH}resultMessage> "Closed-World Assumption Violation"^^<{XSD}string> .', ' <' || r || '-1> <{T.DCT}description> "a statement that no pattern has"^^<{XSD}string> .', ' <' || r || '-1> <{T.SH}resultSeverity> _:' || r || '-1-severity .',
+' <' || r || '-1-severity> <{T.TYPE}> <{T.SH}Severity> .', ' <' || r || '-1-severity> <{T.DCT}title> "INCONSISTENCY"^^<{XSD}string> .', ' <' || r || '-1-severity> <{T.DCT}description> "severity INCONSISTENCY"^^<{XSD}string> .'] ELSE [] END)"""
+
+
+@_add("report_texts", f"SELECT r AS graph_id, '--- BEGIN Validation Report ' || r || ' ---' || chr(10) || array_to_string({_LINES}, chr(10)) || chr(10) || '--- END Validation Report ' || r || ' ---' AS text FROM (SELECT l_orderkey, 'o-' || l_orderkey AS r, bool_or(l_returnflag = 'R') AS bad FROM lineitem GROUP BY l_orderkey)")
+def _(spark, d):
+    return K.report_texts(_structural(spark, d))
+
+
+@_add("pattern_texts", f"WITH {OG}, {AN}, op AS (SELECT graph_id, graph_id || ':' || stmt_ix AS ap_id, '(' || anchor || ', ' || p || ', ' || o_value || ')' AS one FROM an WHERE stmt_ix < 6) SELECT graph_id, text, sha256(text) AS digest FROM (SELECT graph_id, '{{' || string_agg(one, '; ' ORDER BY ap_id) || '}}' AS text FROM op GROUP BY graph_id)")
+def _(spark, d):
+    a, patterns = _order_matches(spark, d)
+    number = F.col("relation").isin(EX + "total", EX + "quantity")  # their lexical forms aren't the same everywhere
+    return K.pattern_texts(patterns.withColumn("st_value", F.when(number, "x").otherwise(F.col("st_value"))))
+
+
 @_add("report_binding_set", f"{_CODES} SELECT 'r-' || event_id AS report, seq || '' AS report_date, 'false' AS conforms, 'r-' || event_id || '-1' AS result, CASE WHEN code = 5 THEN 'Critical Value Violation' ELSE 'Suspicious Value Violation' END AS message, '{EX}res/' || event_id AS focus, '{EX}hasValue' AS path, CAST(event_id AS VARCHAR) AS value, CASE WHEN code = 5 THEN 'CRITICAL' ELSE 'SUSPICIOUS' END AS severity_label, CASE WHEN code = 5 THEN 'severity CRITICAL' ELSE 'severity SUSPICIOUS' END AS severity_description FROM cd WHERE code > 0")
 def _(spark, d):
     return K.binding_sets(_shacl(spark, d)).select("report", "report_date", "conforms", "result", "message", "focus", "path", "value", "severity_label", "severity_description")
@@ -586,6 +640,13 @@ def _(spark, d):
     return V.prunable(_states(spark, d)).select("graph_id", "version")
 
 
+@_add("vault_update", "SELECT * FROM (SELECT 'c-' || o_custkey AS graph_id, o_orderkey AS version, o_orderstatus AS pattern FROM orders UNION ALL SELECT 'c-' || c_custkey, 1000000000 + c_nationkey, c_mktsegment FROM customer) QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY version DESC) <= 2")
+def _(spark, d):
+    """New versions of all customers' states join the old ones; the two latest of each stay."""
+    more = _table(spark, d, "customer").select(F.concat(F.lit("c-"), F.col("c_custkey")).alias("graph_id"), (F.lit(1_000_000_000).cast("long") + F.col("c_nationkey")).alias("version"), F.col("c_mktsegment").alias("pattern"))
+    return V.pruned(V.added(_states(spark, d), more), 2)
+
+
 @_add("vault_size", "SELECT count(DISTINCT o_custkey) AS keys, count(*) AS versions FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
 def _(spark, d):
     gone = _table(spark, d, "customer").where("c_nationkey = 3").select(F.concat(F.lit("c-"), F.col("c_custkey")).alias("graph_id"))
