@@ -258,3 +258,11 @@ def test_language_is_learnt_from_a_tiny_share(spark):
     docs = spark.range(2950).selectExpr("id as doc_id", "'the words of this text are plain enough' as text", "'en' as lang")
     assert language_id.fit(docs, rows=3).languages in (["en"], [])  # three rows as expected
     assert language_id.fit(docs, rows=60).languages == ["en"]
+
+
+def test_repeated_pages_have_equal_verdicts(spark):
+    from tripwatch.llm import url_filter
+
+    page = (1, "https://a.example.com/en/x", '<a href="http://b.net/">')
+    rows = url_filter.judged(spark.createDataFrame([page, page, (2, None, None), (2, None, None)], "page_id long, url string, html string")).collect()
+    assert len(rows) == 4 and len(set(map(tuple, rows))) == 2

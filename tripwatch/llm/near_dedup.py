@@ -234,7 +234,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; an empty table gives an empty result."""
+    """doc_id, n_shingles, component_id, kept of every row; an empty table gives an empty result.
+
+    Null and empty texts have no shingles and are linked with nothing; rows with equal id and text have equal results; null ids
+    count as larger than all others; extra columns are ignored; texts of any length have all their shingles.
+    """
     return classes(docs).drop("rk")
 
 

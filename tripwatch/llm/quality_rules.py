@@ -101,7 +101,8 @@ def failed(rules: tuple[Rule, ...] = RULES) -> Column:
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    A null or empty text has no words and fails the base; repeated rows are judged each; extra columns are ignored.
+    A null or empty text has no words and fails the base; repeated rows are judged each; extra columns are
+    ignored; an empty table gives an empty result; texts of any length are counted whole.
     """
     out = metrics(docs.select("doc_id", "text")).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.size(failed(rules)) == 0))
