@@ -167,3 +167,16 @@ def test_other_statistics(spark):
 
     p = S.bootstrap(_side(spark, range(51)), _side(spark, range(100, 200)), 50, statistics={"top": F.max, "mean": F.avg}).first()
     assert p.asDict() == {"graph_id": "g", "p_top": 0.0, "p_mean": 0.0}
+
+
+def test_a_large_stream_is_many_tasks(spark):
+    """A third of all rows are one stream's: no range has more than twice the mean."""
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(60_000).selectExpr("if(id % 3 = 0, 'hot', concat('s', id % 500)) as k", "xxhash64(id) as t")
+        sizes = [r["count"] for r in sequence.ranged(rows, ["k"], [F.col("t")]).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) <= 2 * 60_000 / 8

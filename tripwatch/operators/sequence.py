@@ -17,45 +17,50 @@ _ROW_BITS = 33  # of monotonically_increasing_id: the rest is the number of the
 CUTS, MOST = 256, 1 << 16
 
 
+def ranged(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """rows in a table, sorted in ranges of keys and order: `_part` is the number of a row's range, `_at` grows by one within it."""
+    cut = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    return materialise(cut).withColumn("_part", F.shiftright("_at", _ROW_BITS))
+
+
 def placed(rows: DataFrame, keys: list[str], order: list[str | Column], name: str = "place") -> DataFrame:
     """rows with their place, from 1, among those of equal keys in the order given; ties are in any order, as with row_number.
 
     One shuffle by range. What else moves is a count for each key and range.
     """
     columns = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = rows.repartitionByRange(*keys, *columns).sortWithinPartitions(*keys, *columns).withColumn("_at", F.monotonically_increasing_id())
-    ranged = materialise(ranged).withColumn("_part", F.shiftright("_at", _ROW_BITS))
-    parts = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    cut = ranged(rows, keys, columns)
+    parts = cut.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = materialise(parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), (before - F.col("_first") + 1).alias("_off")))
     same = F.col("_part") == F.col("_p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return ranged.join(offsets, same).select(*rows.columns, (F.col("_at") + F.col("_off")).alias(name))
+    return cut.join(offsets, same).select(*rows.columns, (F.col("_at") + F.col("_off")).alias(name))
 
 
 def running(rows: DataFrame, keys: list[str], order: list[str | Column], weight: str, name: str = "before") -> DataFrame:
     """rows with the sum of `weight` over the rows of equal keys that come before in the order given."""
     columns = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = materialise(rows.repartitionByRange(*keys, *columns).withColumn("_part", F.spark_partition_id()))
-    inner = F.coalesce(F.sum(weight).over(W.partitionBy(*keys, "_part").orderBy(*columns).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = ranged.groupBy(*keys, "_part").agg(F.sum(weight).alias("_n"))
+    cut = ranged(rows, keys, columns)
+    inner = F.coalesce(F.sum(weight).over(W.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = cut.groupBy(*keys, "_part").agg(F.sum(weight).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = materialise(parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), before.alias("_off")))
     same = F.col("_part") == F.col("_p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return ranged.withColumn("_in", inner).join(offsets, same).select(*rows.columns, (F.col("_in") + F.col("_off")).alias(name))
+    return cut.withColumn("_in", inner).join(offsets, same).select(*rows.columns, (F.col("_in") + F.col("_off")).alias(name))
 
 
 def order_statistics(samples: DataFrame, ranks: DataFrame, key: str = "graph_id", value: str = "value", most: int = MOST) -> DataFrame:
-    """(key, rank, value) of ranks(key, rank), distinct ranks from 0, among the samples of each key; null values are left out.
+    """(key, rank, value) of ranks(key, rank), distinct ranks from 0, among the samples of each key; null and NaN values are left out.
 
     Each round cuts the interval that holds a rank by quantile sketches, counts what lies below and within the cut, and goes on
     with the part that has the rank, until an interval has `most` values or one value; these are sorted. Sketches and counts are
     merged in every task before they are shuffled, so that no stream is in one task.
     """
-    rows = samples.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    rows = samples.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
     held = materialise(ranks.select(F.col(key).alias("k"), F.col("rank"), F.col("rank").alias("r"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")))
     while True:
         parts = held.groupBy("k", "lo", "hi").agg(F.collect_list("r").alias("rs"))  # a key's intervals, few: ranks of one meet here

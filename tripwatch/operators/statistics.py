@@ -52,7 +52,7 @@ def intervals(samples: DataFrame, levels: list[float], key: str = "graph_id", va
 
     The order statistics come from a distributed selection (see sequence.order_statistics).
     """
-    n = samples.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(f"n >= {LEAST_FOR_INTERVAL}")
+    n = samples.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(key).agg(F.count("*").alias("n")).where(f"n >= {LEAST_FOR_INTERVAL}")
     low, high = interval_ranks(F.col("n"), F.col("level"))
     asked = materialise(n.withColumn("level", F.explode(F.array(*[F.lit(float(p)) for p in levels]))).withColumn("rl", low).withColumn("ru", high))
     at = F.explode(F.array(F.floor("rl"), F.ceil("rl"), F.floor("ru"), F.ceil("ru")))
