@@ -64,16 +64,17 @@ def order_statistics(samples: DataFrame, ranks: DataFrame, key: str = "graph_id"
     held = materialise(ranks.select(F.col(key).alias("k"), F.col("rank"), F.col("rank").alias("r"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")))
     while True:
         parts = held.groupBy("k", "lo", "hi").agg(F.collect_list("r").alias("rs"))  # a key's intervals, few: ranks of one meet here
-        own = rows.join(parts, "k").where("v between lo and hi")
-        sizes = own.groupBy("k", "lo", "hi").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("top"), F.percentile_approx("v", [i / CUTS for i in range(CUTS + 1)], 20 * CUTS).alias("cuts"))
+        # named anew, so that rows are summed up before a shuffle of their own and the join may split a large stream
+        own = rows.join(parts, "k").where("v between lo and hi").select(F.struct("k").alias("key"), "lo", "hi", "v")
+        sizes = own.groupBy("key", "lo", "hi").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("top"), F.percentile_approx("v", [i / CUTS for i in range(CUTS + 1)], 20 * CUTS).alias("cuts")).select("key.k", "lo", "hi", "n", "least", "top", "cuts")
         at = held.join(sizes, ["k", "lo", "hi"]).withColumn("f", F.floor(F.col("r") * CUTS / F.col("n")).cast("int"))
         cut = lambda i: F.element_at("cuts", F.greatest(F.lit(1), F.least(F.lit(CUTS + 1), i)))
         big = (F.col("n") > most) & (F.col("least") < F.col("top"))
         at = materialise(at.select("k", "rank", "r", "lo", "hi", "n", big.alias("big"), F.when(big, cut(F.col("f"))).otherwise(F.col("least")).alias("a"), F.when(big, cut(F.col("f") + 3)).otherwise(F.col("top")).alias("b")))
         if at.where("big").isEmpty():
             break
-        below = rows.join(at.where("big").select("k", "lo", "hi", "a", "b").distinct(), "k").where("v between lo and hi").groupBy("k", "lo", "hi", "a", "b")
-        below = below.agg(F.count_if(F.col("v") < F.col("a")).alias("under"), F.count_if(F.col("v") <= F.col("b")).alias("upto"), F.max(F.when(F.col("v") < F.col("a"), F.col("v"))).alias("last"), F.min(F.when(F.col("v") > F.col("b"), F.col("v"))).alias("next"))
+        below = rows.join(at.where("big").select("k", "lo", "hi", "a", "b").distinct(), "k").where("v between lo and hi").groupBy(F.struct("k").alias("key"), "lo", "hi", "a", "b")
+        below = below.agg(F.count_if(F.col("v") < F.col("a")).alias("under"), F.count_if(F.col("v") <= F.col("b")).alias("upto"), F.max(F.when(F.col("v") < F.col("a"), F.col("v"))).alias("last"), F.min(F.when(F.col("v") > F.col("b"), F.col("v"))).alias("next")).select("key.k", "lo", "hi", "a", "b", "under", "upto", "last", "next")
         cut_ = at.join(below, ["k", "lo", "hi", "a", "b"], "left")
         low, high = F.col("r") < F.col("under"), F.col("r") >= F.col("upto")
         new = lambda left, mid, right, old: F.when(~F.col("big"), old).when(low, left).when(high, right).otherwise(mid)
