@@ -1,9 +1,10 @@
 """Near-duplicate documents: tensored MinHash banding finds candidates, full shingle sets confirm them.
 
-Two small collections of tables, each keyed by the minima of two hashes, are computed per distinct shingle set. A table of
-the tensor product has a key of each collection, so TABLES**2 tables of four minima cost 4 * TABLES minima. Two sets meet in
+Two small collections of tables, each keyed by the minima of three hashes, are computed per distinct shingle set. A table of
+the tensor product has a key of each collection, so TABLES**2 tables of six minima cost 6 * TABLES minima. Two sets meet in
 a product table if and only if they meet in one table of each collection; keys that only one set has are dropped before the
-product is formed. At similarity 0.75 a pair meets nowhere with a chance of 2 * (1 - 0.75**2)**16, under 4 in a million.
+product is formed. At similarity 0.75 a pair meets nowhere with a chance of 2 * (1 - 0.75**3)**24, under 4 in a million; at 0.3 a pair
+meets with a chance of 0.23 and at 0.2 with 0.03, so that common passages don't make one cluster of all that have them.
 Sets that meet form clusters; inside a cluster every pair of parts that isn't linked yet is compared on full sets, in blocks.
 """
 
@@ -23,7 +24,7 @@ from .components import components
 #: Words of a shingle; a pair is linked if 100 * shared >= PERCENT * united.
 WORDS, PERCENT = 5, 75
 #: Tables of each collection, and minima in a table's key.
-TABLES, MINIMA = 16, 2
+TABLES, MINIMA = 24, 3
 #: Documents of a block that is compared with another in one step.
 BLOCK = 192
 
