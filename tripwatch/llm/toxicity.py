@@ -36,7 +36,7 @@ HEAD, FILTER_BITS = 1 << 22, 26
 CONTEXT_BITS, STEP = 24, 16 << 20
 ALONE = (1 << CONTEXT_BITS) - 1
 #: Tasks at most over which the pairs of a word are spread.
-SALTS = 64
+SALTS = 16
 #: Labels up to which they are sent to all executors; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Documents, as expected, from which the logistic function is fitted.
@@ -107,7 +107,9 @@ def _statistics(found: DataFrame) -> DataFrame:
     the sums of their pairs and what these keep, in ka and kb. All three come from one shuffle of the pairs, by their second word and one of SALTS parts
     of the first words, so that a common word is in many tasks; its parts are summed up after.
     """
-    counts = found.withColumns({"word": F.shiftrightunsigned("pair", CONTEXT_BITS), "salt": F.col("pair").bitwiseAND(SALTS - 1)}).repartition("word", "salt").groupBy("word", "salt", "pair").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "m0", "m1")])
+    word, salt = F.shiftrightunsigned("pair", CONTEXT_BITS), F.col("pair").bitwiseAND(SALTS - 1)
+    # dealt out by expressions of the pair, so that only the pair is shuffled
+    counts = found.repartition(word, salt).withColumns({"word": word, "salt": salt}).groupBy("word", "salt", "pair").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "m0", "m1")])
     counts = counts.select("word", "salt", "pair", F.col("n0").alias("a0"), F.col("n1").alias("a1"), (F.col("n0") + F.col("m0")).alias("b0"), (F.col("n1") + F.col("m1")).alias("b1"))
     kept = lambda x: _over(F.col(f"{x}0"), PAIR_DISCOUNT) + _over(F.col(f"{x}1"), PAIR_DISCOUNT)
     sides, none = ("a0", "a1", "b0", "b1"), F.lit(0.0)
