@@ -69,3 +69,12 @@ def test_empty_and_rows(spark):
     assert N.digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     docs = spark.createDataFrame([(2, "a b c d e f", 1), (1, "A b c d e f", 2), (1, "A b c d e f", 2), (3, None, 3)], "doc_id long, text string, kept int")
     assert sorted(map(tuple, N.deduplicate(docs).collect())) == [(1, "A b c d e f", 2), (3, None, 3)]
+
+
+def test_long_texts(spark):
+    """Texts of 20 MB: a near copy is linked on its whole set, one that shares only its first half isn't."""
+    ws = [f"w{i:06d}" for i in range(2_500_000)]
+    near = [*ws[:-200_000], *(f"n{i:06d}" for i in range(200_000))]
+    half = [*ws[:1_250_000], *(f"h{i:06d}" for i in range(1_250_000))]
+    docs = spark.createDataFrame([(3, " ".join(ws)), (1, " ".join(near).upper()), (2, " ".join(half))], "doc_id long, text string")
+    assert sorted(map(tuple, N.digest(docs).collect())) == [(1, 2_499_996, 1, True), (2, 2_499_996, 2, True), (3, 2_499_996, 1, False)]
