@@ -178,3 +178,29 @@ def test_a_failed_step_changes_nothing():
     assert code == 1 and found[0][2].startswith("Validation Malfunction") and state == before
     state, _, code = step(state, "g", 3, [row(0, "2", "r1"), hex_("aa")], Settings())
     assert code == 0 and state["aps"][0]["dist"]["counts"] == {1.0: 1, 2.0: 1} and state["t"] == 2
+
+
+@pytest.mark.parametrize("continuous", [True, False])
+def test_kept_fits_equal_the_bootstrap(monkeypatch, continuous):
+    """Each value's chances are those of a bootstrap from scratch, and a stalled stream draws once, not with every message."""
+    import zlib
+
+    import numpy as np
+
+    s = Settings(grace_period=1, resamples=200)
+    counts = {float(v): 1 + v % 3 for v in range(90)} if continuous else {f"v{v % 97}": 1 + v % 4 for v in range(97)}
+    n = sum(counts.values())
+    ap = {"id": "p", "t": 150, "dtype": XSD + "double", "continuous": continuous, "dist": {"counts": counts, "n": n, "t": n, "order": [], "sorted": sorted(v for v, c in counts.items() for _ in range(c)) if continuous else []}}
+    fit, data = fold.Fit(ap, "g", s), _data(ap["dist"])
+    for value in [*list(counts)[::7], *list(counts)[-25:], 1e9 if continuous else "new"]:
+        rng = np.random.default_rng(zlib.crc32(b"0:g:p:150"))
+        assert list(fit.chances(value)) == fold.bootstrap([*data[-50:], value], data[:-60], continuous, 200, rng)
+    made, own = [], fold.Fit.__init__
+    monkeypatch.setattr(fold.Fit, "__init__", lambda self, *a: made.append(1) or own(self, *a))
+    fits = {}
+    state = {"t": 150, "due": {}, "aps": [fold._pattern("p", row(0, "1"), 1) | ap]}
+    wrong = row(0, "1e9") if continuous else row(0, "new", dtype="string")
+    for i in range(20):
+        state, _, code = step(state, "g", i, [wrong], s, fits)
+        assert code in (3, 5)
+    assert len(made) == continuous

@@ -22,9 +22,9 @@ def detected(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         state = loaded(kept.get[0]) if kept.exists else None
-        pdf, out = pd.concat(list(batches)), []
+        pdf, out, fits = pd.concat(list(batches)), [], {}
         for m in pdf.sort_values("seq", kind="stable").itertuples():
-            state, found, code = step(state, key[0], int(m.seq), _rows(m.rows), settings)
+            state, found, code = step(state, key[0], int(m.seq), _rows(m.rows), settings, fits)
             if code is not None:
                 out += [(key[0], m.seq, state["t"], code, *f) for f in found or [(None,) * 5]]
         kept.update((dumped(state),))

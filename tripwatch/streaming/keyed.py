@@ -95,9 +95,9 @@ class Detector(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state, stored = self._load()
-        due, out = set(state["due"]) if state else set(), []
+        due, out, fits = set(state["due"]) if state else set(), [], {}
         for m in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
-            state, found, code = step(state, key[0], int(m.seq), _rows(m.rows), self.settings)
+            state, found, code = step(state, key[0], int(m.seq), _rows(m.rows), self.settings, fits)
             if code is not None:
                 out += [(key[0], m.seq, state["t"], code, *f) for f in found or [(None,) * 5]]
         self._store(state, stored, due)
@@ -138,13 +138,13 @@ def states(statements: DataFrame, settings: Settings = Settings()) -> DataFrame:
         return pd.DataFrame(out, columns=["graph_id", "g_t", "ap_id", "due", *_FIELDS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, graph = None, None
+        state, graph, fits = None, None, {}
         for pdf in batches:
             for m in pdf.itertuples():
                 if m.graph_id != graph:
                     yield rows(graph, state)
-                    state, graph = None, m.graph_id
-                state, _, _ = step(state, graph, int(m.seq), _rows(m.rows), settings)
+                    state, graph, fits = None, m.graph_id, {}
+                state, _, _ = step(state, graph, int(m.seq), _rows(m.rows), settings, fits)
         yield rows(graph, state)
 
     return _in_order(statements).mapInPandas(run, STATES)
