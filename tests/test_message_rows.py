@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tripwatch.functions.terms import RDFS_RESOURCE
+from tripwatch.functions.terms import RDFS_RESOURCE, XSD
 from tripwatch.operators import checks as C
 from tripwatch.operators import matching as M
 from tripwatch.plans import catalogue
@@ -74,3 +74,26 @@ def test_table_rows_are_shuffled_once(spark, sf_dir, name):
 def test_checked_pairs_deal_no_message_by_its_stream(spark, sf_dir):
     plan = catalogue.queries()["checked_pairs"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
+
+
+def test_texts_are_parsed_inside_message_rows(spark, sf_dir):
+    """No statement is shuffled or sorted: events have their places, and that is all."""
+    plan = catalogue.queries()["parse_ntriples"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Sort" not in plan and "Aggregate" not in plan
+
+
+def test_message_rows_are_rendered_parsed_and_grouped_as_statements(spark):
+    rows = [("g", 1, i, *x) for i, x in enumerate([("_:b", "p", "iri", "x", None, None), ("a", "q", "literal", "1", XSD + "integer", None), ("a", "p", "literal", "v $1 w", None, "en-GB"), ("a", "p", "bnode", "_:b", None, None), ("a", "r", "literal", "", None, None)])] + [("h", 1, 0, "a", "p", "iri", "y", None, None), (None, 2, 0, "a", "p", "iri", "z", None, None)]
+    statements = spark.createDataFrame(rows, "graph_id string, seq long, stmt_ix int, s string, p string, o_kind string, o_value string, o_dtype string, o_lang string")
+    messages = statements.groupBy("graph_id", "seq").agg(F.sort_array(F.collect_list(F.struct(*statements.columns[2:]))).alias("sts"))
+    texts = ST.rendered_messages(messages)
+    assert rows_of(texts) == rows_of(ST.rendered(statements))
+    assert rows_of(ST.stated(ST.parsed_messages(texts))) == rows_of(ST.parsed(texts)) == rows_of(statements)
+    got = ST.by_relation(messages).select("graph_id", "seq", "p", F.size("own").cast("long").alias("n"), F.array_max("own.o_value").alias("v"))
+    assert rows_of(got) == rows_of(statements.groupBy("graph_id", "seq", "p").agg(F.count("*").alias("n"), F.max("o_value").alias("v")))
+
+
+def test_white_space_between_terms_is_no_part_of_them(spark):
+    text = '<a>\t<b>\r\n"x y"\t.\n_:n\t \tq\t<c>\t.\n<a>\n<b> "v"^^<> .'
+    got = ST.parsed(spark.createDataFrame([("g", 1, text)], "graph_id string, seq long, data string")).orderBy("stmt_ix").collect()
+    assert [tuple(r)[3:] for r in got] == [("a", "b", "literal", "x y", None, None), ("_:n", "q", "iri", "c", None, None), ("a", "b", "literal", "v", None, None)]
