@@ -3,12 +3,14 @@
 import re
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tripwatch.functions.terms import RDFS_RESOURCE, XSD
 from tripwatch.operators import checks as C
 from tripwatch.operators import matching as M
+from tripwatch.operators import shacl as K
 from tripwatch.plans import catalogue
 from tripwatch.sources import statements as ST
 
@@ -97,3 +99,30 @@ def test_white_space_between_terms_is_no_part_of_them(spark):
     text = '<a>\t<b>\r\n"x y"\t.\n_:n\t \tq\t<c>\t.\n<a>\n<b> "v"^^<> .'
     got = ST.parsed(spark.createDataFrame([("g", 1, text)], "graph_id string, seq long, data string")).orderBy("stmt_ix").collect()
     assert [tuple(r)[3:] for r in got] == [("a", "b", "literal", "x y", None, None), ("_:n", "q", "iri", "c", None, None), ("a", "b", "literal", "v", None, None)]
+
+
+def test_a_reports_text_is_made_inside_its_row(spark, sf_dir):
+    """Lines of orders are shuffled once, and no statement is."""
+    plan = catalogue.queries()["report_texts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange\b", plan)) == 1 and "collect_list" not in plan and "Generate" not in plan
+
+
+def test_report_rows_hold_the_statements_of_their_reports(spark):
+    found = "result_id string, label string, message string, severity string, focus string, path string, value string"
+    ends = [("v1", "L", "m", "CRITICAL", "f", "p", "1"), ("v2", "L", "n", "NODATA", None, None, None)]
+    reports = spark.createDataFrame([("r1", 1, False, ends), ("r2", 2, True, None), ("r3", 3, True, []), ("r4", 4, False, ends[1:])], f"report_id string, report_ts long, conforms boolean, violations array<struct<{found}>>")
+    rows, statements = K.report_messages(reports), K.report_statements(reports.drop("violations"), reports.select("report_id", F.inline("violations")))
+    assert rows_of(rows.select("graph_id", F.inline("sts"))) == rows_of(statements) and statements.count() == 4 * 5 + 2 * 8 + 11
+    texts = K.message_texts(rows)
+    assert rows_of(texts) == rows_of(K.report_texts(statements))
+    lines = texts.where("graph_id = 'r1'").first().text.split("\n")
+    assert len(lines) == 2 + 5 + 8 + 11 and lines[1:-1] == sorted(lines[1:-1])
+
+
+@pytest.mark.parametrize("name", ["report_texts", "report_structural"])
+def test_reports_on_lines_without_flags_or_keys_equal_sql(spark, tmp_path, name):
+    spark.createDataFrame([(1, "A"), (1, None), (2, None), (2, None), (3, None), (3, "R"), (4, "R")] + ([(None, "N")] if name == "report_texts" else []), "l_orderkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = db.sql(catalogue.oracle_sql()[name]).fetchall()
+    assert sorted(map(repr, map(tuple, catalogue.queries()[name](spark, str(tmp_path)).collect()))) == sorted(map(repr, want))

@@ -14,22 +14,38 @@ def _row(s: Column, p: str, kind: str, value: Column, dtype: str | None = None)
     return F.struct(s.alias("s"), F.lit(p).alias("p"), F.lit(kind).alias("o_kind"), value.cast("string").alias("o_value"), F.lit(XSD + dtype if dtype else None).cast("string").alias("o_dtype"))
 
 
+def _head(r: Column, ts: Column, conforms: Column) -> Column:
+    return F.array(
+        _row(r, TYPE, "iri", F.lit(SH + "ValidationReport")), _row(r, DCT + "date", "literal", ts, "dateTime"), _row(r, DCT + "identifier", "literal", r, "string"),
+        _row(r, DCT + "conformsTo", "iri", F.lit(SH)), _row(r, SH + "conforms", "literal", conforms, "boolean"),
+    )
+
+
+def _result(r: Column, of) -> Column:
+    """The statements of a violation, whose fields `of` gives by name."""
+    v, sev = of("result_id"), F.concat(of("result_id"), F.lit("-severity"))
+    base = [
+        _row(r, SH + "result", "bnode", v), _row(v, TYPE, "iri", F.lit(SH + "ValidationResult")), _row(v, SH + "resultMessage", "literal", of("label"), "string"), _row(v, DCT + "description", "literal", of("message"), "string"),
+        _row(v, SH + "resultSeverity", "bnode", sev), _row(sev, TYPE, "iri", F.lit(SH + "Severity")), _row(sev, DCT + "title", "literal", of("severity"), "string"), _row(sev, DCT + "description", "literal", F.concat(F.lit("severity "), of("severity")), "string"),
+    ]
+    about = [_row(v, SH + "focusNode", "iri", of("focus")), _row(v, SH + "resultPath", "iri", of("path")), _row(v, SH + "value", "literal", of("value"))]
+    return F.when(of("focus").isNull(), F.array(*base)).otherwise(F.array(*base, *about))
+
+
 def report_statements(reports: DataFrame, violations: DataFrame) -> DataFrame:
     """Statements of validation reports(report_id, report_ts, conforms) and their violations(report_id, result_id, label,
     message, severity, focus, path, value): a head of five, eight for a structural violation (focus null), eleven for others."""
     r = F.col("report_id")
-    head = F.array(
-        _row(r, TYPE, "iri", F.lit(SH + "ValidationReport")), _row(r, DCT + "date", "literal", F.col("report_ts"), "dateTime"), _row(r, DCT + "identifier", "literal", r, "string"),
-        _row(r, DCT + "conformsTo", "iri", F.lit(SH)), _row(r, SH + "conforms", "literal", F.col("conforms"), "boolean"),
-    )
-    v, sev = F.col("result_id"), F.concat(F.col("result_id"), F.lit("-severity"))
-    base = [
-        _row(r, SH + "result", "bnode", v), _row(v, TYPE, "iri", F.lit(SH + "ValidationResult")), _row(v, SH + "resultMessage", "literal", F.col("label"), "string"), _row(v, DCT + "description", "literal", F.col("message"), "string"),
-        _row(v, SH + "resultSeverity", "bnode", sev), _row(sev, TYPE, "iri", F.lit(SH + "Severity")), _row(sev, DCT + "title", "literal", F.col("severity"), "string"), _row(sev, DCT + "description", "literal", F.concat(F.lit("severity "), F.col("severity")), "string"),
-    ]
-    about = [_row(v, SH + "focusNode", "iri", F.col("focus")), _row(v, SH + "resultPath", "iri", F.col("path")), _row(v, SH + "value", "literal", F.col("value"))]
-    results = violations.select(F.col("report_id").alias("graph_id"), F.inline(F.when(F.col("focus").isNull(), F.array(*base)).otherwise(F.array(*base, *about))))
-    return reports.select(F.col("report_id").alias("graph_id"), F.inline(head)).unionByName(results)
+    head = reports.select(r.alias("graph_id"), F.inline(_head(r, F.col("report_ts"), F.col("conforms"))))
+    return head.unionByName(violations.select(r.alias("graph_id"), F.inline(_result(r, F.col))))
+
+
+def report_messages(reports: DataFrame) -> DataFrame:
+    """(graph_id, sts) of reports(report_id, report_ts, conforms, violations), which have their violations as an array: the statements
+    that report_statements makes, a row for each report."""
+    r = F.col("report_id")
+    results = F.flatten(F.transform("violations", lambda x: _result(r, lambda name: x[name])))
+    return reports.select(r.alias("graph_id"), F.concat(_head(r, F.col("report_ts"), F.col("conforms")), F.coalesce(results, F.array())).alias("sts"))
 
 
 def joined(statements: DataFrame, root_class: str, paths: dict[str, list[str]]) -> DataFrame:
@@ -48,12 +64,19 @@ def joined(statements: DataFrame, root_class: str, paths: dict[str, list[str]])
     return rows.select("graph_id", "root", *[F.col(at[tuple(p)]).alias(name) for name, p in paths.items()])
 
 
-def report_texts(statements: DataFrame) -> DataFrame:
-    """(graph_id, text) of each report: its statements, one a line in the order of their texts, between a first and a last line."""
-    line = F.concat(F.lit(" "), subject_text("s"), F.lit(" "), subject_text("p"), F.lit(" "), serialised(lang="lang"), F.lit(" ."))
-    bodies = statements.withColumn("lang", F.lit(None).cast("string")).groupBy("graph_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))  # a report's statements are few
+def message_texts(messages: DataFrame) -> DataFrame:
+    """(graph_id, text) of report_messages: a report's statements, one a line in the order of their texts, between a first and a last
+    line. Nothing is shuffled, as a report is one row."""
+    no = F.lit(None).cast("string")
+    line = lambda x: F.concat(F.lit(" "), subject_text(x["s"]), F.lit(" "), subject_text(x["p"]), F.lit(" "), serialised(x["o_kind"], x["o_value"], x["o_dtype"], no), F.lit(" ."))
+    body = F.array_join(F.sort_array(F.transform("sts", line)), "\n")
     edge = lambda word: F.concat(F.lit(f"--- {word} Validation Report "), F.col("graph_id"), F.lit(" ---"))
-    return bodies.select("graph_id", F.concat_ws("\n", edge("BEGIN"), F.col("body"), edge("END")).alias("text"))
+    return messages.select("graph_id", F.concat(edge("BEGIN"), F.lit("\n"), body, F.lit("\n"), edge("END")).alias("text"))
+
+
+def report_texts(statements: DataFrame) -> DataFrame:
+    """message_texts of statements that are rows, which are brought together by report."""
+    return message_texts(statements.groupBy("graph_id").agg(F.collect_list(F.struct("s", "p", "o_kind", "o_value", "o_dtype")).alias("sts")))
 
 
 def pattern_texts(patterns: DataFrame) -> DataFrame:
