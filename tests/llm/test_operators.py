@@ -113,6 +113,32 @@ def test_packing_of_repeated_long_rows(spark):
     assert max(fill.values()) <= packing.TOKENS and sum(r.length == packing.TOKENS for r in rows) == 10 and len(fill) >= 11
 
 
+def test_packing_ids_of_plain_and_odd_words():
+    import pyarrow as pa
+
+    words = packing.WordIds(packing.vocabulary())
+    whole, seen = words.tokenizer, []
+
+    class Seen:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    def check(texts):
+        ids, first = packing._ids(pa.array(texts, pa.string()), words)
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+    words.tokenizer = Seen()
+    check(["The quick, brown fox. A.B,C..d 12.5!", "na\u00efve stra\u00dfe 5% _a-b_ ~^`{|}[]\\@ <|> </w> a</w>"])
+    assert not any(seen)  # plain words need no normaliser and no pre-tokenizer
+    check(["<|ENDOFTEXT|>x", "a<|endoftext|>b <|StartOfText|>", "ISN'T it's 'TIS don'the 's", "\u65e5\u672c \u8a9e\u3002"])
+    check(["\u65e5"])
+    check(["", " ", "\x00a\x7fb \x1c c\x1fd", "e\u0301 <\u0338 \u0130I \u017f \u212b \ufb01", "x\x85y\xa0z", "\u00c8\u00c9 x\u00f7y 5\u00d73", "\u1100\u1161 1\u00b23\u00bd \u2167"])
+    rng = np.random.default_rng(5)
+    some = list("abcszABT019.,'!&<|>\u00e9\u00df\u00c9\u0301\u4e2d\U0001f600   \n")
+    check(["".join(rng.choice(some, int(n))) for n in rng.integers(0, 60, 800)])
+
+
 def test_packing_exchange(spark, monkeypatch):
     monkeypatch.setattr(packing, "PIECES", 40)
     rng = np.random.default_rng(3)

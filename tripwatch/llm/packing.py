@@ -7,6 +7,7 @@ worth to each new one, and packed again, until the last exchange is a single sma
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,9 @@ TOKENS, END = 4096, 1
 PIECES = 50_000
 #: Bytes of text that are split into words at once.
 STEP = 5 << 20
+#: Words that the tokenizer doesn't normalise, and their runs: letters, one digit, or symbols. It parts some words at an apostrophe, too.
+_LETTERS, _SYMBOLS = "a-zß-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+PLAIN, RUN = f"^[{_LETTERS}0-9{_SYMBOLS}]+$", f"([{_LETTERS}]+|[0-9]|[{_SYMBOLS}]+)"
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,79 +43,87 @@ def vocabulary() -> str:
 class WordIds:
     """Token ids of words. Tokens never span white space, so a text's ids are those of its words, one after the other.
 
-    ASCII letters are lower-cased, and a word of letters and a last "." or "," is split once more: the tokenizer does both
-    itself. The distinct words of a step are encoded once; nothing is kept from step to step.
+    A word of lower-case Latin letters, digits and ASCII symbols without an apostrophe needs no normalising, and is parted into
+    runs as the tokenizer parts it; the distinct runs are encoded by its model alone. Any other word is encoded by the whole
+    tokenizer. The distinct words of a step are encoded once; nothing is kept from step to step.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: These are found in a text as it is, before it is lower-cased.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
-        #: Entry 0 is END, then come "." and ","; a word is an entry and perhaps a mark after it.
-        marks = [self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"]
-        self.first = [(np.array([END, *marks[0], *marks[1]], np.uint32), np.array([1, len(marks[0]), len(marks[1])]))]
-
-    def _encode(self, words: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place in words, ids, numbers of ids) of distinct words; those of letters are encoded many at once and split after
-        the ids that end a word."""
-        plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
-        rest, out = [np.flatnonzero(~plain)], []
-        plain = np.flatnonzero(plain)
-        for i in range(0, len(plain), 1000):
-            own = plain[i : i + 1000]
-            joined = " ".join(words.take(pa.array(own)).to_pylist())
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(own):
-                out.append((own, ids, np.diff(ends, prepend=0)))
-            else:
-                rest.append(own)
-        alone = np.concatenate(rest)
-        for i in range(0, len(alone), 5000):
-            own = alone[i : i + 5000]
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(words.take(pa.array(own)).to_pylist(), add_special_tokens=False)]
-            out.append((own, np.array([x for e in each for x in e], np.uint32), np.array(list(map(len, each)))))
-        return out
-
-    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of distinct words: each one's entry and its mark (1 ".", 2 ",", 0 none), and the entries' ids: all in a row, where
-        they begin and how many they are."""
-        data, at = utf8(words)
-        size = np.diff(at)
-        mark = np.zeros(len(size), np.int64)
-        long = np.flatnonzero(size > 1)
-        end, before = data[at[1:][long] - 1], data[at[1:][long] - 2]
-        letter = (before >= 97) & (before <= 122)
-        mark[long] = np.where(letter & (end == 46), 1, np.where(letter & (end == 44), 2, 0))
-        core = pc.dictionary_encode(pc.if_else(pa.array(mark > 0), pc.binary_slice(words.cast(pa.binary()), 0, -1), words.cast(pa.binary())).cast(pa.string()))
-        found = self._encode(core.dictionary)
-        place = np.concatenate([own for own, _, _ in found])
-        ids, sizes = (np.concatenate([x[i] for x in self.first] + [f[i + 1] for f in found]) for i in (0, 1))
-        entry = np.empty(len(place), np.int64)
-        entry[place] = np.arange(len(place)) + 3
-        return entry[core.indices.to_numpy(zero_copy_only=False)], mark, ids, np.cumsum(sizes) - sizes, sizes
+
+    def with_added(self, texts: pa.Array) -> pa.Array:
+        """Which texts hold one of the added tokens."""
+        return functools.reduce(pc.or_, [pc.match_substring(texts, t) for t in self.added], pa.array(np.zeros(len(texts), dtype=bool)))
+
+    def lower(self, texts: pa.Array) -> pa.Array:
+        """texts with A-Z as a-z, as the tokenizer does itself, but for those that would hold an added token then."""
+        lower = pc.ascii_lower(texts)
+        return pc.if_else(self.with_added(lower), texts, lower)
+
+    def _alone(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, all in a row, and how many each has."""
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for i in range(0, len(words), 5000):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(i, 5000).to_pylist(), add_special_tokens=False)]
+            ids.append(np.array([x for e in each for x in e], np.uint32))
+            sizes.append(np.array(list(map(len, each)), np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs: many at once, split after the ids that end a run."""
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        at = np.append(np.arange(0, len(runs), 1000), len(runs))
+        for i, joined in enumerate(pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), runs), " ")):
+            own = runs.slice(at[i], 1000)
+            got = np.array(self.model.encode_batch_fast([joined.as_py()], add_special_tokens=False)[0].ids, np.uint32)
+            size = np.diff(np.flatnonzero(self.last[got]) + 1, prepend=0)
+            if len(size) != len(own) or size.sum() != len(got):
+                got, size = self._alone(own)
+            ids.append(got)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each distinct word's entry; the entries' ids, all in a row; and how many each has."""
+        plain = pc.and_not(pc.match_substring_regex(words, PLAIN), self.with_added(words))
+        split = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(pc.replace_substring_regex(words.filter(plain), RUN, r"\1 ")))
+        runs = pc.dictionary_encode(split.flatten())
+        code, at = runs.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy().astype(np.int64)
+        ids, sizes = self._runs(runs.dictionary)
+        before = np.concatenate([[0], np.cumsum(sizes[code])])
+        ids, rest = _gather(ids, sizes, code), self._alone(words.filter(pc.invert(plain)))
+        entry = np.argsort(np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        return entry, np.concatenate([ids, rest[0]]), np.concatenate([np.diff(before[at - at[0]]), rest[1]])
+
+
+def _gather(ids: np.ndarray, sizes: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """The ids of these entries, one after the other."""
+    begin, size = (np.cumsum(sizes) - sizes)[entry], sizes[entry]
+    end = np.cumsum(size)
+    return ids[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin - end + size, size)]
 
 
 def _ids(texts: pa.Array, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts in a row, each text's last id END, and where each text's ids begin."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    split = pc.ascii_split_whitespace(words.lower(texts))
     at = split.offsets.to_numpy().astype(np.int64)
     flat = pc.dictionary_encode(split.values.slice(int(at[0]), int(at[-1] - at[0])))
     at -= at[0]
-    code = flat.indices.to_numpy(zero_copy_only=False)
-    entry, mark, ids, begin, size = words(flat.dictionary)
-    entry, mark = np.insert(entry[code], at[1:], 0), np.insert(mark[code], at[1:], 0)
-    marked = np.flatnonzero(mark) + 1
-    at = at + np.arange(len(at))
-    at += np.searchsorted(marked, at, side="right")
-    entry = np.insert(entry, marked, mark[marked - 1])
-    sizes = size[entry]
-    before = np.concatenate([[0], np.cumsum(sizes)])
-    return ids[np.arange(int(before[-1])) + np.repeat(begin[entry] - before[:-1], sizes)], before[at]
+    entry, ids, sizes = words(flat.dictionary)
+    entry = np.insert(entry[flat.indices.to_numpy(zero_copy_only=False)], at[1:], len(sizes))
+    ids, sizes = np.append(ids, np.uint32(END)), np.append(sizes, 1)
+    first = np.concatenate([[0], np.cumsum(sizes[entry])])[at + np.arange(len(at))]
+    return _gather(ids, sizes, entry), first
 
 
 def pieces(docs: DataFrame, path: str | None = None, tokens: int = TOKENS) -> DataFrame:
